@@ -4,11 +4,19 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from setloom.llm.common import read
+from setloom.llm.extract import extract_text
+from setloom.llm.language import identify_language
+from setloom.llm.mixing import mix_sources
+from setloom.llm.packing import pack_sequences
+from setloom.llm.quality import score_quality
 from setloom.llm.simhash import fingerprint_hex, simhash_groups
 from setloom.llm.suffix_dedup import remove_repeats
+from setloom.llm.vectors import near_vectors, top_k
+from setloom.llm.warc import read_archives, resolve_revisits, write_archives
 
 TOKENIZER = "word_bpe_49k.json"
 
@@ -17,14 +25,68 @@ def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(read(spark, sf_dir, "documents"), length=400)
 
 
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    archives = write_archives(read(spark, sf_dir, "pages"), least_bytes=0)
+    return resolve_revisits(read_archives(archives))
+
+
+def op3_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors(read(spark, sf_dir, "embeddings"), cosine=0.98)
+
+
+def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify_language(read(spark, sf_dir, "documents"))
+
+
+def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_sequences(read(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER), size=2048, end_id=0)
+
+
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mix_sources(read(spark, sf_dir, "documents"), weights=(5, 2, 1), budget=1.5, most=2.0)
+    return mixed.select("doc_id", "size", "source_size", "target", "taken")
+
+
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_quality(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"), threshold=0.3)
+
+
+def op8_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_k(read(spark, sf_dir, "embeddings"), k=10, every=100, scale=1024)
+
+
+def op9_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_text(read(spark, sf_dir, "pages"))
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     groups = simhash_groups(read(spark, sf_dir, "documents"), width=4, most=4)
     return groups.select("doc_id", fingerprint_hex(groups.fp).alias("fingerprint"), "component_id")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_suffix_dedup, op10_simhash)}
+    found = (op1_suffix_dedup, op2_warc, op3_near_vectors, op4_language, op5_packing, op6_mixing, op7_quality, op8_top_k, op9_extract, op10_simhash)
+    return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return ORACLES
+
+
+#: What SQL can say of the operators' contracts.
+ORACLES = {
+    "op8_top_k": """
+WITH v AS (
+    SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)::BIGINT) AS e
+    FROM embeddings
+    WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), q AS (SELECT DISTINCT vec_id AS query_id, e AS qe FROM v WHERE vec_id % 100 = 0),
+s AS (
+    SELECT query_id, vec_id, list_sum(list_transform(list_zip(qe, e), lambda z: z[1] * z[2]))::BIGINT AS score
+    FROM q JOIN v ON v.vec_id <> q.query_id AND len(e) = len(qe)
+), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
+SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM r WHERE rank <= 10
+""",
+    "op10_simhash": None,
+}
+ORACLES = {k: v for k, v in ORACLES.items() if v}

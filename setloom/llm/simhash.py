@@ -203,3 +203,54 @@ def fingerprint_hex(fp: Column) -> Column:
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
 
 
+
+
+def _shingle_batches(width: int, seed: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        digest = xxhash.xxh64_intdigest
+        for batch in batches:
+            off, body = utf8(batch.column(2))
+            out = []
+            for i in range(batch.num_rows):
+                words = body[off[i] : off[i + 1]].tobytes().lower().split()
+                found = {digest(b" ".join(words[j : j + width]), seed) for j in range(max(len(words) - width + 1, min(len(words), 1)))}
+                out.append(np.fromiter(found, np.uint64, len(found)).view(np.int64))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.list_(pa.int64()))], names=["grp", "doc_id", "shingles"])
+
+    return run
+
+
+def near_duplicates(docs: DataFrame, width: int = 5, most: int = 8, similarity: float = 0.8, seed: int = 42) -> DataFrame:
+    """(doc_id, kept_id) for each different doc_id: the document that stands for it, itself included.
+
+    SimHash groups at `most` bits are candidates. In rounds, the smallest doc_id of each group takes all members whose
+    sets of word shingles have at least `similarity` of their union in common with its own; the others go on to the next
+    round, until every document is taken. A document is so never given up for one it doesn't resemble, and no two kept ones
+    of a group resemble each other. Texts without words are alike. Rows with a null doc_id are left out.
+    """
+    named = docs.where("doc_id is not null").groupBy("doc_id").agg(F.min(F.coalesce("text", F.lit(""))).alias("text"))
+    one = staged(named, "near-docs") if docs.groupBy("doc_id").count().where("count > 1").limit(1).count() else docs.where("doc_id is not null").select("doc_id", "text")
+    groups_ = staged(simhash_groups(one, width, most, seed).select("doc_id", F.col("component_id").alias("grp")), "near-groups")
+    several = groups_.groupBy("grp").agg(F.count("*").alias("n")).where("n > 1").select("grp")
+    members = staged(groups_.join(several, "grp"), "near-members")
+    texts = members.join(one, "doc_id").select("grp", F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    left = staged(texts.mapInArrow(_shingle_batches(width, seed), "grp long, doc_id long, shingles array<long>"), "near-shingles")
+    taken = []
+    while left.limit(1).count():
+        least = left.groupBy("grp").agg(F.min("doc_id").alias("doc_id"))
+        heads = staged(left.join(least, ["grp", "doc_id"]).select("grp", F.col("doc_id").alias("head"), F.col("shingles").alias("theirs")), "near-heads")
+        both = F.size(F.array_intersect("shingles", "theirs"))
+        union = F.size("shingles") + F.size("theirs") - both
+        judged = staged(left.join(heads, "grp").select("grp", "doc_id", "shingles", "head", ((union == 0) | (both >= similarity * union)).alias("alike")), "near-judged")
+        taken.append(judged.where("alike").select("doc_id", F.col("head").alias("kept_id")))
+        left = judged.where("not alike").select("grp", "doc_id", "shingles")
+        discard(heads)
+    out = groups_.select("doc_id")
+    if taken:
+        given = taken[0]
+        for more in taken[1:]:
+            given = given.unionByName(more)
+        out = out.join(staged(given, "near-given"), "doc_id", "left")
+    else:
+        out = out.withColumn("kept_id", F.col("doc_id"))
+    return out.select("doc_id", F.coalesce("kept_id", "doc_id").alias("kept_id"))
