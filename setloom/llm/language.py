@@ -86,7 +86,7 @@ def fit(texts: list[str], labels: list[str], dims: int, block: int, landmarks: i
     return LanguageModel(languages, np.ascontiguousarray(marks.T), (to_features @ coef).astype(np.float32), mean_y - mean_x @ coef, dims, block)
 
 
-def score(model: LanguageModel, texts: list[str], at_once: int = 256) -> np.ndarray:
+def score(model: LanguageModel, texts: list[str], at_once: int = 128) -> np.ndarray:
     """Mean decision values of each text for each language, over all its blocks by their characters."""
     total, chars = np.zeros((len(texts), len(model.languages))), np.zeros(len(texts))
     # a part of a long text is scored on its own; its blocks end where they would end anyway
@@ -114,8 +114,8 @@ def _score_batches(shared, carry: int):
             texts = batch.column(0).to_pylist()
             known = [i for i, t in enumerate(texts) if t and model.languages and LETTER.search(t)]
             lang, best = ["und"] * len(texts), np.zeros(len(texts))
-            for a in range(0, len(known), 512):
-                part = known[a : a + 512]
+            for a in range(0, len(known), 128):
+                part = known[a : a + 128]
                 value = score(model, [texts[i] for i in part])
                 top = value.argmax(axis=1)
                 for i, k, v in zip(part, top.tolist(), value.max(axis=1).tolist(), strict=True):
@@ -126,7 +126,7 @@ def _score_batches(shared, carry: int):
     return run
 
 
-def fit_language_model(docs: DataFrame, per_language: int = 400, blocks_each: int = 3, dims: int = 8192, block: int = 4096, landmarks: int = 128, ridge: float = 1.0) -> LanguageModel:
+def fit_language_model(docs: DataFrame, per_language: int = 250, blocks_each: int = 2, dims: int = 8192, block: int = 4096, landmarks: int = 128, ridge: float = 1.0) -> LanguageModel:
     """Fit on the documents outside fold 0 with text, a letter and a language, `per_language` of each at most."""
     usable = docs.where((fold(F.col("doc_id")) != 0) & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}")).select("doc_id", "lang", "text")
     rows = stratified(usable, "lang", per_language).select("doc_id", "lang", F.substring("text", 1, block * blocks_each).alias("text"))
