@@ -1,19 +1,561 @@
-"""The registered queries of the play-log engine and the SQL they are held against."""
+"""The registered queries of the play-log engine and the SQL they are held against.
+
+Each query runs an operator over the driver's tables, read as a play log; its SQL says the same independently.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from setloom.functions import keys, values
+from setloom.operators import enrich, graph, ingest, query, resolve
+from setloom.plans import playlog
+from setloom.plans.playlog import PLAYS_SQL, named_sql, read
+from setloom.sources import sinks
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+SQL: dict[str, str] = {}
+ASKED = ["blue anvil", "BLUE ANVIL (dj remix)", "cold rod -2011 remix-", "widget", "red ring [Bootleg] extra", "e", "unknown song"]
+FIRST = F.struct("event_no", "play_order", "dj", "track_no", "ord", "title", "source_work", "artist")
+FIRST_SQL = "(event_no, play_order, dj, track_no, ord, title, source_work, artist)"
+
+
+def registered(sql: str | None = None) -> Callable:
+    def add(fn: Callable[[SparkSession, str], DataFrame]) -> Callable:
+        QUERIES[fn.__name__] = fn
+        if sql:
+            SQL[fn.__name__] = sql
+        return fn
+
+    return add
+
+
+def log(spark: SparkSession, d: str) -> DataFrame:
+    """Plays with the keys of their titles."""
+    p = playlog.plays(spark, d)
+    titles = p.select("title").distinct().select("title", keys.norm_key(F.col("title"), False).alias("key"), keys.base_key(F.col("title"), False).alias("base"))
+    return p.join(titles, "title")
+
+
+def named(spark: SparkSession, d: str) -> DataFrame:
+    return enrich.enrich(playlog.plays(spark, d), playlog.works(spark), playlog.artists(spark), unicode=False)
+
+
+def asked(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame([(q,) for q in ASKED], "query string")
+
+
+ASKED_SQL = "asked AS (SELECT * FROM (VALUES " + ", ".join(f"('{q}', '{q.lower().replace(' ', '')}', '{b}')" for q, b in zip(ASKED, ["blueanvil", "blueanvil", "coldrod", "widget", "redring", "e", "unknownsong"], strict=True)) + ") t(query, qkey, qbase))"
+TIERS_SQL = f"""{PLAYS_SQL}, {ASKED_SQL}, k AS (SELECT *, replace(lower(title), ' ', '') AS key FROM plays), tiers AS (
+    SELECT query, title, CASE WHEN key = qkey THEN 1 WHEN base = qbase THEN 2 WHEN length(qkey) >= 2 AND (contains(key, qkey) OR contains(qkey, key)) THEN 3 END AS tier FROM k, asked)"""
+
+
+# search and matching ---------------------------------------------------------------------------------------------------
+
+
+@registered(f"WITH {named_sql()} SELECT event_no, dj, title, count(*) AS hits FROM named WHERE event_no = 1997 AND is_remix AND contains(replace(lower(title || ' ' || source_work || ' ' || artist || ' ' || coalesce(array_to_string(work_variants, ' '), '') || ' ' || coalesce(work_series, '') || ' ' || coalesce(array_to_string(artist_variants, ' '), '')), ' ', ''), 'ring') AND contains(replace(lower(title || source_work || artist), ' ', ''), 'dj') GROUP BY ALL")
+def search_terms_and_facets(spark: SparkSession, d: str) -> DataFrame:
+    return query.search(named(spark, d), "RING　dj", event_no=1997, remix="yes").groupBy("event_no", "dj", "title").agg(F.count("*").alias("hits"))
+
+
+@registered(f"WITH {PLAYS_SQL} SELECT coalesce(is_remix::VARCHAR, 'unknown') AS facet, count(*) AS plays FROM plays WHERE contains(replace(lower(title), ' ', ''), 'gizmo') GROUP BY 1")
+def search_facet_counts(spark: SparkSession, d: str) -> DataFrame:
+    hits = log(spark, d).where(query.matches(F.col("key"), "gizmo"))
+    return hits.groupBy(F.coalesce(F.col("is_remix").cast("string"), F.lit("unknown")).alias("facet")).agg(F.count("*").alias("plays"))
+
+
+@registered(f"WITH {PLAYS_SQL} SELECT event_no, dj, track_no, title, flag, ord, source_work, artist FROM plays WHERE dj = 'Supplier#000000003' AND is_remix = false ORDER BY event_no, track_no, ord, title, source_work, artist LIMIT 300")
+def search_first_page(spark: SparkSession, d: str) -> DataFrame:
+    hits = query.search(playlog.plays(spark, d), dj="Supplier#000000003", remix="no")
+    order = [F.col(c) for c in ("event_no", "track_no", "ord", "title", "source_work", "artist")]
+    return query.page(hits, order).select("event_no", "dj", "track_no", "title", "flag", "ord", "source_work", "artist")
+
+
+def _tier(n: int) -> Callable[[SparkSession, str], DataFrame]:
+    def run(spark: SparkSession, d: str) -> DataFrame:
+        hits = query.played_tiers(log(spark, d), asked(spark), unicode=False).where(F.col("tier") == n)
+        return hits.groupBy("query", "title").agg(F.count("*").alias("plays"), F.min("event_no").alias("first_event"))
+
+    return run
+
+
+for _n, _name in ((1, "played_exact"), (2, "played_same_base"), (3, "played_partial")):
+    _f = _tier(_n)
+    _f.__name__ = _name
+    registered(f"WITH {TIERS_SQL}, e AS (SELECT *, 0 FROM tiers) SELECT t.query, t.title, count(*) AS plays, min(event_no) AS first_event FROM (SELECT event_no, query, title, CASE WHEN key = qkey THEN 1 WHEN base = qbase THEN 2 WHEN length(qkey) >= 2 AND (contains(key, qkey) OR contains(qkey, key)) THEN 3 END AS tier FROM k, asked) t WHERE tier = {_n} GROUP BY ALL")(_f)
+
+
+@registered(f"WITH {TIERS_SQL} SELECT a.query, count(*) FILTER (tier = 1) AS exact, count(*) FILTER (tier = 2) AS same_base, count(*) FILTER (tier = 3) AS partial, count(tier) = 0 AS is_new FROM asked a LEFT JOIN tiers t ON t.query = a.query AND tier IS NOT NULL GROUP BY 1")
+def played_verdict(spark: SparkSession, d: str) -> DataFrame:
+    return query.verdicts(query.played_tiers(log(spark, d), asked(spark), unicode=False), asked(spark))
+
+
+# rankings and summaries -------------------------------------------------------------------------------------------------
+
+
+def _rank_sql(source: str, key: str, label: str, raw: str | None, where: str) -> str:
+    raws = f", r AS (SELECT k, string_agg(raw, '、' ORDER BY o) AS raws FROM (SELECT b.k, raw, min(o) AS o FROM b JOIN g ON g.k = b.k WHERE raw <> '' AND raw <> g.label GROUP BY b.k, raw) GROUP BY k)" if raw else ""
+    detail = "CASE WHEN raws IS NULL THEN whos ELSE label || ' ← ' || raws || ' / ' || whos END" if raw else "whos"
+    return f"""WITH {source}, b AS (SELECT {key} AS k, {label} AS l, {FIRST_SQL} AS o, dj, {raw or "NULL"} AS raw FROM {'named' if raw else 'plays'} WHERE {where}),
+g AS (SELECT k, count(*) AS n, arg_min(l, o) AS label FROM b GROUP BY k), w AS (SELECT k, string_agg(dj, '・' ORDER BY o) AS whos FROM (SELECT k, dj, min(o) AS o FROM b GROUP BY k, dj) GROUP BY k){raws}
+SELECT label, n, {detail} AS detail FROM g JOIN w USING (k) {'LEFT JOIN r USING (k)' if raw else ''} ORDER BY n DESC, lower(label), label LIMIT 20"""
+
+
+@registered(_rank_sql(PLAYS_SQL, "base", "title", None, "true"))
+def top_titles(spark: SparkSession, d: str) -> DataFrame:
+    return query.top_titles(log(spark, d), FIRST)
+
+
+@registered(_rank_sql(named_sql(), "replace(lower(work_canon), ' ', '')", "work_canon", "source_work", "coalesce(work_kind, '') IN ('', 'work')"))
+def top_works_kind_filtered(spark: SparkSession, d: str) -> DataFrame:
+    return query.top_works(named(spark, d), FIRST, unicode=False)
+
+
+@registered(_rank_sql(named_sql(), "replace(lower(artist_canon), ' ', '')", "artist_canon", "artist", "true"))
+def top_artists(spark: SparkSession, d: str) -> DataFrame:
+    return query.top_artists(named(spark, d), FIRST, unicode=False)
+
+
+@registered(f"WITH {PLAYS_SQL} SELECT dj, count(*) AS tracks, count(DISTINCT event_no) AS events, count(*) FILTER (is_remix) / nullif(count(is_remix), 0) AS remix_rate FROM plays GROUP BY dj")
+def per_dj(spark: SparkSession, d: str) -> DataFrame:
+    return query.per_dj(playlog.plays(spark, d))
+
+
+EVENT_SQL = f"""{PLAYS_SQL}, x AS (SELECT *, base || '|' || source_work || '|' || artist AS b FROM plays), f AS (SELECT b, min(event_no) AS event_no FROM x GROUP BY b),
+s AS (SELECT event_no, min(event_date) AS event_date, count(DISTINCT dj) AS djs, count(*) AS tracks FROM x GROUP BY 1), n AS (SELECT event_no, count(*) AS new_titles FROM f GROUP BY 1)"""
+
+
+def _by_work(spark: SparkSession, d: str) -> DataFrame:
+    """A title counts by work and artist here, so that later events have new ones as well."""
+    return log(spark, d).withColumn("base", F.concat_ws("|", "base", "source_work", "artist"))
+
+
+@registered(f"WITH {EVENT_SQL} SELECT event_no, event_date, djs, tracks, coalesce(new_titles, 0) AS new_titles FROM s LEFT JOIN n USING (event_no)")
+def per_event_new_titles(spark: SparkSession, d: str) -> DataFrame:
+    return query.per_event(_by_work(spark, d))
+
+
+@registered(f"WITH {PLAYS_SQL}, t AS (SELECT dj, min(coalesce(play_order, 99)) AS dj_order, string_agg(lpad(track_no::VARCHAR, 3, '0') || ' ' || title || ' ' || source_work || ' ' || artist, ';' ORDER BY track_no, title, source_work, artist) AS tracks FROM plays WHERE event_no = (SELECT max(event_no) FROM plays) GROUP BY dj) SELECT * FROM t")
+def setlist_for_event(spark: SparkSession, d: str) -> DataFrame:
+    line = F.transform("tracks", lambda t: F.concat_ws(" ", F.lpad(t["position"].cast("string"), 3, "0"), t["title"], t["source_work"], t["artist"]))
+    return query.setlist(playlog.plays(spark, d).withColumn("url", F.lit(None).cast("string"))).select("dj", "dj_order", F.array_join(line, ";").alias("tracks"))
+
+
+@registered(f"WITH {PLAYS_SQL}, e AS (SELECT DISTINCT event_no FROM plays), s AS (SELECT s_name AS dj FROM supplier UNION ALL SELECT c_name FROM customer WHERE c_custkey % 500 = 0) SELECT event_no, dj FROM e, s EXCEPT SELECT event_no, dj FROM plays")
+def djs_without_set(spark: SparkSession, d: str) -> DataFrame:
+    p = playlog.plays(spark, d)
+    guests = read(spark, d, "customer").where("c_custkey % 500 = 0").select(F.col("c_name").alias("dj"))
+    announced = F.broadcast(p.select("event_no").distinct()).crossJoin(read(spark, d, "supplier").select(F.col("s_name").alias("dj")).unionByName(guests))
+    return query.djs_without_set(announced, p)
+
+
+@registered(f"WITH {PLAYS_SQL} SELECT count(*) AS plays, count(DISTINCT event_no) AS events, count(DISTINCT dj) AS djs FROM plays")
+def header_totals(spark: SparkSession, d: str) -> DataFrame:
+    return query.totals(playlog.plays(spark, d))
+
+
+# names ------------------------------------------------------------------------------------------------------------------
+
+
+@registered(f"WITH {named_sql()} SELECT source_work, work_canon, work_series, work_kind, artist, artist_canon, count(*) AS plays FROM named GROUP BY ALL")
+def alias_enrich_two_stage(spark: SparkSession, d: str) -> DataFrame:
+    n = named(spark, d)
+    return n.groupBy("source_work", F.col("source_work_canon").alias("work_canon"), F.col("source_work_series").alias("work_series"), F.col("source_work_kind").alias("work_kind"), "artist", "artist_canon").agg(F.count("*").alias("plays"))
+
+
+@registered(f"WITH {named_sql()} SELECT DISTINCT title, source_work, artist, replace(lower(title || ' ' || source_work || ' ' || artist || ' ' || coalesce(array_to_string(work_variants, ' '), '') || ' ' || coalesce(work_series, '') || ' ' || coalesce(array_to_string(artist_variants, ' '), '')), ' ', '') AS haystack FROM named")
+def haystack_build(spark: SparkSession, d: str) -> DataFrame:
+    return named(spark, d).select("title", "source_work", "artist", "haystack").distinct()
+
+
+@registered(f"WITH {PLAYS_SQL} SELECT source_work AS raw, count(*) AS rows, count(DISTINCT event_no) AS events, count(DISTINCT dj) AS djs, count(DISTINCT title) AS titles, count(DISTINCT artist) AS artists, array_to_string(list_slice(list_sort(list(DISTINCT title)), 1, 4), ';') AS samples FROM plays GROUP BY 1")
+def value_profile(spark: SparkSession, d: str) -> DataFrame:
+    v = graph.value_profiles(playlog.plays(spark, d), "source_work")
+    return v.select("raw", "rows", F.size("events").alias("events"), F.size("djs").alias("djs"), F.size("co_titles").alias("titles"), F.size("co_other").alias("artists"), F.array_join(F.slice("co_titles", 1, 4), ";").alias("samples"))
+
+
+@registered("SELECT split_part(text, ' ', 1) AS raw FROM documents WHERE split_part(text, ' ', 1) <> '' INTERSECT SELECT split_part(text, ' ', 1) FROM benchmark")
+def cross_field(spark: SparkSession, d: str) -> DataFrame:
+    first = F.split_part("text", F.lit(" "), F.lit(1))
+    plays = read(spark, d, "documents").select(first.alias("source_work"), F.lit(None).cast("string").alias("artist")).unionByName(read(spark, d, "benchmark").select(F.lit(None).cast("string").alias("source_work"), first.alias("artist")))
+    return graph.cross_field(plays)
+
+
+def variant_plays(spark: SparkSession, d: str) -> DataFrame:
+    """Plays whose work is the title in its spellings, so that works have variants; customers' segments add case variants."""
+    p = playlog.plays(spark, d).withColumn("source_work", F.col("title"))
+    more = read(spark, d, "customer").select(F.lit(1).alias("event_no"), F.col("c_name").alias("dj"), F.col("c_mktsegment").alias("title"), F.explode(F.array("c_mktsegment", F.lower("c_mktsegment"), F.concat(F.lower("c_mktsegment"), F.lit("x")))).alias("source_work"), F.lit(None).cast("string").alias("artist"))
+    return p.select(*more.columns).unionByName(more)
+
+
+VALUES_SQL = f"""{PLAYS_SQL}, v AS (SELECT DISTINCT raw, regexp_replace(lower(raw), '[^a-z0-9]', '', 'g') AS key, replace(lower(raw), ' ', '') AS flat, CASE WHEN contains(raw, '2011') THEN '2011' ELSE '' END AS marks FROM
+    (SELECT title AS raw FROM plays UNION ALL SELECT unnest([c_mktsegment, lower(c_mktsegment), lower(c_mktsegment) || 'x']) FROM customer))"""
+GRAMS_SQL = """, g AS (SELECT *, list_distinct(list_transform(range(1, length(key)), lambda i: substr(key, i::INTEGER, 2))) AS gs FROM v),
+pr AS (SELECT a.raw AS a, b.raw AS b, a.key AS ka, b.key AS kb, a.gs AS ga, b.gs AS gb, least(length(a.key), length(b.key)) AS lo, greatest(length(a.key), length(b.key)) AS hi, a.marks = b.marks AS same FROM g a JOIN g b ON a.raw < b.raw),
+e AS (SELECT *, CASE WHEN lo >= 3 AND ka <> kb AND (contains(ka, kb) OR contains(kb, ka)) THEN 'substr' WHEN hi <= 2 * lo AND len(list_intersect(ga, gb)) / len(list_distinct(list_concat(ga, gb))) >= 0.65 THEN 'bigram' END AS kind FROM pr)"""
+
+
+def _edges(spark: SparkSession, d: str, apart: DataFrame | None = None) -> DataFrame:
+    plays = variant_plays(spark, d)
+    return graph.build_edges(plays, plays.select(F.col("source_work").alias("raw")).distinct(), "source_work", apart, unicode=False)
+
+
+def _values(spark: SparkSession, d: str) -> DataFrame:
+    # staged, so that no filter on a key is pushed below the distinct and keys are made once a value
+    return graph.staged(graph.keyed_values(variant_plays(spark, d).select(F.col("source_work").alias("raw")).distinct(), unicode=False), "catalogue-values")
+
+
+@registered(f"WITH {VALUES_SQL} SELECT min(raw) OVER (PARTITION BY key) AS a, raw AS b FROM v QUALIFY raw <> min(raw) OVER (PARTITION BY key)")
+def edges_agg(spark: SparkSession, d: str) -> DataFrame:
+    return graph.star_edges(_values(spark, d), "key", "agg").select("a", "b")
+
+
+@registered(f"WITH {VALUES_SQL} SELECT min(raw) OVER (PARTITION BY flat) AS a, raw AS b FROM v QUALIFY raw <> min(raw) OVER (PARTITION BY flat)")
+def edges_caseonly(spark: SparkSession, d: str) -> DataFrame:
+    return graph.star_edges(_values(spark, d), "flat", "caseonly").select("a", "b")
+
+
+@registered(f"WITH {VALUES_SQL}{GRAMS_SQL} SELECT a, b FROM e WHERE kind = 'substr'")
+def edges_substr(spark: SparkSession, d: str) -> DataFrame:
+    return graph.similarity_edges(_values(spark, d)).where("kind = 'substr'").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+
+
+@registered(f"WITH {VALUES_SQL}{GRAMS_SQL} SELECT a, b FROM e WHERE kind = 'bigram'")
+def edges_bigram(spark: SparkSession, d: str) -> DataFrame:
+    return graph.similarity_edges(_values(spark, d)).where("kind = 'bigram'").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+
+
+@registered()
+def edges_edit(spark: SparkSession, d: str) -> DataFrame:
+    return graph.similarity_edges(_values(spark, d)).where("kind = 'edit'").select("a", "b")
+
+
+@registered(f"WITH {PLAYS_SQL}, s AS (SELECT DISTINCT title, source_work, artist FROM plays) SELECT DISTINCT x.artist AS a, y.artist AS b FROM s x JOIN s y ON x.title = y.title AND x.source_work = y.source_work AND x.artist < y.artist")
+def edges_cooccur(spark: SparkSession, d: str) -> DataFrame:
+    return graph.cooccurrence_edges(playlog.plays(spark, d), None, unicode=False).select("a", "b")
+
+
+@registered(f"WITH {VALUES_SQL}, h AS (SELECT raw AS a, regexp_replace(raw, ' (\\(DJ Remix\\)|-2011 remix-|\\[Bootleg\\])$', '') AS b FROM v) SELECT least(a, b) AS a, greatest(a, b) AS b FROM h WHERE a <> b AND b IN (SELECT raw FROM v)")
+def edges_redirect(spark: SparkSession, d: str) -> DataFrame:
+    v = _values(spark, d)
+    target = F.regexp_replace("raw", r" (\(DJ Remix\)|-2011 remix-|\[Bootleg\])$", "")
+    hits = v.select("raw", F.explode(F.array(F.struct(F.lit(0).alias("pos"), F.lit("search").alias("kind"), F.lit("blue anvil").alias("title")), F.struct(F.lit(1).alias("pos"), F.lit("redirect").alias("kind"), target.alias("title")))).alias("h")).select("raw", "h.*")
+    return graph.first_redirects(graph.redirect_edges(v, hits), None).select("a", "b")
+
+
+APART = [("blue anvil", "blue anvil (DJ Remix)"), ("automobile", "AUTOMOBILEX"), ("BUILDING", "building")]
+
+
+@registered(f"WITH {VALUES_SQL}{GRAMS_SQL} SELECT a, b FROM e WHERE kind = 'substr' AND NOT (ka || '~' || kb IN ('blueanvil~blueanvildjremix', 'blueanvildjremix~blueanvil', 'automobile~automobilex', 'automobilex~automobile'))")
+def keep_apart_filter(spark: SparkSession, d: str) -> DataFrame:
+    apart = graph.keep_apart_pairs(spark.createDataFrame(APART, "a string, b string"), unicode=False)
+    return _edges(spark, d, apart).where("kind = 'substr'").select("a", "b")
+
+
+STAR_SQL = "SELECT min(raw) OVER (PARTITION BY key) AS a, raw AS b FROM v"
+
+
+@registered(f"WITH RECURSIVE {VALUES_SQL}, s AS ({STAR_SQL}), ab AS (SELECT a, b FROM s WHERE a <> b UNION SELECT b, a FROM s WHERE a <> b), r AS (SELECT a AS node, a AS root FROM ab UNION SELECT ab.b, r.root FROM r JOIN ab ON ab.a = r.node) SELECT node, min(root) AS root FROM r GROUP BY 1")
+def components(spark: SparkSession, d: str) -> DataFrame:
+    return graph.connected_components(graph.star_edges(_values(spark, d), "key", "agg").select("a", "b"))
+
+
+def _capped(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    edges = graph.staged(_edges(spark, d), "catalogue-edges")
+    return edges, graph.capped_components(edges)
+
+
+@registered()
+def components_capped(spark: SparkSession, d: str) -> DataFrame:
+    return _capped(spark, d)[1].select("node", "comp", "was_split")
+
+
+@registered(f"WITH {VALUES_SQL}, m AS (SELECT key, list_sort(list(raw)) AS ms FROM v GROUP BY key HAVING count(*) > 1) SELECT 'work-' || substr(sha256(array_to_string(ms, chr(10))), 1, 8) AS id, len(ms) AS n FROM m")
+def cluster_ids(spark: SparkSession, d: str) -> DataFrame:
+    comps = graph.connected_components(graph.star_edges(_values(spark, d), "key", "agg").select("a", "b"))
+    members = comps.groupBy("root").agg(F.collect_set("node").alias("members"))
+    return members.select(keys.content_id("work", F.col("members")).alias("id"), F.size("members").cast("long").alias("n"))
+
+
+@registered()
+def cluster_hints(spark: SparkSession, d: str) -> DataFrame:
+    edges, comps = _capped(spark, d)
+    found = graph.clusters("work", graph.value_profiles(variant_plays(spark, d), "source_work"), edges, comps)
+    return found.select("id", "rows", F.array_join("hints", ",").alias("hints"), F.array_join("edge_kinds", ",").alias("edge_kinds"), F.size("members").alias("n"))
+
+
+@registered(f"WITH {PLAYS_SQL} SELECT source_work AS raw, '第' || min(event_no) || '回〜第' || max(event_no) || '回 ' || min(dj) || ' ほか' AS hint FROM plays GROUP BY 1")
+def where_hints(spark: SparkSession, d: str) -> DataFrame:
+    v = graph.value_profiles(playlog.plays(spark, d), "source_work")
+    return v.select("raw", keys.where_hint(F.col("events"), F.col("djs")).alias("hint"))
+
+
+# merging and reporting --------------------------------------------------------------------------------------------------
+
+
+def _files(spark: SparkSession, d: str) -> DataFrame:
+    """Even suppliers' plays as file rows, without their work where the line number is odd."""
+    p = playlog.plays(spark, d).where("play_order % 2 = 0")
+    w = F.when(F.col("track_no") % 2 == 0, F.col("source_work"))
+    return p.groupBy("event_no", "dj", "track_no").agg(F.min(F.struct("title", w.alias("source_work"), "artist", "is_remix")).alias("r")).select("event_no", "dj", "track_no", F.col("track_no").alias("pos"), "r.*", F.lit(None).cast("string").alias("url"), F.lit(None).cast("int").alias("play_order"), F.lit("xlsx").alias("source_kind"))
+
+
+def _master(spark: SparkSession, d: str) -> DataFrame:
+    p = playlog.plays(spark, d).where("play_order % 3 = 0")
+    return p.groupBy("event_no", "dj", "track_no").agg(F.max(F.struct("title", "source_work", "artist", "is_remix")).alias("r"), F.max("ord").alias("ord"), F.min("play_order").alias("play_order")).select("event_no", "dj", "track_no", "ord", "play_order", "r.*", F.lit(None).cast("string").alias("url"))
+
+
+def _djs(spark: SparkSession, d: str) -> DataFrame:
+    return playlog.plays(spark, d).where("play_order < 20").groupBy("event_no", "dj").agg(F.min("event_date").alias("event_date"), F.lit(None).cast("int").alias("play_order"), F.first("dj").alias("dj_folder"))
+
+
+MERGE_SQL = f"""{PLAYS_SQL}, f AS (SELECT event_no, dj, track_no, min({{'t': title, 'w': CASE WHEN track_no % 2 = 0 THEN source_work END, 'a': artist, 'r': is_remix}}) AS r FROM (SELECT * FROM plays WHERE play_order % 2 = 0) GROUP BY ALL),
+m AS (SELECT event_no, dj, track_no, min(play_order) AS play_order, max({{'t': title, 'w': source_work, 'a': artist, 'r': is_remix}}) AS r FROM plays WHERE play_order % 3 = 0 GROUP BY ALL),
+d AS (SELECT DISTINCT event_no, dj FROM plays WHERE play_order < 20)"""
+
+
+@registered(f"WITH {PLAYS_SQL}, f AS (SELECT event_no, dj, track_no, min(title) AS title FROM plays WHERE play_order % 2 = 0 GROUP BY ALL), m AS (SELECT event_no, dj, track_no, max(title) AS title, min(play_order) AS play_order FROM plays WHERE play_order % 3 = 0 GROUP BY ALL), d AS (SELECT DISTINCT event_no, dj FROM plays WHERE play_order < 20) SELECT f.event_no, f.dj, f.track_no, f.title, m.play_order AS play_order, 'xlsx' AS source_kind, 'high' AS confidence FROM f JOIN d USING (event_no, dj) LEFT JOIN m USING (event_no, dj, track_no) UNION ALL SELECT m.event_no, m.dj, m.track_no, m.title, m.play_order, 'master-db', 'medium' FROM m JOIN d USING (event_no, dj) WHERE NOT EXISTS (SELECT 1 FROM f WHERE f.event_no = m.event_no AND f.dj = m.dj)")
+def merge_master_coalesce(spark: SparkSession, d: str) -> DataFrame:
+    out = ingest.merge(_djs(spark, d), _files(spark, d), _master(spark, d))
+    return out.select("event_no", "dj", "track_no", "title", "play_order", "source_kind", "confidence")
+
+
+@registered(f"WITH {PLAYS_SQL}, d AS (SELECT DISTINCT event_no, dj, play_order FROM plays WHERE play_order < 20) SELECT event_no, dj, CASE WHEN play_order % 2 = 0 THEN 'file' WHEN play_order % 3 = 0 THEN 'master' ELSE 'missing' END AS chosen FROM d")
+def source_selection(spark: SparkSession, d: str) -> DataFrame:
+    djs = _djs(spark, d)
+    out = ingest.merge(djs, _files(spark, d), _master(spark, d)).groupBy("event_no", "dj").agg(F.min("source_kind").alias("kind"))
+    found = out.select("event_no", "dj", F.when(F.col("kind") == "xlsx", "file").otherwise("master").alias("chosen"))
+    return found.unionByName(ingest.missing_sets(djs, out).select("event_no", "dj", F.lit("missing").alias("chosen")))
+
+
+@registered(f"WITH {PLAYS_SQL}, m AS (SELECT DISTINCT event_no, dj, track_no, play_order FROM plays WHERE play_order % 3 = 0) SELECT event_no, dj, count(*) AS rows FROM m WHERE play_order >= 20 GROUP BY ALL")
+def master_orphans(spark: SparkSession, d: str) -> DataFrame:
+    return ingest.master_orphans(_master(spark, d), _djs(spark, d))
+
+
+@registered(f"WITH {PLAYS_SQL}, f AS (SELECT event_no, dj, count(*) AS file_rows FROM plays WHERE play_order % 2 = 0 GROUP BY ALL), m AS (SELECT event_no, dj, count(DISTINCT track_no) AS master_rows FROM plays WHERE play_order % 3 = 0 GROUP BY ALL) SELECT * FROM f JOIN m USING (event_no, dj) WHERE file_rows <> master_rows")
+def count_mismatch(spark: SparkSession, d: str) -> DataFrame:
+    return ingest.count_mismatch(playlog.plays(spark, d).where("play_order % 2 = 0"), _master(spark, d))
+
+
+def _turns(spark: SparkSession, d: str) -> DataFrame:
+    """Turns of conversations as tracks, numbered from 1, assistants' last turns without a number."""
+    c = read(spark, d, "conversations")
+    return c.select("conv_id", "turn", F.when(F.col("role") == "user", F.col("turn") + 1).cast("int").alias("track_no"), "role")
+
+
+TURNS_SQL = "t AS (SELECT conv_id, turn, CASE WHEN role = 'user' THEN turn + 1 END AS track_no, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role) AS at FROM conversations)"
+
+
+@registered(f"WITH {TURNS_SQL}, l AS (SELECT *, max(CASE WHEN track_no IS NOT NULL THEN at END) OVER (PARTITION BY conv_id) AS last FROM t), k AS (SELECT *, bool_and(track_no IS NOT DISTINCT FROM at) OVER (PARTITION BY conv_id) AS fine FROM l WHERE last IS NULL OR at <= last) SELECT conv_id, count(*) AS rows, sum(CASE WHEN last IS NULL OR fine THEN track_no ELSE at END)::BIGINT AS numbers FROM k GROUP BY 1")
+def trim_renumber(spark: SparkSession, d: str) -> DataFrame:
+    out = ingest.trim_and_renumber(_turns(spark, d).withColumn("pos", F.struct("turn", "role")), ["conv_id"])
+    return out.groupBy("conv_id").agg(F.count("*").alias("rows"), F.sum("track_no").alias("numbers"))
+
+
+@registered(f"WITH {TURNS_SQL} SELECT conv_id, CASE WHEN count(*) < 3 THEN 0.0 ELSE avg(CASE WHEN track_no = at THEN 1 ELSE 0 END) END AS quality FROM t GROUP BY 1")
+def sequence_quality(spark: SparkSession, d: str) -> DataFrame:
+    return ingest.sequence_quality(_turns(spark, d).withColumn("pos", F.struct("turn", "role")), ["conv_id"])
+
+
+@registered(f"WITH {PLAYS_SQL}, s AS (SELECT event_no, dj, count(*) AS rows FROM plays GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY event_no ORDER BY rows DESC, dj) AS k FROM s) SELECT event_no, dj, rows FROM r WHERE k = 1")
+def best_candidate(spark: SparkSession, d: str) -> DataFrame:
+    n = playlog.plays(spark, d).groupBy("event_no", "dj").agg(F.count("*").alias("rows"))
+    scores = n.select("event_no", "dj", F.struct(F.lit(1).alias("fields"), F.lit(0).alias("tenths"), F.lit(0).alias("filled"), "rows").alias("score"))
+    return ingest.best_list(scores, ["event_no"], "dj").select("event_no", "dj", F.col("score.rows").alias("rows"))
+
+
+@registered(f"WITH {PLAYS_SQL}, c AS (SELECT count(*) AS n, count(source_work) AS a, count(is_remix) AS b, count(play_order) AS c FROM plays), x AS (SELECT n, unnest([{{'f': 'source_work', 'v': a}}, {{'f': 'is_remix', 'v': b}}, {{'f': 'play_order', 'v': c}}]) AS s FROM c) SELECT s.f AS field, s.v AS filled, round_even(100 * s.v / greatest(n, 1), 0)::INTEGER AS percent FROM x")
+def fill_rate(spark: SparkSession, d: str) -> DataFrame:
+    return ingest.fill_rate(playlog.plays(spark, d), ["source_work", "is_remix", "play_order"])
+
+
+@registered(f"WITH {PLAYS_SQL} SELECT event_no, min(event_date) AS event_date, count(DISTINCT dj) AS djs, count(*) AS tracks FROM plays GROUP BY 1")
+def report_by_event(spark: SparkSession, d: str) -> DataFrame:
+    return ingest.report_by_event(playlog.plays(spark, d))
+
+
+@registered(f"WITH {PLAYS_SQL} SELECT flag AS source_kind, count(*) AS rows FROM plays GROUP BY 1")
+def report_by_kind(spark: SparkSession, d: str) -> DataFrame:
+    return ingest.report_by_kind(playlog.plays(spark, d).withColumn("source_kind", F.col("flag")))
+
+
+# decisions --------------------------------------------------------------------------------------------------------------
+
+
+def _entries(spark: SparkSession, d: str) -> DataFrame:
+    """A dictionary entry for each customer: the segment is the canonical name, the name a variant."""
+    c = read(spark, d, "customer")
+    return c.select(F.lit("work").alias("field"), F.col("c_custkey").alias("ord"), F.concat(F.lit("e"), F.col("c_custkey")).alias("id"), F.col("c_mktsegment").alias("canonical"), F.when(F.col("c_custkey") % 3 == 0, F.col("c_nationkey").cast("string")).alias("series"), F.when(F.col("c_custkey") % 4 == 0, "work").alias("kind"), F.array(F.concat(F.lit("n"), F.col("c_nationkey")), F.concat(F.lit("c"), F.col("c_custkey"))).alias("variants"), (F.col("c_acctbal") > 0).alias("approved"), F.when(F.col("c_custkey") % 5 == 0, "low").otherwise("high").alias("confidence"))
+
+
+ENTRIES_SQL = "en AS (SELECT c_custkey AS ord, c_mktsegment AS name, CASE WHEN c_custkey % 3 = 0 THEN c_nationkey::VARCHAR END AS series, CASE WHEN c_custkey % 4 = 0 THEN 'work' END AS kind, unnest(['n' || c_nationkey, 'c' || c_custkey, c_mktsegment]) AS raw FROM customer WHERE c_acctbal > 0 AND c_custkey % 5 <> 0), fs AS (SELECT name, min(ord) AS first, arg_min(series, ord) FILTER (series IS NOT NULL) AS series, arg_min(kind, ord) FILTER (kind IS NOT NULL) AS kind, count(DISTINCT raw) AS size FROM en GROUP BY 1), cl AS (SELECT DISTINCT raw, name FROM en), ow AS (SELECT raw, arg_min(name, first) AS canonical FROM cl JOIN fs USING (name) GROUP BY 1)"
+
+
+@registered(f"WITH {ENTRIES_SQL} SELECT raw, canonical, series, kind, size AS variants FROM ow JOIN fs ON fs.name = canonical")
+def class_map_export(spark: SparkSession, d: str) -> DataFrame:
+    m = resolve.class_map(_entries(spark, d))
+    return m.select("raw", "canonical", "series", "kind", F.size("variants").cast("long").alias("variants"))
+
+
+@registered(f"WITH {ENTRIES_SQL} SELECT raw, canonical AS kept, name AS dropped FROM cl JOIN ow USING (raw) WHERE name <> canonical")
+def variant_conflicts(spark: SparkSession, d: str) -> DataFrame:
+    return resolve.variant_conflicts(_entries(spark, d))
+
+
+DECISIONS_SQL = "de AS (SELECT ['accept', 'reject', 'defer', 'keep-apart'][1 + s_suppkey % 4] AS action, s_name AS raw FROM supplier)"
+
+
+def _decisions(spark: SparkSession, d: str) -> DataFrame:
+    s = read(spark, d, "supplier")
+    action = F.element_at(F.array(*map(F.lit, ("accept", "reject", "defer", "keep-apart"))), (F.col("s_suppkey") % 4 + 1).cast("int"))
+    return s.select(action.alias("action"), F.lit("work").alias("field"), F.array("s_name").alias("variants"))
+
+
+@registered(f"WITH {PLAYS_SQL}, {DECISIONS_SQL} SELECT dj AS raw, count(*) AS rows FROM plays WHERE dj NOT IN (SELECT raw FROM de WHERE action IN ('accept', 'reject')) GROUP BY 1")
+def decided_filter(spark: SparkSession, d: str) -> DataFrame:
+    counts = playlog.plays(spark, d).groupBy(F.col("dj").alias("raw")).agg(F.count("*").alias("rows"))
+    return counts.join(resolve.decided_values(_decisions(spark, d), field="work"), "raw", "left_anti")
+
+
+@registered("SELECT coalesce(n.s_name, o.s_name) AS raw, coalesce('new ' || n.s_nationkey, 'old ' || o.s_nationkey) AS hit FROM (SELECT * FROM supplier WHERE s_suppkey % 2 = 0) n FULL JOIN (SELECT * FROM supplier WHERE s_suppkey % 3 = 0) o ON n.s_suppkey = o.s_suppkey")
+def evidence_merge(spark: SparkSession, d: str) -> DataFrame:
+    s = read(spark, d, "supplier")
+    side = lambda k, word: s.where(F.col("s_suppkey") % k == 0).select(F.col("s_name").alias("raw"), F.array(F.concat(F.lit(f"{word} "), F.col("s_nationkey"))).alias("hits"))
+    return resolve.merge_evidence(side(3, "old"), side(2, "new")).select("raw", F.array_join("hits", ";").alias("hit"))
+
+
+@registered(f"WITH {PLAYS_SQL} SELECT dj AS raw, count(*) AS rows FROM plays WHERE dj NOT IN (SELECT s_name FROM supplier WHERE s_suppkey % 2 = 0) GROUP BY 1 HAVING count(*) >= 2")
+def only_new_targets(spark: SparkSession, d: str) -> DataFrame:
+    profiles = playlog.plays(spark, d).groupBy(F.col("dj").alias("raw")).agg(F.count("*").alias("rows"))
+    return resolve.targets(profiles, read(spark, d, "supplier").where("s_suppkey % 2 = 0").select(F.col("s_name").alias("raw")))
+
+
+def _cluster_table(spark: SparkSession, d: str) -> DataFrame:
+    """A cluster for each brand and size of parts: its parts' keys are the members."""
+    p = read(spark, d, "part")
+    g = p.groupBy("p_brand", "p_size").agg(F.array_sort(F.collect_list(F.concat(F.lit("p"), F.col("p_partkey")))).alias("members"), F.count("*").alias("rows"))
+    none = F.array().cast("array<string>")
+    hints = F.when(F.col("p_size") % 7 == 0, F.array(F.lit("split-from-large"))).otherwise(none)
+    kinds = F.when(F.col("p_size") % 5 == 0, F.array(F.lit("cooccur"))).otherwise(F.array(F.lit("agg")))
+    return g.select(F.concat_ws("/", "p_brand", "p_size").alias("id"), "rows", hints.alias("hints"), kinds.alias("edge_kinds"), "members", "p_size")
+
+
+def _proposal_table(spark: SparkSession, d: str) -> DataFrame:
+    c = _cluster_table(spark, d).where("p_size % 11 <> 0")
+    name = F.when(F.col("p_size") % 3 == 0, F.lit("shared name")).otherwise(F.element_at("members", 1))
+    variants = F.when(F.col("p_size") % 13 == 0, F.slice("members", 1, 1)).otherwise(F.col("members"))
+    return c.select(F.xxhash64("id").alias("ord"), F.col("id").alias("cluster_id"), name.alias("canonical"), F.lit("").alias("series"), F.lit("work").alias("kind"), variants.alias("variants"), F.when(F.col("p_size") % 4 == 0, "medium").otherwise("high").alias("confidence"), F.lit("r").alias("reason"))
+
+
+CLUSTERS_SQL = "cl AS (SELECT p_brand || '/' || p_size AS id, p_size AS s, list_sort(list('p' || p_partkey)) AS members, count(*) AS rows FROM part GROUP BY p_brand, p_size)"
+
+
+@registered(f"WITH {CLUSTERS_SQL} SELECT id, CASE WHEN s % 11 = 0 THEN 'no-proposal' WHEN s % 13 = 0 AND len(members) > 1 THEN 'partial' WHEN s % 4 = 0 THEN 'confidence' WHEN s % 3 = 0 THEN 'canonical' WHEN s % 7 = 0 THEN 'hint' WHEN s % 5 = 0 THEN 'edge-kind' ELSE 'accepted' END AS code FROM cl")
+def auto_rules(spark: SparkSession, d: str) -> DataFrame:
+    none = spark.createDataFrame([], "raw string")
+    plan = resolve.auto_plan(_cluster_table(spark, d).drop("p_size"), _proposal_table(spark, d), none, none, spark.createDataFrame([], "raw string, canonical string"), spark.createDataFrame([], "a string, b string"), unicode=False)
+    return plan.select("id", F.coalesce("code", F.lit("accepted")).alias("code"))
+
+
+@registered(f"WITH {CLUSTERS_SQL} SELECT id AS cluster_id, CASE WHEN s % 3 = 0 THEN 'invented-canonical' WHEN len(members) = 1 OR s % 13 = 0 THEN 'nothing-to-merge' ELSE 'fine' END AS problem FROM cl WHERE s % 11 <> 0")
+def proposal_checks(spark: SparkSession, d: str) -> DataFrame:
+    checked = resolve.check_proposals(_proposal_table(spark, d), _cluster_table(spark, d), spark.createDataFrame([], "id string, title string"), spark.createDataFrame([], "a string, b string"), unicode=False)
+    return checked.select("cluster_id", F.coalesce("problem", F.lit("fine")).alias("problem"))
+
+
+@registered(f"WITH {CLUSTERS_SQL}, m AS (SELECT id, s, unnest(members) AS raw, members FROM cl), q AS (SELECT *, substr(raw, 2)::BIGINT % 3 <> 0 AS open FROM m), k AS (SELECT id FROM q GROUP BY 1 HAVING bool_or(open)), pr AS (SELECT *, open AND s % 11 <> 0 AND (s % 13 <> 0 OR raw = members[1]) AS proposed FROM q) SELECT id, raw, open AS is_open, CASE WHEN NOT open THEN '判断済み' END AS decided_as, proposed FROM pr JOIN k USING (id)")
+def review_queue(spark: SparkSession, d: str) -> DataFrame:
+    decided = read(spark, d, "part").where("p_partkey % 3 = 0").select(F.concat(F.lit("p"), F.col("p_partkey")).alias("raw"))
+    queue = resolve.review_queue(_cluster_table(spark, d), decided, spark.createDataFrame([], "raw string, canonical string"), _proposal_table(spark, d))
+    return queue.select("id", "raw", "is_open", "decided_as", "proposed")
+
+
+@registered(f"WITH {PLAYS_SQL}, h AS (SELECT DISTINCT title, source_work, artist, replace(lower(title || source_work || artist), ' ', '') AS k FROM plays) SELECT title, source_work, artist FROM h WHERE contains(k, 'ring') AND NOT contains(k, 'redring')")
+def search_preview_diff(spark: SparkSession, d: str) -> DataFrame:
+    h = playlog.plays(spark, d).select("title", "source_work", "artist").distinct().withColumn("k", keys.norm_key(F.concat("title", "source_work", "artist"), False))
+    wide, narrow = h.where(query.matches(F.col("k"), "ring")), h.where(query.matches(F.col("k"), "red ring").__and__(F.col("k").contains("redring")))
+    return query.search_preview(wide, narrow, ["title", "source_work", "artist"]).select("title", "source_work", "artist")
+
+
+@registered("WITH v AS (SELECT p_brand AS id, p_name AS raw, count(*) AS rows FROM part GROUP BY ALL) SELECT id, arg_min(raw, (-rows, raw)) AS canonical FROM v GROUP BY 1")
+def canonical_guess(spark: SparkSession, d: str) -> DataFrame:
+    v = read(spark, d, "part").groupBy(F.col("p_brand").alias("id"), F.col("p_name").alias("raw")).agg(F.count("*").alias("rows"))
+    v = v.select("id", "raw", F.col("raw").alias("pos"), "rows", F.lit(None).cast("string").alias("base"), F.lit(None).cast("string").alias("decided_as"), F.lit(True).alias("checked"))
+    return resolve.guess_canonical(v, spark.createDataFrame([], "ord long, cluster_id string, canonical string"))
+
+
+# expressions ------------------------------------------------------------------------------------------------------------
+
+
+@registered("SELECT conv_id, turn, role, (ceil(length(regexp_replace(text, '[^\\x00-\\x7F]', '', 'g')) / 4) + length(regexp_replace(text, '[\\x00-\\x7F]', '', 'g')))::BIGINT AS tokens FROM conversations")
+def token_estimate(spark: SparkSession, d: str) -> DataFrame:
+    return read(spark, d, "conversations").select("conv_id", "turn", "role", keys.estimate_tokens(F.col("text")).alias("tokens"))
+
+
+@registered()
+def batch_packing(spark: SparkSession, d: str) -> DataFrame:
+    c = read(spark, d, "benchmark").select(F.lit("work").alias("field"), F.col("item_id").alias("ord"), F.col("item_id").cast("string").alias("id"), keys.estimate_tokens(F.col("text")).alias("tokens"))
+    return resolve.pack_batches(c, system_tokens=400)
+
+
+@registered("SELECT page_id, CASE WHEN page_id % 2 = 0 THEN url WHEN page_id % 3 = 0 THEN 'https://note.example' END AS url, CASE WHEN page_id % 2 <> 0 AND page_id % 3 = 0 THEN NULL WHEN page_id % 3 = 0 THEN 'https://note.example' ELSE 'text' END AS note FROM pages")
+def url_repair(spark: SparkSession, d: str) -> DataFrame:
+    p = read(spark, d, "pages").select("page_id", F.when(F.col("page_id") % 2 == 0, F.col("url")).otherwise("repeated").alias("url"), F.when(F.col("page_id") % 3 == 0, "https://note.example").otherwise("text").alias("note"))
+    none = F.lit(None).cast("string")
+    fixed = values.repaired(F.col("url"), none, F.col("note"), none, none, unicode=False)
+    return p.select("page_id", fixed["url"].alias("url"), fixed["note"].alias("note"))
+
+
+@registered("SELECT event_id, value::VARCHAR AS given, trunc(value)::INTEGER AS whole, abs(value) AS number, regexp_extract(props, '\\d+')::INTEGER AS first_digits FROM events")
+def to_int_to_float(spark: SparkSession, d: str) -> DataFrame:
+    e = read(spark, d, "events").withColumn("given", F.format_string("%s", F.col("value")))
+    return e.select("event_id", "given", values.to_int(F.col("given"), False).alias("whole"), values.to_float(F.col("given"), False).alias("number"), values.to_int(F.col("props"), False).alias("first_digits"))
+
+
+@registered("SELECT event_id, CASE event_type WHEN 'view' THEN true WHEN 'click' THEN false WHEN 'purchase' THEN true END AS is_remix FROM events")
+def to_remix(spark: SparkSession, d: str) -> DataFrame:
+    word = F.when(F.col("event_type") == "view", " Yes ").when(F.col("event_type") == "click", "×").when(F.col("event_type") == "purchase", "HTTPS://x.example/a").when(F.col("event_type") == "signup", "n/a").otherwise("maybe")
+    return read(spark, d, "events").select("event_id", values.to_remix(word, False).alias("is_remix"))
+
+
+@registered("SELECT doc_id, lower(substr(text, 1, strpos(text || chr(10), chr(10)) - 1)) AS flat FROM documents WHERE NOT contains(substr(text, 1, strpos(text || chr(10), chr(10)) - 1), ' ')")
+def flat_keys(spark: SparkSession, d: str) -> DataFrame:
+    line = read(spark, d, "documents").select("doc_id", F.split_part("text", F.lit("\n"), F.lit(1)).alias("line")).where(~F.col("line").contains(" "))
+    return line.select("doc_id", keys.flat_key(F.col("line")).alias("flat"))
+
+
+@registered("SELECT DISTINCT text AS raw, regexp_replace(lower(text), '[^\\p{L}\\p{N}]', '', 'g') AS key FROM benchmark")
+def aggregation_keys(spark: SparkSession, d: str) -> DataFrame:
+    return read(spark, d, "benchmark").select(F.col("text").alias("raw"), keys.agg_key(F.col("text")).alias("key")).distinct()
+
+
+@registered(f"WITH {PLAYS_SQL} SELECT event_no AS \"回\", CASE WHEN play_order = 0 THEN '' ELSE play_order::VARCHAR END AS \"play順\", CASE WHEN is_remix THEN '○' WHEN NOT is_remix THEN '×' ELSE '' END AS \"REMIX\", count(*) AS rows FROM plays GROUP BY ALL")
+def paste_sheet(spark: SparkSession, d: str) -> DataFrame:
+    rows = sinks.paste_rows(playlog.plays(spark, d).withColumn("url", F.lit(None).cast("string")))
+    return rows.groupBy(F.col("回").cast("int").alias("回"), "play順", "REMIX").agg(F.count("*").alias("rows"))
+
+
+@registered(f"WITH {PLAYS_SQL}, o AS (SELECT event_no, dj, min((CASE WHEN play_order = 0 THEN 99 ELSE play_order END, dj)) AS at FROM plays GROUP BY ALL) SELECT event_no, string_agg(dj, ',' ORDER BY at) AS djs FROM o GROUP BY 1")
+def published_events(spark: SparkSession, d: str) -> DataFrame:
+    e = sinks.published(playlog.plays(spark, d).withColumns({"url": F.lit(None).cast("string"), "source_kind": F.lit("xlsx")})).where("kind = 'event'")
+    return e.select("event_no", F.array_join(F.from_json(F.get_json_object("json", "$.djs"), "array<string>"), ",").alias("djs"))
 
 
-def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/region.parquet")
+@registered(f"WITH {EVENT_SQL}, w AS (SELECT event_no, source_work, count(*) AS n FROM x GROUP BY ALL), t AS (SELECT event_no, arg_min(source_work, (-n, source_work)) AS top_work FROM w GROUP BY 1) SELECT event_no, event_date, djs, tracks, coalesce(new_titles, 0) AS new_titles, top_work FROM s LEFT JOIN n USING (event_no) JOIN t USING (event_no)")
+def flagship(spark: SparkSession, d: str) -> DataFrame:
+    """Each event's size, new titles and leading work."""
+    p = _by_work(spark, d)
+    works = p.groupBy("event_no", "source_work").agg(F.count("*").alias("n")).groupBy("event_no").agg(F.min_by("source_work", F.struct((-F.col("n")).alias("n"), "source_work")).alias("top_work"))
+    return query.per_event(p).join(works, "event_no")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)
