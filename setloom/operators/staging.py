@@ -63,14 +63,13 @@ def connected_components(edges: DataFrame, most: int = 60) -> DataFrame:
         if not mark[0]:
             break
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = staged(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")), "cc")
-        large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        mid = staged(large.where("a <> b").distinct(), "cc")
-        least2 = staged(mid.groupBy("a").agg(F.min("b").alias("m")), "cc")
-        small = mid.join(least2, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least2.select("a", F.col("m").alias("b")))
+        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
+        large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+        least = large.groupBy("a").agg(F.min("b").alias("m"))
+        small = large.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b")))
         after = staged(small.where("a <> b").distinct(), "cc")
         was, mark = mark, _mark(after)
-        discard(now, least, mid, least2)
+        discard(now)
         now = after
         if mark == was:
             break

@@ -347,16 +347,16 @@ def _turns(spark: SparkSession, d: str) -> DataFrame:
     return c.select("conv_id", "turn", F.when(F.col("role") == "user", F.col("turn") + 1).cast("int").alias("track_no"), "role")
 
 
-TURNS_SQL = "t AS (SELECT conv_id, turn, CASE WHEN role = 'user' THEN turn + 1 END AS track_no, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role) AS at FROM conversations)"
+TURNS_SQL = "t AS (SELECT conv_id, turn, CASE WHEN role = 'user' THEN turn + 1 END AS track_no, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role) AS pos FROM conversations)"
 
 
-@registered(f"WITH {TURNS_SQL}, l AS (SELECT *, max(CASE WHEN track_no IS NOT NULL THEN at END) OVER (PARTITION BY conv_id) AS last FROM t), k AS (SELECT *, bool_and(track_no IS NOT DISTINCT FROM at) OVER (PARTITION BY conv_id) AS fine FROM l WHERE last IS NULL OR at <= last) SELECT conv_id, count(*) AS rows, sum(CASE WHEN last IS NULL OR fine THEN track_no ELSE at END)::BIGINT AS numbers FROM k GROUP BY 1")
+@registered(f"WITH {TURNS_SQL}, l AS (SELECT *, max(CASE WHEN track_no IS NOT NULL THEN pos END) OVER (PARTITION BY conv_id) AS last FROM t), k AS (SELECT *, bool_and(track_no IS NOT DISTINCT FROM pos) OVER (PARTITION BY conv_id) AS fine FROM l WHERE last IS NULL OR pos <= last) SELECT conv_id, count(*) AS rows, sum(CASE WHEN last IS NULL OR fine THEN track_no ELSE pos END)::BIGINT AS numbers FROM k GROUP BY 1")
 def trim_renumber(spark: SparkSession, d: str) -> DataFrame:
     out = ingest.trim_and_renumber(_turns(spark, d).withColumn("pos", F.struct("turn", "role")), ["conv_id"])
     return out.groupBy("conv_id").agg(F.count("*").alias("rows"), F.sum("track_no").alias("numbers"))
 
 
-@registered(f"WITH {TURNS_SQL} SELECT conv_id, CASE WHEN count(*) < 3 THEN 0.0 ELSE avg(CASE WHEN track_no = at THEN 1 ELSE 0 END) END AS quality FROM t GROUP BY 1")
+@registered(f"WITH {TURNS_SQL} SELECT conv_id, CASE WHEN count(*) < 3 THEN 0.0 ELSE avg(CASE WHEN track_no = pos THEN 1 ELSE 0 END) END AS quality FROM t GROUP BY 1")
 def sequence_quality(spark: SparkSession, d: str) -> DataFrame:
     return ingest.sequence_quality(_turns(spark, d).withColumn("pos", F.struct("turn", "role")), ["conv_id"])
 
@@ -539,7 +539,7 @@ def paste_sheet(spark: SparkSession, d: str) -> DataFrame:
     return rows.groupBy(F.col("回").cast("int").alias("回"), "play順", "REMIX").agg(F.count("*").alias("rows"))
 
 
-@registered(f"WITH {PLAYS_SQL}, o AS (SELECT event_no, dj, min((CASE WHEN play_order = 0 THEN 99 ELSE play_order END, dj)) AS at FROM plays GROUP BY ALL) SELECT event_no, string_agg(dj, ',' ORDER BY at) AS djs FROM o GROUP BY 1")
+@registered(f"WITH {PLAYS_SQL}, o AS (SELECT event_no, dj, min((CASE WHEN play_order = 0 THEN 99 ELSE play_order END, dj)) AS pos FROM plays GROUP BY ALL) SELECT event_no, string_agg(dj, ',' ORDER BY pos) AS djs FROM o GROUP BY 1")
 def published_events(spark: SparkSession, d: str) -> DataFrame:
     e = sinks.published(playlog.plays(spark, d).withColumns({"url": F.lit(None).cast("string"), "source_kind": F.lit("xlsx")})).where("kind = 'event'")
     return e.select("event_no", F.array_join(F.from_json(F.get_json_object("json", "$.djs"), "array<string>"), ",").alias("djs"))
