@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -13,8 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-_own_dir: list[str] = []
+from setloom.operators.staging import connected_components, discard, shared_dir, staged  # noqa: F401
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,45 +19,6 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors see: spark.checkpoint.dir; a folder of our own where that is unset."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        if not _own_dir:
-            _own_dir.append(tempfile.mkdtemp(prefix="setloom-"))
-        path = f"file://{_own_dir[0]}"
-    return path.rstrip("/")
-
-
-def staged(df: DataFrame, label: str) -> DataFrame:
-    """Write df once into the shared folder and read it back.
-
-    This cuts the lineage, survives the loss of any executor, and lets Spark drop the shuffle files of the job that
-    made it. The files stay until `discard` (the result of an operator may still read them).
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    before = spark.conf.get(_CLEANUP, None)
-    spark.conf.set(_CLEANUP, "true")
-    try:
-        df.write.parquet(path)
-    finally:
-        spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._staged_path = path
-    return out
-
-
-def discard(*frames: DataFrame) -> None:
-    """Delete staged tables that nothing reads any more."""
-    for df in frames:
-        path = getattr(df, "_staged_path", None)
-        if path:
-            jvm, jsc = df.sparkSession._jvm, df.sparkSession.sparkContext._jsc
-            p = jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(jsc.hadoopConfiguration()).delete(p, True)
-
-
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Offsets (n + 1) and bytes of a string or binary Arrow column without nulls, without copying."""
     if isinstance(column, pa.ChunkedArray):
@@ -140,38 +98,6 @@ def numbered(df: DataFrame, keys: list[str], order: list[str], name: str, rows:
     return out.withColumn(name, F.col("_first") + F.col("_at")).drop("_bucket", "_at", "_first", *plain)
 
 
-def connected_components(edges: DataFrame, most: int = 60) -> DataFrame:
-    """(node, root) for the nodes of undirected `edges` (a, b); root is the smallest node that can be reached.
-
-    Alternates large-star and small-star steps, each an aggregation for the least neighbour and an equi-join, on staged
-    tables, until nothing changes. Stops with an error rather than with a wrong answer after `most` rounds.
-    """
-    now = staged(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "cc")
-    mark = _mark(now)
-    for _ in range(most):
-        if not mark[0]:
-            break
-        both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = staged(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")), "cc")
-        large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        mid = staged(large.where("a <> b").distinct(), "cc")
-        least2 = staged(mid.groupBy("a").agg(F.min("b").alias("m")), "cc")
-        small = mid.join(least2, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least2.select("a", F.col("m").alias("b")))
-        after = staged(small.where("a <> b").distinct(), "cc")
-        was, mark = mark, _mark(after)
-        discard(now, least, mid, least2)
-        now = after
-        if mark == was:
-            break
-    else:
-        raise RuntimeError("components did not settle")
-    return now.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
-
-
-def _mark(edges: DataFrame) -> tuple:
-    return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first())
-
-
 def local_forest(n: int, left: np.ndarray, right: np.ndarray) -> np.ndarray:
     """Least index reachable for each of n nodes over the index pairs left, right."""
     label = np.arange(n)

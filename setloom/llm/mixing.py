@@ -45,7 +45,7 @@ def source_targets(sizes: list[tuple[str | None, int]], weights: tuple[float, ..
     return target
 
 
-def fit_counts(sizes: list[int], counts: list[int], goal: int, window: int = 1 << 17) -> list[int]:
+def fit_counts(sizes: list[int], counts: list[int], goal: int, window: int = 1 << 16) -> list[int]:
     """How many documents of each size to take so that the sum comes as near to `goal` as can be found, never above it.
 
     Takes the proportional number of each size, fills up from the largest size down until less than `window` is missing,
@@ -62,11 +62,12 @@ def fit_counts(sizes: list[int], counts: list[int], goal: int, window: int = 1 <
         take[i] += more
         left -= more * sizes[i]
     left = min(left, window + max(sizes))
-    # keep a spread of sizes in play: give one document of each size back, as far as the window allows
-    for i in order:
-        if take[i] and left + sizes[i] <= window:
-            take[i] -= 1
-            left += sizes[i]
+    # keep many sizes in play: give documents back as far as the window allows, first one of each size, then more
+    for most in (1, total):
+        for i in order:
+            back = max(0, min(take[i], most, (window - left) // sizes[i]))
+            take[i] -= back
+            left += back * sizes[i]
     full = (1 << (left + 1)) - 1
     reach, steps, used = 1, [], []
     for i in sorted(order, key=lambda i: sizes[i]):
@@ -104,7 +105,7 @@ def _fit_source(window: int):
     return run
 
 
-def mix_sources(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), budget: float = 1.5, most: float = 2.0, seed: int = 11, window: int = 1 << 17, carry: tuple[str, ...] = ()) -> DataFrame:
+def mix_sources(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), budget: float = 1.5, most: float = 2.0, seed: int = 11, window: int = 1 << 16, carry: tuple[str, ...] = ()) -> DataFrame:
     """(doc_id, source, size, source_size, target, taken, then `carry`) for each row of docs (doc_id, text, source).
 
     taken: words that the mix takes from the row, repeats counted: a multiple of its size, at most `most` times. Null or
