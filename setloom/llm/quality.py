@@ -208,8 +208,8 @@ def fit_quality_model(docs: DataFrame, labels: DataFrame, per_label: int = 2000,
     """Fit on at most about `per_label` documents of each label outside fold 0; a document with several labels counts for each."""
     marked = labels.where("quality is not null").select(F.col("doc_id").alias("labelled"), F.col("quality").cast("int").alias("y"))
     marked = marked.where(fold(F.col("labelled")) != 0).withColumn("doc_id", F.col("labelled"))
-    some = stratified(marked, "y", per_label).select("labelled", "y")
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(some, F.col("doc_id") == F.col("labelled")).select(F.col("doc_id").cast("long").alias("doc_id"), "y", "text")
+    some = stratified(marked, "y", per_label).select("labelled", "y")  # about per_label rows of a label, so it may be broadcast
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(some), F.col("doc_id") == F.col("labelled")).select(F.col("doc_id").cast("long").alias("doc_id"), "y", "text")
     got = rows.mapInArrow(_feature_batches(block, blocks_each), "doc_id long, y int, part int, features array<int>").collect()
     got = sorted(got, key=lambda r: (r.doc_id, r.part, r.y, r.features))
     return fit([np.array(r.features, np.int64) for r in got], np.array([r.y for r in got]), block)
