@@ -12,6 +12,7 @@ from difflib import SequenceMatcher
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Characters and words that the keys fold or cut at.
 TILDES, DASHES, SINGLE_QUOTES, DOUBLE_QUOTES = "〜～", "‐‑‒–—―ー−", "’‘`´", "”“"
@@ -36,7 +37,7 @@ _UNIT = f"(?:(?!{_GROUP}).|(?!{_REMIX_GROUP}){_GROUP})"
 _DASH = f"[{''.join(chr(92) + c for c in BREAK_DASHES)}]"
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def nfkc(text: pd.Series) -> pd.Series:
     return text.map(lambda s: None if s is None else s if s.isascii() else unicodedata.normalize("NFKC", s))
 
@@ -127,7 +128,7 @@ def jaccard(a: Column, b: Column) -> Column:
     return F.size(F.array_intersect(a, b)) / F.size(F.array_union(a, b))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def edit_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     """Ratcliff/Obershelp similarity; meant for the few pairs that cheaper conditions leave."""
     return pd.Series([SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b, strict=True)], dtype=float)

@@ -20,7 +20,6 @@ CONFIDENCES = ["high", "medium", "low"]
 WORK_KINDS = ["work", "vocaloid", "vtuber", "odj-self", "artist-as-work", "unknown"]
 SKIP_CODES = ["no-proposal", "many-proposals", "partial", "confidence", "canonical", "hint", "edge-kind", "keep-apart", "conflict", "already-decided", "auto-done"]
 MAX_TOKENS, MAX_CLUSTERS = 3600, 15
-NONE = F.lit(None).cast("string")
 
 
 def names_of(variants: Column) -> Column:
@@ -231,7 +230,7 @@ def _claims(plan: DataFrame) -> DataFrame:
     code = F.when(F.array_contains("raws", F.col("raw")), "auto-done").when(F.col("c1") != F.col("canonical"), "conflict")
     meet = meet.withColumn("why", code).where("why is not null").groupBy("id", "first").agg(F.min("why").alias("why"))
     meet = staged(meet, "auto-meet")
-    fate = staged(meet.select("id").union(meet.select("first")).distinct().select("id", NONE.alias("fate"), NONE.alias("why")), "auto-fate")
+    fate = staged(meet.select("id").union(meet.select("first")).distinct().select("id", F.lit(None).cast("string").alias("fate"), F.lit(None).cast("string").alias("why")), "auto-fate")
     while fate.where("fate is null").limit(1).count():
         state = fate.select(F.col("id").alias("first"), F.col("fate").alias("ahead"))
         look = meet.join(state, "first").groupBy("id").agg(F.min(F.when(F.col("ahead") == "in", F.col("why"))).alias("hit"), F.bool_or(F.col("ahead").isNull()).alias("waits"))

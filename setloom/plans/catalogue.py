@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from setloom.functions import keys, values
@@ -19,10 +19,14 @@ from setloom.sources import sinks
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 ASKED = ["blue anvil", "BLUE ANVIL (dj remix)", "cold rod -2011 remix-", "widget", "red ring [Bootleg] extra", "e", "unknown song"]
-FIRST = F.struct("event_no", "play_order", "dj", "track_no", "ord", "title", "source_work", "artist")
 FIRST_SQL = "(event_no, play_order, dj, track_no, ord, title, source_work, artist)"
 
 
+def first() -> Column:
+    """What orders plays, in full, as rows repeat their keys."""
+    return F.struct("event_no", "play_order", "dj", "track_no", "ord", "title", "source_work", "artist")
+
+
 def registered(sql: str | None = None) -> Callable:
     def add(fn: Callable[[SparkSession, str], DataFrame]) -> Callable:
         QUERIES[fn.__name__] = fn
@@ -106,17 +110,17 @@ SELECT label, n, {detail} AS detail FROM g JOIN w USING (k) {'LEFT JOIN r USING
 
 @registered(_rank_sql(PLAYS_SQL, "base", "title", None, "true"))
 def top_titles(spark: SparkSession, d: str) -> DataFrame:
-    return query.top_titles(log(spark, d), FIRST)
+    return query.top_titles(log(spark, d), first())
 
 
 @registered(_rank_sql(named_sql(), "replace(lower(work_canon), ' ', '')", "work_canon", "source_work", "coalesce(work_kind, '') IN ('', 'work')"))
 def top_works_kind_filtered(spark: SparkSession, d: str) -> DataFrame:
-    return query.top_works(named(spark, d), FIRST, unicode=False)
+    return query.top_works(named(spark, d), first(), unicode=False)
 
 
 @registered(_rank_sql(named_sql(), "replace(lower(artist_canon), ' ', '')", "artist_canon", "artist", "true"))
 def top_artists(spark: SparkSession, d: str) -> DataFrame:
-    return query.top_artists(named(spark, d), FIRST, unicode=False)
+    return query.top_artists(named(spark, d), first(), unicode=False)
 
 
 @registered(f"WITH {PLAYS_SQL} SELECT dj, count(*) AS tracks, count(DISTINCT event_no) AS events, count(*) FILTER (is_remix) / nullif(count(is_remix), 0) AS remix_rate FROM plays GROUP BY dj")
