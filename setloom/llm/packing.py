@@ -139,7 +139,6 @@ def reduce_by_dominance(counts: Counter, size: int) -> tuple[list[tuple[tuple[in
             pattern = (x,)
         else:
             k = lengths[-1]
-            # as many as leave the reasons below standing are fixed at once
             if k == room or _largest_sum(Counter({v: others[v] for v in lengths}), room) == k:
                 pattern = (x, k)
             else:
@@ -153,8 +152,8 @@ def reduce_by_dominance(counts: Counter, size: int) -> tuple[list[tuple[tuple[in
             rest[x] += left.pop(x)
             continue
         need = Counter(pattern)
-        # one at a time, unless the reason can't change with the counts
-        times = min(left[v] // n for v, n in need.items()) if len(pattern) == 1 or sum(pattern) == size and len(pattern) == 2 else 1
+        # fewer pieces reach fewer sums, so the reason stands for as many sequences as the counts hold
+        times = min(left[v] // n for v, n in need.items())
         fixed.append((pattern, times))
         left -= Counter({v: n * times for v, n in need.items()})
     return fixed, rest
