@@ -203,54 +203,139 @@ def fingerprint_hex(fp: Column) -> Column:
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
 
 
+def _shingles(text: bytes, width: int, seed: int) -> np.ndarray:
+    """Hashes of the word shingles of a text, repeats included; a shorter text is one shingle, one without words has none."""
+    words = text.lower().split()
+    return np.array([xxhash.xxh64_intdigest(b" ".join(words[j : j + width]), seed) for j in range(max(len(words) - width + 1, min(len(words), 1)))], np.uint64)
 
 
-def _shingle_batches(width: int, seed: int):
+def _stirred(h: np.ndarray, k: int) -> np.ndarray:
+    """The k-th family of hashes, made from the first."""
+    if k:
+        h = (h ^ np.uint64(0x9E3779B97F4A7C15 * k & (1 << 64) - 1)) * np.uint64(0xD6E8FEB86659FD93)
+        h = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+        h ^= h >> np.uint64(32)
+    return h
+
+
+def _print_batches(width: int, seed: int, prints: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        digest = xxhash.xxh64_intdigest
         for batch in batches:
-            off, body = utf8(batch.column(2))
-            out = []
+            off, body = utf8(batch.column(1))
+            sig, out = [], np.zeros((prints, batch.num_rows), np.uint64)
             for i in range(batch.num_rows):
-                words = body[off[i] : off[i + 1]].tobytes().lower().split()
-                found = {digest(b" ".join(words[j : j + width]), seed) for j in range(max(len(words) - width + 1, min(len(words), 1)))}
-                out.append(np.fromiter(found, np.uint64, len(found)).view(np.int64))
+                h = _shingles(body[off[i] : off[i + 1]].tobytes(), width, seed)
+                sig.append(xxhash.xxh3_128_digest(np.unique(h).tobytes()))
+                for k in range(prints if len(h) else 0):
+                    out[k, i] = simhash_bits(_stirred(h, k), np.array([0, len(h)]))[0]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sig, pa.binary()), *(pa.array(x.view(np.int64)) for x in out)], names=["doc_id", "sig", *(f"fp{k}" for k in range(prints))])
+
+    return run
+
+
+def _set_batches(width: int, seed: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            off, body = utf8(batch.column(2))
+            out = [np.unique(_shingles(body[off[i] : off[i + 1]].tobytes(), width, seed)).view(np.int64) for i in range(batch.num_rows)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.list_(pa.int64()))], names=["grp", "doc_id", "shingles"])
 
     return run
 
 
-def near_duplicates(docs: DataFrame, width: int = 5, most: int = 8, similarity: float = 0.8, seed: int = 42) -> DataFrame:
-    """(doc_id, kept_id) for each different doc_id: the document that stands for it, itself included.
+def alike_links(sets: list[np.ndarray], side: np.ndarray, similarity: float) -> np.ndarray:
+    """Least index that each set is connected with by pairs of at least `similarity` of their union in common.
 
-    SimHash groups at `most` bits are candidates. In rounds, the smallest doc_id of each group takes all members whose
-    sets of word shingles have at least `similarity` of their union in common with its own; the others go on to the next
-    round, until every document is taken. A document is so never given up for one it doesn't resemble, and no two kept ones
-    of a group resemble each other. Texts without words are alike. Rows with a null doc_id are left out.
+    side: True for the sets that are compared with the others; where all are True, all pairs are compared. Sets that are
+    connected by now needn't be compared again, so a group of copies takes one pass.
     """
-    named = docs.where("doc_id is not null").groupBy("doc_id").agg(F.min(F.coalesce("text", F.lit(""))).alias("text"))
-    one = staged(named, "near-docs") if docs.groupBy("doc_id").count().where("count > 1").limit(1).count() else docs.where("doc_id is not null").select("doc_id", "text")
-    groups_ = staged(simhash_groups(one, width, most, seed).select("doc_id", F.col("component_id").alias("grp")), "near-groups")
-    several = groups_.groupBy("grp").agg(F.count("*").alias("n")).where("n > 1").select("grp")
-    members = staged(groups_.join(several, "grp"), "near-members")
-    texts = members.join(one, "doc_id").select("grp", F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    left = staged(texts.mapInArrow(_shingle_batches(width, seed), "grp long, doc_id long, shingles array<long>"), "near-shingles")
-    taken = []
-    while left.limit(1).count():
-        least = left.groupBy("grp").agg(F.min("doc_id").alias("doc_id"))
-        heads = staged(left.join(least, ["grp", "doc_id"]).select("grp", F.col("doc_id").alias("head"), F.col("shingles").alias("theirs")), "near-heads")
-        both = F.size(F.array_intersect("shingles", "theirs"))
-        union = F.size("shingles") + F.size("theirs") - both
-        judged = staged(left.join(heads, "grp").select("grp", "doc_id", "shingles", "head", ((union == 0) | (both >= similarity * union)).alias("alike")), "near-judged")
-        taken.append(judged.where("alike").select("doc_id", F.col("head").alias("kept_id")))
-        left = judged.where("not alike").select("grp", "doc_id", "shingles")
-        discard(heads)
-    out = groups_.select("doc_id")
-    if taken:
-        given = taken[0]
-        for more in taken[1:]:
-            given = given.unionByName(more)
-        out = out.join(staged(given, "near-given"), "doc_id", "left")
-    else:
-        out = out.withColumn("kept_id", F.col("doc_id"))
-    return out.select("doc_id", F.coalesce("kept_id", "doc_id").alias("kept_id"))
+    n, size = len(sets), np.array([len(x) for x in sets])
+    label = np.arange(n)
+    _, ids, often = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    owner, shared = np.repeat(label, size), often[ids] > 1
+    other = np.ones(n, bool) if side.all() else ~side
+    edge = np.searchsorted(owner[shared], np.arange(n + 1))
+    own = ids[shared]
+    use = other[owner[shared]]
+    theirs, whose = own[use], owner[shared][use]
+    mark = np.zeros(len(often), bool)
+    for i in np.flatnonzero(side).tolist():
+        if (label[other] == label[i]).all():
+            continue
+        mine = own[edge[i] : edge[i + 1]]
+        mark[mine] = True
+        both = np.bincount(whose[mark[theirs]], minlength=n)
+        mark[mine] = False
+        near = np.flatnonzero((both > 0) & (both >= similarity * (size + size[i] - both)))
+        if len(near):
+            merged = np.unique(np.append(label[near], label[i]))
+            label[np.isin(label, merged)] = merged[0]
+    return label
+
+
+def _alike_batches(similarity: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in groups(batches, ["grp", "p", "q"]):
+            cols = [np.asarray(table.column(c)) for c in ("grp", "p", "q")]
+            doc, own = np.asarray(table.column("doc_id")), np.asarray(table.column("own"))
+            column = table.column("shingles").combine_chunks()
+            off, flat = np.asarray(column.offsets), np.asarray(column.values)
+            edge = starts_of(*cols)
+            a, b = [], []
+            for s, e in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
+                if e - s > 1:
+                    side = own[s:e] == cols[1][s]
+                    root = doc[s:e][alike_links([flat[off[i] : off[i + 1]] for i in range(s, e)], side, similarity)]
+                    other = root != doc[s:e]
+                    a.append(doc[s:e][other])
+                    b.append(root[other])
+            if a:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], names=["a", "b"])
+
+    return run
+
+
+def near_duplicates(docs: DataFrame, width: int = 5, most: int = 8, similarity: float = 0.8, seed: int = 42, prints: int = 4, chunk: int = 512) -> DataFrame:
+    """(doc_id, kept_id) for each different doc_id: the document that stands for its group, itself included.
+
+    Documents with equal sets of word shingles fall together first. The others are candidates if one of `prints` independent
+    SimHash fingerprints connects them at `most` bits; within the groups so connected, sets of shingles are compared in full,
+    and pairs with at least `similarity` of their union in common are links. kept_id is the smallest doc_id reachable over
+    links. A group of over `chunk` different sets is dealt into chunks, and each pair of chunks is a task's work of its own.
+    Texts without words are alike. Rows with a null doc_id are left out; of rows that share a doc_id the least text counts.
+    """
+    own = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    if own.groupBy("doc_id").count().where("count > 1").limit(1).count():
+        own = staged(own.groupBy("doc_id").agg(F.min("text").alias("text")), "near-docs")
+    names = [f"fp{k}" for k in range(prints)]
+    ddl = "doc_id long, sig binary, " + ", ".join(f"{x} long" for x in names)
+    signed = staged(own.mapInArrow(_print_batches(width, seed, prints), ddl), "near-prints")
+    reps = staged(signed.groupBy("sig").agg(F.min(F.struct("doc_id", *names)).alias("r")).select("sig", "r.*"), "near-reps")
+    count = reps.count()
+    edges = []
+    for name in names:
+        codes = staged(reps.groupBy(F.col(name).alias("fp")).agg(F.min("doc_id").alias("first")), "near-codes")
+        links = hamming_links(codes, count, most)
+        ends = links.join(codes.select(F.col("fp").alias("a"), F.col("first").alias("x")), "a").join(codes.select(F.col("fp").alias("b"), F.col("first").alias("y")), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
+        equal = reps.join(codes, reps[name] == codes.fp).where("doc_id <> first").select(F.col("doc_id").alias("a"), F.col("first").alias("b"))
+        edges.append(staged(ends.unionByName(equal), "near-edges"))
+        discard(links, codes)
+    every = edges[0]
+    for more in edges[1:]:
+        every = every.unionByName(more)
+    members = staged(connected_components(every).select(F.col("node").alias("doc_id"), F.col("root").alias("grp")), "near-members")
+    discard(*edges)
+    texts = members.join(own, "doc_id").select("grp", "doc_id", "text")
+    sets = staged(texts.mapInArrow(_set_batches(width, seed), "grp long, doc_id long, shingles array<long>"), "near-shingles")
+    parts = members.groupBy("grp").agg(F.ceil(F.count("*") / chunk).cast("int").alias("c"))
+    dealt = sets.join(parts, "grp").withColumn("own", F.pmod(F.xxhash64("doc_id"), F.col("c")).cast("int"))
+    dealt = dealt.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("c") - 1)))
+    dealt = dealt.select("grp", F.least("own", "o").alias("p"), F.greatest("own", "o").alias("q"), "own", "doc_id", "shingles")
+    order = ["grp", "p", "q"]
+    links = dealt.repartition(*order).sortWithinPartitions(*order).mapInArrow(_alike_batches(similarity), "a long, b long")
+    links = staged(links.distinct(), "near-links")
+    roots = staged(connected_components(links).select(F.col("node").alias("doc_id"), "root"), "near-roots")
+    known = reps.select("sig", "doc_id").join(roots, "doc_id", "left").select("sig", F.coalesce("root", "doc_id").alias("kept_id"))
+    out = staged(signed.select("doc_id", "sig").join(known, "sig").select("doc_id", "kept_id"), "near-kept")
+    discard(signed, reps, members, sets, links, roots)
+    return out

@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from setloom.llm.simhash import blocks_for, hamming_links, index_links, near_duplicates, simhash_groups
+from setloom.llm.simhash import alike_links, blocks_for, hamming_links, index_links, near_duplicates, simhash_groups
 from setloom.llm.suffix_dedup import blind_trie_order, common_length, deep_shallow_order, remove_repeats, repeated_windows
 
 
@@ -133,3 +133,31 @@ def test_near_duplicates_keep_what_only_looks_alike(spark):
     c = [rnd.choice("abcdefgh") + str(rnd.randrange(99)) for _ in range(200)]
     docs = spark.createDataFrame([(5, " ".join(a)), (7, " ".join(b)), (8, " ".join(c)), (9, " ".join(a)), (9, " ".join(a)), (None, "x"), (10, None), (11, "")], "doc_id long, text string")
     assert {r.doc_id: r.kept_id for r in near_duplicates(docs).collect()} == {5: 5, 7: 5, 8: 8, 9: 5, 10: 10, 11: 10}
+
+
+def test_near_duplicates_are_groups_of_alike_sets(spark):
+    rnd = random.Random(12)
+    texts: dict[int, str] = {}
+    for g in range(12):
+        base = [f"v{rnd.randrange(500)}" for _ in range(rnd.randint(150, 400))]
+        for k in range(rnd.randint(1, 7)):
+            now = [*base]
+            for _ in range(k % 3):
+                now[rnd.randrange(len(now))] = f"z{rnd.randrange(10**6)}"
+            texts[100 * g + k] = " ".join(now)
+    sets = {i: {tuple(w[j : j + 5]) for j in range(len(w) - 4)} for i, w in ((i, t.split()) for i, t in texts.items())}
+    root = {i: i for i in texts}
+    for a in sorted(texts):
+        for b in sorted(texts):
+            if a < b and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
+                x, y = sorted((root[a], root[b]))
+                root = {k: x if v == y else v for k, v in root.items()}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    for chunk in (512, 2):
+        assert {r.doc_id: r.kept_id for r in near_duplicates(docs, chunk=chunk).collect()} == root
+
+
+def test_alike_links_by_hand():
+    sets = [np.arange(10), np.arange(9), np.arange(50, 60), np.arange(1, 10), np.zeros(0, np.int64)]
+    assert alike_links(sets, np.ones(5, bool), 0.8).tolist() == [0, 0, 2, 0, 4]
+    assert alike_links(sets, np.array([True, False, False, False, False]), 0.95).tolist() == [0, 1, 2, 3, 4]
