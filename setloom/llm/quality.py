@@ -112,7 +112,7 @@ def _feature_batches(block: int, blocks_each: int):
                 rank = np.arange(len(owner)) - np.searchsorted(owner, owner)
                 for i in np.flatnonzero(rank < blocks_each).tolist():
                     r = a + int(owner[i])
-                    yield pa.RecordBatch.from_arrays([batch.column(0)[r : r + 1], batch.column(1)[r : r + 1], pa.array([int(rank[i])], pa.int32()), pa.array([feature[edge[i] : edge[i + 1]].astype(np.int32)], pa.list_(pa.int32()))], names=["doc_id", "y", "part", "features"])
+                    yield pa.RecordBatch.from_arrays([batch.column(0)[r : r + 1], batch.column(1)[r : r + 1], pa.array([int(rank[i])], pa.int32()), pa.array([feature[edge[i] : edge[i + 1]].astype("<i4").tobytes()], pa.binary())], names=["doc_id", "y", "part", "features"])
 
     return run
 
@@ -210,9 +210,9 @@ def fit_quality_model(docs: DataFrame, labels: DataFrame, per_label: int = 2000,
     marked = marked.where(fold(F.col("labelled")) != 0).withColumn("doc_id", F.col("labelled"))
     some = stratified(marked, "y", per_label).select("labelled", "y")  # about per_label rows of a label, so it may be broadcast
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(some), F.col("doc_id") == F.col("labelled")).select(F.col("doc_id").cast("long").alias("doc_id"), "y", "text")
-    got = rows.mapInArrow(_feature_batches(block, blocks_each), "doc_id long, y int, part int, features array<int>").collect()
+    got = rows.mapInArrow(_feature_batches(block, blocks_each), "doc_id long, y int, part int, features binary").collect()
     got = sorted(got, key=lambda r: (r.doc_id, r.part, r.y, r.features))
-    return fit([np.array(r.features, np.int64) for r in got], np.array([r.y for r in got]), block)
+    return fit([np.frombuffer(r.features, "<i4") for r in got], np.array([r.y for r in got]), block)
 
 
 def score_quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, carry: tuple[str, ...] = (), **options: int) -> DataFrame:
