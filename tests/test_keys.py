@@ -39,7 +39,7 @@ def test_separators(spark):
     [
         ("PSI-missing -2011 remix-", "PSI-missing"), ("Tulip -TAKU INOUE Remix-", "Tulip"), ("Magia -dark trance mix-", "Magia"), ("Morning Arch - Natino Remix", "Morning Arch"),
         ("NEXT COLOR PLANET -TEKINA//remix-", "NEXT COLOR PLANET"), ("硝子ドール [TeddyLoid Remix]", "硝子ドール"), ("硝子ドール(deshino NRG Bootleg)im Yurima mix", "硝子ドール"),
-        ("FOREVER LOST", "FOREVER LOST"), ("Won(*3*)ChuKissMe!", "Won ChuKissMe!"), ("Remix", "Remix"), ("(a remix) b [VIP edit] c", "b"),
+        ("FOREVER LOST", "FOREVER LOST"), ("Won(*3*)ChuKissMe!", "Won ChuKissMe!"), ("Remix", "Remix"), ("(a remix) bee [VIP edit] c", "bee"), ("(a remix) b [VIP edit] c", "(a remix) b [VIP edit] c"),
     ],
 )
 def test_base_key(spark, title, base):
