@@ -15,7 +15,7 @@ from setloom.schema import CLUSTER_VALUE, DECISION, ENTRY, EVIDENCE, MANIFEST, P
 def _toml(spark: SparkSession, path: str) -> dict[str, Any]:
     """A small file kept by hand; missing: empty."""
     try:
-        rows = spark.read.option("wholetext", "true").text(path).collect()
+        rows = spark.read.text(path, wholetext=True).collect()
     except Exception as error:
         if "PATH_NOT_FOUND" in str(error):
             return {}
@@ -76,7 +76,7 @@ def expand_plays(compact: DataFrame) -> DataFrame:
 
 def aliases(spark: SparkSession, path: str, field: str) -> DataFrame:
     """(raw, canonical, series, kind, variants, ord) of a published dictionary; ord: the order of its keys."""
-    text = spark.read.option("wholetext", "true").text(path).collect()
+    text = spark.read.text(path, wholetext=True).collect()
     table = (json.loads(text[0][0]) if text and text[0][0].strip() else {}).get(field) or {}
     rows = [(k, v.get("c"), v.get("s"), v.get("k"), v.get("v") or [], i) for i, (k, v) in enumerate(table.items())]
     return spark.createDataFrame(rows, "raw string, canonical string, series string, kind string, variants array<string>, ord long")

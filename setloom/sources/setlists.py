@@ -102,7 +102,7 @@ def crawl_totals(djs: DataFrame) -> DataFrame:
 
 def read_csv_tables(spark: SparkSession, path: str) -> DataFrame:
     """CSV files as sheet rows (path, sheet, sheet_no, row_idx, cells); rows are numbered within their file."""
-    lines = spark.read.option("wholetext", "true").text(path).select(F.col("_metadata.file_path").alias("path"), "value")
+    lines = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value")
     return lines.mapInPandas(_csv_rows, "path string, sheet string, sheet_no int, row_idx int, cells array<string>")
 
 
@@ -118,7 +118,7 @@ def _csv_rows(parts):  # noqa: ANN001, ANN202
 
 
 def read_texts(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.option("wholetext", "true").text(path).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
+    return spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
 
 
 def text_tracks(texts: DataFrame, unicode: bool = True) -> DataFrame:
