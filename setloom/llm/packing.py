@@ -34,8 +34,8 @@ PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,!?;:*$%&#|]*)")
 class WordIds(dict):
     """Token ids (little-endian bytes) of white-space-separated words; new words are encoded many at a time.
 
-    The tokeniser drops white space and never looks across it, so a text's ids are its words' ids in a row. At most `most`
-    words are kept.
+    The tokeniser drops white space and never looks across it, so a text's ids are its words' ids in a row. Once more than
+    `most` words are kept, all are dropped before the next are learnt; a dropped word is encoded again where it is asked for.
     """
 
     def __init__(self, path: str, most: int = 1_500_000) -> None:
@@ -70,6 +70,10 @@ class WordIds(dict):
             body = ids.tobytes()
             self.update(zip(part, (body[x:y] for x, y in zip([0, *stop[:-1].tolist()], stop.tolist(), strict=True)), strict=True))
 
+    def __missing__(self, word: bytes) -> bytes:
+        self[word] = out = self.alone(word)
+        return out
+
     def alone(self, word: bytes) -> bytes:
         return np.array(self.tokenizer.encode(word.decode("utf-8", "replace"), add_special_tokens=False).ids, "<u4").tobytes()
 
@@ -87,9 +91,11 @@ def _piece_batches(path: str, size: int, end_id: int, with_ids: bool):
             for a in range(0, batch.num_rows, 256):
                 to = min(a + 256, batch.num_rows)
                 split = [body[off[i] : off[i + 1]].tobytes().split() for i in range(a, to)]
-                fresh = set().union(*split).difference(ids)
+                words = set().union(*split)
+                fresh = words.difference(ids)
                 if fresh:
-                    ids.learn(fresh)
+                    # what learning drops of the slice's other words is learnt with the new ones
+                    ids.learn(words if len(ids) > ids.most else fresh)
                 row, piece, length, crc, kept = [], [], [], [], []
                 for i, w in enumerate(split):
                     doc = b"".join([*map(ids.__getitem__, w), end])

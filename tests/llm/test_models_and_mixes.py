@@ -93,6 +93,24 @@ def test_word_ids_are_the_tokenizers(spark):
         assert b"".join(map(ids.__getitem__, words)) == want, t
 
 
+def test_words_dropped_at_the_cap_are_encoded_again():
+    import pyarrow as pa
+
+    texts = [" ".join(f"word{chr(97 + (i * 7 + k) % 26)}" for k in range(9)) for i in range(600)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], names=["doc_id", "text"])
+    plain = packing.WordIds(PATH)
+    want = [zlib.crc32(np.array([*plain.tokenizer.encode(t, add_special_tokens=False).ids, 0], "<u4").tobytes()) for t in texts]
+    packing._known[PATH] = packing.WordIds(PATH, most=5)
+    try:
+        packing._known[PATH].learn({b"old", b"other", b"words", b"fill", b"it", b"wordb"})
+        got = [c for b in packing._piece_batches(PATH, 2048, 0, False)([batch]) for c in b.column("ids_crc32").to_pylist()]
+        assert got == want
+        packing._known[PATH].clear()
+        assert packing._known[PATH][b"wordb"] == plain.alone(b"wordb")
+    finally:
+        del packing._known[PATH]
+
+
 def test_plan_holds_every_piece_and_no_more():
     rnd = random.Random(6)
     for size in (10, 64):
