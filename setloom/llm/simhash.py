@@ -18,6 +18,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from setloom.llm.common import connected_components, discard, groups, local_forest, staged, starts_of, utf8
 
@@ -209,26 +210,32 @@ def _shingles(text: bytes, width: int, seed: int) -> np.ndarray:
     return np.array([xxhash.xxh64_intdigest(b" ".join(words[j : j + width]), seed) for j in range(max(len(words) - width + 1, min(len(words), 1)))], np.uint64)
 
 
-def _stirred(h: np.ndarray, k: int) -> np.ndarray:
-    """The k-th family of hashes, made from the first."""
-    if k:
-        h = (h ^ np.uint64(0x9E3779B97F4A7C15 * k & (1 << 64) - 1)) * np.uint64(0xD6E8FEB86659FD93)
-        h = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
-        h ^= h >> np.uint64(32)
-    return h
+def _sig_batches(width: int, seed: int):
+    """The first column is the text, the others are handed on."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            off, body = utf8(batch.column(0).fill_null(""))
+            sig = [xxhash.xxh3_128_digest(np.unique(_shingles(body[off[i] : off[i + 1]].tobytes(), width, seed)).tobytes()) for i in range(batch.num_rows)]
+            yield pa.RecordBatch.from_arrays([pa.array(sig, pa.binary()), *batch.columns], names=["sig", *batch.schema.names])
+
+    return run
 
-def _print_batches(width: int, seed: int, prints: int):
+
+def _entry_batches(width: int, seed: int, at_once: int = 200_000):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            off, body = utf8(batch.column(1))
-            sig, out = [], np.zeros((prints, batch.num_rows), np.uint64)
+            ids, (off, body) = np.asarray(batch.column(0)), utf8(batch.column(1))
+            held: list[np.ndarray] = []
+            first = total = 0
             for i in range(batch.num_rows):
-                h = _shingles(body[off[i] : off[i + 1]].tobytes(), width, seed)
-                sig.append(xxhash.xxh3_128_digest(np.unique(h).tobytes()))
-                for k in range(prints if len(h) else 0):
-                    out[k, i] = simhash_bits(_stirred(h, k), np.array([0, len(h)]))[0]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sig, pa.binary()), *(pa.array(x.view(np.int64)) for x in out)], names=["doc_id", "sig", *(f"fp{k}" for k in range(prints))])
+                held.append(np.unique(_shingles(body[off[i] : off[i + 1]].tobytes(), width, seed)))
+                total += len(held[-1])
+                if total >= at_once or i == batch.num_rows - 1:
+                    size = np.array([len(x) for x in held])
+                    cols = [np.repeat(ids[first : i + 1], size), np.repeat(size, size).astype(np.int32), np.concatenate(held).view(np.int64)]
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in cols], names=["id", "n", "h"])
+                    held, first, total = [], i + 1, 0
 
     return run
 
@@ -295,38 +302,47 @@ def _alike_batches(similarity: float):
     return run
 
 
-def near_duplicates(docs: DataFrame, width: int = 5, most: int = 8, similarity: float = 0.8, seed: int = 42, prints: int = 4, chunk: int = 512) -> DataFrame:
-    """(doc_id, kept_id) for each different doc_id: the document that stands for its group, itself included.
+def signed_rows(docs: DataFrame, width: int = 5, seed: int = 42) -> DataFrame:
+    """The rows of docs (text and any others), staged, with rid (a number of its own for each) and sig (of its set of word shingles)."""
+    src = docs.select("text", *[c for c in docs.columns if c != "text"])
+    ddl = "sig binary, " + ", ".join(f"`{name}` {kind}" for name, kind in src.dtypes)
+    return staged(src.mapInArrow(_sig_batches(width, seed), ddl).withColumn("rid", F.monotonically_increasing_id()), "near-signed")
 
-    Documents with equal sets of word shingles fall together first. The others are candidates if one of `prints` independent
-    SimHash fingerprints connects them at `most` bits; within the groups so connected, sets of shingles are compared in full,
-    and pairs with at least `similarity` of their union in common are links. kept_id is the smallest doc_id reachable over
-    links. A group of over `chunk` different sets is dealt into chunks, and each pair of chunks is a task's work of its own.
-    Texts without words are alike. Rows with a null doc_id are left out; of rows that share a doc_id the least text counts.
+
+def prefix_links(entries: DataFrame, similarity: float) -> DataFrame:
+    """Edges (a, b) that connect at least all sets with `similarity` of their union in common, from the sets' entries (id, n, h).
+
+    Such a set of n shares at least `need` = n * similarity entries with its partner. So `need` of its entries stand in
+    other sets too, and of all orders of the entries the two share one of their first n - need + 1. Ordered by how many sets
+    hold them, rarest first, few sets have anything shared among these.
     """
-    own = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    if own.groupBy("doc_id").count().where("count > 1").limit(1).count():
-        own = staged(own.groupBy("doc_id").agg(F.min("text").alias("text")), "near-docs")
-    names = [f"fp{k}" for k in range(prints)]
-    ddl = "doc_id long, sig binary, " + ", ".join(f"{x} long" for x in names)
-    signed = staged(own.mapInArrow(_print_batches(width, seed, prints), ddl), "near-prints")
-    reps = staged(signed.groupBy("sig").agg(F.min(F.struct("doc_id", *names)).alias("r")).select("sig", "r.*"), "near-reps")
-    count = reps.count()
-    edges = []
-    for name in names:
-        codes = staged(reps.groupBy(F.col(name).alias("fp")).agg(F.min("doc_id").alias("first")), "near-codes")
-        links = hamming_links(codes, count, most)
-        ends = links.join(codes.select(F.col("fp").alias("a"), F.col("first").alias("x")), "a").join(codes.select(F.col("fp").alias("b"), F.col("first").alias("y")), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
-        equal = reps.join(codes, reps[name] == codes.fp).where("doc_id <> first").select(F.col("doc_id").alias("a"), F.col("first").alias("b"))
-        edges.append(staged(ends.unionByName(equal), "near-edges"))
-        discard(links, codes)
-    every = edges[0]
-    for more in edges[1:]:
-        every = every.unionByName(more)
-    members = staged(connected_components(every).select(F.col("node").alias("doc_id"), F.col("root").alias("grp")), "near-members")
-    discard(*edges)
-    texts = members.join(own, "doc_id").select("grp", "doc_id", "text")
-    sets = staged(texts.mapInArrow(_set_batches(width, seed), "grp long, doc_id long, shingles array<long>"), "near-shingles")
+    shared = entries.groupBy("h").agg(F.count("*").alias("df")).where("df > 1")
+    found = staged(entries.join(shared, "h"), "near-found")
+    need = F.ceil(F.col("n") * F.lit(float(similarity)) - F.lit(1e-9))
+    alive = found.groupBy("id").agg(F.count("*").alias("c"), F.first("n").alias("n")).where(F.col("c") >= need).select("id", (F.col("c") - need + 1).alias("upto"))
+    rank = F.row_number().over(Window.partitionBy("id").orderBy("df", "h"))
+    keys = staged(found.join(alive, "id").withColumn("r", rank).where("r <= upto").select("id", "h"), "near-keys")
+    least = keys.groupBy("h").agg(F.min("id").alias("least"), F.count("*").alias("many")).where("many > 1").select("h", "least")
+    out = staged(keys.join(least, "h").where("id <> least").select(F.col("id").alias("a"), F.col("least").alias("b")).distinct(), "near-edges")
+    discard(found, keys)
+    return out
+
+
+def near_groups(signed: DataFrame, width: int = 5, similarity: float = 0.8, seed: int = 42, chunk: int = 512) -> DataFrame:
+    """(sig, grp) for each different sig of `signed_rows`: grp is the same for all that pairs of alike sets connect.
+
+    The candidates are complete (`prefix_links`). Within the groups that they connect, sets of shingles are compared in full,
+    and pairs with at least `similarity` of their union in common are links. A group of over `chunk` different sets is dealt
+    into chunks, and each pair of chunks is a task's work of its own. Texts without words are alike.
+    """
+    reps = staged(signed.groupBy("sig").agg(F.min("rid").alias("id")), "near-reps")
+    texts = signed.join(reps.select(F.col("id").alias("rid")), "rid", "left_semi").select(F.col("rid").alias("id"), F.coalesce("text", F.lit("")).alias("text"))
+    entries = staged(texts.mapInArrow(_entry_batches(width, seed), "id long, n int, h long"), "near-entries")
+    edges = prefix_links(entries, similarity)
+    members = staged(connected_components(edges).select(F.col("node").alias("doc_id"), F.col("root").alias("grp")), "near-members")
+    discard(entries, edges)
+    own = members.join(texts.withColumnRenamed("id", "doc_id"), "doc_id").select("grp", "doc_id", "text")
+    sets = staged(own.mapInArrow(_set_batches(width, seed), "grp long, doc_id long, shingles array<long>"), "near-shingles")
     parts = members.groupBy("grp").agg(F.ceil(F.count("*") / chunk).cast("int").alias("c"))
     dealt = sets.join(parts, "grp").withColumn("own", F.pmod(F.xxhash64("doc_id"), F.col("c")).cast("int"))
     dealt = dealt.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("c") - 1)))
@@ -334,8 +350,22 @@ def near_duplicates(docs: DataFrame, width: int = 5, most: int = 8, similarity:
     order = ["grp", "p", "q"]
     links = dealt.repartition(*order).sortWithinPartitions(*order).mapInArrow(_alike_batches(similarity), "a long, b long")
     links = staged(links.distinct(), "near-links")
-    roots = staged(connected_components(links).select(F.col("node").alias("doc_id"), "root"), "near-roots")
-    known = reps.select("sig", "doc_id").join(roots, "doc_id", "left").select("sig", F.coalesce("root", "doc_id").alias("kept_id"))
-    out = staged(signed.select("doc_id", "sig").join(known, "sig").select("doc_id", "kept_id"), "near-kept")
-    discard(signed, reps, members, sets, links, roots)
+    roots = staged(connected_components(links).select(F.col("node").alias("id"), "root"), "near-roots")
+    out = staged(reps.join(roots, "id", "left").select("sig", F.coalesce("root", "id").alias("grp")), "near-groups")
+    discard(reps, members, sets, links, roots)
     return out
+
+
+def near_duplicates(docs: DataFrame, width: int = 5, similarity: float = 0.8, seed: int = 42, chunk: int = 512) -> DataFrame:
+    """(doc_id, kept_id) for each different doc_id: the document that stands for its group, itself included.
+
+    Groups are those of `near_groups`; kept_id is the smallest doc_id of the group. Rows with a null doc_id are left out; of
+    rows that share a doc_id the least text counts.
+    """
+    own = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    if own.groupBy("doc_id").count().where("count > 1").limit(1).count():
+        own = staged(own.groupBy("doc_id").agg(F.min("text").alias("text")), "near-docs")
+    signed = signed_rows(own, width, seed)
+    known = staged(signed.select("doc_id", "sig").join(near_groups(signed, width, similarity, seed, chunk), "sig").select("doc_id", "grp"), "near-known")
+    discard(signed)
+    return known.join(known.groupBy("grp").agg(F.min("doc_id").alias("kept_id")), "grp").select("doc_id", "kept_id")

@@ -157,6 +157,27 @@ def test_near_duplicates_are_groups_of_alike_sets(spark):
         assert {r.doc_id: r.kept_id for r in near_duplicates(docs, chunk=chunk).collect()} == root
 
 
+def test_near_duplicates_just_over_the_threshold_are_all_found(spark):
+    rnd = random.Random(31)
+    texts: dict[int, str] = {}
+    for g in range(60):
+        base = [f"v{rnd.randrange(10**6)}" for _ in range(104)]
+        now = [*base]
+        for at in (20, 60):  # each changes five shingles of 100: 90 of 110 in common
+            now[at] = f"z{rnd.randrange(10**6)}"
+        # a line that all hold, often: repeats don't count in a set
+        line = " all of them hold this line" * 40
+        texts[2 * g], texts[2 * g + 1] = " ".join(base), " ".join(now)
+        if g % 3 == 0:
+            texts[2 * g + 1] += " " + now[0] + line
+    sets = {i: {tuple(w[j : j + 5]) for j in range(len(w) - 4)} for i, w in ((i, t.split()) for i, t in texts.items())}
+    alike = {(2 * g, 2 * g + 1) for g in range(60) if len(sets[2 * g] & sets[2 * g + 1]) >= 0.8 * len(sets[2 * g] | sets[2 * g + 1])}
+    assert len(alike) >= 40
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = {r.doc_id: r.kept_id for r in near_duplicates(docs).collect()}
+    assert {(k, i) for i, k in got.items() if i != k} == alike
+
+
 def test_alike_links_by_hand():
     sets = [np.arange(10), np.arange(9), np.arange(50, 60), np.arange(1, 10), np.zeros(0, np.int64)]
     assert alike_links(sets, np.ones(5, bool), 0.8).tolist() == [0, 0, 2, 0, 4]
