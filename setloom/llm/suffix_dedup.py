@@ -313,13 +313,43 @@ def _window_batches(length: int):
     return run
 
 
+def _word_window_batches(words: int, length: int):
+    """Windows of `words` words that are shorter than `length` bytes, as 128-bit hashes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            off, body = utf8(batch.column(1))
+            row, lo, hi, hashes = [], [], [], []
+            for i in range(batch.num_rows):
+                own = body[off[i] : off[i + 1]]
+                blank = np.concatenate([[True], (own == 32) | ((own >= 9) & (own <= 13)), [True]])
+                start, end = np.flatnonzero(blank[:-2] & ~blank[1:-1]), np.flatnonzero(~blank[1:-1] & blank[2:]) + 1
+                if len(start) < words:
+                    continue
+                a, b = start[: len(start) - words + 1], end[words - 1 :]
+                short = b - a < length
+                if short.any():
+                    raw = own.tobytes()
+                    for x, y in zip(a[short].tolist(), b[short].tolist(), strict=True):
+                        row.append(i)
+                        lo.append(x)
+                        hi.append(y)
+                        hashes.append(xxhash.xxh3_128_digest(raw[x:y]))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row, pa.int64())), pa.array(lo, pa.int32()), pa.array(hi, pa.int32()), pa.array(hashes, pa.binary())], names=["tkey", "start", "end", "whash"])
+
+    return run
+
+
 def _texts(docs: DataFrame) -> DataFrame:
     text = F.coalesce("text", F.lit(""))
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.unhex(F.md5(text)).alias("tkey"), text.alias("text"))
 
 
-def repeated_spans(docs: DataFrame, length: int = 400, gram: int = 128, group_cap: int = 20_000, shallow: int = 256) -> DataFrame:
-    """(tkey, spans): for each different text (tkey: its MD5) the byte ranges [start, end) that are repeated, unmerged."""
+def repeated_spans(docs: DataFrame, length: int = 400, gram: int = 128, group_cap: int = 20_000, shallow: int = 256, words: int = 0) -> DataFrame:
+    """(tkey, spans): for each different text (tkey: its MD5) the byte ranges [start, end) that are repeated, unmerged.
+
+    With `words`, strings of so many words that are shorter than `length` bytes and stand elsewhere are repeated as well.
+    """
     texts = _texts(docs)
     long = texts.where(F.octet_length("text") >= length)
     every = staged(long.select("doc_id", "tkey", "text").mapInArrow(_anchor_batches(length, gram), ANCHOR), "suffix-anchors")
@@ -348,12 +378,18 @@ def repeated_spans(docs: DataFrame, length: int = 400, gram: int = 128, group_ca
     whole = slices.where("whole").select("khash", "shash", F.col("at.lo").alias("from_d"), F.col("at.hi").alias("to_d"))
     verdicts = staged(found.unionByName(whole), "suffix-verdicts")
     marks = near.join(verdicts, ["khash", "shash"]).select("tkey", F.struct((F.col("pos") - F.col("to_d")).alias("start"), (F.col("pos") - F.col("from_d") + length).alias("end")).alias("span")).distinct()
+    short = []
+    if words:
+        windows = staged(texts.select("tkey", "text").mapInArrow(_word_window_batches(words, length), "tkey binary, start int, end int, whash binary"), "suffix-words")
+        again = windows.groupBy("whash").agg(F.count("*").alias("n")).where("n > 1").select("whash")
+        short.append(windows)
+        marks = marks.unionByName(windows.join(again, "whash", "left_semi").select("tkey", F.struct("start", "end").alias("span")).distinct())
     spans = marks.groupBy("tkey").agg(F.collect_list("span").alias("spans"))
     # of a text that several rows hold, every byte is repeated
     copies = long.groupBy("tkey").agg(F.count("*").alias("n"), F.first(F.octet_length("text")).alias("size")).where("n > 1")
     copies = copies.select("tkey", F.array(F.struct(F.lit(0).alias("start"), F.col("size").cast("int").alias("end"))).alias("all"))
     out = staged(spans.join(copies, "tkey", "full").select("tkey", F.coalesce("all", "spans").alias("spans")), "suffix-spans")
-    discard(near, shared, slices, open_, cut, verdicts)
+    discard(near, shared, slices, open_, cut, verdicts, *short)
     return out
 
 
