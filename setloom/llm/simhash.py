@@ -10,6 +10,7 @@ the way down exceed t. Only the links that keep a bucket connected leave a task.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -222,20 +223,38 @@ def _sig_batches(width: int, seed: int):
     return run
 
 
-def _entry_batches(width: int, seed: int, at_once: int = 200_000):
+def _ceil(x: float) -> int:
+    return math.ceil(x - 1e-9)
+
+
+def prefix_sizes(n: int, similarity: float, extra: float = 0.2) -> tuple[int, int]:
+    """(p, m) of a set of n: it and any set at `similarity` or more share at least m of their first p entries in one order of all.
+
+    They share o >= similarity * n entries. At least o - l of those follow the l-th, so it stands among the first
+    n - o + l of both; l is `extra` of the smaller of the two sets, and that has at least `similarity` * n entries.
+    """
+    o = _ceil(similarity * n)
+    return n - o + min(_ceil(extra * n), o), _ceil(extra * similarity * n)
+
+
+def _entry_batches(width: int, seed: int, similarity: float, at_once: int = 200_000):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, (off, body) = np.asarray(batch.column(0)), utf8(batch.column(1))
             held: list[np.ndarray] = []
+            need: list[int] = []
             first = total = 0
             for i in range(batch.num_rows):
-                held.append(np.unique(_shingles(body[off[i] : off[i + 1]].tobytes(), width, seed)))
-                total += len(held[-1])
+                own = np.unique(_shingles(body[off[i] : off[i + 1]].tobytes(), width, seed))
+                p, m = prefix_sizes(len(own), similarity)
+                held.append(own[:p])
+                need.append(m)
+                total += p
                 if total >= at_once or i == batch.num_rows - 1:
                     size = np.array([len(x) for x in held])
-                    cols = [np.repeat(ids[first : i + 1], size), np.repeat(size, size).astype(np.int32), np.concatenate(held).view(np.int64)]
-                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in cols], names=["id", "n", "h"])
-                    held, first, total = [], i + 1, 0
+                    cols = [np.repeat(ids[first : i + 1], size), np.repeat(np.array(need, np.int32), size), np.concatenate(held).view(np.int64)]
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in cols], names=["id", "need", "h"])
+                    held, need, first, total = [], [], i + 1, 0
 
     return run
 
@@ -309,17 +328,15 @@ def signed_rows(docs: DataFrame, width: int = 5, seed: int = 42) -> DataFrame:
     return staged(src.mapInArrow(_sig_batches(width, seed), ddl).withColumn("rid", F.monotonically_increasing_id()), "near-signed")
 
 
-def prefix_links(entries: DataFrame, similarity: float) -> DataFrame:
-    """Edges (a, b) that connect at least all sets with `similarity` of their union in common, from the sets' entries (id, n, h).
+def prefix_links(entries: DataFrame) -> DataFrame:
+    """Edges (a, b) that connect at least all sets that share `need` entries, from the sets' entries (id, need, h).
 
-    Such a set of n shares at least `need` = n * similarity entries with its partner. So `need` of its entries stand in
-    other sets too, and of all orders of the entries the two share one of their first n - need + 1. Ordered by how many sets
-    hold them, rarest first, few sets have anything shared among these.
+    `need` of such a set's entries stand in other sets too. In any order of the entries, two such sets of p entries share
+    one of their first p - need + 1. Ordered by how many sets hold them, rarest first, few sets share any of these.
     """
     shared = entries.groupBy("h").agg(F.count("*").alias("df")).where("df > 1")
     found = staged(entries.join(shared, "h"), "near-found")
-    need = F.ceil(F.col("n") * F.lit(float(similarity)) - F.lit(1e-9))
-    alive = found.groupBy("id").agg(F.count("*").alias("c"), F.first("n").alias("n")).where(F.col("c") >= need).select("id", (F.col("c") - need + 1).alias("upto"))
+    alive = found.groupBy("id").agg(F.count("*").alias("c"), F.first("need").alias("least")).where("c >= least").select("id", (F.col("c") - F.col("least") + 1).alias("upto"))
     rank = F.row_number().over(Window.partitionBy("id").orderBy("df", "h"))
     keys = staged(found.join(alive, "id").withColumn("r", rank).where("r <= upto").select("id", "h"), "near-keys")
     least = keys.groupBy("h").agg(F.min("id").alias("least"), F.count("*").alias("many")).where("many > 1").select("h", "least")
@@ -331,14 +348,14 @@ def prefix_links(entries: DataFrame, similarity: float) -> DataFrame:
 def near_groups(signed: DataFrame, width: int = 5, similarity: float = 0.8, seed: int = 42, chunk: int = 512) -> DataFrame:
     """(sig, grp) for each different sig of `signed_rows`: grp is the same for all that pairs of alike sets connect.
 
-    The candidates are complete (`prefix_links`). Within the groups that they connect, sets of shingles are compared in full,
+    The candidates are complete (`prefix_sizes`, `prefix_links`). Within the groups that they connect, sets of shingles are compared in full,
     and pairs with at least `similarity` of their union in common are links. A group of over `chunk` different sets is dealt
     into chunks, and each pair of chunks is a task's work of its own. Texts without words are alike.
     """
     reps = staged(signed.groupBy("sig").agg(F.min("rid").alias("id")), "near-reps")
     texts = signed.join(reps.select(F.col("id").alias("rid")), "rid", "left_semi").select(F.col("rid").alias("id"), F.coalesce("text", F.lit("")).alias("text"))
-    entries = staged(texts.mapInArrow(_entry_batches(width, seed), "id long, n int, h long"), "near-entries")
-    edges = prefix_links(entries, similarity)
+    entries = staged(texts.mapInArrow(_entry_batches(width, seed, similarity), "id long, need int, h long"), "near-entries")
+    edges = prefix_links(entries)
     members = staged(connected_components(edges).select(F.col("node").alias("doc_id"), F.col("root").alias("grp")), "near-members")
     discard(entries, edges)
     own = members.join(texts.withColumnRenamed("id", "doc_id"), "doc_id").select("grp", "doc_id", "text")

@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from setloom.llm.simhash import alike_links, blocks_for, hamming_links, index_links, near_duplicates, simhash_groups
+from setloom.llm.simhash import alike_links, blocks_for, hamming_links, index_links, near_duplicates, prefix_sizes, simhash_groups
 from setloom.llm.suffix_dedup import blind_trie_order, common_length, deep_shallow_order, remove_repeats, repeated_windows
 
 
@@ -178,6 +178,16 @@ def test_near_duplicates_just_over_the_threshold_are_all_found(spark):
     assert {(k, i) for i, k in got.items() if i != k} == alike
 
 
+def test_prefixes_of_alike_sets_share_what_they_must():
+    rnd = random.Random(6)
+    for _ in range(2000):
+        a = set(rnd.sample(range(10**6), rnd.randint(1, 60)))
+        b = set(rnd.sample(sorted(a), max(1, len(a) - rnd.randint(0, 6)))) | {rnd.randrange(10**6) for _ in range(rnd.randint(0, 6))}
+        if len(a & b) >= 0.8 * len(a | b):
+            (p, m), (q, k) = prefix_sizes(len(a), 0.8), prefix_sizes(len(b), 0.8)
+            assert len({*sorted(a)[:p]} & {*sorted(b)[:q]}) >= max(m, k) >= 1
+
+
 def test_alike_links_by_hand():
     sets = [np.arange(10), np.arange(9), np.arange(50, 60), np.arange(1, 10), np.zeros(0, np.int64)]
     assert alike_links(sets, np.ones(5, bool), 0.8).tolist() == [0, 0, 2, 0, 4]
