@@ -5,6 +5,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -83,32 +84,66 @@ def test_mix_meets_targets_and_repeats(spark):
     assert mix_sources(docs.limit(0)).count() == 0
 
 
-def test_word_ids_are_the_tokenizers(spark):
-    ids = packing.WordIds(PATH)
-    texts = ["Hello, WORLD!! it's naïve", "<|endoftext|> x<|startoftext|>y", "Éçà ü ß İstanbul 3.14 don't", "a b\tc\nd e　f", "日本語 テスト 😀 ''s", "thnd*** of%%% x| |", "é ﬁ ⅷ", ""]
-    for t in texts:
-        words = t.encode().split()
-        ids.learn(set(words) - set(ids))
-        want = np.array(ids.tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes()
-        assert b"".join(map(ids.__getitem__, words)) == want, t
+TEXTS = ["Hello, WORLD!! it's naïve", "<|endoftext|> x<|startoftext|>y", "Éçà ü ß İstanbul 3.14 don't", "a b\tc\nd e　f", "日本語 テスト 😀 ''s", "thnd*** of%%% x| |", "é ﬁ ⅷ", ""]
+
 
+def test_word_ids_are_the_tokenizers(spark):
+    ids = packing.WordIds(PATH, joined=3)
+    got, edge = ids.of_texts(pa.array(TEXTS), None)
+    for i, t in enumerate(TEXTS):
+        assert got[edge[i] : edge[i + 1]].tolist() == ids.tokenizer.encode(t, add_special_tokens=False).ids, t
 
-def test_words_dropped_at_the_cap_are_encoded_again():
-    import pyarrow as pa
 
-    texts = [" ".join(f"word{chr(97 + (i * 7 + k) % 26)}" for k in range(9)) for i in range(600)]
+@pytest.mark.parametrize("limit", [1, 40, 1 << 20])
+def test_texts_encoded_in_parts_are_the_tokenizers(limit):
+    texts = [" ".join(f"word{chr(97 + (i * 7 + k) % 26)}" for k in range(9)) for i in range(600)] + TEXTS + ["no-blank" * 200, "mixed Words, " * 2000]
     batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], names=["doc_id", "text"])
     plain = packing.WordIds(PATH)
-    want = [zlib.crc32(np.array([*plain.tokenizer.encode(t, add_special_tokens=False).ids, 0], "<u4").tobytes()) for t in texts]
-    packing._known[PATH] = packing.WordIds(PATH, most=5)
-    try:
-        packing._known[PATH].learn({b"old", b"other", b"words", b"fill", b"it", b"wordb"})
-        got = [c for b in packing._piece_batches(PATH, 2048, 0, False)([batch]) for c in b.column("ids_crc32").to_pylist()]
-        assert got == want
-        packing._known[PATH].clear()
-        assert packing._known[PATH][b"wordb"] == plain.alone(b"wordb")
-    finally:
-        del packing._known[PATH]
+    want = [np.array([*plain.tokenizer.encode(t, add_special_tokens=False).ids, 0], "<u4") for t in texts]
+    rows = [r for b in packing._piece_batches(PATH, 2048, 0, False, limit)([batch]) for r in b.to_pylist()]
+    cut = [(i, p, len(x[p * 2048 : (p + 1) * 2048]), zlib.crc32(x[p * 2048 : (p + 1) * 2048].tobytes())) for i, x in enumerate(want) for p in range(-(-len(x) // 2048))]
+    assert [(r["doc_id"], r["piece"], r["length"], r["ids_crc32"]) for r in rows] == cut
+
+
+def fewest(items: list[int], size: int) -> int:
+    """The least number of sequences, by trying all."""
+    best = [len(items)]
+
+    def place(i: int, used: list[int]) -> None:
+        if len(used) >= best[0]:
+            return
+        if i == len(items):
+            best[0] = len(used)
+            return
+        for j in {u: j for j, u in enumerate(used)}.values():
+            if used[j] + items[i] <= size:
+                used[j] += items[i]
+                place(i + 1, used)
+                used[j] -= items[i]
+        place(i + 1, [*used, items[i]])
+
+    place(0, [])
+    return best[0]
+
+
+def test_reduction_keeps_the_optimum_and_plans_beat_best_fit():
+    rnd = random.Random(11)
+    for _ in range(1000):
+        size = rnd.choice([10, 20, 50, 100])
+        items = sorted((rnd.randint(1, size) for _ in range(rnd.randint(1, 9))), reverse=True)
+        counts = Counter(items)
+        fixed, rest = packing.reduce_by_dominance(counts, size)
+        optimum = fewest(items, size)
+        assert sum(n for _, n in fixed) + fewest(sorted(rest.elements(), reverse=True), size) == optimum
+        used = Counter(v for p, n in fixed for v in p for _ in range(n))
+        assert used + rest == counts and all(sum(p) <= size for p, _ in fixed)
+        plan = sum(n for _, n in packing.pack_plan(dict(counts), size))
+        assert optimum <= plan <= sum(n for _, n in packing.best_fit(counts, size))
+
+
+def test_deferred_pieces_count_in_dominance():
+    assert sum(n for _, n in packing.pack_plan({6: 1, 2: 1, 1: 2}, 10)) == 1
+    assert sum(n for _, n in packing.pack_plan({40: 1, 20: 1, 10: 3}, 100)) == 1
 
 
 def test_plan_holds_every_piece_and_no_more():
