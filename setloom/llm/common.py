@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
+from functools import wraps
 
 import numpy as np
 import pyarrow as pa
@@ -19,6 +21,20 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def lean(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """`run`, handing freed memory back to the system at the end of a task: Python workers live on and serve later stages."""
+
+    @wraps(run)
+    def task(batches: Iterator) -> Iterator:
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+        if trim:
+            trim(0)
+
+    return task
+
+
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Offsets (n + 1) and bytes of a string or binary Arrow column without nulls, without copying."""
     if isinstance(column, pa.ChunkedArray):
@@ -43,6 +59,25 @@ def runs_of_rows(offsets: np.ndarray, limit: int) -> Iterator[tuple[int, int]]:
         at = to
 
 
+def is_blank(body: np.ndarray) -> np.ndarray:
+    return (body == 32) | ((body >= 9) & (body <= 13))
+
+
+def parts_of(body: np.ndarray, limit: int) -> Iterator[tuple[int, int]]:
+    """Ranges of about `limit` bytes of a long text, cut at ASCII white space only."""
+    at = 0
+    while at < len(body):
+        to = min(at + limit, len(body))
+        while to < len(body):
+            blank = np.flatnonzero(is_blank(body[to : to + limit]))
+            if len(blank):
+                to += int(blank[0])
+                break
+            to = min(to + limit, len(body))
+        yield at, to
+        at = to
+
+
 def groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
     """Tables that hold whole groups only, from batches sorted by `keys`; several small groups share a table."""
     held: list[pa.RecordBatch] = []

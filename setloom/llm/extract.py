@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from setloom.llm.common import staged
+from setloom.llm.common import lean, staged
 
 # Names of HTML and common names of page furniture.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -252,7 +252,7 @@ def host_of(url: Column) -> Column:
 def host_paths(pages: DataFrame, most: int = 3) -> DataFrame:
     """(host, path): the container path with the most votes of each host's pages."""
     own = pages.select(host_of(F.col("url")).alias("host"), F.coalesce("html", F.lit("")).alias("html"))
-    votes = own.mapInArrow(_vote_batches(most), "host string, path string, votes long").groupBy("host", "path").agg(F.sum("votes").alias("votes"))
+    votes = own.mapInArrow(lean(_vote_batches(most)), "host string, path string, votes long").groupBy("host", "path").agg(F.sum("votes").alias("votes"))
     return votes.groupBy("host").agg(F.max(F.struct("votes", "path")).alias("best")).select("host", "best.path")
 
 
@@ -268,4 +268,4 @@ def extract_text(pages: DataFrame, salts: int = 16) -> DataFrame:
     own = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce("html", F.lit("")).alias("html"), host_of(F.col("url")).alias("host"))
     own = own.withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(salts)).cast("int"))
     joined = own.join(paths, ["host", "salt"], "left").select("page_id", "url", "html", "path")
-    return joined.mapInArrow(_text_batches, "page_id long, url string, text string, n_chars long")
+    return joined.mapInArrow(lean(_text_batches), "page_id long, url string, text string, n_chars long")

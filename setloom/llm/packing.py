@@ -24,7 +24,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from setloom.llm.common import numbered, runs_of_rows, staged, utf8
+from setloom.llm.common import lean, numbered, parts_of, runs_of_rows, staged, utf8
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
@@ -108,21 +108,6 @@ class WordIds:
         return out, at[last]
 
 
-def parts_of(body: np.ndarray, limit: int) -> Iterator[tuple[int, int]]:
-    """Ranges of about `limit` bytes of a long text, cut at ASCII white space only."""
-    at = 0
-    while at < len(body):
-        to = min(at + limit, len(body))
-        while to < len(body):
-            blank = np.flatnonzero((body[to : to + limit] == 32) | ((body[to : to + limit] >= 9) & (body[to : to + limit] <= 13)))
-            if len(blank):
-                to += int(blank[0])
-                break
-            to = min(to + limit, len(body))
-        yield at, to
-        at = to
-
-
 def _piece_batches(path: str, size: int, end_id: int, with_ids: bool, limit: int = 8 << 20):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = WordIds(path)
@@ -245,7 +230,7 @@ def pack_plan(counts: dict[int, int], size: int) -> list[tuple[tuple[int, ...],
 
 def pieces(docs: DataFrame, tokenizer: str, size: int = 2048, end_id: int = 0, with_ids: bool = False) -> DataFrame:
     src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    return src.mapInArrow(_piece_batches(tokenizer, size, end_id, with_ids), "doc_id long, piece int, start long, length long, ids_crc32 long" + ", token_ids array<int>" * with_ids)
+    return src.mapInArrow(lean(_piece_batches(tokenizer, size, end_id, with_ids)), "doc_id long, piece int, start long, length long, ids_crc32 long" + ", token_ids array<int>" * with_ids)
 
 
 def pack_sequences(docs: DataFrame, tokenizer: str, size: int = 2048, end_id: int = 0, with_ids: bool = False) -> DataFrame:

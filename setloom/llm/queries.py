@@ -22,7 +22,8 @@ TOKENIZER = "word_bpe_49k.json"
 
 
 def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return remove_repeats(read(spark, sf_dir, "documents"), length=400)
+    kept = remove_repeats(read(spark, sf_dir, "documents"), length=400, keep_text=True)
+    return kept.withColumnRenamed("kept_text", "text")
 
 
 def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,8 +9,9 @@ Wanted: every byte that lies in a string of `length` bytes which also starts som
 3. The other slices of a contested gram are fetched once each and sorted as suffixes that start at the anchor (onwards and
    backwards) by deep-shallow sorting: multikey quicksort to a shallow depth, then a blind trie for each group that still
    agrees. Ranks and common prefixes say exactly which windows are equal.
-4. A gram with more than `group_cap` different slices isn't brought into one task: its windows are hashed (128 bits) and
-   counted by Spark.
+4. The slices of a frequent gram (over `group_cap` different ones) are dealt out by content first: the windows of a slice are
+   taken in ranges, and all windows of a range hold the same stretch, so only slices that agree on it meet. They are sorted
+   as in 3. Where over `group_cap` slices agree even on that stretch, their windows are hashed (128 bits) and counted by Spark.
 """
 
 from __future__ import annotations
@@ -24,38 +25,26 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from setloom.llm.common import discard, groups, runs_of_rows, staged, starts_of, utf8
+from setloom.llm.common import discard, groups, is_blank, lean, runs_of_rows, staged, starts_of, utf8
 
 BASE = np.uint64(0x9E3779B97F4A7C15)
 INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 STIR = np.uint64(0xD6E8FEB86659FD93)
 
 
-class _Powers:
-    """Powers of BASE and of its inverse modulo 2^64, grown as needed."""
-
-    def __init__(self) -> None:
-        self.up = self.down = np.ones(1, np.uint64)
-
-    def to(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if len(self.up) < n:
-            for name, base in (("up", BASE), ("down", INVERSE)):
-                p = np.full(max(n, 1 << 20), base, np.uint64)
-                p[0] = 1
-                setattr(self, name, np.multiply.accumulate(p))
-        return self.up[:n], self.down[:n]
-
-
-_powers = _Powers()
+def powers(base: np.uint64, n: int) -> np.ndarray:
+    """1, base, base squared ... modulo 2^64."""
+    p = np.full(n, base, np.uint64)
+    p[:1] = 1
+    return np.multiply.accumulate(p)
 
 
 def gram_hashes(body: np.ndarray, gram: int) -> np.ndarray:
     """Mixed polynomial hashes of all grams of `gram` bytes."""
     n = len(body)
-    up, down = _powers.to(n)
     total = np.zeros(n + 1, np.uint64)
-    np.cumsum((body.astype(np.uint64) + np.uint64(1)) * up, out=total[1:])
-    h = (total[gram:] - total[:-gram]) * down[: n - gram + 1]
+    np.cumsum((body.astype(np.uint64) + np.uint64(1)) * powers(BASE, n), out=total[1:])
+    h = (total[gram:] - total[:-gram]) * powers(INVERSE, n - gram + 1)
     h ^= h >> np.uint64(32)
     h *= STIR
     h ^= h >> np.uint64(29)
@@ -102,24 +91,28 @@ def anchors(body: np.ndarray, offsets: np.ndarray, length: int, gram: int) -> tu
 ANCHOR = "khash long, shash long, tkey binary, doc_id long, pos int, lo int, hi int"
 
 
-def _anchor_batches(length: int, gram: int):
+def _anchor_batches(length: int, gram: int, limit: int = 1 << 19):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         digest = xxhash.xxh3_64_intdigest
         for batch in batches:
             off, body = utf8(batch.column(2))
-            for a, b in runs_of_rows(off, 1 << 20):
-                part, rel = body[off[a] : off[b]], off[a : b + 1] - off[a]
-                row, at, first, last, h = anchors(part, rel, length, gram)
-                if not len(row):
-                    continue
-                view = memoryview(part)
-                sh = np.fromiter((digest(view[x : y + length]) for x, y in zip(first.tolist(), last.tolist(), strict=True)), np.uint64, len(row))
-                take = pa.array(row + a)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(h.view(np.int64)), pa.array(sh.view(np.int64)), batch.column(1).take(take), batch.column(0).take(take)]
-                    + [pa.array(x.astype(np.int32)) for x in (at - rel[row], at - last, at - first)],
-                    names=["khash", "shash", "tkey", "doc_id", "pos", "lo", "hi"],
-                )
+            for a, b in runs_of_rows(off, limit):
+                # windows are told apart by what they hold, so a long text is read in parts that overlap by a window less one byte
+                for x in range(int(off[a]), max(int(off[b]) - length + 1, int(off[a]) + 1), limit):
+                    y = min(x + limit + length - 1, int(off[b]))
+                    part = body[x:y]
+                    rel = np.array([0, y - x]) if b == a + 1 else off[a : b + 1] - x
+                    row, at, first, last, h = anchors(part, rel, length, gram)
+                    if not len(row):
+                        continue
+                    view = memoryview(part)
+                    sh = np.fromiter((digest(view[s : e + length]) for s, e in zip(first.tolist(), last.tolist(), strict=True)), np.uint64, len(row))
+                    take = pa.array(row + a)
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(h.view(np.int64)), pa.array(sh.view(np.int64)), batch.column(1).take(take), batch.column(0).take(take)]
+                        + [pa.array(v.astype(np.int32)) for v in (at + x - off[row + a], at - last, at - first)],
+                        names=["khash", "shash", "tkey", "doc_id", "pos", "lo", "hi"],
+                    )
 
     return run
 
@@ -290,17 +283,41 @@ def _verdict_batches(length: int, gram: int, shallow: int):
             edge = starts_of(k)
             rows: list[tuple[int, int, int, int]] = []
             for a, b in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
-                once = sorted({int(s[i]): i for i in range(a, b)}.values())  # repeated rows of a document bring a slice twice
-                found = repeated_windows([text[i] for i in once], [lo[i] for i in once], [hi[i] for i in once], length, gram, shallow) if len(once) > 1 else [[]]
-                rows += [(int(k[i]), int(s[i]), x, y) for i, ranges in zip(once, found, strict=True) if not whole[i] for x, y in ranges]
+                once: dict[bytes, dict[int, int]] = {}  # by gram, in case two grams share a hash
+                for i in range(a, b):  # repeated rows of a document bring a slice twice
+                    once.setdefault(text[i][hi[i] : hi[i] + gram], {})[int(s[i])] = i
+                for own in (sorted(x.values()) for x in once.values() if len(x) > 1):
+                    found = repeated_windows([text[i] for i in own], [lo[i] for i in own], [hi[i] for i in own], length, gram, shallow)
+                    rows += [(int(k[i]), int(s[i]), x, y) for i, ranges in zip(own, found, strict=True) if not whole[i] for x, y in ranges]
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.int32(), pa.int32()), strict=True)], names=["khash", "shash", "from_d", "to_d"])
 
     return run
 
 
+def _range_batches(length: int, gram: int, ranges: int):
+    """Slices cut into ranges of windows; the new khash stands for the stretch that all windows of a range hold."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        digest, width = xxhash.xxh3_64_intdigest, -(-(length - gram + 1) // ranges)
+        for batch in batches:
+            k, s, lo, hi, text = (batch.column(i).to_pylist() for i in range(5))
+            rows: list[tuple] = []
+            for i, body in enumerate(text):
+                for r in range(lo[i] // width, hi[i] // width + 1):
+                    a, b = max(lo[i], r * width), min(hi[i], (r + 1) * width - 1)
+                    shared = body[hi[i] - r * width : hi[i] + length - (r + 1) * width + 1]
+                    own = body[hi[i] - b : hi[i] - a + length]
+                    rows.append((k[i], s[i], digest(shared, (k[i] + r) % (1 << 64)), digest(own, (a << 32) + b), a, b, own))
+            cols = list(zip(*rows, strict=True)) or [()] * 7
+            hashes = [pa.array(np.array(c, np.uint64).view(np.int64)) for c in cols[2:4]]
+            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), *hashes, pa.array(cols[4], pa.int32()), pa.array(cols[5], pa.int32()), pa.array(cols[6], pa.binary())], names=["khash0", "shash0", "khash", "shash", "lo", "hi", "slice"])
+
+    return run
+
+
 def _window_batches(length: int):
-    """All windows of the slices of very frequent grams, as 128-bit hashes."""
+    """All windows of the slices of very frequent stretches, as 128-bit hashes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -313,29 +330,28 @@ def _window_batches(length: int):
     return run
 
 
-def _word_window_batches(words: int, length: int):
+def _word_window_batches(words: int, length: int, limit: int = 1 << 18):
     """Windows of `words` words that are shorter than `length` bytes, as 128-bit hashes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             off, body = utf8(batch.column(1))
-            row, lo, hi, hashes = [], [], [], []
             for i in range(batch.num_rows):
-                own = body[off[i] : off[i + 1]]
-                blank = np.concatenate([[True], (own == 32) | ((own >= 9) & (own <= 13)), [True]])
-                start, end = np.flatnonzero(blank[:-2] & ~blank[1:-1]), np.flatnonzero(~blank[1:-1] & blank[2:]) + 1
-                if len(start) < words:
-                    continue
-                a, b = start[: len(start) - words + 1], end[words - 1 :]
-                short = b - a < length
-                if short.any():
-                    raw = own.tobytes()
-                    for x, y in zip(a[short].tolist(), b[short].tolist(), strict=True):
-                        row.append(i)
-                        lo.append(x)
-                        hi.append(y)
-                        hashes.append(xxhash.xxh3_128_digest(raw[x:y]))
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row, pa.int64())), pa.array(lo, pa.int32()), pa.array(hi, pa.int32()), pa.array(hashes, pa.binary())], names=["tkey", "start", "end", "whash"])
+                # a window is shorter than `length` bytes, so parts of a long text overlap by so many
+                for x in range(int(off[i]), int(off[i + 1]), limit):
+                    own = body[max(x - 1, int(off[i])) : min(x + limit + length, int(off[i + 1]))]
+                    skip = int(x > off[i])  # the byte before the part
+                    blank = np.concatenate([[True], is_blank(own), [True]])
+                    start, end = np.flatnonzero(blank[:-2] & ~blank[1:-1]), np.flatnonzero(~blank[1:-1] & blank[2:]) + 1
+                    if len(start) < words:
+                        continue
+                    a, b = start[: len(start) - words + 1], end[words - 1 :]
+                    short = np.flatnonzero((b - a < length) & (a >= skip) & (a < limit + skip))
+                    if len(short):
+                        raw, a, b = own.tobytes(), a[short], b[short]
+                        hashes = [xxhash.xxh3_128_digest(raw[p:q]) for p, q in zip(a.tolist(), b.tolist(), strict=True)]
+                        shift = x - skip - int(off[i])
+                        yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(np.full(len(a), i))), pa.array((a + shift).astype(np.int32)), pa.array((b + shift).astype(np.int32)), pa.array(hashes, pa.binary())], names=["tkey", "start", "end", "whash"])
 
     return run
 
@@ -345,42 +361,73 @@ def _texts(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.unhex(F.md5(text)).alias("tkey"), text.alias("text"))
 
 
-def repeated_spans(docs: DataFrame, length: int = 400, gram: int = 128, group_cap: int = 20_000, shallow: int = 256, words: int = 0) -> DataFrame:
+VERDICT = "khash long, shash long, from_d int, to_d int"
+
+
+def contested(slices: DataFrame) -> DataFrame:
+    """(khash, n) for the grams whose n slices need comparing: there are several, and one of them isn't repeated as a whole."""
+    return slices.groupBy("khash").agg(F.count("*").alias("n"), F.min("whole").alias("done")).where("n > 1 and not done").select("khash", "n")
+
+
+def sorted_verdicts(slices: DataFrame, length: int, gram: int, shallow: int) -> DataFrame:
+    """Repeated windows of slices (khash, shash, whole, lo, hi, slice), by deep-shallow sorting of those of a gram."""
+    near = slices.repartition("khash").sortWithinPartitions("khash")
+    return near.mapInArrow(lean(_verdict_batches(length, gram, shallow)), VERDICT)
+
+
+def frequent_verdicts(once: DataFrame, length: int, gram: int, group_cap: int, shallow: int, ranges: int) -> tuple[DataFrame, list[DataFrame]]:
+    """The same for frequent grams, whose different slices (khash, shash, whole, lo, hi, slice) are dealt out by content; and tables to discard."""
+    ddl = "khash0 long, shash0 long, khash long, shash long, lo int, hi int, slice binary"
+    cut = staged(once.select("khash", "shash", "lo", "hi", "slice").mapInArrow(lean(_range_batches(length, gram, ranges)), ddl), "suffix-ranges")
+    own = cut.groupBy("khash", "shash").agg(F.count("*").alias("n"), *[F.first(c).alias(c) for c in ("lo", "hi", "slice")])
+    own = staged(own.select("khash", "shash", (F.col("n") > 1).alias("whole"), "lo", "hi", "slice"), "suffix-stretches")
+    open_ = staged(contested(own), "suffix-open")
+    found = sorted_verdicts(own.join(open_.where(F.col("n") <= group_cap).select("khash"), "khash", "left_semi"), length, gram, shallow)
+    many = own.join(open_.where(F.col("n") > group_cap).select("khash"), "khash", "left_semi")
+    windows = staged(many.select("khash", "shash", "whole", "lo", "hi", "slice").mapInArrow(lean(_window_batches(length)), "khash long, shash long, whole boolean, d int, whash binary"), "suffix-windows")
+    twice = windows.groupBy("khash", "d", "whash").agg(F.count("*").alias("n")).where("n > 1").drop("n")
+    again = windows.where("not whole").join(twice, ["khash", "d", "whash"], "left_semi").select("khash", "shash", F.col("d").alias("from_d"), F.col("d").alias("to_d"))
+    all_of = own.where("whole").select("khash", "shash", F.col("lo").alias("from_d"), F.col("hi").alias("to_d"))
+    verdicts = staged(found.unionByName(again).unionByName(all_of), "suffix-part-verdicts")
+    whole = once.where("whole").select(F.col("khash").alias("khash0"), F.col("shash").alias("shash0"))
+    parts = cut.select("khash0", "shash0", "khash", "shash").join(verdicts, ["khash", "shash"]).join(whole, ["khash0", "shash0"], "left_anti")
+    return parts.select(F.col("khash0").alias("khash"), F.col("shash0").alias("shash"), "from_d", "to_d"), [cut, own, open_, windows, verdicts]
+
+
+def repeated_spans(docs: DataFrame, length: int = 400, gram: int = 128, group_cap: int = 256, shallow: int = 256, ranges: int = 8, words: int = 0) -> DataFrame:
     """(tkey, spans): for each different text (tkey: its MD5) the byte ranges [start, end) that are repeated, unmerged.
 
     With `words`, strings of so many words that are shorter than `length` bytes and stand elsewhere are repeated as well.
     """
     texts = _texts(docs)
     long = texts.where(F.octet_length("text") >= length)
-    every = staged(long.select("doc_id", "tkey", "text").mapInArrow(_anchor_batches(length, gram), ANCHOR), "suffix-anchors")
+    every = staged(long.select("doc_id", "tkey", "text").mapInArrow(lean(_anchor_batches(length, gram)), ANCHOR), "suffix-anchors")
     place = F.xxhash64("tkey", "pos")
     shared = staged(every.select("khash", place.alias("p")).groupBy("khash").agg(F.min("p").alias("a"), F.max("p").alias("b")).where("a <> b").select("khash"), "suffix-grams")
     near = staged(every.join(shared, "khash", "left_semi"), "suffix-near")
-    discard(every)
+    discard(every, shared)
     slices = near.groupBy("khash", "shash").agg(F.min(F.struct("tkey", "doc_id", "pos", "lo", "hi")).alias("at"), F.min(place).alias("a"), F.max(place).alias("b"))
     slices = staged(slices.select("khash", "shash", (F.col("a") != F.col("b")).alias("whole"), "at"), "suffix-slices")
-    # a gram needs its slices compared if there are several, and one of them isn't repeated as a whole
-    open_ = slices.groupBy("khash").agg(F.count("*").alias("n"), F.min("whole").alias("done")).where("n > 1 and not done").select("khash", F.col("n").alias("n"))
-    open_ = staged(open_, "suffix-open")
+    open_ = staged(contested(slices), "suffix-open")
     want = slices.join(open_, "khash").groupBy("at.tkey", F.col("at.doc_id").alias("d")).agg(F.collect_list(F.struct("khash", "shash", "whole", F.col("at.pos").alias("pos"), F.col("at.lo").alias("lo"), F.col("at.hi").alias("hi"))).alias("want"))
     want = staged(want.withColumnRenamed("tkey", "wkey"), "suffix-want")
     fetched = long.join(want, (F.col("tkey") == F.col("wkey")) & F.col("doc_id").eqNullSafe(F.col("d"))).select("text", "want")
-    cut = staged(fetched.mapInArrow(_slice_batches(length), "khash long, shash long, whole boolean, lo int, hi int, slice binary"), "suffix-texts")
+    cut = staged(fetched.mapInArrow(lean(_slice_batches(length)), "khash long, shash long, whole boolean, lo int, hi int, slice binary"), "suffix-texts")
     discard(want)
     few, many = open_.where(F.col("n") <= group_cap), open_.where(F.col("n") > group_cap)
-    sorted_ = cut.join(few.select("khash"), "khash", "left_semi").repartition("khash").sortWithinPartitions("khash")
-    found = sorted_.mapInArrow(_verdict_batches(length, gram, shallow), "khash long, shash long, from_d int, to_d int")
+    found, spent = sorted_verdicts(cut.join(few.select("khash"), "khash", "left_semi"), length, gram, shallow), []
     if many.limit(1).count():
         once = cut.join(many.select("khash"), "khash", "left_semi").groupBy("khash", "shash").agg(*[F.first(c).alias(c) for c in ("whole", "lo", "hi", "slice")])
-        windows = staged(once.mapInArrow(_window_batches(length), "khash long, shash long, whole boolean, d int, whash binary"), "suffix-windows")
-        twice = staged(windows.groupBy("khash", "d", "whash").agg(F.count("*").alias("n")).where("n > 1").drop("n"), "suffix-twice")
-        found = found.unionByName(windows.where("not whole").join(twice, ["khash", "d", "whash"], "left_semi").select("khash", "shash", F.col("d").alias("from_d"), F.col("d").alias("to_d")))
+        once = staged(once, "suffix-frequent")
+        more, spent = frequent_verdicts(once, length, gram, group_cap, shallow, ranges)
+        spent, found = [*spent, once], found.unionByName(more)
     whole = slices.where("whole").select("khash", "shash", F.col("at.lo").alias("from_d"), F.col("at.hi").alias("to_d"))
     verdicts = staged(found.unionByName(whole), "suffix-verdicts")
+    discard(cut, open_, slices, *spent)
     marks = near.join(verdicts, ["khash", "shash"]).select("tkey", F.struct((F.col("pos") - F.col("to_d")).alias("start"), (F.col("pos") - F.col("from_d") + length).alias("end")).alias("span")).distinct()
     short = []
     if words:
-        windows = staged(texts.select("tkey", "text").mapInArrow(_word_window_batches(words, length), "tkey binary, start int, end int, whash binary"), "suffix-words")
+        windows = staged(texts.select("tkey", "text").mapInArrow(lean(_word_window_batches(words, length)), "tkey binary, start int, end int, whash binary"), "suffix-words")
         again = windows.groupBy("whash").agg(F.count("*").alias("n")).where("n > 1").select("whash")
         short.append(windows)
         marks = marks.unionByName(windows.join(again, "whash", "left_semi").select("tkey", F.struct("start", "end").alias("span")).distinct())
@@ -389,7 +436,7 @@ def repeated_spans(docs: DataFrame, length: int = 400, gram: int = 128, group_ca
     copies = long.groupBy("tkey").agg(F.count("*").alias("n"), F.first(F.octet_length("text")).alias("size")).where("n > 1")
     copies = copies.select("tkey", F.array(F.struct(F.lit(0).alias("start"), F.col("size").cast("int").alias("end"))).alias("all"))
     out = staged(spans.join(copies, "tkey", "full").select("tkey", F.coalesce("all", "spans").alias("spans")), "suffix-spans")
-    discard(near, shared, slices, open_, cut, verdicts, *short)
+    discard(near, verdicts, *short)
     return out
 
 
@@ -433,8 +480,9 @@ def remove_repeats(docs: DataFrame, length: int = 400, carry: tuple[str, ...] =
 
     docs: doc_id, text and any other columns, of which those named in `carry` are handed on. Returns a row for each row:
     doc_id, n_bytes, n_removed, n_spans (maximal removed runs), kept_sha256, then kept_text (if asked for) and `carry`. A
-    null text counts as empty; texts shorter than `length` stay as they are; of repeated rows all bytes go, if long enough;
-    an empty table gives an empty result. doc_id may be null or repeated: texts are told apart by content.
+    null text counts as empty; texts shorter than `length` stay as they are; very long texts are read in overlapping parts; of
+    repeated rows all bytes go, if long enough; an empty table gives an empty result. doc_id may be null or repeated: texts are
+    told apart by content. Columns not named in `carry` are left out, whatever their names.
     """
     spans = repeated_spans(docs, length, **options)
     text = F.coalesce("text", F.lit(""))
@@ -442,5 +490,5 @@ def remove_repeats(docs: DataFrame, length: int = 400, carry: tuple[str, ...] =
     joined = own.join(spans, "tkey", "left").select("doc_id", "text", "spans", *[f"c{i}" for i in range(len(carry))])
     kinds = dict(own.dtypes)
     ddl = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept_text string" * keep_text + "".join(f", c{i} {kinds[f'c{i}']}" for i in range(len(carry)))
-    out = joined.mapInArrow(_removal_batches(len(carry), keep_text), ddl)
+    out = joined.mapInArrow(lean(_removal_batches(len(carry), keep_text)), ddl)
     return out.withColumnsRenamed({f"c{i}": c for i, c in enumerate(carry)})

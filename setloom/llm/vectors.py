@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from setloom.llm.common import connected_components, discard, local_forest, staged
+from setloom.llm.common import connected_components, discard, lean, local_forest, staged
 
 
 def whole(embedding: Column) -> Column:
@@ -241,7 +241,7 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.98, node: int = 1024, mos
         chosen.setdefault((r.lab, r.dim), []).append((r.rep, v / np.sqrt(v @ v)))
     table = {k: (np.array([i for i, _ in v]), np.stack([x for _, x in v])) for k, v in chosen.items()}
     ddl = "lab long, dim int, rep long, n long, embedding array<double>, pivot long, far double"
-    placed = staged(classes.mapInArrow(_nearest(spark.sparkContext.broadcast(table)), ddl), "near-placed")
+    placed = staged(classes.mapInArrow(lean(_nearest(spark.sparkContext.broadcast(table))), ddl), "near-placed")
     sizes = placed.groupBy("lab", "dim", "pivot").agg(F.ceil(F.count("*") / node).cast("int").alias("parts"))
     sub = F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int")
     placed = placed.join(sizes, ["lab", "dim", "pivot"]).withColumn("own", F.xxhash64("pivot", sub))

@@ -24,7 +24,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from setloom.llm.common import shared_dir, staged
+from setloom.llm.common import lean, shared_dir, staged
 
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 DATA, INDEX = "archive/data.warc.gz", "indexes/index.cdxj"
@@ -226,14 +226,14 @@ def write_archives(pages: DataFrame, least_bytes: int = 0, level: int = 6, most_
     again = staged(keyed.join(first, "key").where("not (page_id <=> to)").select("page_id", "key", "to").distinct(), "warc-again")
     marked = own.join(again.select(F.col("page_id").alias("p"), F.col("key").alias("k"), "to"), F.col("page_id").eqNullSafe(F.col("p")) & (F.sha2("html", 256) == F.col("k")), "left")
     rows = marked.select("page_id", "url", "html", F.col("to").alias("refers_to"), F.col("k").isNotNull().alias("revisit"))
-    return staged(rows.mapInArrow(_write_batches(folder, level, most_bytes), "path string, records long"), "warc-archives")
+    return staged(rows.mapInArrow(lean(_write_batches(folder, level, most_bytes)), "path string, records long"), "warc-archives")
 
 
 def read_archives(archives: DataFrame) -> DataFrame:
     """(page_id, payload_bytes, payload_digest, record_type, refers_to, payload) for each record; a revisit has no payload of its own."""
     ddl = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary"
     spread = archives.select("path").repartition(max(1, archives.count()), "path")
-    return spread.mapInArrow(_read_batches, ddl)
+    return spread.mapInArrow(lean(_read_batches), ddl)
 
 
 def resolve_revisits(records: DataFrame) -> DataFrame:

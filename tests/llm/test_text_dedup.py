@@ -2,12 +2,14 @@ from __future__ import annotations
 
 import hashlib
 import random
+import re
 from collections import Counter
 
 import numpy as np
 import pytest
 import xxhash
 
+from setloom.llm import suffix_dedup
 from setloom.llm.simhash import alike_links, blocks_for, hamming_links, index_links, near_duplicates, prefix_sizes, simhash_groups
 from setloom.llm.suffix_dedup import blind_trie_order, common_length, deep_shallow_order, remove_repeats, repeated_windows
 
@@ -35,14 +37,53 @@ def passages(seed: int, n: int) -> list[str | None]:
     return [*texts, texts[3], texts[3], "a" * 300, "xa" * 150, "", None, shared[0] * 5]
 
 
-@pytest.mark.parametrize("cap", [20_000, 3])
-def test_removal_is_brute_force(spark, cap):
+@pytest.mark.parametrize("cap", [20_000, 3, 1])
+def test_removal_is_brute_force(spark, cap, monkeypatch):
+    if cap == 1:  # every text in many parts
+        monkeypatch.setattr(suffix_dedup._anchor_batches, "__defaults__", (50,))
     texts = passages(3, 40)
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     got = {r.doc_id: tuple(r)[1:] for r in remove_repeats(docs, length=40, gram=12, group_cap=cap, shallow=20).collect()}
     assert [got[i] for i in range(len(texts))] == plain_removal(texts, 40)
 
 
+def test_frequent_passages_are_brute_force(spark):
+    rnd = random.Random(9)
+    some = lambda k: "".join(rnd.choice("abcdefgh") for _ in range(k))
+    common, longer = some(35), some(60)
+    texts = [some(30) + (common if i % 3 else longer) + some(30) for i in range(60)] + [longer[:45] + some(9), some(9) + longer[12:]]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for options in ({"group_cap": 4}, {"group_cap": 4, "ranges": 2}, {"group_cap": 1000}):
+        got = {r.doc_id: tuple(r)[1:] for r in remove_repeats(docs, length=40, gram=12, shallow=20, **options).collect()}
+        assert [got[i] for i in range(len(texts))] == plain_removal(texts, 40)
+
+
+def test_passages_of_words_in_parts(spark, monkeypatch):
+    rnd = random.Random(2)
+    words = [rnd.choice(["a", "of", "to", "it", "is", "we", "by"]) for _ in range(400)]
+    texts = ["  ".join(words[:200]) + " end", "begin " + " ".join(words[150:350]), " ".join(words[300:])]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+
+    def kept() -> list[str]:
+        return [r.kept_text for r in remove_repeats(docs, length=120, gram=40, keep_text=True, words=12).orderBy("doc_id").collect()]
+
+    gone = [set() for _ in texts]
+    found: dict[str, list[tuple[int, int, int]]] = {}
+    for i, t in enumerate(texts):
+        at = [m.span() for m in re.finditer(r"\S+", t)]
+        for (x, _), (_, y) in zip(at, at[11:], strict=False):
+            found.setdefault(t[x:y], []).append((i, x, y))
+        for x in range(len(t) - 119):
+            found.setdefault(t[x : x + 120], []).append((i, x, x + 120))
+    for places in found.values():
+        for i, x, y in places if len(places) > 1 else []:
+            gone[i].update(range(x, y))
+    want = ["".join(c for k, c in enumerate(t) if k not in g) for t, g in zip(texts, gone, strict=True)]
+    assert want != texts and kept() == want
+    monkeypatch.setattr(suffix_dedup._word_window_batches, "__defaults__", (70,))
+    assert kept() == want
+
+
 def test_removal_of_repeated_rows_null_ids_and_extra_columns(spark):
     rows = [(1, "abcdefghij" * 3, "x"), (1, "abcdefghij" * 3, "x"), (None, "0123456789" * 3, "y"), (2, "qwertyuiopasdfghjklzxcvbnm", None)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, tkey string")
