@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from setloom.llm.common import connected_components, discard, groups, local_forest, staged, starts_of, utf8
+from setloom.llm.common import connected_components, discard, groups, lean, local_forest, parts_of, staged, starts_of, utf8
 
 LANES = np.uint64(0x0101010101010101)
 
@@ -41,43 +41,54 @@ def simhash_bits(hashes: np.ndarray, starts: np.ndarray) -> np.ndarray:
     return np.ascontiguousarray(packed).view("<u8").ravel()
 
 
+def shingle_hashes(body: np.ndarray, width: int, seed: int, limit: int = 1 << 20) -> np.ndarray:
+    """XXH64 of the word shingles of a text, repeats included; fewer words are one shingle, no words none. Long texts are read in parts."""
+    digest, out, words = xxhash.xxh64_intdigest, [], []
+    for a, b in parts_of(body, limit):
+        words += body[a:b].tobytes().lower().split()  # bytes: ASCII letters and white space only
+        n = len(words) - width + 1
+        if n > 0:
+            text = b" ".join(words)
+            edge = np.zeros(len(words) + 1, np.int64)
+            np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1, out=edge[1:])
+            ends = (edge[width:] - 1).tolist()
+            out.append(np.fromiter((digest(text[x:y], seed) for x, y in zip(edge[:-width].tolist(), ends, strict=True)), np.uint64, n))
+            words = words[n:]
+    if not out and words:
+        out.append(np.array([digest(b" ".join(words), seed)], np.uint64))
+    return np.concatenate(out) if out else np.zeros(0, np.uint64)
+
+
+class Prints:
+    """Fingerprints of many sets of hashes, made for some 200,000 hashes at a time; no hashes: 0."""
+
+    def __init__(self, rows: int) -> None:
+        self.out, self.held, self.owner, self.size = np.zeros(rows, np.uint64), [], [], 0
+
+    def add(self, row: int, hashes: np.ndarray) -> None:
+        if len(hashes):
+            self.held.append(hashes)
+            self.owner.append(row)
+            self.size += len(hashes)
+            if self.size > 200_000:
+                self.flush()
+
+    def flush(self) -> np.ndarray:
+        if self.held:
+            starts = np.concatenate([[0], np.cumsum([len(h) for h in self.held])])
+            self.out[self.owner] = simhash_bits(np.concatenate(self.held), starts)
+            self.held, self.owner, self.size = [], [], 0
+        return self.out.view(np.int64)
+
+
 def _fingerprint_batches(width: int, seed: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        digest = xxhash.xxh64_intdigest
         for batch in batches:
             off, body = utf8(batch.column(1))
-            out = np.zeros(batch.num_rows, np.uint64)
-            hashes: list[np.ndarray] = []
-            owner: list[int] = []
-
-            def flush() -> None:
-                if hashes:
-                    starts = np.concatenate([[0], np.cumsum([len(h) for h in hashes])])
-                    out[owner] = simhash_bits(np.concatenate(hashes), starts)
-                    hashes.clear()
-                    owner.clear()
-
-            held = 0
+            prints = Prints(batch.num_rows)
             for i in range(batch.num_rows):
-                words = body[off[i] : off[i + 1]].tobytes().lower().split()  # bytes: ASCII letters and white space only
-                if not words:
-                    continue
-                text = b" ".join(words)
-                if len(words) <= width:
-                    h = np.array([digest(text, seed)], np.uint64)
-                else:
-                    edge = np.zeros(len(words) + 1, np.int64)
-                    np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1, out=edge[1:])
-                    ends = (edge[width:] - 1).tolist()
-                    h = np.fromiter((digest(text[a:b], seed) for a, b in zip(edge[:-width].tolist(), ends, strict=True)), np.uint64, len(ends))
-                hashes.append(h)
-                owner.append(i)
-                held += len(h)
-                if held > 200_000:
-                    flush()
-                    held = 0
-            flush()
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out.view(np.int64))], names=["doc_id", "fp"])
+                prints.add(i, shingle_hashes(body[off[i] : off[i + 1]], width, seed))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints.flush())], names=["doc_id", "fp"])
 
     return run
 
@@ -85,7 +96,7 @@ def _fingerprint_batches(width: int, seed: int):
 def fingerprints(docs: DataFrame, width: int = 4, seed: int = 42) -> DataFrame:
     """(doc_id, fp) of each row: the majority bits of the XXH64 of all its word shingles; no words: 0."""
     src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    return src.mapInArrow(_fingerprint_batches(width, seed), "doc_id long, fp long")
+    return src.mapInArrow(lean(_fingerprint_batches(width, seed)), "doc_id long, fp long")
 
 
 def gray_rank(fp: Column) -> Column:
@@ -177,7 +188,7 @@ def hamming_links(codes: DataFrame, distinct: int, most: int = 4, chunk: int = 1
     dealt = dealt.withColumn("own", own).select("part", "key", "fp", "own", F.explode(others).alias("o"))
     dealt = dealt.select("part", "key", F.least("own", "o").alias("p"), F.greatest("own", "o").alias("q"), "fp")
     order = ["part", "key", "p", "q"]
-    links = dealt.repartition(*order).sortWithinPartitions(*order, gray_rank(F.col("fp"))).mapInArrow(_bucket_links(most), "a long, b long")
+    links = dealt.repartition(*order).sortWithinPartitions(*order, gray_rank(F.col("fp"))).mapInArrow(lean(_bucket_links(most)), "a long, b long")
     out = staged(links.distinct(), "simhash-links")
     discard(keyed, counts)
     return out
@@ -187,8 +198,8 @@ def simhash_groups(docs: DataFrame, width: int = 4, most: int = 4, seed: int = 4
     """(doc_id, fp, component_id) for each row of docs (doc_id, text).
 
     component_id: the smallest doc_id reachable over links at <= `most` bits; null only where every doc_id reached is null.
-    Nulls and texts without words get fingerprint 0; repeated rows come out as often as they went in; an empty table gives
-    an empty result.
+    Nulls and texts without words get fingerprint 0; very long texts are read in parts, whole; repeated rows come out as often
+    as they went in; an empty table gives an empty result. Further columns of docs, whatever their names, are left out.
     """
     prints = staged(fingerprints(docs, width, seed), "simhash-prints")
     classes = staged(prints.groupBy("fp").agg(F.min("doc_id").alias("first")), "simhash-classes")
@@ -205,20 +216,18 @@ def fingerprint_hex(fp: Column) -> Column:
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
 
 
-def _shingles(text: bytes, width: int, seed: int) -> np.ndarray:
-    """Hashes of the word shingles of a text, repeats included; a shorter text is one shingle, one without words has none."""
-    words = text.lower().split()
-    return np.array([xxhash.xxh64_intdigest(b" ".join(words[j : j + width]), seed) for j in range(max(len(words) - width + 1, min(len(words), 1)))], np.uint64)
-
-
 def _sig_batches(width: int, seed: int):
     """The first column is the text, the others are handed on."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             off, body = utf8(batch.column(0).fill_null(""))
-            sig = [xxhash.xxh3_128_digest(np.unique(_shingles(body[off[i] : off[i + 1]].tobytes(), width, seed)).tobytes()) for i in range(batch.num_rows)]
-            yield pa.RecordBatch.from_arrays([pa.array(sig, pa.binary()), *batch.columns], names=["sig", *batch.schema.names])
+            sig, prints = [], Prints(batch.num_rows)
+            for i in range(batch.num_rows):
+                own = np.unique(shingle_hashes(body[off[i] : off[i + 1]], width, seed))
+                sig.append(xxhash.xxh3_128_digest(own.tobytes()))
+                prints.add(i, own)
+            yield pa.RecordBatch.from_arrays([pa.array(sig, pa.binary()), pa.array(prints.flush()), *batch.columns], names=["sig", "fp", *batch.schema.names])
 
     return run
 
@@ -245,7 +254,7 @@ def _entry_batches(width: int, seed: int, similarity: float, at_once: int = 200_
             need: list[int] = []
             first = total = 0
             for i in range(batch.num_rows):
-                own = np.unique(_shingles(body[off[i] : off[i + 1]].tobytes(), width, seed))
+                own = np.unique(shingle_hashes(body[off[i] : off[i + 1]], width, seed))
                 p, m = prefix_sizes(len(own), similarity)
                 held.append(own[:p])
                 need.append(m)
@@ -263,7 +272,7 @@ def _set_batches(width: int, seed: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             off, body = utf8(batch.column(2))
-            out = [np.unique(_shingles(body[off[i] : off[i + 1]].tobytes(), width, seed)).view(np.int64) for i in range(batch.num_rows)]
+            out = [np.unique(shingle_hashes(body[off[i] : off[i + 1]], width, seed)).view(np.int64) for i in range(batch.num_rows)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.list_(pa.int64()))], names=["grp", "doc_id", "shingles"])
 
     return run
@@ -322,10 +331,10 @@ def _alike_batches(similarity: float):
 
 
 def signed_rows(docs: DataFrame, width: int = 5, seed: int = 42) -> DataFrame:
-    """The rows of docs (text and any others), staged, with rid (a number of its own for each) and sig (of its set of word shingles)."""
+    """The rows of docs (text and any others), staged, with rid (a number of its own for each), and sig and fp of its set of word shingles."""
     src = docs.select("text", *[c for c in docs.columns if c != "text"])
-    ddl = "sig binary, " + ", ".join(f"`{name}` {kind}" for name, kind in src.dtypes)
-    return staged(src.mapInArrow(_sig_batches(width, seed), ddl).withColumn("rid", F.monotonically_increasing_id()), "near-signed")
+    ddl = "sig binary, fp long, " + ", ".join(f"`{name}` {kind}" for name, kind in src.dtypes)
+    return staged(src.mapInArrow(lean(_sig_batches(width, seed)), ddl).withColumn("rid", F.monotonically_increasing_id()), "near-signed")
 
 
 def prefix_links(entries: DataFrame) -> DataFrame:
@@ -345,27 +354,40 @@ def prefix_links(entries: DataFrame) -> DataFrame:
     return out
 
 
-def near_groups(signed: DataFrame, width: int = 5, similarity: float = 0.8, seed: int = 42, chunk: int = 512) -> DataFrame:
+def fingerprint_links(reps: DataFrame, most: int) -> DataFrame:
+    """Edges (a, b) that connect the ids of reps (id, fp) whose fingerprints differ in at most `most` bits, by the Gray-ordered index."""
+    classes = staged(reps.groupBy("fp").agg(F.min("id").alias("least")), "near-codes")
+    links = hamming_links(classes.select("fp"), classes.count(), most)
+    same = reps.join(classes, "fp").where("id <> least").select(F.col("id").alias("a"), F.col("least").alias("b"))
+    at = lambda c: classes.select(F.col("fp").alias(c), F.col("least").alias(f"{c}_id"))
+    near = links.join(at("a"), "a").join(at("b"), "b").select(F.col("a_id").alias("a"), F.col("b_id").alias("b"))
+    out = staged(same.unionByName(near), "near-prints")
+    discard(classes, links)
+    return out
+
+
+def near_groups(signed: DataFrame, width: int = 5, similarity: float = 0.8, seed: int = 42, chunk: int = 512, most: int = 4) -> DataFrame:
     """(sig, grp) for each different sig of `signed_rows`: grp is the same for all that pairs of alike sets connect.
 
-    The candidates are complete (`prefix_sizes`, `prefix_links`). Within the groups that they connect, sets of shingles are compared in full,
-    and pairs with at least `similarity` of their union in common are links. A group of over `chunk` different sets is dealt
-    into chunks, and each pair of chunks is a task's work of its own. Texts without words are alike.
+    Candidates are the pairs that SimHash links at `most` bits, and all that it may miss: an exact prefix filter
+    (`prefix_sizes`, `prefix_links`) makes them complete. Within the groups that candidates connect, sets of shingles are
+    compared in full, and pairs with at least `similarity` of their union in common are links. A group of over `chunk`
+    different sets is dealt into chunks, and each pair of chunks is a task's work of its own. Texts without words are alike.
     """
-    reps = staged(signed.groupBy("sig").agg(F.min("rid").alias("id")), "near-reps")
+    reps = staged(signed.groupBy("sig").agg(F.min("rid").alias("id"), F.min("fp").alias("fp")), "near-reps")
     texts = signed.join(reps.select(F.col("id").alias("rid")), "rid", "left_semi").select(F.col("rid").alias("id"), F.coalesce("text", F.lit("")).alias("text"))
-    entries = staged(texts.mapInArrow(_entry_batches(width, seed, similarity), "id long, need int, h long"), "near-entries")
-    edges = prefix_links(entries)
-    members = staged(connected_components(edges).select(F.col("node").alias("doc_id"), F.col("root").alias("grp")), "near-members")
-    discard(entries, edges)
+    entries = staged(texts.mapInArrow(lean(_entry_batches(width, seed, similarity)), "id long, need int, h long"), "near-entries")
+    edges, prints = prefix_links(entries), fingerprint_links(reps.select("id", "fp"), most)
+    members = staged(connected_components(edges.unionByName(prints)).select(F.col("node").alias("doc_id"), F.col("root").alias("grp")), "near-members")
+    discard(entries, edges, prints)
     own = members.join(texts.withColumnRenamed("id", "doc_id"), "doc_id").select("grp", "doc_id", "text")
-    sets = staged(own.mapInArrow(_set_batches(width, seed), "grp long, doc_id long, shingles array<long>"), "near-shingles")
+    sets = staged(own.mapInArrow(lean(_set_batches(width, seed)), "grp long, doc_id long, shingles array<long>"), "near-shingles")
     parts = members.groupBy("grp").agg(F.ceil(F.count("*") / chunk).cast("int").alias("c"))
     dealt = sets.join(parts, "grp").withColumn("own", F.pmod(F.xxhash64("doc_id"), F.col("c")).cast("int"))
     dealt = dealt.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("c") - 1)))
     dealt = dealt.select("grp", F.least("own", "o").alias("p"), F.greatest("own", "o").alias("q"), "own", "doc_id", "shingles")
     order = ["grp", "p", "q"]
-    links = dealt.repartition(*order).sortWithinPartitions(*order).mapInArrow(_alike_batches(similarity), "a long, b long")
+    links = dealt.repartition(*order).sortWithinPartitions(*order).mapInArrow(lean(_alike_batches(similarity)), "a long, b long")
     links = staged(links.distinct(), "near-links")
     roots = staged(connected_components(links).select(F.col("node").alias("id"), "root"), "near-roots")
     out = staged(reps.join(roots, "id", "left").select("sig", F.coalesce("root", "id").alias("grp")), "near-groups")
