@@ -3,8 +3,8 @@
 A text is cut into blocks of `block` characters. A block is the set of the 1- to 3-grams it holds (a blended spectrum of
 presences, hashed to `dims` buckets), and the kernel of two blocks is the cosine of their sets. Nyström landmarks turn the
 kernel into a feature map, and kernel ridge regression against each language gives its score. Fitting takes a bounded
-sample of labelled documents (`per_language`, at most `blocks_each` blocks of each); scoring takes every block of every
-text, as products of the block matrix with the landmarks and of that with the coefficients.
+sample of labelled documents (`per_language`) and of each at most `blocks_each` blocks, drawn by hash from the whole text;
+scoring takes every block of every text, as products of the block matrix with the landmarks and of that with the coefficients.
 """
 
 from __future__ import annotations
@@ -18,7 +18,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from setloom.llm.sampling import fold, stratified
+from setloom.llm.common import lean
+from setloom.llm.sampling import drawn_parts, fold, stratified
 
 LETTER = regex.compile(r"\p{L}")
 NGRAMS = (1, 2, 3)
@@ -64,10 +65,10 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.sqrt(x.sum(axis=1, keepdims=True) + np.float32(1e-9))
 
 
-def fit(texts: list[str], labels: list[str], dims: int, block: int, landmarks: int, ridge: float, blocks_each: int, seed: int = 5) -> LanguageModel:
+def fit(texts: list[str], labels: list[str], dims: int, block: int, landmarks: int, ridge: float, seed: int = 5) -> LanguageModel:
     languages = sorted(set(labels))
     rng = np.random.default_rng(seed)
-    grid, owner, _ = presence([t[: block * blocks_each] for t in texts], dims, block)
+    grid, owner, _ = presence(texts, dims, block)
     x = _unit(grid)
     y = np.array([languages.index(v) for v in labels])[owner]
     chosen = np.concatenate([rng.permutation(np.flatnonzero(y == c))[: max(1, landmarks // len(languages))] for c in range(len(languages))])
@@ -127,26 +128,32 @@ def _score_batches(shared, carry: int):
 
 
 def fit_language_model(docs: DataFrame, per_language: int = 250, blocks_each: int = 2, dims: int = 8192, block: int = 4096, landmarks: int = 128, ridge: float = 1.0) -> LanguageModel:
-    """Fit on the documents outside fold 0 with text, a letter and a language, `per_language` of each at most."""
+    """Fit on the documents outside fold 0 with text, a letter and a language, `per_language` of each at most.
+
+    Of a text of over `blocks_each` blocks as many are drawn by hash over its whole length.
+    """
     usable = docs.where((fold(F.col("doc_id")) != 0) & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}")).select("doc_id", "lang", "text")
-    rows = stratified(usable, "lang", per_language).select("doc_id", "lang", F.substring("text", 1, block * blocks_each).alias("text"))
+    some = stratified(usable, "lang", per_language)
+    # a block is read with a blank on either side
+    rows = some.select("doc_id", "lang", F.explode(drawn_parts(F.col("text"), block - 2, blocks_each)).alias("text"))
     rows = sorted(((r.doc_id is not None, r.doc_id or 0, r.lang, r.text) for r in rows.collect()))
     if not rows:
         return LanguageModel([], np.zeros((dims, 0), np.float32), np.zeros((0, 0), np.float32), np.zeros(0), dims, block)
-    return fit([r[3] for r in rows], [r[2] for r in rows], dims, block, landmarks, ridge, blocks_each)
+    return fit([r[3] for r in rows], [r[2] for r in rows], dims, block, landmarks, ridge)
 
 
 def identify_language(docs: DataFrame, carry: tuple[str, ...] = (), **options: float) -> DataFrame:
     """(doc_id, held_out, lang_pred, score, then `carry`) for each row of docs (doc_id, text, lang).
 
     Learns from text and lang of rows outside fold 0 alone; a prediction sees the text alone. `und` with score 0: the text is
-    null, empty or has no letter, or there was nothing to learn from. score: (1 + decision) / 2, held within 0 to 1. Repeated
-    rows get equal predictions; a null doc_id counts as held out; an empty table gives an empty result.
+    null, empty or has no letter, or there was nothing to learn from. score: (1 + decision) / 2, held within 0 to 1. Languages
+    that tie give the first by name. Very long texts are scored part by part, whole. Repeated rows get equal predictions; a null
+    doc_id counts as held out; an empty table gives an empty result. Columns not in `carry` are left out, whatever their names.
     """
     model = docs.sparkSession.sparkContext.broadcast(fit_language_model(docs, **options))
     held = F.coalesce(fold(F.col("doc_id")) == 0, F.lit(True))
     src = docs.select("text", F.col("doc_id").cast("long").alias("c0"), held.alias("c1"), *[F.col(c).alias(f"c{i + 2}") for i, c in enumerate(carry)])
     kinds = dict(src.dtypes)
     n = len(carry) + 2
-    out = src.mapInArrow(_score_batches(model, n), ", ".join(f"c{i} {kinds[f'c{i}']}" for i in range(n)) + ", lang_pred string, score double")
+    out = src.mapInArrow(lean(_score_batches(model, n)), ", ".join(f"c{i} {kinds[f'c{i}']}" for i in range(n)) + ", lang_pred string, score double")
     return out.select(F.col("c0").alias("doc_id"), F.col("c1").alias("held_out"), "lang_pred", "score", *[F.col(f"c{i + 2}").alias(c) for i, c in enumerate(carry)])

@@ -5,8 +5,8 @@ classes (capital, small, digit; marks as they are), words, and 1- to 4-grams of
 is scaled by the log ratio of its smoothed frequencies in the two classes, and a linear model with hinge loss is fitted by
 dual coordinate descent. Margins become scores by a logistic curve fitted on rows kept out of the descent.
 
-Fitting takes a bounded sample of labelled rows (`per_label` of each label, `blocks_each` blocks of each); scoring takes
-every block of every text and weighs blocks by their bytes.
+Fitting takes a bounded sample of labelled rows (`per_label` of each label) and of each at most `blocks_each` blocks, drawn by
+hash from the whole text; scoring takes every block of every text and weighs blocks by their bytes.
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from setloom.llm.common import runs_of_rows, utf8
+from setloom.llm.common import lean, runs_of_rows, utf8
 from setloom.llm.sampling import fold, stratified
 
 SHAPES, WORDS, REPEATS = 1 << 14, 1 << 16, 32
@@ -102,17 +102,40 @@ def features(body: np.ndarray, offsets: np.ndarray, block: int) -> tuple[np.ndar
     return owner, length, key // DIMS, key % DIMS
 
 
+def in_parts(body: np.ndarray, off: np.ndarray, block: int, limit: int = 1 << 19) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(first row, first block, bytes, offsets) of parts of at most about `limit` bytes; a long text is cut between blocks."""
+    limit = max(limit // block, 1) * block
+    for a, b in runs_of_rows(off, limit):
+        if b == a + 1 and off[b] - off[a] > limit:
+            for x in range(int(off[a]), int(off[b]), limit):
+                y = min(x + limit, int(off[b]))
+                yield a, (x - int(off[a])) // block, body[x:y], np.array([0, y - x])
+        else:
+            yield a, 0, body[off[a] : off[b]], off[a : b + 1] - off[a]
+
+
+def chosen_blocks(size: int, block: int, most: int) -> list[int]:
+    """At most `most` of the blocks of a text of `size` bytes, drawn by hash over its whole length."""
+    n = max(-(-size // block), 1)
+    h = (np.arange(n, dtype=np.uint64) + np.uint64(size)) * np.uint64(0x9E3779B97F4A7C15)
+    h = (h ^ (h >> np.uint64(29))) * np.uint64(0xD6E8FEB86659FD93)
+    return np.sort(np.argsort(h, kind="stable")[:most]).tolist()
+
+
 def _feature_batches(block: int, blocks_each: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             off, body = utf8(batch.column(2))
-            for a, b in runs_of_rows(off, 1 << 20):
-                owner, _, where, feature = features(body[off[a] : off[b]], off[a : b + 1] - off[a], block)
+            for a, first, part, rel in in_parts(body, off, block):
+                owner, _, where, feature = features(part, rel, block)
                 edge = np.searchsorted(where, np.arange(len(owner) + 1))
-                rank = np.arange(len(owner)) - np.searchsorted(owner, owner)
-                for i in np.flatnonzero(rank < blocks_each).tolist():
-                    r = a + int(owner[i])
-                    yield pa.RecordBatch.from_arrays([batch.column(0)[r : r + 1], batch.column(1)[r : r + 1], pa.array([int(rank[i])], pa.int32()), pa.array([feature[edge[i] : edge[i + 1]].astype("<i4").tobytes()], pa.binary())], names=["doc_id", "y", "part", "features"])
+                for k in range(len(rel) - 1):
+                    r, own = a + k, int(np.searchsorted(owner, k))
+                    blocks = int(np.searchsorted(owner, k, side="right")) - own
+                    for c in chosen_blocks(int(off[r + 1] - off[r]), block, blocks_each):
+                        if first <= c < first + blocks:
+                            i = own + c - first
+                            yield pa.RecordBatch.from_arrays([batch.column(0)[r : r + 1], batch.column(1)[r : r + 1], pa.array([c], pa.int32()), pa.array([feature[edge[i] : edge[i + 1]].astype("<i4").tobytes()], pa.binary())], names=["doc_id", "y", "part", "features"])
 
     return run
 
@@ -180,14 +203,19 @@ def fit(rows: list[np.ndarray], y: np.ndarray, block: int, rounds: int = 20, c:
 
 
 def margins(model: QualityModel, body: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    owner, length, where, feature = features(body, offsets, model.block)
+    """Mean margin of each text over its blocks by their bytes. n-grams and repeats over the end of a long text's part don't count."""
+    total, weight = np.zeros(len(offsets) - 1), np.zeros(len(offsets) - 1)
     if model.weights.ndim == 1:
-        return np.zeros(len(offsets) - 1)
-    dot = np.bincount(where, model.weights[0][feature], len(owner))
-    norm = np.sqrt(np.bincount(where, model.weights[1][feature], len(owner)))
-    value = dot / np.maximum(norm, 1e-9) + model.bias
-    share = np.maximum(length, 1).astype(float)
-    return np.bincount(owner, value * share, len(offsets) - 1) / np.bincount(owner, share, len(offsets) - 1)
+        return total
+    for a, _, part, rel in in_parts(body, offsets, model.block):
+        owner, length, where, feature = features(part, rel, model.block)
+        dot = np.bincount(where, model.weights[0][feature], len(owner))
+        norm = np.sqrt(np.bincount(where, model.weights[1][feature], len(owner)))
+        value = dot / np.maximum(norm, 1e-9) + model.bias
+        share = np.maximum(length, 1).astype(float)
+        total[a : a + len(rel) - 1] += np.bincount(owner, value * share, len(rel) - 1)
+        weight[a : a + len(rel) - 1] += np.bincount(owner, share, len(rel) - 1)
+    return total / weight
 
 
 def _score_batches(shared, carry: int):
@@ -195,9 +223,7 @@ def _score_batches(shared, carry: int):
         model = shared.value
         for batch in batches:
             off, body = utf8(batch.column(0))
-            out = np.zeros(batch.num_rows)
-            for a, b in runs_of_rows(off, 1 << 19):
-                out[a:b] = margins(model, body[off[a] : off[b]], off[a : b + 1] - off[a])
+            out = margins(model, body, off)
             p = 1 / (1 + np.exp(-np.clip(model.slope * out + model.shift, -30, 30)))
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(p)], names=[*(f"c{i}" for i in range(carry)), "score"])
 
@@ -210,7 +236,7 @@ def fit_quality_model(docs: DataFrame, labels: DataFrame, per_label: int = 2000,
     marked = marked.where(fold(F.col("labelled")) != 0).withColumn("doc_id", F.col("labelled"))
     some = stratified(marked, "y", per_label).select("labelled", "y")  # about per_label rows of a label, so it may be broadcast
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(some), F.col("doc_id") == F.col("labelled")).select(F.col("doc_id").cast("long").alias("doc_id"), "y", "text")
-    got = rows.mapInArrow(_feature_batches(block, blocks_each), "doc_id long, y int, part int, features binary").collect()
+    got = rows.mapInArrow(lean(_feature_batches(block, blocks_each)), "doc_id long, y int, part int, features binary").collect()
     got = sorted(got, key=lambda r: (r.doc_id, r.part, r.y, r.features))
     return fit([np.frombuffer(r.features, "<i4") for r in got], np.array([r.y for r in got]), block)
 
@@ -219,13 +245,14 @@ def score_quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, ca
     """(doc_id, held_out, score, predicted, then `carry`) for each row of docs (doc_id, text).
 
     Learns from labels (doc_id, quality) of rows outside fold 0 alone; a score sees the text alone. A null text counts as
-    empty and gets the score of a text without features; a null doc_id counts as held out; repeated rows get equal scores;
-    without labels of both kinds all scores are equal; an empty table gives an empty result.
+    empty and gets the score of a text without features; very long texts are scored part by part, whole; a null doc_id counts as
+    held out; repeated rows get equal scores; without labels of both kinds all scores are equal; an empty table gives an empty
+    result. Columns not in `carry` are left out, whatever their names.
     """
     model = docs.sparkSession.sparkContext.broadcast(fit_quality_model(docs, labels, **options))
     held = F.coalesce(fold(F.col("doc_id")) == 0, F.lit(True))
     src = docs.select(F.coalesce("text", F.lit("")).alias("text"), F.col("doc_id").cast("long").alias("c0"), held.alias("c1"), *[F.col(c).alias(f"c{i + 2}") for i, c in enumerate(carry)])
     kinds = dict(src.dtypes)
     n = len(carry) + 2
-    out = src.mapInArrow(_score_batches(model, n), ", ".join(f"c{i} {kinds[f'c{i}']}" for i in range(n)) + ", score double")
+    out = src.mapInArrow(lean(_score_batches(model, n)), ", ".join(f"c{i} {kinds[f'c{i}']}" for i in range(n)) + ", score double")
     return out.select(F.col("c0").alias("doc_id"), F.col("c1").alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"), *[F.col(f"c{i + 2}").alias(c) for i, c in enumerate(carry)])

@@ -19,3 +19,10 @@ def stratified(rows: DataFrame, label: str, per_label: int, seed: int = 7) -> Da
         share = F.when(F.col(label) == F.lit(value), F.lit(min(1.0, per_label / n))).otherwise(share)
     point = F.pmod(F.xxhash64(F.lit(seed), F.col("doc_id")), F.lit(1_000_003)) / F.lit(1_000_003.0)
     return rows.where(point < share)
+
+
+def drawn_parts(text: Column, size: int, most: int, seed: int = 11) -> Column:
+    """At most `most` parts of `size` characters of a text (the last one may be shorter), drawn by hash over its whole length."""
+    count = F.greatest(F.ceil(F.length(text) / size), F.lit(1))
+    ranked = F.transform(F.sequence(F.lit(0).cast("long"), count - 1), lambda i: F.struct(F.xxhash64(F.lit(seed), F.length(text), i).alias("h"), i.alias("i")))
+    return F.transform(F.slice(F.array_sort(ranked), 1, most), lambda r: F.substring(text, (r["i"] * size + 1).cast("int"), F.lit(size)))
