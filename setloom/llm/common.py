@@ -9,7 +9,7 @@ from functools import wraps
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -112,6 +112,19 @@ def starts_of(*columns: np.ndarray) -> np.ndarray:
     return np.concatenate([[0], np.flatnonzero(new) + 1, [n]]).astype(np.int64) if n else np.zeros(1, np.int64)
 
 
+def row_key(columns: list[str]) -> Column:
+    """MD5 over all named columns of a row, null and empty values told apart."""
+    own = [F.md5(F.col("text").cast("binary")).alias("text") if c == "text" else F.col(c) for c in columns]
+    return F.unhex(F.md5(F.to_json(F.struct(*own))))
+
+
+def rows_of(docs: DataFrame, keys: DataFrame, columns: list[str]) -> DataFrame:
+    """One row of docs (columns) for each row_key in `keys` (rk and any others), with the others; texts are shuffled once."""
+    own = docs.select(row_key(columns).alias("rk"), *columns).join(keys.select("rk"), "rk", "left_semi")
+    # rows with equal keys are equal in all columns
+    return own.groupBy("rk").agg(*[F.first(c).alias(c) for c in columns]).join(keys, "rk")
+
+
 def numbered(df: DataFrame, keys: list[str], order: list[str], name: str, rows: int, per_bucket: int = 50_000) -> DataFrame:
     """Number the rows of each group of `keys` from 0 without bringing a group into one task.
 

@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from setloom.llm.common import numbered, staged
+from setloom.llm.common import discard, numbered, row_key, rows_of, staged
 
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -110,12 +110,16 @@ def mix_sources(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), budget:
 
     taken: words that the mix takes from the row, repeats counted: a multiple of its size, at most `most` times. Null or
     empty texts have size 0 and nothing taken; a null source is a source of its own, after all others; rows with equal doc_id
-    stand for themselves; an empty table gives an empty result. The per-source totals, one row a source, pass through the
+    stand for themselves; very long texts are one row of their size; of rows with equal sizes the seeded hash of the id decides;
+    an empty table gives an empty result; columns not in `carry` are left out. The per-source totals, one row a source, pass through the
     driver; sizes within a source are counted before they meet, so a task gets one row for each different size.
     """
     spark = docs.sparkSession
+    kept = list(dict.fromkeys(["doc_id", "source", "text", *carry]))
     key = F.concat(F.when(F.col("source").isNull(), "n").otherwise("s"), F.coalesce("source", F.lit("")))
-    sized = staged(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", key.alias("source_key"), words(F.col("text")).alias("size"), *[F.col(c).alias(f"c{i}") for i, c in enumerate(carry)]), "mix-sized")
+    # only row keys and sizes go through the mix; what is carried joins at the end
+    rk = [row_key(kept).alias("rk")] if carry else []
+    sized = staged(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", key.alias("source_key"), words(F.col("text")).alias("size"), *rk), "mix-sized")
     totals = {r.source_key: (r.source, r.total, r.n) for r in sized.groupBy("source_key").agg(F.first("source").alias("source"), F.sum("size").alias("total"), F.count("*").alias("n")).collect()}
     targets = source_targets([(s, t) for s, t, _ in totals.values()], weights, budget, most)
     table = spark.createDataFrame([(k, int(t), float(targets[s])) for k, (s, t, _) in totals.items()], "source_key string, source_size long, target double")
@@ -127,4 +131,11 @@ def mix_sources(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), budget:
     ranked = numbered(sized.withColumn("point", point), ["source_key", "size"], ["point", "doc_id"], "rank", rows)
     out = ranked.join(plan, ["source_key", "size"], "left").join(table, "source_key")
     taken = F.col("size") * F.coalesce(F.col("whole") + (F.col("rank") < F.col("extra")).cast("long"), F.lit(0))
-    return out.select("doc_id", "source", "size", "source_size", "target", taken.alias("taken"), *[F.col(f"c{i}").alias(c) for i, c in enumerate(carry)])
+    out = out.select("doc_id", "source", "size", "source_size", "target", taken.alias("taken"), *[c for c in out.columns if c == "rk"])
+    if not carry:
+        return out
+    # equal rows differ at most in what is taken of them
+    each = staged(out.groupBy("rk", "size", "source_size", "target", "taken").agg(F.count("*").alias("n")), "mix-taken")
+    discard(sized, plan)
+    full = rows_of(docs, each, kept).withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n"))))
+    return full.select(F.col("doc_id").cast("long").alias("doc_id"), "source", "size", "source_size", "target", "taken", *carry)

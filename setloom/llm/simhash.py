@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from setloom.llm.common import connected_components, discard, groups, lean, local_forest, parts_of, staged, starts_of, utf8
+from setloom.llm.common import connected_components, discard, groups, lean, local_forest, parts_of, row_key, rows_of, staged, starts_of, utf8
 
 LANES = np.uint64(0x0101010101010101)
 
@@ -217,17 +217,17 @@ def fingerprint_hex(fp: Column) -> Column:
 
 
 def _sig_batches(width: int, seed: int):
-    """The first column is the text, the others are handed on."""
+    """The first column is the text, the others are handed on without it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            off, body = utf8(batch.column(0).fill_null(""))
+            off, body = utf8(batch.column(0))
             sig, prints = [], Prints(batch.num_rows)
             for i in range(batch.num_rows):
                 own = np.unique(shingle_hashes(body[off[i] : off[i + 1]], width, seed))
                 sig.append(xxhash.xxh3_128_digest(own.tobytes()))
                 prints.add(i, own)
-            yield pa.RecordBatch.from_arrays([pa.array(sig, pa.binary()), pa.array(prints.flush()), *batch.columns], names=["sig", "fp", *batch.schema.names])
+            yield pa.RecordBatch.from_arrays([pa.array(sig, pa.binary()), pa.array(prints.flush()), *batch.columns[1:]], names=["sig", "fp", *batch.schema.names[1:]])
 
     return run
 
@@ -236,7 +236,7 @@ def _ceil(x: float) -> int:
     return math.ceil(x - 1e-9)
 
 
-def prefix_sizes(n: int, similarity: float, extra: float = 0.2) -> tuple[int, int]:
+def prefix_sizes(n: int, similarity: float, extra: float = 0.05) -> tuple[int, int]:
     """(p, m) of a set of n: it and any set at `similarity` or more share at least m of their first p entries in one order of all.
 
     They share o >= similarity * n entries. At least o - l of those follow the l-th, so it stands among the first
@@ -330,11 +330,11 @@ def _alike_batches(similarity: float):
     return run
 
 
-def signed_rows(docs: DataFrame, width: int = 5, seed: int = 42) -> DataFrame:
-    """The rows of docs (text and any others), staged, with rid (a number of its own for each), and sig and fp of its set of word shingles."""
-    src = docs.select("text", *[c for c in docs.columns if c != "text"])
-    ddl = "sig binary, fp long, " + ", ".join(f"`{name}` {kind}" for name, kind in src.dtypes)
-    return staged(src.mapInArrow(lean(_sig_batches(width, seed)), ddl).withColumn("rid", F.monotonically_increasing_id()), "near-signed")
+def signed_rows(docs: DataFrame, columns: list[str], width: int = 5, seed: int = 42) -> DataFrame:
+    """(sig, fp, doc_id, rk, rid) of each row of docs, staged: signature and fingerprint of its set of word shingles, its row_key
+    over `columns` and a number of its own. No text is kept."""
+    src = docs.select(F.coalesce("text", F.lit("")).alias("text"), F.col("doc_id").cast("long").alias("doc_id"), row_key(columns).alias("rk"))
+    return staged(src.mapInArrow(lean(_sig_batches(width, seed)), "sig binary, fp long, doc_id long, rk binary").withColumn("rid", F.monotonically_increasing_id()), "near-signed")
 
 
 def prefix_links(entries: DataFrame) -> DataFrame:
@@ -343,14 +343,15 @@ def prefix_links(entries: DataFrame) -> DataFrame:
     `need` of such a set's entries stand in other sets too. In any order of the entries, two such sets of p entries share
     one of their first p - need + 1. Ordered by how many sets hold them, rarest first, few sets share any of these.
     """
-    shared = entries.groupBy("h").agg(F.count("*").alias("df")).where("df > 1")
+    # staged, so that the join's sides are plain shuffles, which can be split where an entry is frequent
+    shared = staged(entries.groupBy("h").agg(F.count("*").alias("df")).where("df > 1"), "near-shared")
     found = staged(entries.join(shared, "h"), "near-found")
     alive = found.groupBy("id").agg(F.count("*").alias("c"), F.first("need").alias("least")).where("c >= least").select("id", (F.col("c") - F.col("least") + 1).alias("upto"))
     rank = F.row_number().over(Window.partitionBy("id").orderBy("df", "h"))
     keys = staged(found.join(alive, "id").withColumn("r", rank).where("r <= upto").select("id", "h"), "near-keys")
-    least = keys.groupBy("h").agg(F.min("id").alias("least"), F.count("*").alias("many")).where("many > 1").select("h", "least")
+    least = staged(keys.groupBy("h").agg(F.min("id").alias("least"), F.count("*").alias("many")).where("many > 1").select("h", "least"), "near-least")
     out = staged(keys.join(least, "h").where("id <> least").select(F.col("id").alias("a"), F.col("least").alias("b")).distinct(), "near-edges")
-    discard(found, keys)
+    discard(shared, found, keys, least)
     return out
 
 
@@ -366,21 +367,27 @@ def fingerprint_links(reps: DataFrame, most: int) -> DataFrame:
     return out
 
 
-def near_groups(signed: DataFrame, width: int = 5, similarity: float = 0.8, seed: int = 42, chunk: int = 512, most: int = 4) -> DataFrame:
-    """(sig, grp) for each different sig of `signed_rows`: grp is the same for all that pairs of alike sets connect.
+def near_groups(signed: DataFrame, docs: DataFrame, columns: list[str], width: int = 5, similarity: float = 0.8, seed: int = 42, chunk: int = 512, most: int = 4) -> DataFrame:
+    """(sig, grp) for each different sig of `signed_rows(docs, columns)`: grp is the same for all that pairs of alike sets connect.
 
     Candidates are the pairs that SimHash links at `most` bits, and all that it may miss: an exact prefix filter
     (`prefix_sizes`, `prefix_links`) makes them complete. Within the groups that candidates connect, sets of shingles are
     compared in full, and pairs with at least `similarity` of their union in common are links. A group of over `chunk`
     different sets is dealt into chunks, and each pair of chunks is a task's work of its own. Texts without words are alike.
     """
-    reps = staged(signed.groupBy("sig").agg(F.min("rid").alias("id"), F.min("fp").alias("fp")), "near-reps")
-    texts = signed.join(reps.select(F.col("id").alias("rid")), "rid", "left_semi").select(F.col("rid").alias("id"), F.coalesce("text", F.lit("")).alias("text"))
-    entries = staged(texts.mapInArrow(lean(_entry_batches(width, seed, similarity)), "id long, need int, h long"), "near-entries")
+    least = F.min(F.struct("rid", "rk", "fp")).alias("k")
+    reps = staged(signed.groupBy("sig").agg(least).select("sig", F.col("k.rid").alias("id"), F.col("k.rk").alias("rk"), F.col("k.fp").alias("fp")), "near-reps")
+
+    def texts_of(ids: DataFrame) -> DataFrame:
+        return rows_of(docs, ids, columns).select("id", F.coalesce("text", F.lit("")).alias("text"), *[c for c in ids.columns if c not in ("id", "rk")])
+
+    entries = texts_of(reps.select("id", "rk")).mapInArrow(lean(_entry_batches(width, seed, similarity)), "id long, need int, h long")
+    entries = staged(entries, "near-entries")
     edges, prints = prefix_links(entries), fingerprint_links(reps.select("id", "fp"), most)
-    members = staged(connected_components(edges.unionByName(prints)).select(F.col("node").alias("doc_id"), F.col("root").alias("grp")), "near-members")
-    discard(entries, edges, prints)
-    own = members.join(texts.withColumnRenamed("id", "doc_id"), "doc_id").select("grp", "doc_id", "text")
+    discard(entries)
+    members = staged(connected_components(edges.unionByName(prints)).select(F.col("node").alias("id"), F.col("root").alias("grp")), "near-members")
+    discard(edges, prints)
+    own = texts_of(members.join(reps.select("id", "rk"), "id")).select("grp", F.col("id").alias("doc_id"), "text")
     sets = staged(own.mapInArrow(lean(_set_batches(width, seed)), "grp long, doc_id long, shingles array<long>"), "near-shingles")
     parts = members.groupBy("grp").agg(F.ceil(F.count("*") / chunk).cast("int").alias("c"))
     dealt = sets.join(parts, "grp").withColumn("own", F.pmod(F.xxhash64("doc_id"), F.col("c")).cast("int"))
@@ -395,16 +402,33 @@ def near_groups(signed: DataFrame, width: int = 5, similarity: float = 0.8, seed
     return out
 
 
-def near_duplicates(docs: DataFrame, width: int = 5, similarity: float = 0.8, seed: int = 42, chunk: int = 512) -> DataFrame:
+def near_duplicates(docs: DataFrame, width: int = 5, similarity: float = 0.8, **options: int) -> DataFrame:
     """(doc_id, kept_id) for each different doc_id: the document that stands for its group, itself included.
 
     Groups are those of `near_groups`; kept_id is the smallest doc_id of the group. Rows with a null doc_id are left out; of
-    rows that share a doc_id the least text counts.
+    rows that share a doc_id the least text counts. Null texts count as empty, an empty table gives an empty result.
     """
     own = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    if own.groupBy("doc_id").count().where("count > 1").limit(1).count():
-        own = staged(own.groupBy("doc_id").agg(F.min("text").alias("text")), "near-docs")
-    signed = signed_rows(own, width, seed)
-    known = staged(signed.select("doc_id", "sig").join(near_groups(signed, width, similarity, seed, chunk), "sig").select("doc_id", "grp"), "near-known")
-    discard(signed)
+    own = staged(own.groupBy("doc_id").agg(F.min("text").alias("text")), "near-docs")
+    columns = ["doc_id", "text"]
+    signed = signed_rows(own, columns, width, options.get("seed", 42))
+    known = staged(signed.select("doc_id", "sig").join(near_groups(signed, own, columns, width, similarity, **options), "sig").select("doc_id", "grp"), "near-known")
+    discard(signed, own)
     return known.join(known.groupBy("grp").agg(F.min("doc_id").alias("kept_id")), "grp").select("doc_id", "kept_id")
+
+
+def one_of_each_group(docs: DataFrame, columns: list[str], width: int = 5, similarity: float = 0.8, **options: int) -> DataFrame:
+    """The rows of docs (`columns`, doc_id and text among them) that stand for their groups of near duplicates, one of each.
+
+    Groups are those of `near_groups`. The row with the least doc_id is kept, a null one last; then the least row_key. Null
+    texts count as empty, texts without words are alike, very long texts are compared whole, ids may be null or repeated, an
+    empty table gives an empty result, and columns not named are left out.
+    """
+    own = docs.select(*columns)
+    signed = signed_rows(own, columns, width, options.get("seed", 42))
+    groups_ = near_groups(signed, own, columns, width, similarity, **options)
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "rk")
+    first = signed.groupBy("sig").agg(F.min(order).alias("k"))
+    kept = staged(first.join(groups_, "sig").groupBy("grp").agg(F.min("k").alias("k")).select("k.rk"), "near-kept")
+    discard(signed, groups_)
+    return rows_of(own, kept, columns).select(*columns)

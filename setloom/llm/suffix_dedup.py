@@ -428,8 +428,9 @@ def repeated_spans(docs: DataFrame, length: int = 400, gram: int = 128, group_ca
     short = []
     if words:
         windows = staged(texts.select("tkey", "text").mapInArrow(lean(_word_window_batches(words, length)), "tkey binary, start int, end int, whash binary"), "suffix-words")
-        again = windows.groupBy("whash").agg(F.count("*").alias("n")).where("n > 1").select("whash")
-        short.append(windows)
+        # staged, so that the join's sides are plain shuffles, which can be split where a window is frequent
+        again = staged(windows.groupBy("whash").agg(F.count("*").alias("n")).where("n > 1").select("whash"), "suffix-again")
+        short += [windows, again]
         marks = marks.unionByName(windows.join(again, "whash", "left_semi").select("tkey", F.struct("start", "end").alias("span")).distinct())
     spans = marks.groupBy("tkey").agg(F.collect_list("span").alias("spans"))
     # of a text that several rows hold, every byte is repeated
