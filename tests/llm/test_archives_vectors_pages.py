@@ -86,6 +86,48 @@ def test_near_vectors_are_brute_force(spark, node):
     assert vectors.near_vectors(frame.limit(0)).count() == 0
 
 
+def test_dual_traversal_finds_all_pairs_with_few_distances():
+    rng = np.random.default_rng(3)
+    middle = rng.normal(size=(30, 6))
+    x = np.repeat(middle, 40, axis=0) + rng.normal(size=(1200, 6)) * 0.02
+    x = rng.permutation(x / np.linalg.norm(x, axis=1, keepdims=True))
+    every = np.sqrt(np.maximum(2 - 2 * x @ x.T, 0))
+    for reach in (0.02, 0.2):
+        for a, b, want in ((x, x, np.triu(every <= reach, 1)), (x[:500], x[500:], every[:500, 500:] <= reach)):
+            made = vectors.Distances()
+            i, j = vectors.dual_pairs(a, b if a is not b else a, reach, made)
+            assert len({*zip(i.tolist(), j.tolist(), strict=True)}) == len(i) and want.sum() <= len(i)
+            got = np.zeros(want.shape, bool)
+            got[i, j] = True
+            assert not (want & ~got).any()
+            assert made.made < len(a) * len(b) / 8, made.made
+    assert not len(vectors.dual_pairs(np.eye(3)[:2], np.eye(3)[2:], 0.2, vectors.Distances())[0])
+    for n in (1, 2, 5):
+        i, j = vectors.dual_pairs(x[:n], x[:n].copy(), 0.5, vectors.Distances())
+        assert {*zip(i.tolist(), j.tolist(), strict=True)} >= {(a, b) for a in range(n) for b in range(n) if every[a, b] <= 0.5}
+
+
+def test_near_vectors_with_null_shared_and_repeated_ids(spark):
+    u, v, w = [1.0, 0.0, 0.0], [1.0, 0.05, 0.0], [0.0, 0.0, 1.0]
+    rows = [(5, u, 1), (None, v, 1), (5, w, 1), (7, w, 1), (7, w, 1), (None, [0.0, 1.0, 0.0], 1), (None, [0.0, 1.01, 0.0], 1), (3, u, None), (3, u, 2)]
+    frame = spark.createDataFrame([(*r, "x", 1) for r in rows], "vec_id long, embedding array<float>, label int, cid string, n int")
+    got = sorted((str(r.vec_id), r.n_links, str(r.component_id), r.kept) for r in vectors.near_vectors(frame, 0.98).collect())
+    want = [("5", 1, "5", True), ("None", 1, "5", False), ("5", 2, "5", True), ("7", 2, "5", False), ("7", 2, "5", False), ("None", 1, "None", True), ("None", 1, "None", True), ("3", 0, "3", True), ("3", 0, "3", True)]
+    assert got == sorted(want)
+
+
+def test_top_k_of_large_components_and_empty_vectors(spark):
+    frame = spark.createDataFrame([(0, [1.0, 0.0]), (1, [200000.0, 0.0]), (2, [0.5, 0.0]), (3, [-3.0e9, 1.0]), (100, [4.0e6, 4.0e6]), (200, []), (7, [])], "vec_id long, embedding array<double>")
+    got = {}
+    for r in vectors.top_k(frame, every=100).collect():
+        got.setdefault(r.query_id, []).append((r["rank"], r.vec_id, r.score))
+    own = {0: [1024, 0], 1: [204800000, 0], 2: [512, 0], 3: [-3072000000000, 1024], 100: [4096000000, 4096000000]}
+    for q in (0, 100):
+        best = sorted((-sum(a * b for a, b in zip(own[q], v, strict=True)), i) for i, v in own.items() if i != q)
+        assert sorted(got[q]) == [(n + 1, i, max(-s, -(1 << 63))) for n, (s, i) in enumerate(best)]
+    assert got[200] == [(1, 7, 0)]
+
+
 def test_top_k_is_brute_force(spark):
     rows = odd_vectors(2, 300) + [(4, [1.0] * 8, 0), (100, [2.0] * 8, 0)]
     frame = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
