@@ -127,7 +127,12 @@ class Distances:
     def __call__(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
         """Of each row of x from the one row y, or from the row of y at its place."""
         self.made += len(x)
-        return np.sqrt(np.maximum(2 - 2 * np.einsum("ij,ij->i", x, np.broadcast_to(y, x.shape)), 0))
+        return np.sqrt(np.maximum(2 - 2 * (x @ y if y.ndim == 1 else np.einsum("ij,ij->i", x, y)), 0))
+
+    def table(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """Of each row of x from each row of y."""
+        self.made += len(x) * len(y)
+        return np.sqrt(np.maximum(2 - 2 * (x @ y.T), 0))
 
 
 @dataclass(frozen=True)
@@ -190,12 +195,12 @@ def _children(level: Level, above: int) -> tuple[np.ndarray, np.ndarray]:
     return order, np.searchsorted(level.parent[order], np.arange(above + 1))
 
 
-def dual_pairs(x: np.ndarray, y: np.ndarray, reach: float, distances: Distances, at_once: int = 100_000) -> tuple[np.ndarray, np.ndarray]:
+def dual_pairs(x: np.ndarray, y: np.ndarray, reach: float, distances: Distances, many: int = 1 << 12, at_once: int = 100_000) -> tuple[np.ndarray, np.ndarray]:
     """Index pairs of x and y that may lie within `reach`, by going down both trees together; within one tree (y is x) i < j.
 
-    A pair of nodes goes down if its centres are no further apart than both covering radii and the reach. A distance is made
-    only for children of such a pair that the distances to their parents don't rule out, and not again where both children
-    stand at their parents' vectors.
+    A pair of nodes goes down if its centres are no further apart than both covering radii and the reach. Distances are made
+    for the children of such pairs alone: as one table if two nodes have `many` pairs of children, else pair by pair, where
+    the distances to the parents don't rule them out, and not again where both children stand at their parents' vectors.
     """
     one, slack = x is y, 1e-6
     a = cover_levels(x, reach / 2, distances)
@@ -206,14 +211,25 @@ def dual_pairs(x: np.ndarray, y: np.ndarray, reach: float, distances: Distances,
     apart = distances(x[a[0].centre], y[b[0].centre])
     for p, q, up_p, up_q in zip(a[1:], b[1:], a, b, strict=False):
         (kids_p, edge_p), (kids_q, edge_q) = _children(p, len(up_p.centre)), _children(q, len(up_q.centre))
-        if not len(left):
-            break
-        many = np.diff(edge_p)[left] * np.diff(edge_q)[right]
-        steps = np.searchsorted(np.cumsum(many), np.arange(at_once, many.sum() + at_once, at_once), side="left")
-        found: list[tuple[np.ndarray, ...]] = []
-        for s, e in zip([0, *(steps[:-1] + 1).tolist()], (steps + 1).tolist(), strict=True):
-            pair = np.repeat(np.arange(s, min(e, len(left))), many[s:e])
-            rank = np.arange(len(pair)) - np.repeat(np.cumsum(many[s:e]) - many[s:e], many[s:e])
+        each = np.diff(edge_p)[left] * np.diff(edge_q)[right]
+        found = [(left[:0], right[:0], apart[:0])]
+        for k in np.flatnonzero(each >= many).tolist():
+            mine, theirs = kids_p[edge_p[left[k]] : edge_p[left[k] + 1]], kids_q[edge_q[right[k]] : edge_q[right[k] + 1]]
+            rows = max(at_once // len(theirs), 1)
+            for s in range(0, len(mine), rows):
+                part = mine[s : s + rows]
+                d = distances.table(x[p.centre[part]], y[q.centre[theirs]])
+                keep = d <= p.cover[part][:, None] + (q.cover[theirs] + reach + slack)
+                if one and left[k] == right[k]:
+                    keep &= part[:, None] <= theirs
+                i, j = np.nonzero(keep)
+                found.append((part[i], theirs[j], d[i, j]))
+        few = np.flatnonzero(each < many)
+        left, right, apart, each = left[few], right[few], apart[few], each[few]
+        edges = np.append(np.searchsorted(np.cumsum(each), np.arange(0, each.sum(), at_once)), len(few))
+        for s, e in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+            pair = np.repeat(np.arange(s, e), each[s:e])
+            rank = np.arange(len(pair)) - np.repeat(np.cumsum(each[s:e]) - each[s:e], each[s:e])
             wide = np.diff(edge_q)[right[pair]]
             i, j = kids_p[edge_p[left[pair]] + rank // wide], kids_q[edge_q[right[pair]] + rank % wide]
             bound = p.cover[i] + q.cover[j] + reach + slack

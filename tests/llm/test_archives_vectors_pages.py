@@ -95,12 +95,17 @@ def test_dual_traversal_finds_all_pairs_with_few_distances():
     for reach in (0.02, 0.2):
         for a, b, want in ((x, x, np.triu(every <= reach, 1)), (x[:500], x[500:], every[:500, 500:] <= reach)):
             made = vectors.Distances()
-            i, j = vectors.dual_pairs(a, b if a is not b else a, reach, made)
+            i, j = vectors.dual_pairs(a, b if a is not b else a, reach, made, at_once=700)
             assert len({*zip(i.tolist(), j.tolist(), strict=True)}) == len(i) and want.sum() <= len(i)
             got = np.zeros(want.shape, bool)
             got[i, j] = True
             assert not (want & ~got).any()
             assert made.made < len(a) * len(b) / 8, made.made
+    flat = rng.normal(size=(300, 32))
+    flat /= np.linalg.norm(flat, axis=1, keepdims=True)
+    far = np.sqrt(np.maximum(2 - 2 * flat @ flat.T, 0))
+    i, j = vectors.dual_pairs(flat, flat, 0.9, vectors.Distances(), many=50)
+    assert {*zip(i.tolist(), j.tolist(), strict=True)} == {*zip(*(v.tolist() for v in np.nonzero(np.triu(far <= 0.9 + 1e-6, 1))), strict=True)}
     assert not len(vectors.dual_pairs(np.eye(3)[:2], np.eye(3)[2:], 0.2, vectors.Distances())[0])
     for n in (1, 2, 5):
         i, j = vectors.dual_pairs(x[:n], x[:n].copy(), 0.5, vectors.Distances())
