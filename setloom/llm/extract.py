@@ -1,15 +1,19 @@
 """Main text of web pages by consensus container paths of each host.
 
 First pass: each page's containers are scored by the running text in them, and the best ones vote for their generalised
-path (tags and classes, numbers masked). Spark sums the votes by host and path. Second pass: each page is read again and
-the containers on its host's winning path give its text; a page without such a container, or with far less text in it than
-its own best one holds, falls back on that one.
+path (tags and classes, numbers masked). Spark sums the votes by host and path. Second pass: each page is read again, and its
+own best container, widened to the article that it stands in, meets the containers on its host's winning path: the wider one
+of two nested ones gives the text; of two apart, the host's, unless hardly any text is in it.
+
+Tags and roles decide what furniture is. A class or id does so only if all its words are names of furniture or of places, never
+for an article, a main element or the body, and, but for reader comments, not for what holds most of a page's running text.
 """
 
 from __future__ import annotations
 
 import html as entities
 import re
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -28,6 +32,8 @@ ROLES = frozenset("navigation banner contentinfo complementary search dialog ale
 FURNITURE = frozenset(
     "nav navbar navigation menu topbar footer sidebar aside ad ads advert adverts advertisement advertising promo promotion sponsor sponsored banner cookie cookies consent gdpr notice notices notification popup modal overlay comment comments disqus respond replies share sharing social related recommended breadcrumb breadcrumbs pagination pager newsletter subscribe subscription signup login widget widgets toolbar masthead form search".split()
 )
+PLACES = frozenset("site page main top bottom left right primary secondary global box bar block wrapper wrap container inner outer section area list links link buttons button icons posts post article content text message panel thread form media item items".split())
+COMMENTS = frozenset("comment comments disqus respond replies".split())
 CONTENT = frozenset("article content post entry story main text body articlebody".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 CONTAINERS = frozenset("article main section div td body center blockquote".split())
@@ -46,13 +52,29 @@ HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden")
 
 @dataclass
 class Page:
+    """Elements in page order, parents first, and text blocks."""
+
     tag: list[str] = field(default_factory=list)
     parent: list[int] = field(default_factory=list)
-    bad: list[bool] = field(default_factory=list)
+    hard: list[bool] = field(default_factory=list)  # furniture by tag, role or style
+    soft: list[bool] = field(default_factory=list)  # furniture by name, unless most of the page's text is in it
+    comment: list[bool] = field(default_factory=list)
     step: list[str] = field(default_factory=list)
     bonus: list[bool] = field(default_factory=list)
+    trail: list[int] = field(default_factory=list)  # checksum of the path
     blocks: list[tuple[int, str, int]] = field(default_factory=list)  # (node, text, characters in links)
 
+    def add(self, tag: str, parent: int, hard: bool, soft: bool, comment: bool, step: str, bonus: bool) -> int:
+        self.tag.append(tag)
+        self.parent.append(parent)
+        self.hard.append(hard or (parent >= 0 and self.hard[parent]))
+        self.soft.append(soft)
+        self.comment.append(comment)
+        self.step.append(step)
+        self.bonus.append(bonus)
+        self.trail.append(zlib.crc32(step.encode(), self.trail[parent]) if parent >= 0 else 0)
+        return len(self.tag) - 1
+
     def path(self, node: int) -> str:
         steps = []
         while node > 0:
@@ -60,6 +82,32 @@ class Page:
             node = self.parent[node]
         return ">".join(reversed(steps))
 
+    def on_path(self, path: str) -> set[int]:
+        trail = 0
+        for step in path.split(">"):
+            trail = zlib.crc32(step.encode(), trail)
+        return {n for n, t in enumerate(self.trail) if n and t == trail and self.path(n) == path}
+
+    def under(self, roots: set[int]) -> list[bool]:
+        """Whether each element is one of the roots or stands in one."""
+        inside: list[bool] = []
+        for n, up in enumerate(self.parent):
+            inside.append(n in roots or (up >= 0 and inside[up]))
+        return inside
+
+
+def furniture_name(value: str) -> tuple[bool, bool, bool]:
+    """Whether one of the names in a class or id stands for page furniture, for reader comments, and for a site's header."""
+    found = said = header = False
+    for name in value.split():
+        words = set(PART.findall(CAMEL.sub("-", name).lower()))
+        words = {w for w in words if not w.isdigit()}
+        if words & FURNITURE and words <= FURNITURE | PLACES:
+            found = True
+            said |= bool(words & COMMENTS)
+        header |= "header" in words and words <= {"header"} | PLACES - CONTENT
+    return found, said, header
+
 
 def _attributes(raw: str) -> dict[str, str]:
     return {k.lower(): entities.unescape(v.strip("\"'")) for k, v in ATTRIBUTE.findall(raw)} if raw.strip(" /\n\t") else {}
@@ -67,8 +115,8 @@ def _attributes(raw: str) -> dict[str, str]:
 
 def parse(source: str) -> Page:
     """Elements and text blocks of a page, with the end tags that HTML implies; broken and cut-off markup is read as far as it goes."""
-    page = Page(["#"], [-1], [False], [""], [False])
-    stack = [0]
+    page = Page()
+    stack = [page.add("#", -1, False, False, False, "", False)]
     text: list[str] = []
     linked = 0
     in_link = 0
@@ -139,19 +187,20 @@ def parse(source: str) -> Page:
                 if t in ("table", "td", "th", "div", "section", "article", "button", "blockquote") and t not in wanted:
                     break
         known = _attributes(raw)
-        names = [x for v in (known.get("class", ""), known.get("id", "")) for x in PART.findall(CAMEL.sub("-", v).lower())]
-        up = stack[-1]
-        furniture = name in DROPPED or known.get("role", "").lower() in ROLES or "hidden" in known or known.get("aria-hidden", "").lower() == "true" or bool(HIDDEN.search(known.get("style", "").lower()))
-        furniture = furniture or (name not in KEPT and name not in INLINE and not FURNITURE.isdisjoint(names))
-        heading_only = name == "header" or (name not in KEPT and name not in HEADINGS and "header" in names)
-        if heading_only and not any(page.tag[n] in ("article", "main") or page.bonus[n] for n in stack):
-            furniture = True
-        page.tag.append("header" if heading_only and not furniture else name)
-        page.parent.append(up)
-        page.bad.append(page.bad[up] or furniture)
+        named = (known.get("class", ""), known.get("id", ""))
+        words = [x for v in named for x in PART.findall(CAMEL.sub("-", v).lower())]
+        hard = name in DROPPED and name != "form" or known.get("role", "").lower() in ROLES or "hidden" in known or known.get("aria-hidden", "").lower() == "true" or bool(HIDDEN.search(known.get("style", "").lower()))
+        soft, comment, header = name == "form", False, False
+        if name not in KEPT and name not in INLINE and name not in HEADINGS:
+            for found, said, top in map(furniture_name, named):
+                soft, comment, header = soft or found, comment or said, header or top
+        if name == "article" and not comment:
+            soft = header = False
+        if (header or name == "header") and not any(page.tag[n] in ("article", "main") or page.bonus[n] for n in stack):
+            hard, soft = hard or name == "header", True
         classes = sorted({re.sub(r"\d+", "#", c) for c in known.get("class", "").lower().split()})
-        page.step.append(".".join([name, *classes]))
-        page.bonus.append(name in ("article", "main") or not CONTENT.isdisjoint(names) and name in CONTAINERS - {"body"})
+        bonus = name in ("article", "main") or not CONTENT.isdisjoint(words) and name in CONTAINERS - {"body"}
+        node = page.add(name, stack[-1], hard, soft, comment, ".".join([name, *classes]), bonus)
         if raw.rstrip().endswith("/") and name in ("svg", "math", "path", "use"):
             continue
         if name in RAW:
@@ -161,63 +210,92 @@ def parse(source: str) -> Page:
             close = source.find(">", at)
             at = end if close < 0 else close + 1
             continue
-        stack.append(len(page.tag) - 1)
+        stack.append(node)
         in_link += name == "a"
     flush()
     return page
 
 
+def _worth(words: str, linked: int) -> int:
+    return max(len(words) - 2 * linked, 0) + 20 * words.count(",")
+
+
 def kept_blocks(page: Page) -> list[tuple[int, str, int]]:
-    """Blocks outside page furniture; of a header inside an article only its headings."""
-    out = []
+    """Blocks outside page furniture; of a header inside an article its headings and paragraphs."""
+    total = [0] * len(page.tag)
     for node, words, linked in page.blocks:
-        if page.bad[node]:
-            continue
-        up, heading, header = node, False, False
-        while up > 0:
-            heading |= page.tag[up] in HEADINGS
-            header |= page.tag[up] == "header"
-            up = page.parent[up]
-        if not header or heading:
-            out.append((node, words, linked))
-    return out
+        if not page.hard[node]:
+            total[node] += _worth(words, linked)
+    for n in range(len(total) - 1, 0, -1):
+        total[page.parent[n]] += total[n]
+
+    def kept(by_name: bool) -> list[tuple[int, str, int]]:
+        bad, heading, header = [False], [False], [False]
+        for n in range(1, len(page.tag)):
+            up = page.parent[n]
+            named = by_name and page.soft[n] and (page.comment[n] or 2 * total[n] <= total[0])
+            bad.append(bad[up] or page.hard[n] or named)
+            heading.append(heading[up] or page.tag[n] in HEADINGS or page.tag[n] == "p")
+            header.append(header[up] or page.tag[n] == "header")
+        return [x for x in page.blocks if not bad[x[0]] and (heading[x[0]] or not header[x[0]])]
+
+    return kept(True) or kept(False)
 
 
 def container_scores(page: Page, blocks: list[tuple[int, str, int]]) -> dict[int, float]:
     """Running text in each container: in full for what stands in it directly, less for each container in between."""
-    scores: dict[int, float] = {}
+    inner = [0.0] * len(page.tag)
+    some = [False] * len(page.tag)
     for node, words, linked in blocks:
-        worth = max(len(words) - 2 * linked, 0) + 20 * words.count(",")
-        share = 1.0
-        while node > 0:
-            if page.tag[node] in CONTAINERS:
-                scores[node] = scores.get(node, 0.0) + worth * share * (1.5 if page.bonus[node] else 1.0)
-                share *= 0.6
-            node = page.parent[node]
+        inner[node] += _worth(words, linked)
+        some[node] = True
+    scores: dict[int, float] = {}
+    for n in range(len(inner) - 1, 0, -1):
+        if some[n]:
+            within = page.tag[n] in CONTAINERS
+            if within:
+                scores[n] = inner[n] * (1.5 if page.bonus[n] else 1.0)
+            inner[page.parent[n]] += inner[n] * (0.6 if within else 1.0)
+            some[page.parent[n]] = True
     return scores
 
 
-def _inside(page: Page, node: int, roots: set[int]) -> bool:
+def widened(page: Page, node: int) -> int:
+    """The outermost article or main element around a container, or else the outermost element of the page."""
+    best = top = node
     while node > 0:
-        if node in roots:
-            return True
+        top = node
+        if page.tag[node] in ("article", "main"):
+            best = node
         node = page.parent[node]
-    return False
+    return best if page.tag[best] in ("article", "main") else top
+
+
+def best_container(page: Page, scores: dict[int, float]) -> int:
+    return max(scores, key=lambda n: (scores[n], -n), default=0)
 
 
 def main_text(source: str, path: str | None) -> str:
     page = parse(source)
     blocks = kept_blocks(page)
     scores = container_scores(page, blocks)
-    own = max(scores, key=lambda n: (scores[n], -n), default=0)
-    best = [words for node, words, _ in blocks if not own or _inside(page, node, {own})]
-    if path:
-        last = path.rpartition(">")[2]
-        roots = {n for n in scores if page.step[n] == last and page.path(n) == path}
-        agreed = [words for node, words, _ in blocks if _inside(page, node, roots)]
-        if roots and 5 * sum(map(len, agreed)) >= 2 * sum(map(len, best)):
-            best = agreed
-    return "\n".join(best)
+    core = best_container(page, scores)
+    own = widened(page, core)
+    # articles side by side on one path count together
+    roots = page.on_path(page.path(own)) & scores.keys() if page.tag[own] in ("article", "main") else {own}
+    agreed = page.on_path(path) & scores.keys() if path else set()
+    inside = page.under(roots or {0})
+    if agreed and not any(inside[n] for n in agreed):
+        theirs = page.under(agreed)
+        size = [sum(len(words) for node, words, _ in blocks if where[node]) for where in (theirs, inside)]
+        if any(theirs[n] for n in roots) or 4 * size[0] >= size[1]:
+            inside, core = theirs, min(agreed)
+            roots = agreed
+    if page.tag[min(roots, default=0)] not in ("article", "main"):
+        # beside the best container, what is mostly links isn't article
+        near = page.under({core})
+        return "\n".join(words for node, words, linked in blocks if inside[node] and (near[node] or 2 * linked <= len(words)))
+    return "\n".join(words for node, words, _ in blocks if inside[node])
 
 
 def _vote_batches(most: int):
@@ -260,8 +338,9 @@ def extract_text(pages: DataFrame, salts: int = 16) -> DataFrame:
     """(page_id, url, text, n_chars) for each row of pages (page_id, url, html).
 
     Blocks are joined by one newline, white space inside a block is one space, references are decoded. Null html counts as
-    empty, pages without text give an empty string, pages without a host vote together; repeated rows come out as often as
-    they went in; an empty table gives an empty result.
+    empty, pages without text give an empty string, pages without a host vote together; of containers with equal scores the
+    first wins, of paths with equal votes the last by code points; very long pages are read whole; repeated rows come out as
+    often as they went in; an empty table gives an empty result; further columns, whatever their names, are left out.
     """
     paths = host_paths(pages).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     paths = staged(paths, "extract-paths")
