@@ -6,7 +6,8 @@ own best container, widened to the article that it stands in, meets the containe
 of two nested ones gives the text; of two apart, the host's, unless hardly any text is in it.
 
 Tags and roles decide what furniture is. A class or id does so only if all its words are names of furniture or of places, never
-for an article, a main element or the body, and, but for reader comments, not for what holds most of a page's running text.
+for an article, a main element or the body, and, but for reader comments, not for what holds most of a page's running text and
+all that stands in its articles.
 """
 
 from __future__ import annotations
@@ -222,18 +223,21 @@ def _worth(words: str, linked: int) -> int:
 
 def kept_blocks(page: Page) -> list[tuple[int, str, int]]:
     """Blocks outside page furniture; of a header inside an article its headings and paragraphs."""
-    total = [0] * len(page.tag)
+    total, stated = [0] * len(page.tag), [0] * len(page.tag)  # text in an element, and what of it stands in an article
+    in_article = page.under({n for n, t in enumerate(page.tag) if t in ("article", "main") and not page.comment[n]})
     for node, words, linked in page.blocks:
         if not page.hard[node]:
             total[node] += _worth(words, linked)
+            stated[node] += len(words) if in_article[node] else 0
     for n in range(len(total) - 1, 0, -1):
         total[page.parent[n]] += total[n]
+        stated[page.parent[n]] += stated[n]
 
     def kept(by_name: bool) -> list[tuple[int, str, int]]:
         bad, heading, header = [False], [False], [False]
         for n in range(1, len(page.tag)):
             up = page.parent[n]
-            named = by_name and page.soft[n] and (page.comment[n] or 2 * total[n] <= total[0])
+            named = by_name and page.soft[n] and (page.comment[n] or 2 * total[n] <= total[0] or stated[n] < stated[0])
             bad.append(bad[up] or page.hard[n] or named)
             heading.append(heading[up] or page.tag[n] in HEADINGS or page.tag[n] == "p")
             header.append(header[up] or page.tag[n] == "header")

@@ -33,6 +33,7 @@ LAYOUTS = {
     "advert and cookie notice": (f"<div class=cookie-notice>We use cookies</div><div class=ad>Buy</div><article>{P}<div class='ad-box'>Buy more</div></article>", STORY),
     "more comments than article": (f"<div class=content>{P}</div><section id=comments>{TALK}</section>", STORY),
     "comments that are articles": (f"<main>{P}<article class=comment>{TALK}</article></main>", STORY),
+    "more advert than article": (f"<div class=ad>{P}</div><article><h1>T</h1><p>Short.</p></article>", "T\nShort."),
     "hidden and roles": (f"<div role=navigation>x</div><div hidden>h</div><p style='display:none'>n</p><article>{P}<div aria-hidden=true>i</div></article>", STORY),
     "sections side by side": (f"<div class=story><section><p>{ONE}</p></section><section><p>{TWO}</p></section></div>", STORY),
     "articles side by side": (f"<article class=part>{P}</article><article class=part><p>{ONE}</p></article>", f"{STORY}\n{ONE}"),
