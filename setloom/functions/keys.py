@@ -19,17 +19,17 @@ TILDES, DASHES, SINGLE_QUOTES, DOUBLE_QUOTES = "〜～", "‐‑‒–—―ー
 DROPPED = "・･,、.。/／\\|:：;；*＊☆★♡♪＿_+＋"
 OPEN, CLOSE = "([{（【〔［", ")]}）】〕］"
 BREAK_DASHES = "-‐‑‒–—―−"
-REMIX = "remix remixed bootleg boot edit mix ver version cover arrange arranged mashup vip extended inst instrumental".split()
-REMIX_TAIL = "remixed remix bootleg boot edit mix ver version covered cover arranged arrange mashup vip extended short full inst instrumental feat ft".split()
+REMIX = "remix|remixed|bootleg|boot|edit|mix|ver|version|cover|arrange|arranged|mashup|vip|extended|inst|instrumental"
+REMIX_TAIL = "remixed|remix|bootleg|boot|edit|mix|ver|version|covered|cover|arranged|arrange|mashup|vip|extended|short|full|inst|instrumental|feat|ft"
 NOTE_BRACKETS = "「」『』【】〔〕〈〉《》"
-NOTE_PREFIXES = "TVアニメーション TVアニメ テレビアニメ アニメ映画 劇場版アニメ 劇場版 映画 アニメ ゲーム TV".split()
-NOTE_TAILS = r"(?<![A-Za-z])(?:OP|ED)\d* 第?\d+期 第\d+シーズン シーズン\d+ SEASON\s*\d+ \d+年目\d* 収録楽曲 タイアップ楽曲 \d*周年楽曲 楽曲 ED?主題歌 主題歌 挿入歌 劇中曲 劇伴 テーマソング キャラクターソング キャラソン イメージソング 劇場版 映画".split(" ")
-SERIES_MARKS = r"\d+期 \d+年目 シーズン\d* season\s*\d* \d+nd \d+rd \d+th 劇場版 映画 新編 続編 第\d+部 part\s*\d+ \d+".split(" ")
+NOTE_PREFIXES = "TVアニメーション|TVアニメ|テレビアニメ|アニメ映画|劇場版アニメ|劇場版|映画|アニメ|ゲーム|TV"
+NOTE_TAILS = r"(?<![A-Za-z])(?:OP|ED)\d*|第?\d+期|第\d+シーズン|シーズン\d+|SEASON\s*\d+|\d+年目\d*|収録楽曲|タイアップ楽曲|\d*周年楽曲|楽曲|ED?主題歌|主題歌|挿入歌|劇中曲|劇伴|テーマソング|キャラクターソング|キャラソン|イメージソング|劇場版|映画"
+SERIES_MARKS = r"\d+期|\d+年目|シーズン\d*|season\s*\d*|\d+nd|\d+rd|\d+th|劇場版|映画|新編|続編|第\d+部|part\s*\d+|\d+"
 
 KATAKANA = "".join(map(chr, range(0x30A1, 0x30F7)))
 HIRAGANA = "".join(chr(ord(c) - 0x60) for c in KATAKANA)
 SPACE = r"(?U)[\s\x{FEFF}]"
-_WORD = rf"(?<![A-Za-z0-9_])(?:{'|'.join(REMIX)})(?![A-Za-z0-9_])"
+_WORD = rf"(?<![A-Za-z0-9_])(?:{REMIX})(?![A-Za-z0-9_])"
 _O, _C, _N = (f"[{''.join(chr(92) + c for c in x)}]" if i < 2 else f"[^{''.join(chr(92) + c for c in x)}]" for i, x in enumerate((OPEN, CLOSE, CLOSE)))
 _GROUP = f"{_O}{_N}*{_C}"
 _REMIX_GROUP = f"{_O}{_N}*?{_WORD}{_N}*{_C}"
@@ -63,7 +63,7 @@ def base_key(text: Column, unicode: bool = True) -> Column:
     for _ in range(4):  # nested brackets, innermost first
         s = F.regexp_replace(s, _GROUP, " ")
     s = F.regexp_replace(s, rf"(?is)^(.+?)(?=(?:(?U:\s){_DASH}|{_DASH}(?U:\s)).*?{_WORD}).*$", "$1")
-    s = F.regexp_replace(s, rf"(?i)(?U:[-_\s])*(?<![A-Za-z])(?:{'|'.join(REMIX_TAIL)})(?![A-Za-z0-9_])[^\n\r\u2028\u2029]*\z", " ")
+    s = F.regexp_replace(s, rf"(?i)(?U:[-_\s])*(?<![A-Za-z])(?:{REMIX_TAIL})(?![A-Za-z0-9_])[^\n\r\u2028\u2029]*\z", " ")
     key = norm_key(s, unicode=False)
     return F.when(F.length(key) >= 2, key).otherwise(norm_key(text, unicode))
 
@@ -81,25 +81,31 @@ def _trim(s: Column) -> Column:
 def strip_notes(text: Column) -> Column:
     """A work's name without brackets, media prefixes and notes such as openings and seasons, as far as two characters stay.
 
-    One round takes one prefix and one tail; rounds go on while anything changes, at most once a character.
+    One round takes one prefix and one tail. Six rounds do for nearly all names; where the seventh still changes one, rounds go
+    on, at most once a character.
     """
     whole = F.coalesce(text, F.lit(""))
     start = _trim(F.regexp_replace(F.translate(whole, NOTE_BRACKETS, ""), r"(?U)\s+", " "))
-    prefix = rf"(?iuU)^\s*(?:{'|'.join(NOTE_PREFIXES)})\s*"
-    tail = rf"(?iuU)(?:{'|'.join(NOTE_TAILS)})\s*$"
+    prefix = rf"(?iuU)^\s*(?:{NOTE_PREFIXES})\s*"
+    tail = rf"(?iuU)(?:{NOTE_TAILS})\s*$"
 
     def without(s: Column, pattern: str) -> Column:
         cut = _trim(F.regexp_replace(s, pattern, ""))
         return F.when(F.length(cut) >= 2, cut).otherwise(s)
 
     # the tail pattern ends at the end of the text, so it can match once only
-    done = F.aggregate(F.sequence(F.lit(1), F.greatest(F.length(start), F.lit(1))), start, lambda s, _: without(without(s, prefix), tail))
+    def rounds(s: Column, count: Column) -> Column:
+        return F.aggregate(F.sequence(F.lit(1), count), s, lambda x, _: without(without(x, prefix), tail))
+
+    # inside a lambda a value is made once, however often it is named
+    six = F.transform(F.array(rounds(start, F.lit(6))), lambda x: F.struct(x.alias("now"), without(without(x, prefix), tail).alias("then")))
+    done = F.transform(six, lambda x: F.when(x["now"] == x["then"], x["now"]).otherwise(rounds(x["then"], F.greatest(F.length(x["then"]), F.lit(1)))))[0]
     return F.when(done != "", done).otherwise(_trim(whole))
 
 
 def series_marks(text: Column) -> Column:
     """The sorted set of sequel marks in a name."""
-    found = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(rf"(?iuU)({'|'.join(SERIES_MARKS)})"), F.lit(1))
+    found = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(rf"(?iuU)({SERIES_MARKS})"), F.lit(1))
     return F.array_sort(F.array_distinct(F.transform(found, F.lower)))
 
 

@@ -6,7 +6,6 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from setloom.functions.keys import base_key, norm_key
 
@@ -51,13 +50,3 @@ def enrich(plays: DataFrame, works: DataFrame, artists: DataFrame, unicode: bool
     stacks = named.select(*parts).distinct().withColumn("haystack", haystack(*map(F.col, parts), unicode)).select(*[F.col(c).alias(f"_{c}") for c in parts], "haystack")
     condition = reduce(lambda x, y: x & y, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in parts])
     return named.join(stacks, condition, "left").drop(*[f"_{c}" for c in parts])
-
-
-def ordered_distinct(value: Column, order: Column) -> Column:
-    """Aggregate: distinct values by the least `order` of each (order: not null, total)."""
-    pairs = F.array_sort(F.collect_list(F.when(value.isNotNull(), F.struct(order.alias("o"), value.alias("v")))))
-    return F.array_distinct(F.transform(pairs, lambda x: x["v"]))
-
-
-def row_numbers(df: DataFrame, keys: list[str], order: list[Column], name: str = "rn") -> DataFrame:
-    return df.withColumn(name, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))

@@ -8,12 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from setloom.functions.keys import base_key, may_match_partly, norm_key
-
-
-def terms_of(query: Column, unicode: bool = True) -> Column:
-    """The keys of the query's words; marks alone give no term."""
-    words = F.split(query, r"(?U)[\s\x{FEFF}]+")
-    return F.filter(F.split(norm_key(F.array_join(F.transform(words, lambda w: F.concat(w, F.lit("\x01"))), ""), unicode), "\x01"), lambda w: w != "")
+from setloom.operators.staging import staged
 
 
 def matches(haystack: Column, query: str) -> Column:
@@ -46,7 +41,8 @@ def played_tiers(plays: DataFrame, asked: DataFrame, unicode: bool = True) -> Da
     and what shares a gram is tested for containment; keys too short for a gram are few by their nature and tested directly.
     """
     q = asked.select("query").distinct().select("query", norm_key(F.col("query"), unicode).alias("qkey"), base_key(F.col("query"), unicode).alias("qbase"))
-    titles = plays.select("key", "base").where("key is not null").distinct()
+    # the different titles feed seven joins; staged, the plays behind them are read once
+    titles = staged(plays.select("key", "base").where("key is not null").distinct(), "played-titles")
     exact = titles.where("key <> ''").join(q, F.col("key") == F.col("qkey")).select("query", "key", "base", F.lit(1).alias("tier"))
     same = titles.where("base <> ''").join(q, (F.col("base") == F.col("qbase")) & ((F.col("key") != F.col("qkey")) | (F.col("key") == ""))).select("query", "key", "base", F.lit(2).alias("tier"))
     partly = contained(titles.select("key").where("key <> ''").distinct(), q.where(may_match_partly(F.col("qkey"))).select("qkey").distinct())
@@ -84,11 +80,15 @@ def rank(plays: DataFrame, key: Column, label: Column, order: Column, limit: int
     """(label, n, detail) of the largest groups by key, most first, then by label.
 
     A group's label is that of its first row by `order`; detail names its DJs as they first appear, after the raw spellings
-    that differ from the label. First appearances are aggregated before the shuffle, so a task gets a row for each
-    different DJ or spelling, not for each play.
+    that differ from the label. Groups are ranked first: with a limit, lists are made of that many groups alone. First
+    appearances are aggregated before the shuffle, so a task gets a row for each different DJ or spelling, not for each play.
     """
+    place = [F.desc("n"), F.collate("label", "ja"), F.col("label")]
     base = plays.select(key.alias("k"), label.alias("l"), order.alias("o"), F.col(who).alias("who"), (raw if raw is not None else F.lit(None).cast("string")).alias("raw")).where("k is not null and k <> ''")
     total = base.groupBy("k").agg(F.count("*").alias("n"), F.min_by("l", "o").alias("label"))
+    if limit is not None:
+        total = F.broadcast(staged(total.orderBy(*place).limit(limit), "rank-top"))  # `limit` rows
+        base = base.join(total.select("k"), "k", "left_semi")
 
     def listed(column: str, sep: str, keep: Column) -> DataFrame:
         first = base.where(F.col(column).isNotNull()).groupBy("k", column).agg(F.min("o").alias("o"))
@@ -101,8 +101,7 @@ def rank(plays: DataFrame, key: Column, label: Column, order: Column, limit: int
     if raw is not None:
         out = out.join(listed("raw", "、", (F.col("raw") != "") & (F.col("raw") != F.col("label"))), "k", "left")
         detail = F.when(F.col("raws").isNotNull(), F.concat("label", F.lit(" ← "), "raws", F.lit(" / "), detail)).otherwise(detail)
-    out = out.select("label", "n", detail.alias("detail")).orderBy(F.desc("n"), F.collate("label", "ja"), "label")
-    return out.limit(limit) if limit is not None else out
+    return out.select("label", "n", detail.alias("detail")).orderBy(*place)
 
 
 def top_titles(plays: DataFrame, order: Column, limit: int | None = 20) -> DataFrame:
@@ -166,6 +165,16 @@ def play_order() -> list[Column]:
     return [F.col("event_no"), F.coalesce(F.nullif("play_order", F.lit(0)), F.lit(99)), F.col("dj"), F.coalesce("track_no", F.lit(0))]
 
 
+def history(plays: DataFrame) -> DataFrame:
+    """Plays of a title in the order of its history: by event, then number, a missing one first."""
+    return plays.orderBy("event_no", F.coalesce("track_no", F.lit(0)))
+
+
+def dj_names(plays: DataFrame) -> DataFrame:
+    """(dj): all DJs in Japanese collation order."""
+    return plays.select("dj").distinct().orderBy(F.collate("dj", "ja"), "dj")
+
+
 def search_preview(hits_all: DataFrame, hits_representative: DataFrame, keys: list[str]) -> DataFrame:
     """Hits of any variant that the representative alone does not find."""
     return hits_all.distinct().join(hits_representative.select(*keys).distinct(), keys, "left_anti")

@@ -17,7 +17,7 @@ RISKY_HINTS = ["split-from-large", "artist-as-work"]
 EXPORTED = ["high", "medium"]
 ACTIONS = ["accept", "reject", "defer", "keep-apart"]
 CONFIDENCES = ["high", "medium", "low"]
-WORK_KINDS = ["work", "vocaloid", "vtuber", "odj-self", "artist-as-work", "unknown"]
+WORK_KINDS = ["work", "vocaloid", "vtuber", "artist-as-work", "unknown"]
 SKIP_CODES = ["no-proposal", "many-proposals", "partial", "confidence", "canonical", "hint", "edge-kind", "keep-apart", "conflict", "already-decided", "auto-done"]
 MAX_TOKENS, MAX_CLUSTERS = 3600, 15
 
@@ -80,17 +80,18 @@ def variant_index(entries: DataFrame) -> DataFrame:
     return rows.groupBy("raw").agg(F.min_by("canonical", "ord").alias("canonical"))
 
 
-def validate(payload: DataFrame, decided: DataFrame, apart: DataFrame, index: DataFrame, allowed: DataFrame, unicode: bool = True) -> DataFrame:
+def validate(payload: DataFrame, decided: DataFrame, apart: DataFrame, index: DataFrame, allowed: DataFrame, unicode: bool = True, own_kinds: tuple[str, ...] = ()) -> DataFrame:
     """payload with `code`: null if it may be written, else invalid, already-decided, keep-apart or conflict.
 
     payload: id, field, action, canonical, kind, confidence, variants, reason. allowed: field, canonical (names that exist already).
+    own_kinds (configuration): further kinds of works that an installation has.
     """
     p = payload.withColumn("names", names_of(F.col("variants"))).withColumn("name", trimmed(F.coalesce("canonical", F.lit(""))))
     writes = F.col("action").isin("accept", "reject")
     need = F.when(F.col("action") == "keep-apart", F.size("names") == 2).when(writes, F.size("names") > 0).otherwise(True)
     accept = F.col("action") == "accept"
     form = F.col("id").isNull() | (F.col("id") == "") | ~F.coalesce(F.col("field").isin("work", "artist"), F.lit(False)) | ~F.coalesce(F.col("action").isin(*ACTIONS), F.lit(False)) | ~need
-    form = form | (accept & (F.col("name") == "")) | (accept & (F.col("field") == "work") & ~F.coalesce(F.col("kind"), F.lit("work")).isin(*WORK_KINDS)) | (accept & ~F.coalesce("confidence", F.lit("high")).isin(*CONFIDENCES))
+    form = form | (accept & (F.col("name") == "")) | (accept & (F.col("field") == "work") & ~F.coalesce(F.col("kind"), F.lit("work")).isin(*WORK_KINDS, *own_kinds)) | (accept & ~F.coalesce("confidence", F.lit("high")).isin(*CONFIDENCES))
     each = p.where(writes).select("id", "action", "name", F.explode(F.array_distinct(F.concat("names", F.when(accept & (F.col("name") != ""), F.array("name")).otherwise(F.array().cast("array<string>"))))).alias("raw"), "names")
     done = each.where(F.array_contains("names", F.col("raw"))).join(decided, "raw", "left_semi").select("id").distinct().withColumn("done", F.lit(True))
     clash = each.where("action = 'accept'").join(index.withColumnRenamed("canonical", "now"), "raw").where("now <> name").select("id").distinct().withColumn("clash", F.lit(True))

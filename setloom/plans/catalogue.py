@@ -148,12 +148,24 @@ def setlist_for_event(spark: SparkSession, d: str) -> DataFrame:
     return query.setlist(playlog.plays(spark, d).withColumn("url", F.lit(None).cast("string"))).select("dj", "dj_order", F.array_join(line, ";").alias("tracks"))
 
 
-@registered(f"WITH {PLAYS_SQL}, e AS (SELECT DISTINCT event_no FROM plays), s AS (SELECT s_name AS dj FROM supplier UNION ALL SELECT c_name FROM customer WHERE c_custkey % 500 = 0) SELECT event_no, dj FROM e, s EXCEPT SELECT event_no, dj FROM plays")
+@registered(f"WITH {PLAYS_SQL}, s AS (SELECT year(o_orderdate)::INTEGER AS event_no, c_name AS dj FROM orders JOIN customer ON o_custkey = c_custkey UNION SELECT event_no + 1, dj FROM plays) SELECT event_no, dj FROM s EXCEPT SELECT event_no, dj FROM plays")
 def djs_without_set(spark: SparkSession, d: str) -> DataFrame:
+    """Announced are each year's customers, and who played the year before."""
     p = playlog.plays(spark, d)
-    guests = read(spark, d, "customer").where("c_custkey % 500 = 0").select(F.col("c_name").alias("dj"))
-    announced = F.broadcast(p.select("event_no").distinct()).crossJoin(read(spark, d, "supplier").select(F.col("s_name").alias("dj")).unionByName(guests))
-    return query.djs_without_set(announced, p)
+    guests = read(spark, d, "orders").select("o_custkey", F.year("o_orderdate").alias("event_no")).join(read(spark, d, "customer").select("c_custkey", "c_name"), F.col("o_custkey") == F.col("c_custkey"))
+    again = p.select((F.col("event_no") + 1).alias("event_no"), "dj")
+    return query.djs_without_set(guests.select("event_no", F.col("c_name").alias("dj")).unionByName(again), p)
+
+
+@registered(f"WITH {PLAYS_SQL} SELECT DISTINCT dj FROM plays")
+def dj_list(spark: SparkSession, d: str) -> DataFrame:
+    return query.dj_names(playlog.plays(spark, d))
+
+
+@registered(f"WITH {PLAYS_SQL}, k AS (SELECT *, replace(lower(title), ' ', '') AS key FROM plays), h AS (SELECT event_no, coalesce(track_no, 0) AS track_no, dj, source_work FROM k WHERE key = 'bluegear') SELECT event_no, track_no, count(*) AS plays FROM h GROUP BY ALL")
+def title_history(spark: SparkSession, d: str) -> DataFrame:
+    hits = query.history(log(spark, d).where(F.col("key") == keys.norm_key(F.lit("Blue Gear"), False)))
+    return hits.groupBy("event_no", F.coalesce("track_no", F.lit(0)).alias("track_no")).agg(F.count("*").alias("plays"))
 
 
 @registered(f"WITH {PLAYS_SQL} SELECT count(*) AS plays, count(DISTINCT event_no) AS events, count(DISTINCT dj) AS djs FROM plays")
@@ -181,10 +193,12 @@ def value_profile(spark: SparkSession, d: str) -> DataFrame:
     return v.select("raw", "rows", F.size("events").alias("events"), F.size("djs").alias("djs"), F.size("co_titles").alias("titles"), F.size("co_other").alias("artists"), F.array_join(F.slice("co_titles", 1, 4), ";").alias("samples"))
 
 
-@registered("SELECT split_part(text, ' ', 1) AS raw FROM documents WHERE split_part(text, ' ', 1) <> '' INTERSECT SELECT split_part(text, ' ', 1) FROM benchmark")
+@registered("WITH x AS (SELECT trim(unnest(string_split(text, ' ')), chr(9) || chr(10) || chr(13) || ' ') AS raw FROM documents), y AS (SELECT trim(unnest(string_split(text, ' ')), chr(9) || chr(10) || chr(13) || ' ') AS raw FROM benchmark) SELECT raw FROM x WHERE raw <> '' INTERSECT SELECT raw FROM y")
 def cross_field(spark: SparkSession, d: str) -> DataFrame:
-    first = F.split_part("text", F.lit(" "), F.lit(1))
-    plays = read(spark, d, "documents").select(first.alias("source_work"), F.lit(None).cast("string").alias("artist")).unionByName(read(spark, d, "benchmark").select(F.lit(None).cast("string").alias("source_work"), first.alias("artist")))
+    """All words of the documents as works, all words of the benchmark as artists."""
+    none = F.lit(None).cast("string")
+    words = lambda table: read(spark, d, table).select(F.explode(F.split("text", " ")).alias("word"))
+    plays = words("documents").select(F.col("word").alias("source_work"), none.alias("artist")).unionByName(words("benchmark").select(none.alias("source_work"), F.col("word").alias("artist")))
     return graph.cross_field(plays)
 
 
@@ -526,10 +540,11 @@ def to_remix(spark: SparkSession, d: str) -> DataFrame:
     return read(spark, d, "events").select("event_id", values.to_remix(word, False).alias("is_remix"))
 
 
-@registered("SELECT doc_id, lower(substr(text, 1, strpos(text || chr(10), chr(10)) - 1)) AS flat FROM documents WHERE NOT contains(substr(text, 1, strpos(text || chr(10), chr(10)) - 1), ' ')")
+@registered("WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents) SELECT doc_id, md5(replace(lower(line), ' ', '')) AS flat, count(*) AS lines FROM l GROUP BY ALL")
 def flat_keys(spark: SparkSession, d: str) -> DataFrame:
-    line = read(spark, d, "documents").select("doc_id", F.split_part("text", F.lit("\n"), F.lit(1)).alias("line")).where(~F.col("line").contains(" "))
-    return line.select("doc_id", keys.flat_key(F.col("line")).alias("flat"))
+    """The key of every line of every document."""
+    line = read(spark, d, "documents").select("doc_id", F.explode(F.split("text", "\n")).alias("line"))
+    return line.groupBy("doc_id", F.md5(keys.flat_key(F.col("line"))).alias("flat")).agg(F.count("*").alias("lines"))
 
 
 @registered("SELECT DISTINCT text AS raw, regexp_replace(lower(text), '[^\\p{L}\\p{N}]', '', 'g') AS key FROM benchmark")

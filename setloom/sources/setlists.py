@@ -11,16 +11,16 @@ from setloom.functions.values import clean
 # What is not a set list, and how folders are named.
 EVENT_FOLDER = r"^第(\d+)回_(\d{8})$"
 DJ_PREFIX = r"^(\d+|[xX]{2})_"
-DJ_ALIASES = {"⛩": "tri", "⛩️": "tri", "神社の人": "tri"}
 MEDIA = ["mp3", "m4a", "wav", "flac", "aac", "aif", "aiff", "ogg", "mp4", "mov", "avi", "mkv", "webm", "jpg", "jpeg", "png", "gif", "webp", "heic", "zip"]
 SKIPPED = [*MEDIA, "numbers"]
 FLYER = r"(?i)flyer|ポスター"
 
 
-def normalize_dj(folder: Column) -> Column:
+def normalize_dj(folder: Column, nicknames: dict[str, str] | None = None) -> Column:
+    """A DJ's name from the folder's; nicknames (configuration): other names that the same DJ goes by."""
     name = F.trim(F.regexp_replace(folder, DJ_PREFIX, ""))
-    pairs = [F.lit(x) for p in DJ_ALIASES.items() for x in p]
-    return F.coalesce(F.create_map(*pairs)[name], name)
+    pairs = [F.lit(x) for p in (nicknames or {}).items() for x in p]
+    return F.coalesce(F.create_map(*pairs)[name], name) if pairs else name
 
 
 def play_order_of(folder: Column) -> Column:
