@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from setloom.functions.keys import agg_key, strip_notes
 from setloom.operators.enrich import first_by
@@ -311,24 +312,66 @@ def new_keep_apart(pairs: DataFrame, known: DataFrame) -> DataFrame:
 # requests ------------------------------------------------------------------------------------------------------------
 
 
-def pack_batches(items: DataFrame, system_tokens: int, most_tokens: int = MAX_TOKENS, most_items: int = MAX_CLUSTERS) -> DataFrame:
-    """(batch, id) for items (field, ord, id, tokens): filled in order up to the limits, an oversized item alone.
+def _filled(tokens: list[int], used: int, n: int, system: int, most_tokens: int, most_items: int) -> tuple[list[int], int]:
+    """The batch of each item, from 0 for the one that is open at first (with n items and `used` tokens); items in the last one."""
+    batch, out = 0, []
+    for t in tokens:
+        if n and (used + t > most_tokens or n >= most_items):
+            batch, used, n = batch + 1, system, 0
+        used, n = used + t, n + 1
+        out.append(batch)
+    return out, n
 
-    The fill depends on everything before it, so a field is folded in one task, over (ord, id, tokens) alone. Its rows are
-    clusters that wait for a request, which a person reviews afterwards.
-    """
 
-    def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["ord", "id"])
-        batch, used, n, out = 0, system_tokens, 0, []
-        for tokens in rows["tokens"]:
-            if n and (used + tokens > most_tokens or n >= most_items):
-                batch, used, n = batch + 1, system_tokens, 0
-            used, n = used + tokens, n + 1
-            out.append(batch)
-        return pd.DataFrame({"field": rows["field"], "batch": out, "id": rows["id"], "tokens": rows["tokens"]})
-
-    return items.groupBy("field").applyInPandas(fold, "field string, batch int, id string, tokens long")
+def pack_batches(items: DataFrame, system_tokens: int, most_tokens: int = MAX_TOKENS, most_items: int = MAX_CLUSTERS, chunk: int = 4096) -> DataFrame:
+    """(field, batch, id, tokens) for items (field, ord, id, tokens): filled in order up to the limits, an oversized item alone.
+
+    A field is cut into chunks of `chunk` items. What a chunk needs of those before it is how many items the open batch has,
+    `most_items` at most, for their tokens are those of the last items before the chunk. So each chunk is filled once for
+    every such number, in its own task; the outcomes, a row of at most `most_items` + 1 pairs a chunk, are followed from chunk to chunk on the
+    driver; and each chunk is filled again from where it really starts.
+    """
+    spark = items.sparkSession
+    in_order = items.select("field", "ord", "id", "tokens").repartitionByRange("field", "ord", "id").sortWithinPartitions("field", "ord", "id")
+    rows = staged(in_order.withColumns({"at": F.monotonically_increasing_id(), "part": F.spark_partition_id()}), "pack-items")
+    parts = rows.groupBy("field", "part").agg(F.min("at").alias("first"), F.count("*").alias("n"))  # a row for each partition of a field
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("field").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    rows = rows.join(parts.select("field", "part", "first", before.alias("before")), ["field", "part"])
+    rows = rows.select("field", "id", "tokens", (F.col("before") + F.col("at") - F.col("first")).alias("n"))
+    size = max(chunk, most_items)
+    rows = rows.withColumn("c", F.floor(F.col("n") / size))
+    behind = F.when(F.col("n") % size >= size - most_items, F.array(F.col("c"), F.col("c") + 1)).otherwise(F.array("c"))
+    rows = staged(rows.withColumn("to", F.explode(behind)), "pack-chunks")
+
+    def starts(own: pd.DataFrame) -> tuple[list[int], list[int], pd.DataFrame]:
+        own = own.sort_values("n")
+        ahead = own[own["c"] < own["to"]]["tokens"].tolist()
+        return ahead, [system_tokens + sum(ahead[len(ahead) - j :]) for j in range(len(ahead) + 1)], own[own["c"] == own["to"]]
+
+    def outcomes(own: pd.DataFrame) -> pd.DataFrame:
+        _, used, mine = starts(own)
+        tokens = mine["tokens"].tolist()
+        ends = [_filled(tokens, u, j, system_tokens, most_tokens, most_items) for j, u in enumerate(used)] if tokens else []
+        return pd.DataFrame({"field": own["field"].iloc[:1], "c": own["to"].iloc[:1], "left": [[n for _, n in ends]], "made": [[out[-1] for out, _ in ends]]})
+
+    found = staged(rows.groupBy("field", "to").applyInPandas(outcomes, "field string, c long, left array<int>, made array<int>"), "pack-outcomes")
+    entries, field, open_items, batch = [], None, 0, 0
+    for r in found.where(F.size("left") > 0).orderBy("field", "c").toLocalIterator():
+        if not entries or r.field != field:
+            field, open_items, batch = r.field, 0, 0
+        entries.append((field, r.c, open_items, batch))
+        batch, open_items = batch + r.made[open_items], r.left[open_items]
+    known = spark.createDataFrame(entries, "field string, to long, open_items int, first_batch int")
+
+    def fill(own: pd.DataFrame) -> pd.DataFrame:
+        _, used, mine = starts(own)
+        j = int(own["open_items"].iloc[0])
+        out, _ = _filled(mine["tokens"].tolist(), used[j], j, system_tokens, most_tokens, most_items)
+        return pd.DataFrame({"field": mine["field"], "batch": [b + int(own["first_batch"].iloc[0]) for b in out], "id": mine["id"], "tokens": mine["tokens"]})
+
+    same = F.col("field").eqNullSafe(F.col("f"))
+    joined = rows.join(known.select(F.col("field").alias("f"), F.col("to").alias("t"), "open_items", "first_batch"), same & (F.col("to") == F.col("t"))).drop("f", "t")
+    return joined.groupBy("field", "to").applyInPandas(fill, "field string, batch int, id string, tokens long")
 
 
 def chunks(items: DataFrame, size: int) -> DataFrame:

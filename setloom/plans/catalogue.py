@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from setloom.functions import keys, values
 from setloom.operators import enrich, graph, ingest, query, resolve
-from setloom.plans import playlog
+from setloom.plans import entrypoints, playlog
 from setloom.plans.playlog import PLAYS_SQL, named_sql, read
 from setloom.sources import sinks
 
@@ -424,6 +424,25 @@ def variant_conflicts(spark: SparkSession, d: str) -> DataFrame:
     return resolve.variant_conflicts(_entries(spark, d))
 
 
+@registered(f"WITH {ENTRIES_SQL} SELECT 'works' AS section, count(DISTINCT canonical) AS classes, count(*) AS spellings FROM ow UNION ALL SELECT 'artists', 0, 0")
+def export_counts(spark: SparkSession, d: str) -> DataFrame:
+    entries = _entries(spark, d)
+    return entrypoints.export_aliases(entries, entries.where("false"), "2024-01-01")[0]
+
+
+@registered("SELECT s_name AS id, CASE s_suppkey % 4 WHEN 3 THEN 'invalid' WHEN 2 THEN NULL ELSE CASE WHEN s_nationkey < 5 THEN 'already-decided' WHEN s_suppkey % 4 = 0 AND s_nationkey = 6 THEN 'conflict' END END AS code FROM supplier")
+def decide_codes(spark: SparkSession, d: str) -> DataFrame:
+    """A payload for each supplier; those of the first nations are decided, those of one belong to another name already."""
+    s = read(spark, d, "supplier")
+    action = F.element_at(F.array(*map(F.lit, ("accept", "reject", "defer", "keep-apart"))), (F.col("s_suppkey") % 4 + 1).cast("int"))
+    name = F.array("s_name")
+    payload = s.select(F.col("s_name").alias("id"), F.lit("work").alias("field"), action.alias("action"), F.col("s_name").alias("canonical"), F.lit("work").alias("kind"), F.lit("high").alias("confidence"), name.alias("variants"), F.lit("r").alias("reason"))
+    log = s.where("s_nationkey < 5").select(F.col("s_name").alias("id"), F.lit("work").alias("field"), F.lit("reject").alias("action"), name.alias("variants"))
+    known = s.where("s_nationkey = 6").select(F.lit("work").alias("field"), F.col("s_suppkey").cast("long").alias("ord"), F.lit("another name").alias("canonical"), name.alias("variants"))
+    apart = spark.createDataFrame([], "a string, b string")
+    return entrypoints.decide(payload, log, known, apart, "2024-01-01", unicode=False).checked.select("id", "code")
+
+
 DECISIONS_SQL = "de AS (SELECT ['accept', 'reject', 'defer', 'keep-apart'][1 + s_suppkey % 4] AS action, s_name AS raw FROM supplier)"
 
 
