@@ -85,7 +85,9 @@ def rank(plays: DataFrame, key: Column, label: Column, order: Column, limit: int
     """
     place = [F.desc("n"), F.collate("label", "ja"), F.col("label")]
     base = plays.select(key.alias("k"), label.alias("l"), order.alias("o"), F.col(who).alias("who"), (raw if raw is not None else F.lit(None).cast("string")).alias("raw")).where("k is not null and k <> ''")
-    total = base.groupBy("k").agg(F.count("*").alias("n"), F.min_by("l", "o").alias("label"))
+    # one pass over the log; ranks and lists are made from what is left of it
+    base = staged(base.groupBy("k", "l", "who", "raw").agg(F.count("*").alias("n"), F.min("o").alias("o")), "rank-cells")
+    total = base.groupBy("k").agg(F.sum("n").alias("n"), F.min_by("l", "o").alias("label"))
     if limit is not None:
         total = F.broadcast(staged(total.orderBy(*place).limit(limit), "rank-top"))  # `limit` rows
         base = base.join(total.select("k"), "k", "left_semi")

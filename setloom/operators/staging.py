@@ -53,22 +53,24 @@ def discard(*frames: DataFrame) -> None:
             p.getFileSystem(jsc.hadoopConfiguration()).delete(p, True)
 
 
-def connected_components(edges: DataFrame, most: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame, most: int = 60, split_hot: bool = False) -> DataFrame:
     """(node, root) for the nodes of undirected `edges` (a, b); root is the smallest node that can be reached.
 
     Alternates large-star and small-star steps, each an aggregation for the least neighbour and an equi-join, on staged
-    tables, until nothing changes. Stops with an error rather than with a wrong answer after `most` rounds.
+    tables, until nothing changes. split_hot: for graphs over rows of a corpus, where a node may have very many edges; it costs
+    two small exchanges a round. Stops with an error rather than with a wrong answer after `most` rounds.
     """
     now = staged(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "cc")
     mark = _mark(now)
+    side = _spread if split_hot else lambda df: df
     for _ in range(most):
         if not mark[0]:
             break
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = both.where("b > a").join(_spread(least), "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+        large = both.where("b > a").join(side(least), "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(_spread(least), "a").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b")))
+        small = large.join(side(least), "a").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b")))
         after = staged(small.where("a <> b").distinct(), "cc")
         was, mark = mark, _mark(after)
         discard(now)
