@@ -13,7 +13,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from setloom.operators.staging import connected_components, discard, shared_dir, staged  # noqa: F401
+from setloom.operators import staging
+from setloom.operators.staging import discard, shared_dir, staged  # noqa: F401
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,6 +22,11 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def connected_components(edges: DataFrame) -> DataFrame:
+    """(node, root): corpora have nodes with very many edges, which are split."""
+    return staging.connected_components(edges, split_hot=True)
+
+
 def lean(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
     """`run`, handing freed memory back to the system at the end of a task: Python workers live on and serve later stages."""
 
