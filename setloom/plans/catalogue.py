@@ -41,7 +41,13 @@ def log(spark: SparkSession, d: str) -> DataFrame:
     """Plays with the keys of their titles."""
     p = playlog.plays(spark, d)
     titles = p.select("title").distinct().select("title", keys.norm_key(F.col("title"), False).alias("key"), keys.base_key(F.col("title"), False).alias("base"))
-    return p.join(titles, "title")
+    return p.join(graph.staged(titles, "catalogue-titles"), "title")  # keys are made once a title, however often the log is read
+
+
+def canonical(spark: SparkSession, d: str) -> DataFrame:
+    """Plays with canonical names alone: rankings need neither title keys nor haystacks."""
+    n = enrich.resolve_names(playlog.plays(spark, d), "source_work", playlog.works(spark), unicode=False)
+    return enrich.resolve_names(n, "artist", playlog.artists(spark), unicode=False)
 
 
 def named(spark: SparkSession, d: str) -> DataFrame:
@@ -115,12 +121,12 @@ def top_titles(spark: SparkSession, d: str) -> DataFrame:
 
 @registered(_rank_sql(named_sql(), "replace(lower(work_canon), ' ', '')", "work_canon", "source_work", "coalesce(work_kind, '') IN ('', 'work')"))
 def top_works_kind_filtered(spark: SparkSession, d: str) -> DataFrame:
-    return query.top_works(named(spark, d), first(), unicode=False)
+    return query.top_works(canonical(spark, d), first(), unicode=False)
 
 
 @registered(_rank_sql(named_sql(), "replace(lower(artist_canon), ' ', '')", "artist_canon", "artist", "true"))
 def top_artists(spark: SparkSession, d: str) -> DataFrame:
-    return query.top_artists(named(spark, d), first(), unicode=False)
+    return query.top_artists(canonical(spark, d), first(), unicode=False)
 
 
 @registered(f"WITH {PLAYS_SQL} SELECT dj, count(*) AS tracks, count(DISTINCT event_no) AS events, count(*) FILTER (is_remix) / nullif(count(is_remix), 0) AS remix_rate FROM plays GROUP BY dj")
