@@ -9,12 +9,13 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from setloom.functions import keys, values
 from setloom.operators import enrich, graph, ingest, query, resolve
 from setloom.plans import entrypoints, playlog
 from setloom.plans.playlog import PLAYS_SQL, named_sql, read
-from setloom.sources import sinks
+from setloom.sources import setlists, sinks
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -531,6 +532,81 @@ def canonical_guess(spark: SparkSession, d: str) -> DataFrame:
     return resolve.guess_canonical(v, spark.createDataFrame([], "ord long, cluster_id string, canonical string"))
 
 
+# sources and names in Japanese spellings ----------------------------------------------------------------------------------
+
+ORDERED_SQL = """o AS (SELECT l_orderkey AS path, p_name AS title, p_type AS work, p_brand AS artist, l_returnflag AS flag,
+    row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, p_name, p_type, p_brand, l_returnflag) AS pos, count(*) OVER (PARTITION BY l_orderkey) AS n
+    FROM lineitem JOIN part ON l_partkey = p_partkey)"""
+
+
+def _ordered(spark: SparkSession, d: str) -> DataFrame:
+    """Orders as set lists: path, pos (from 1), title, work, artist, flag."""
+    part = read(spark, d, "part").select(F.col("p_partkey").alias("l_partkey"), F.col("p_name").alias("title"), F.col("p_type").alias("work"), F.col("p_brand").alias("artist"))
+    o = read(spark, d, "lineitem").join(part, "l_partkey").select(F.col("l_orderkey").alias("path"), "l_linenumber", "title", "work", "artist", F.col("l_returnflag").alias("flag"))
+    at = F.row_number().over(Window.partitionBy("path").orderBy("l_linenumber", "title", "work", "artist", "flag"))
+    return o.withColumn("pos", at).drop("l_linenumber")
+
+
+@registered(f"WITH {ORDERED_SQL} SELECT path, CASE WHEN path % 2 = 0 OR n >= 5 THEN pos::INTEGER END AS track_no, title, work AS source_work, artist, CASE flag WHEN 'R' THEN true WHEN 'A' THEN false END AS is_remix FROM o")
+def sheet_tracks(spark: SparkSession, d: str) -> DataFrame:
+    """Sheets with full-width headers; those of odd orders have no header over their numbers."""
+    o = _ordered(spark, d)
+    head = o.select("path").distinct().select("path", F.lit(0).alias("row_idx"), F.array(F.when(F.col("path") % 2 == 0, "曲　順").otherwise(""), F.lit("タイトル"), F.lit("アニメ／元ネタ"), F.lit("ＡＲＴＩＳＴ"), F.lit("ＲＥＭＩＸ")).alias("cells"))
+    mark = F.when(F.col("flag") == "R", "○").when(F.col("flag") == "A", "×").otherwise("－")
+    body = o.select("path", F.col("pos").alias("row_idx"), F.array(F.col("pos").cast("string"), F.concat(F.lit("　"), "title"), "work", "artist", mark).alias("cells"))
+    rows = head.unionByName(body).select("path", F.lit("s").alias("sheet"), F.lit(0).alias("sheet_no"), "row_idx", "cells")
+    return ingest.sheet_records(rows).select("path", "track_no", "title", "source_work", "artist", "is_remix")
+
+
+@registered(f"WITH {ORDERED_SQL} SELECT path, pos::INTEGER AS track_no, title, CASE WHEN path % 2 = 0 THEN work END AS source_work, CASE WHEN path % 2 = 0 THEN 'https://t.example/' || pos END AS url FROM o")
+def text_set_lists(spark: SparkSession, d: str) -> DataFrame:
+    """Even orders as numbered blocks with links and works in quotes, odd ones as bare lines below a heading."""
+    pos = F.col("pos").cast("string")
+    block = F.concat(pos, F.lit("．"), F.col("title"), F.lit("\n  URL：https://t.example/"), pos, F.lit("\n『"), F.col("work"), F.lit("』\n"))
+    line = F.when(F.col("path") % 2 == 0, block).otherwise(F.concat(F.lit(" "), F.col("title"), F.lit("　")))
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", line.alias("line")))), lambda x: x["line"]), "\n")
+    texts = _ordered(spark, d).groupBy("path").agg(F.concat(F.lit("【set】\n"), text).alias("text"))
+    return setlists.text_tracks(texts).select("path", "track_no", "title", "source_work", "url")
+
+
+@registered("SELECT (s_nationkey + 1)::INTEGER AS event_no, make_date(2000 + s_nationkey::INTEGER, 1, 2) AS event_date, s_name AS dj, CASE WHEN s_suppkey % 7 <> 0 THEN (s_suppkey % 100)::INTEGER END AS play_order, CASE WHEN s_suppkey % 3 = 0 THEN 0 ELSE 1 END AS setlists, CASE WHEN s_suppkey % 3 = 0 THEN 3 ELSE 2 END AS media FROM supplier")
+def crawled_djs(spark: SparkSession, d: str) -> DataFrame:
+    """Suppliers as DJ folders below their nations' event folders; a third of them hold no set list."""
+    key = F.col("s_suppkey")
+    event = F.format_string("第%d回_%d0102", (F.col("s_nationkey") + 1).cast("int"), (F.col("s_nationkey") + 2000).cast("int"))
+    folder = F.concat(F.when(key % 7 == 0, "xx_").otherwise(F.concat((key % 100).cast("string"), F.lit("_"))), F.col("s_name"))
+    names = F.array(F.when(key % 3 == 0, "flyer.pdf").otherwise("set.XLSX"), F.lit("mix.MP3"), F.lit("ポスター.txt"))
+    files = read(spark, d, "supplier").select(event.alias("event_folder"), folder.alias("dj_folder"), F.explode(names).alias("name"))
+    found = setlists.crawl(files.withColumns({"id": F.sha2(F.concat("dj_folder", "name"), 256), "mime": setlists.mime_of(F.col("name"))}))
+    return found.select("event_no", "event_date", "dj", "play_order", F.size("setlists").alias("setlists"), F.size("media_files").alias("media"))
+
+
+WIDE_SQL = "translate(upper(p_name), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ ', 'ＡＢＣＤＥＦＧＨＩＪＫＬＭＮＯＰＱＲＳＴＵＶＷＸＹＺ　') || '・カード〜！'"
+
+
+@registered(f"SELECT DISTINCT {WIDE_SQL} AS raw, replace(p_name, ' ', '') || 'カ-ド~!' AS key, replace(p_name, ' ', '') || 'かーど' AS agg, replace(p_name, ' ', '') AS base FROM part")
+def unicode_keys(spark: SparkSession, d: str) -> DataFrame:
+    """Full-width spellings: normalised keys, and the original that a remix note in brackets leaves."""
+    wide = F.translate(F.upper("p_name"), "ABCDEFGHIJKLMNOPQRSTUVWXYZ ", "ＡＢＣＤＥＦＧＨＩＪＫＬＭＮＯＰＱＲＳＴＵＶＷＸＹＺ　")
+    raw = read(spark, d, "part").select(F.concat(wide, F.lit("・カード〜！")).alias("raw"), F.concat(wide, F.lit("（ＤＪ　Ｒｅｍｉｘ）")).alias("remix")).distinct()
+    return raw.select("raw", keys.norm_key(F.col("raw")).alias("key"), keys.agg_key(F.col("raw")).alias("agg"), keys.base_key(F.col("remix")).alias("base"))
+
+
+@registered("SELECT DISTINCT p_name, p_size % 4 AS form, p_name AS name, CASE p_size % 4 WHEN 1 THEN '2期' WHEN 3 THEN '劇場版' ELSE '' END AS marks FROM part")
+def work_notes(spark: SparkSession, d: str) -> DataFrame:
+    """Works with brackets, media prefixes and notes: the bare name and the sequel marks."""
+    form, name = F.col("p_size") % 4, F.col("p_name")
+    raw = F.when(form == 0, F.concat(F.lit("TVアニメ「"), name, F.lit("」 OP"))).when(form == 1, F.concat(name, F.lit(" 2期 主題歌"))).when(form == 2, F.concat(F.lit("『"), name, F.lit("』　挿入歌"))).otherwise(F.concat(F.lit("劇場版 "), name))
+    p = read(spark, d, "part").select("p_name", form.alias("form"), raw.alias("raw")).distinct()
+    return p.select("p_name", "form", keys.strip_notes(F.col("raw")).alias("name"), F.array_join(keys.series_marks(F.col("raw")), ",").alias("marks"))
+
+
+@registered("SELECT DISTINCT c_mktsegment AS segment, c_mktsegment || '・' || lower(c_mktsegment) || ' feat. x(CV:y)' AS name FROM customer")
+def artist_separators(spark: SparkSession, d: str) -> DataFrame:
+    c = read(spark, d, "customer").select(F.col("c_mktsegment").alias("segment")).distinct()
+    return c.select("segment", keys.normalize_separators(F.concat("segment", F.lit(" ， "), F.lower("segment"), F.lit("　ft. x （ CV．y ）"))).alias("name"))
+
+
 # expressions ------------------------------------------------------------------------------------------------------------
 
 
