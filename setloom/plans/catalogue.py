@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from setloom.functions import keys, values
-from setloom.operators import enrich, graph, ingest, query, resolve
+from setloom.operators import enrich, graph, ingest, query, resolve, review
 from setloom.plans import entrypoints, playlog
 from setloom.plans.playlog import PLAYS_SQL, named_sql, read
 from setloom.sources import setlists, sinks
@@ -532,6 +532,35 @@ def canonical_guess(spark: SparkSession, d: str) -> DataFrame:
     return resolve.guess_canonical(v, spark.createDataFrame([], "ord long, cluster_id string, canonical string"))
 
 
+@registered(f"WITH {CLUSTERS_SQL}, m AS (SELECT id, s, unnest(members) AS raw, members FROM cl), q AS (SELECT *, substr(raw, 2)::BIGINT % 3 <> 0 AS alive, s % 11 <> 0 AND (s % 13 <> 0 OR raw = members[1]) AS named FROM m) SELECT id, raw, CASE WHEN bool_or(alive AND named) OVER (PARTITION BY id) THEN alive AND named ELSE alive END AS checked FROM q")
+def initial_checked(spark: SparkSession, d: str) -> DataFrame:
+    values_ = _cluster_table(spark, d).select("id", F.explode("members").alias("raw"))
+    values_ = values_.withColumn("decided_as", F.when(F.substring("raw", 2, 20).cast("long") % 3 == 0, "判断済み"))
+    return review.initial_checked(values_, _proposal_table(spark, d)).select("id", "raw", "checked")
+
+
+@registered("""WITH v AS (SELECT p_brand AS id, p_partkey AS pos, p_name AS raw, split_part(p_name, ' ', 1) AS base, p_partkey % 3 <> 0 AS checked FROM part),
+r AS (SELECT id, 0 AS step, pos, raw AS value, false AS derived, false AS registered FROM v WHERE checked UNION ALL SELECT DISTINCT id, 1, 0, 'Name ' || id, false, false FROM v
+    UNION ALL SELECT id, 2, pos, base, true, false FROM v WHERE checked UNION ALL SELECT id, 3, pos, 'Old', false, true FROM v WHERE NOT checked),
+f AS (SELECT *, row_number() OVER (PARTITION BY id, value ORDER BY step, pos) AS k FROM r)
+SELECT id, (row_number() OVER (PARTITION BY id ORDER BY step, pos, value) - 1)::INTEGER AS place, value, derived, registered FROM f WHERE k = 1""")
+def canonical_options(spark: SparkSession, d: str) -> DataFrame:
+    checked = F.col("p_partkey") % 3 != 0
+    v = read(spark, d, "part").select(F.col("p_brand").alias("id"), F.col("p_partkey").alias("pos"), F.col("p_name").alias("raw"), F.split_part("p_name", F.lit(" "), F.lit(1)).alias("base"), F.when(~checked, "Old").alias("decided_as"), checked.alias("checked"))
+    p = v.select(F.lit(0).alias("ord"), F.col("id").alias("cluster_id"), F.concat(F.lit("Name "), "id").alias("canonical")).distinct()
+    return review.canonical_options(v, p)
+
+
+@registered(f"WITH {CLUSTERS_SQL}, c AS (SELECT id, s % 5 <> 0 AND len(members) > 1 AND (s % 7 = 0 OR s % 2 = 0) AS eligible, s % 3 = 0 AND s % 4 <> 0 AS sure FROM cl) SELECT id, eligible, eligible AND sure AS preset FROM c")
+def bulk_approval(spark: SparkSession, d: str) -> DataFrame:
+    s = F.col("p_size")
+    cards = _cluster_table(spark, d).select(
+        "id", F.when(s % 7 == 0, "artist").otherwise("work").alias("field"), F.when(s % 5 == 0, " ").otherwise(F.col("id")).alias("canonical"), F.when(s % 2 == 0, "work").otherwise("else").alias("kind"),
+        F.when(s % 3 == 0, "high").when(s % 3 == 1, "low").alias("confidence"), F.when(s % 4 == 0, F.array(F.lit("series-risk"))).otherwise(F.array().cast("array<string>")).alias("hints"), F.col("members").alias("checked"),
+    )
+    return review.bulk_rows(cards, ["work"]).select("id", "eligible", "preset")
+
+
 # sources and names in Japanese spellings ----------------------------------------------------------------------------------
 
 ORDERED_SQL = """o AS (SELECT l_orderkey AS path, p_name AS title, p_type AS work, p_brand AS artist, l_returnflag AS flag,
@@ -607,6 +636,21 @@ def artist_separators(spark: SparkSession, d: str) -> DataFrame:
     return c.select("segment", keys.normalize_separators(F.concat("segment", F.lit(" ， "), F.lower("segment"), F.lit("　ft. x （ CV．y ）"))).alias("name"))
 
 
+@registered("SELECT DISTINCT '恋' AS query, '恋のラ' || p_name AS title, 3 AS tier FROM part")
+def played_partial_han(spark: SparkSession, d: str) -> DataFrame:
+    """A single Han character matches parts of titles, a single kana none."""
+    titles = read(spark, d, "part").select(F.concat(F.lit("恋のラ"), "p_name").alias("title")).distinct()
+    keyed = titles.select("title", keys.norm_key(F.col("title")).alias("key"), keys.base_key(F.col("title")).alias("base"))
+    return query.played_tiers(keyed, spark.createDataFrame([("恋",), ("ラ",)], "query string")).select("query", "title", "tier")
+
+
+@registered("SELECT s_suppkey AS id, CASE WHEN s_suppkey % 5 = 0 THEN 'manual' WHEN s_suppkey % 4 = 0 THEN 'xlsx' WHEN s_suppkey % 4 = 1 THEN 'txt' END AS reader, CASE WHEN s_suppkey % 5 = 0 OR s_suppkey % 4 < 2 THEN NULL WHEN s_suppkey % 4 = 2 THEN 'no text in PDF; give a transcription' ELSE 'unsupported: doc' END AS skipped_reason FROM supplier")
+def file_readers(spark: SparkSession, d: str) -> DataFrame:
+    name = F.element_at(F.array(*map(F.lit, ("a.XLSX", "b.txt", "c.pdf", "d.doc"))), (F.col("id") % 4 + 1).cast("int"))
+    files = read(spark, d, "supplier").select(F.col("s_suppkey").alias("id")).withColumn("name", name)
+    return setlists.dispatch(files, files.where("id % 5 = 0").select("id")).select("id", "reader", "skipped_reason")
+
+
 # expressions ------------------------------------------------------------------------------------------------------------
 
 
