@@ -88,6 +88,4 @@ s AS (
 ), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
 SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM r WHERE rank <= 10
 """,
-    "op10_simhash": None,
 }
-ORACLES = {k: v for k, v in ORACLES.items() if v}
