@@ -55,6 +55,13 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return off, body
 
 
+def strings(values: list[bytes]) -> pa.Array:
+    """A string column of UTF-8 values."""
+    offsets = np.zeros(len(values) + 1, np.int32)
+    np.cumsum([len(v) for v in values], out=offsets[1:])
+    return pa.Array.from_buffers(pa.string(), len(values), [None, pa.py_buffer(offsets), pa.py_buffer(b"".join(values))])
+
+
 def runs_of_rows(offsets: np.ndarray, limit: int) -> Iterator[tuple[int, int]]:
     """Row ranges of at most `limit` bytes each; a longer row makes a range of its own."""
     n, at = len(offsets) - 1, 0
