@@ -598,13 +598,13 @@ def text_set_lists(spark: SparkSession, d: str) -> DataFrame:
     return setlists.text_tracks(texts).select("path", "track_no", "title", "source_work", "url")
 
 
-@registered("SELECT (s_nationkey + 1)::INTEGER AS event_no, make_date(2000 + s_nationkey::INTEGER, 1, 2) AS event_date, s_name AS dj, CASE WHEN s_suppkey % 7 <> 0 THEN (s_suppkey % 100)::INTEGER END AS play_order, CASE WHEN s_suppkey % 3 = 0 THEN 0 ELSE 1 END AS setlists, CASE WHEN s_suppkey % 3 = 0 THEN 3 ELSE 2 END AS media FROM supplier")
+@registered("SELECT (s_nationkey + 1)::INTEGER AS event_no, make_date(2000 + s_nationkey::INTEGER, 1, 2) AS event_date, s_name AS dj, CASE WHEN s_suppkey % 7 <> 0 THEN (s_suppkey % 100)::INTEGER END AS play_order, CASE WHEN s_suppkey % 3 = 0 THEN 0 ELSE 1 END AS setlists, CASE WHEN s_suppkey % 3 = 0 THEN 8 ELSE 7 END AS media FROM supplier")
 def crawled_djs(spark: SparkSession, d: str) -> DataFrame:
     """Suppliers as DJ folders below their nations' event folders; a third of them hold no set list."""
     key = F.col("s_suppkey")
     event = F.format_string("第%d回_%d0102", (F.col("s_nationkey") + 1).cast("int"), (F.col("s_nationkey") + 2000).cast("int"))
     folder = F.concat(F.when(key % 7 == 0, "xx_").otherwise(F.concat((key % 100).cast("string"), F.lit("_"))), F.col("s_name"))
-    names = F.array(F.when(key % 3 == 0, "flyer.pdf").otherwise("set.XLSX"), F.lit("mix.MP3"), F.lit("ポスター.txt"))
+    names = F.array(F.when(key % 3 == 0, "flyer.pdf").otherwise("set.XLSX"), F.lit("mix.MP3"), F.lit("ポスター.txt"), F.lit("clip.WMV"), F.lit("clip.m4v"), F.lit("talk.pptx"), F.lit("talk.key"), F.lit("readme.txt"))
     files = read(spark, d, "supplier").select(event.alias("event_folder"), folder.alias("dj_folder"), F.explode(names).alias("name"))
     found = setlists.crawl(files.withColumns({"id": F.sha2(F.concat("dj_folder", "name"), 256), "mime": setlists.mime_of(F.col("name"))}))
     return found.select("event_no", "event_date", "dj", "play_order", F.size("setlists").alias("setlists"), F.size("media_files").alias("media"))

@@ -11,9 +11,13 @@ from setloom.functions.values import clean
 # What is not a set list, and how folders are named.
 EVENT_FOLDER = r"^第(\d+)回_(\d{8})$"
 DJ_PREFIX = r"^(\d+|[xX]{2})_"
-MEDIA = ["mp3", "m4a", "wav", "flac", "aac", "aif", "aiff", "ogg", "mp4", "mov", "avi", "mkv", "webm", "jpg", "jpeg", "png", "gif", "webp", "heic", "zip"]
+SOUNDS = ["mp3", "m4a", "wav", "flac", "aac", "aif", "aiff", "ogg"]
+VIDEOS = ["mp4", "mov", "avi", "mkv", "webm", "wmv", "m4v"]
+PICTURES = ["jpg", "jpeg", "png", "gif", "webp", "heic"]
+MEDIA = [*SOUNDS, *VIDEOS, *PICTURES, "zip", "pptx", "key"]
 SKIPPED = [*MEDIA, "numbers"]
 FLYER = r"(?i)flyer|ポスター"
+KNOWN_NAMES = ("readme.txt",)
 
 
 def normalize_dj(folder: Column, nicknames: dict[str, str] | None = None) -> Column:
@@ -31,14 +35,14 @@ def suffix_of(name: Column) -> Column:
     return F.lower(F.regexp_extract(name, r"\.([^.]+)$", 1))
 
 
-def is_candidate(name: Column, mime: Column) -> Column:
-    """A file that may be a set list: no flyer, no sound, video or picture."""
-    return ~name.rlike(FLYER) & ~mime.rlike("^(audio|video|image)/") & ~suffix_of(name).isin(*SKIPPED)
+def is_candidate(name: Column, mime: Column, known: tuple[str, ...] = KNOWN_NAMES) -> Column:
+    """A file that may be a set list: no flyer, sound, video, picture or slides; known (configuration): names of other texts."""
+    return ~name.isin(*known) & ~name.rlike(FLYER) & ~mime.rlike("^(audio|video|image)/") & ~suffix_of(name).isin(*SKIPPED)
 
 
 def mime_of(name: Column) -> Column:
     s = suffix_of(name)
-    return F.when(s == "xlsx", "application/vnd.openxmlformats-officedocument.spreadsheetml.sheet").when(s == "txt", "text/plain").when(s == "csv", "text/csv").when(s == "pdf", "application/pdf").when(s.isin("mp3", "m4a", "wav", "flac", "aac", "aif", "aiff", "ogg"), F.concat(F.lit("audio/"), s)).when(s.isin("mp4", "mov", "avi", "mkv", "webm"), F.concat(F.lit("video/"), s)).when(s.isin("jpg", "jpeg", "png", "gif", "webp", "heic"), F.concat(F.lit("image/"), s)).otherwise("application/octet-stream")
+    return F.when(s == "xlsx", "application/vnd.openxmlformats-officedocument.spreadsheetml.sheet").when(s == "txt", "text/plain").when(s == "csv", "text/csv").when(s == "pdf", "application/pdf").when(s.isin(*SOUNDS), F.concat(F.lit("audio/"), s)).when(s.isin(*VIDEOS), F.concat(F.lit("video/"), s)).when(s.isin(*PICTURES), F.concat(F.lit("image/"), s)).otherwise("application/octet-stream")
 
 
 def local_suffix(mime: Column, name: Column) -> Column:
@@ -70,17 +74,21 @@ def listing(raw: DataFrame) -> DataFrame:
 
 def files_below(spark: SparkSession, root: str) -> DataFrame:
     """(event_folder, dj_folder, id, name, mime) of root/<event>/<dj>/<file>, from Spark's own file listing."""
-    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).select("path")
+    return named_files(spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).select("path"))
+
+
+def named_files(found: DataFrame) -> DataFrame:
+    """Files (path and more) with what their paths say."""
     parts = F.split(F.url_decode(F.regexp_replace("path", r"\+", "%2B")), "/")
     n = F.size(parts)
-    out = found.select(F.sha2("path", 256).alias("id"), "path", F.get(parts, n - 3).alias("event_folder"), F.get(parts, n - 2).alias("dj_folder"), F.get(parts, n - 1).alias("name"))
+    out = found.select(F.sha2("path", 256).alias("id"), *found.columns, F.get(parts, n - 3).alias("event_folder"), F.get(parts, n - 2).alias("dj_folder"), F.get(parts, n - 1).alias("name"))
     return out.withColumn("mime", mime_of(F.col("name")))
 
 
-def crawl(files: DataFrame, not_djs: tuple[str, ...] = ()) -> DataFrame:
+def crawl(files: DataFrame, not_djs: tuple[str, ...] = (), known: tuple[str, ...] = KNOWN_NAMES) -> DataFrame:
     """The manifest's DJs: one row for each DJ folder of an event folder, with candidates and media files in name order."""
     own = files.where(F.col("event_folder").rlike(EVENT_FOLDER) & ~F.col("dj_folder").isin(*not_djs)) if not_djs else files.where(F.col("event_folder").rlike(EVENT_FOLDER))
-    own = own.withColumn("candidate", is_candidate(F.col("name"), F.col("mime")))
+    own = own.withColumn("candidate", is_candidate(F.col("name"), F.col("mime"), known))
     item = F.struct("name", "id", "mime")
     out = own.groupBy("event_folder", "dj_folder").agg(F.array_sort(F.collect_list(F.when(F.col("candidate"), item))).alias("setlists"), F.array_sort(F.collect_list(F.when(~F.col("candidate"), F.col("name")))).alias("media_files"))
     return out.select(
@@ -152,5 +160,5 @@ def dispatch(files: DataFrame, manual: DataFrame) -> DataFrame:
     s = suffix_of(F.col("name"))
     out = files.join(manual.select("id", F.lit(True).alias("manual")).distinct(), "id", "left")
     reader = F.when(F.col("manual"), "manual").when(s.isin("xlsx", "txt"), s)
-    reason = F.when(reader.isNotNull(), None).when(s == "pdf", "no text in PDF; give a transcription").otherwise(F.concat(F.lit("unsupported: "), s))
+    reason = F.when(reader.isNotNull(), None).when(s == "pdf", "no text in PDF; give a transcription").otherwise(F.concat(F.lit("unsupported: "), F.coalesce(s, F.lit(""))))
     return out.select(*[files[c] for c in files.columns], reader.alias("reader"), reason.alias("skipped_reason"))
