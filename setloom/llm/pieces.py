@@ -8,8 +8,8 @@ left: Aho-Corasick gives the longest piece at every place; it, then the pieces t
 before; where none fits, the place is marked as failed in a bitfield and the last piece is taken back. What leads to a place is
 unique too, so a failed place stays failed.
 
-Pieces with a blank inside start with it in all usual models; then a text falls apart before blanks, and each different part
-is encoded once for many texts. Where a model has others, texts are not cut.
+No merge crosses a place where two characters follow each other as in no piece, so texts are cut there: first by a pattern that
+is checked against the model's pieces, then at every such place. Each different part is encoded once for many texts.
 """
 
 from __future__ import annotations
@@ -17,9 +17,10 @@ from __future__ import annotations
 import codecs
 import re
 from array import array
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
-from itertools import chain, groupby
+from itertools import groupby
+from operator import add
 
 import ahocorasick
 import numpy as np
@@ -32,8 +33,8 @@ from setloom.llm.common import lean, runs_of_rows, strings, utf8
 SPACE = "▁"  # what a blank is written as
 NORMAL, UNKNOWN, CONTROL, BYTE = 1, 2, 3, 6  # kinds of pieces in model files
 BPE = 2
-NONE, RAW = -1, -2  # no piece; a character that no piece has
-PAIRS, PARTS = 400_000, 400_000  # what a process remembers at most; forgotten things are worked out again
+RAW = -1  # a character that no piece has
+PAIRS, PARTS, LONG = 300_000, 400_000, 100  # how many pairs and parts, up to which length, a process remembers; the rest is worked out again
 
 
 def _fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
@@ -69,6 +70,24 @@ def _one_each(error: UnicodeError) -> tuple[str, int]:
 codecs.register_error("one_each", _one_each)
 
 
+class Remembered(dict):
+    """Results of a function of strings: of those asked for last at least `most` / 2, if they are short, and at most `most`."""
+
+    def __init__(self, function: Callable[[str], bytes]) -> None:
+        self.function, self.before = function, {}
+
+    def __missing__(self, part: str) -> bytes:
+        found = self.before.get(part)
+        if found is None:
+            found = self.function(part)
+        if len(part) <= LONG:
+            if len(self) >= PARTS // 2:
+                self.before = dict(self)
+                self.clear()
+            self[part] = found
+        return found
+
+
 class PieceModel:
     """A BPE model with byte fallback, whose normaliser changes nothing but blanks."""
 
@@ -100,19 +119,19 @@ class PieceModel:
         single = {p for p in self.score if len(p) == 1}
         if any(c not in single for p in self.score for c in p):
             raise ValueError("each character of a piece must be a piece")
-        self.cut = not any(SPACE in p.lstrip(SPACE) for p in self.score)
         reached = [(i, p) for i, (p, _, k) in enumerate(found) if k == NORMAL and self.merged(p) == [p]]
         ids = {p: i for i, p in reached}
         self.automaton = ahocorasick.Automaton()
-        for i, p in reached:
-            self.automaton.add_word(p, i)
+        for _, p in reached:
+            begins = [p[:k] for k in range(len(p), 0, -1) if p[:k] in ids]  # the piece, and the pieces that it begins with
+            self.automaton.add_word(p, (len(p) - 1, [(len(b), ids[b]) for b in begins]))
         self.automaton.make_automaton()
-        self.size = [len(p) for p in self.pieces]
-        self.shorter = [NONE] * len(self.pieces)
-        for i, p in reached:
-            self.shorter[i] = next((ids[p[:k]] for k in range(len(p) - 1, 0, -1) if p[:k] in ids), NONE)
-        self.fits: dict[tuple[int, int], bool] = {}
-        self.seen: dict[str, array] = {}
+        self.raw = [(1, RAW)]
+        self.inside = {p[i : i + 2] for p in self.score for i in range(len(p) - 1)}
+        self.cut = safe_cut(self.inside)
+        self.fits: dict[int, bool] = {}
+        known = Remembered(self.cut_up)
+        self.parts = Remembered(lambda part: b"".join(map(known.__getitem__, self.fragments(part))))
         unknown = trained.get(44, b" \xe2\x81\x87 ")
         self.surface = [p.replace(SPACE, " ").encode() if k == NORMAL else bytes([int(p[1:-1], 16)]) if k == BYTE else unknown if k == UNKNOWN else b"" for p, _, k in found]
         self.control = frozenset(i for i, (_, _, k) in enumerate(found) if k == CONTROL)
@@ -133,60 +152,63 @@ class PieceModel:
 
     def compatible(self, left: int, right: int) -> bool:
         """Whether the two stay apart when their characters are merged anew."""
-        known = self.fits.get((left, right))
+        known = self.fits.get(left << 20 | right)
         if known is None:
             if len(self.fits) >= PAIRS:
                 self.fits.clear()
             a, b = self.pieces[left], self.pieces[right]
-            known = self.fits[left, right] = self.merged(a + b) == [a, b]
+            known = self.fits[left << 20 | right] = self.merged(a + b) == [a, b]
         return known
 
-    def cut_up(self, part: str) -> array:
-        """Ids of one part of a text."""
+    def cut_up(self, part: str) -> bytes:
+        """Ids of one part of a text, as int32."""
         n = len(part)
-        longest = array("i", [RAW]) * n
-        for end, piece in self.automaton.iter(part):
-            longest[end - self.size[piece] + 1] = piece  # of those that start here the longest ends last
-        failed = bytearray(n // 8 + 1)
-        out: list[tuple[int, int]] = []  # place, piece
-        at, piece = 0, longest[0]
-        while at < n:
-            before = out[-1][1] if out else RAW
-            while piece >= 0:
-                end = at + self.size[piece]
-                if not failed[end >> 3] >> (end & 7) & 1 and (before == RAW or self.compatible(before, piece)):
+        choices: list[list[tuple[int, int]]] = [self.raw] * n
+        for end, (size, found) in self.automaton.iter(part):
+            choices[end - size] = found  # of those that start here the longest ends last
+        failed, holes = bytearray(n // 8 + 1), False
+        fits, compatible = self.fits, self.compatible
+        places: list[int] = []
+        out: list[int] = []
+        at, before, options = 0, RAW, choices[0]
+        while True:
+            for size, piece in options:
+                end = at + size
+                if holes and failed[end >> 3] >> (end & 7) & 1:
+                    continue
+                if before < 0 or piece < 0:
+                    break
+                fit = fits.get(before << 20 | piece)
+                if fit or fit is None and compatible(before, piece):
                     break
-                piece = self.shorter[piece]
-            if piece == NONE:
+            else:
                 failed[at >> 3] |= 1 << (at & 7)
-                at, last = out.pop()
-                piece = self.shorter[last]
+                holes = True
+                at, last = places.pop(), out.pop()
+                before = out[-1] if out else RAW
+                options = [x for x in choices[at] if x[0] < len(self.pieces[last])]
                 continue
-            out.append((at, piece))
-            at += 1 if piece == RAW else self.size[piece]
-            piece = longest[at] if at < n else NONE
-        ids = array("i")
-        for place, piece in out:
-            if piece == RAW:
-                ids.extend(self.byte_ids[b] for b in part[place].encode())
-            else:
-                ids.append(piece)
-        return ids
-
-    def encode(self, text: str) -> array:
+            places.append(at)
+            out.append(piece)
+            if end == n:
+                break
+            at, before, options = end, piece, choices[end]
+        if min(out) == RAW:
+            out = [x for place, piece in zip(places, out, strict=True) for x in ([self.byte_ids[b] for b in part[place].encode()] if piece == RAW else (piece,))]
+        return array("i", out).tobytes()
+
+    def fragments(self, part: str) -> list[str]:
+        """The part cut where no piece has two characters in this order, so that no merge can cross."""
+        inside = self.inside
+        cuts = [i for i, two in enumerate(map(add, part, part[1:]), 1) if two not in inside]
+        return [part[a:b] for a, b in zip([0, *cuts], [*cuts, len(part)], strict=True)] if cuts else [part]
+
+    def encode(self, text: str) -> np.ndarray:
+        """Ids as int32."""
         if not text:
-            return array("i")
+            return np.zeros(0, np.int32)
         text = (SPACE if self.prefixed else "") + text.replace(" ", SPACE)
-        parts = PART.findall(text) if self.cut else [text]
-        seen = self.seen
-        if len(seen) > PARTS:
-            seen.clear()
-        for part in set(parts).difference(seen):
-            seen[part] = self.cut_up(part)
-        ids = array("i", chain.from_iterable(map(seen.__getitem__, parts)))
-        if len(text) > PARTS:
-            seen.clear()  # a long text may have brought long parts
-        return ids
+        return np.frombuffer(b"".join(map(self.parts.__getitem__, self.cut.findall(text))), np.int32)
 
     def decode(self, ids: list[int]) -> str:
         if not self.control.isdisjoint(ids):  # control ids part the bytes around them
@@ -199,7 +221,14 @@ class PieceModel:
         return found[first and self.prefixed and bool(ids) and ids[0] in self.spaced :].decode("utf-8", "one_each")
 
 
-PART = re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
+#: Where texts are cut first: before blanks, and between Latin letters and the rest, or before blanks alone, or not at all.
+LATIN = "A-Za-zÀ-ÖØ-öø-ɏḀ-ỿ"
+CUTS = [re.compile(f"{SPACE}*(?:[{LATIN}]+|[^{LATIN}{SPACE}]+)|{SPACE}+"), re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+"), re.compile(r"(?s).+")]
+
+
+def safe_cut(inside: set[str]) -> re.Pattern:
+    """The first of CUTS that cuts no two characters apart which some piece has in this order."""
+    return next(cut for cut in CUTS if all(len(cut.findall(two)) == 1 for two in inside))
 
 
 @lru_cache(maxsize=2)
@@ -214,11 +243,9 @@ def _encode_batches(path: str, limit: int = 1 << 20):
         for batch in batches:
             offsets, body = utf8(batch.column(0))
             for a, b in runs_of_rows(offsets, limit):
-                ids, ends = array("i"), [0]
-                for begin, end in zip(offsets[a:b].tolist(), offsets[a + 1 : b + 1].tolist(), strict=True):
-                    ids.extend(model.encode(body[begin:end].tobytes().decode("utf-8", "one_each")))
-                    ends.append(len(ids))
-                lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(ids, np.int32) if ids else np.zeros(0, np.int32)))
+                ids = [model.encode(body[begin:end].tobytes().decode("utf-8", "one_each")) for begin, end in zip(offsets[a:b].tolist(), offsets[a + 1 : b + 1].tolist(), strict=True)]
+                ends = np.cumsum([0, *map(len, ids)], dtype=np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(ids)))
                 yield pa.RecordBatch.from_arrays([batch.column(1).slice(a, b - a), lists], names=["doc_id", "ids"])
 
     return run

@@ -167,14 +167,25 @@ def test_any_ids_decode_as_the_library_decodes_them():
 
 def test_pieces_are_found_again_after_what_was_remembered_is_gone(monkeypatch):
     monkeypatch.setattr(pieces, "PAIRS", 3)
-    monkeypatch.setattr(pieces, "PARTS", 3)
+    monkeypatch.setattr(pieces, "PARTS", 4)
     lib, own = sentencepiece.SentencePieceProcessor(model_file=MODEL), pieces.PieceModel(MODEL)
     for text in ("one two three four five six seven", "two three nine ten eleven twelve", "one thirteen two"):
         assert own.encode(text).tolist() == lib.encode(text)
-    own.cut = False  # whole texts, with the pieces tried across blanks
+    assert len(own.parts) <= 2
+    own.cut, own.inside = pieces.safe_cut({"a▁"}), {x + y for x in "▁ abcdefghijklmnopqrstuvwxyz\n" for y in "▁ abcdefghijklmnopqrstuvwxyz\n"}  # whole texts
     assert own.encode("one two  three   four ▁ five\n six").tolist() == lib.encode("one two  three   four ▁ five\n six")
 
 
+def test_texts_are_cut_where_no_piece_is():
+    own = pieces.piece_model(MODEL)
+    assert own.cut is pieces.CUTS[0]
+    assert pieces.safe_cut({"▁a", "ab", "a1"}) is pieces.CUTS[1]
+    assert pieces.safe_cut({"▁a", "a▁"}) is pieces.CUTS[2]
+    for text in ("▁ab▁▁c", "x,y\nz", "▁", "日本▁é1"):
+        for cut in pieces.CUTS:
+            assert "".join(cut.findall(text)) == text
+
+
 def test_backtracking_takes_pieces_back():
     own = pieces.piece_model(MODEL)
     lib = sentencepiece.SentencePieceProcessor(model_file=MODEL)
@@ -182,11 +193,11 @@ def test_backtracking_takes_pieces_back():
     greedy = 0
     for _ in range(3000):
         text = "".join(rng.choice("etaoinshr") for _ in range(rng.randrange(2, 14)))
-        ids, rest, longest = own.cut_up(text).tolist(), text, []
+        ids, rest, longest = np.frombuffer(own.cut_up(text), np.int32).tolist(), text, []
         assert [own.pieces[i] for i in ids] == own.merged(text)
         while rest:
-            size, piece = max((end + 1, p) for end, p in own.automaton.iter(rest) if end + 1 == own.size[p])
-            longest.append(piece)
+            size, found = max((end + 1, found) for end, (last, found) in own.automaton.iter(rest) if end == last)
+            longest.append(found[0][1])
             rest = rest[size:]
         greedy += longest != ids
     assert greedy > 100  # the longest pieces alone would be wrong that often
