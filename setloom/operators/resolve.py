@@ -75,34 +75,46 @@ def decided_values(decisions: DataFrame, auto_entries: DataFrame | None = None,
     return out.distinct()
 
 
+def decided_by_field(decisions: DataFrame) -> DataFrame:
+    """(field, raw): spellings that a person accepted or rejected, in the field where that was."""
+    return decisions.where(F.col("action").isin("accept", "reject")).select("field", F.explode("variants").alias("raw")).distinct()
+
+
 def variant_index(entries: DataFrame) -> DataFrame:
-    """(raw, canonical): the first entry that has the spelling counts."""
-    rows = entries.select("ord", trimmed(F.col("canonical")).alias("canonical"), F.explode(class_values(entries)).alias("raw"))
-    return rows.groupBy("raw").agg(F.min_by("canonical", "ord").alias("canonical"))
+    """(field, raw, canonical): the first entry of a field that has the spelling counts; entries without a name don't."""
+    rows = entries.select("field", "ord", trimmed(F.col("canonical")).alias("canonical"), F.explode(class_values(entries)).alias("raw")).where("canonical <> ''")
+    return rows.groupBy("field", "raw").agg(F.min_by("canonical", "ord").alias("canonical"))
 
 
 def validate(payload: DataFrame, decided: DataFrame, apart: DataFrame, index: DataFrame, allowed: DataFrame, unicode: bool = True, own_kinds: tuple[str, ...] = ()) -> DataFrame:
     """payload with `code`: null if it may be written, else invalid, already-decided, keep-apart or conflict.
 
-    payload: id, field, action, canonical, kind, confidence, variants, reason. allowed: field, canonical (names that exist already).
-    own_kinds (configuration): further kinds of works that an installation has.
+    payload: id, field, action, canonical, kind, confidence, variants, reason. decided (field, raw) and index (field, raw, canonical):
+    a spelling that is settled as a work is open as an artist. allowed: field, canonical (names that exist already). own_kinds
+    (configuration): further kinds of works that an installation has. The first fault counts: form (a reason is always
+    needed), what is decided already, what an acceptance needs (spellings, a name, a work's kind), an invented name, pairs
+    that are kept apart, another name for the spelling.
     """
     p = payload.withColumn("names", names_of(F.col("variants"))).withColumn("name", trimmed(F.coalesce("canonical", F.lit(""))))
-    writes = F.col("action").isin("accept", "reject")
-    need = F.when(F.col("action") == "keep-apart", F.size("names") == 2).when(writes, F.size("names") > 0).otherwise(True)
-    accept = F.col("action") == "accept"
-    form = F.col("id").isNull() | (F.col("id") == "") | ~F.coalesce(F.col("field").isin("work", "artist"), F.lit(False)) | ~F.coalesce(F.col("action").isin(*ACTIONS), F.lit(False)) | ~need
-    form = form | (accept & (F.col("name") == "")) | (accept & (F.col("field") == "work") & ~F.coalesce(F.col("kind"), F.lit("work")).isin(*WORK_KINDS, *own_kinds)) | (accept & ~F.coalesce("confidence", F.lit("high")).isin(*CONFIDENCES))
-    each = p.where(writes).select("id", "action", "name", F.explode(F.array_distinct(F.concat("names", F.when(accept & (F.col("name") != ""), F.array("name")).otherwise(F.array().cast("array<string>"))))).alias("raw"), "names")
-    done = each.where(F.array_contains("names", F.col("raw"))).join(decided, "raw", "left_semi").select("id").distinct().withColumn("done", F.lit(True))
-    clash = each.where("action = 'accept'").join(index.withColumnRenamed("canonical", "now"), "raw").where("now <> name").select("id").distinct().withColumn("clash", F.lit(True))
-    parted = within_apart(each.where("action = 'accept'").select("id", "raw"), apart, unicode).withColumn("parted", F.lit(True))
+    p = p.withColumn("_row", F.monotonically_increasing_id())
+    blank = lambda c: trimmed(F.coalesce(F.col(c), F.lit(""))) == ""
+    writes, accept = F.col("action").isin("accept", "reject"), F.col("action") == "accept"
+    form = blank("id") | ~F.coalesce(F.col("field").isin("work", "artist"), F.lit(False)) | ~F.coalesce(F.col("action").isin(*ACTIONS), F.lit(False)) | blank("reason")
+    need = F.when(F.col("action") == "keep-apart", F.size("names") == 2).when(accept, (F.size("names") > 0) & (F.col("name") != "")).otherwise(True)
+    kind = F.when(blank("kind"), F.col("field") != "work").otherwise(trimmed(F.col("kind")).isin(*WORK_KINDS, *own_kinds))
+    sure = F.when(blank("confidence"), True).otherwise(trimmed(F.col("confidence")).isin(*CONFIDENCES))
+    body = ~need | (accept & ~(kind & sure))
+    p = staged(p, "validate")  # the rows' numbers must not change
+    each = p.where(writes).select("_row", "field", "action", "name", F.explode(F.array_distinct(F.concat("names", F.when(accept & (F.col("name") != ""), F.array("name")).otherwise(F.array().cast("array<string>"))))).alias("raw"), "names")
+    done = each.where(F.array_contains("names", F.col("raw"))).join(decided, ["field", "raw"], "left_semi").select("_row").distinct().withColumn("done", F.lit(True))
+    clash = each.where("action = 'accept'").join(index.withColumnRenamed("canonical", "now"), ["field", "raw"]).where("now <> name").select("_row").distinct().withColumn("clash", F.lit(True))
+    parted = within_apart(each.where("action = 'accept'").select(F.col("_row").alias("id"), "raw"), apart, unicode).select(F.col("id").alias("_row"), F.lit(True).alias("parted"))
     stripped = F.transform("names", strip_notes)
     known = allowed.select(F.col("field").alias("f"), F.col("canonical").alias("n")).distinct().withColumn("known", F.lit(True))
-    out = p.join(done, "id", "left").join(clash, "id", "left").join(parted, "id", "left").join(known, (F.col("field") == F.col("f")) & (F.col("name") == F.col("n")), "left")
+    out = p.join(done, "_row", "left").join(clash, "_row", "left").join(parted, "_row", "left").join(known, (F.col("field") == F.col("f")) & (F.col("name") == F.col("n")), "left")
     grounded = F.array_contains("names", F.col("name")) | F.coalesce("known", F.lit(False)) | ((F.col("field") == "work") & F.array_contains(stripped, F.col("name")))
-    code = F.when(form, "invalid").when(F.coalesce("done", F.lit(False)), "already-decided").when(accept & ~grounded, "invalid").when(F.coalesce("parted", F.lit(False)), "keep-apart").when(F.coalesce("clash", F.lit(False)), "conflict")
-    return out.select(*[payload[c] for c in payload.columns], code.alias("code"))
+    code = F.when(form, "invalid").when(F.coalesce("done", F.lit(False)), "already-decided").when(body | (accept & ~grounded), "invalid").when(F.coalesce("parted", F.lit(False)), "keep-apart").when(F.coalesce("clash", F.lit(False)), "conflict")
+    return out.select(*payload.columns, code.alias("code"))
 
 
 def within_apart(members: DataFrame, apart: DataFrame, unicode: bool = True) -> DataFrame:

@@ -450,6 +450,21 @@ def decide_codes(spark: SparkSession, d: str) -> DataFrame:
     return entrypoints.decide(payload, log, known, apart, "2024-01-01", unicode=False).checked.select("id", "code")
 
 
+@registered("""WITH p AS (SELECT s_name, s_suppkey AS k, s_nationkey AS n, unnest(['work', 'artist']) AS field FROM supplier)
+SELECT s_name || '/' || field AS id, CASE WHEN k % 9 = 0 THEN 'invalid' WHEN n < 5 AND field = CASE WHEN k % 2 = 0 THEN 'work' ELSE 'artist' END AND k % 4 < 2 THEN 'already-decided'
+    WHEN k % 4 <> 0 THEN NULL WHEN field = 'work' AND k % 5 = 0 THEN 'invalid' WHEN n = 6 AND field = 'artist' THEN 'conflict' END AS code FROM p""")
+def decide_codes_by_field(spark: SparkSession, d: str) -> DataFrame:
+    """Each supplier's name as a work and as an artist: what is settled in one field is open in the other."""
+    s = read(spark, d, "supplier").withColumn("field", F.explode(F.array(F.lit("work"), F.lit("artist"))))
+    k, name = F.col("s_suppkey"), F.array("s_name")
+    action = F.when(k % 4 == 0, "accept").when(k % 4 == 1, "reject").otherwise("defer")
+    payload = s.select(F.concat_ws("/", "s_name", "field").alias("id"), "field", action.alias("action"), F.col("s_name").alias("canonical"), F.when(k % 5 != 0, F.lit("work")).alias("kind"), F.lit(None).cast("string").alias("confidence"), name.alias("variants"), F.when(k % 9 == 0, "  ").otherwise("r").alias("reason"))
+    where = F.when(k % 2 == 0, "work").otherwise("artist")
+    log = s.where((F.col("s_nationkey") < 5) & (F.col("field") == where)).select("s_name", "field", F.lit("accept").alias("action"), name.alias("variants"))
+    known = s.where("s_nationkey = 6 and field = 'artist'").select("field", k.cast("long").alias("ord"), F.lit("another name").alias("canonical"), name.alias("variants"))
+    return entrypoints.decide(payload, log, known, spark.createDataFrame([], "a string, b string"), "2024-01-01", unicode=False).checked.select("id", "code")
+
+
 DECISIONS_SQL = "de AS (SELECT ['accept', 'reject', 'defer', 'keep-apart'][1 + s_suppkey % 4] AS action, s_name AS raw FROM supplier)"
 
 

@@ -60,18 +60,23 @@ def block(plays: DataFrame, field: str, decisions: DataFrame | None = None, auto
     profiles = staged(graph.value_profiles(plays, column), "block-profiles")
     pairs = graph.keep_apart_pairs(apart, unicode) if apart is not None else None
     edges = staged(graph.build_edges(plays, profiles, column, pairs, evidence, unicode), "block-edges")
-    done = resolve.decided_values(decisions, auto, field) if decisions is not None else None
+    # a spelling that was decided in either field is no candidate in the other
+    done = resolve.decided_values(decisions, auto) if decisions is not None else None
     found = staged(graph.clusters(field, profiles, edges, graph.capped_components(edges), done), "block-clusters")
     return Blocked(found, graph.cluster_values(found, profiles, field), edges, graph.cluster_totals(profiles, found))
 
 
 def decide(payload: DataFrame, decisions: DataFrame, entries: DataFrame, apart: DataFrame, at: str, auto: DataFrame | None = None, unicode: bool = True) -> Decided:
-    """Payloads with their codes, and the dictionary entries and log records that the valid ones write."""
+    """Payloads with their codes, and the dictionary entries and log records that the valid ones write.
+
+    Spellings are decided, and go to names, by field. The automatic dictionary (auto) names what exists, but decides nothing: a
+    person may still accept its spellings under the same name.
+    """
     known = entries.unionByName(auto, allowMissingColumns=True) if auto is not None else entries
     index = resolve.variant_index(known)
     allowed = known.select("field", F.trim("canonical").alias("canonical")).distinct()
     pairs = graph.keep_apart_pairs(apart, unicode)
-    checked = staged(resolve.validate(payload, resolve.decided_values(decisions, auto), pairs, index, allowed, unicode), "decide-checked")
+    checked = staged(resolve.validate(payload, resolve.decided_by_field(decisions), pairs, index, allowed, unicode), "decide-checked")
     return Decided(checked, *resolve.decision_entries(checked, at))
 
 
@@ -80,20 +85,25 @@ def approve(clusters: DataFrame, proposals: DataFrame, decisions: DataFrame, ent
 
     Undoing a run means writing the dictionary without its entries: `undo`.
     """
-    known = entries.unionByName(auto, allowMissingColumns=True) if auto is not None else entries
-    before = auto.select(F.explode(resolve.class_values(auto)).alias("raw")).distinct() if auto is not None else clusters.sparkSession.createDataFrame([], "raw string")
-    plan = resolve.auto_plan(clusters, proposals, resolve.decided_values(decisions, field=field), before, resolve.variant_index(known), graph.keep_apart_pairs(apart, unicode), field, unicode)
+    known = (entries.unionByName(auto, allowMissingColumns=True) if auto is not None else entries).where(F.col("field") == field)
+    auto_here = auto.where(F.col("field") == field) if auto is not None else None
+    before = auto_here.select(F.explode(resolve.class_values(auto_here)).alias("raw")).distinct() if auto is not None else clusters.sparkSession.createDataFrame([], "raw string")
+    plan = resolve.auto_plan(clusters, proposals, resolve.decided_values(decisions, field=field), before, resolve.variant_index(known).drop("field"), graph.keep_apart_pairs(apart, unicode), field, unicode)
     plan = staged(plan, "approve-plan")
     new = resolve.auto_entries(plan, proposals, field, at)
     audit = new.select("id", "field", F.lit("auto-accept").alias("action"), "variants", "canonical", "reason", F.lit(at).alias("at"))
     return Approved(auto.unionByName(new, allowMissingColumns=True) if auto is not None else new, plan, audit)
 
 
-def undo(auto: DataFrame, at: str | None = None) -> tuple[DataFrame, DataFrame]:
-    """(the automatic dictionary without a run's entries, audit records): the run of `at`, or all of them."""
-    gone = F.lit(True) if at is None else F.col("decided_at") == at
+def undo(auto: DataFrame, at: str, field: str | None = None, run: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """(the automatic dictionary without the entries taken back, audit records of the time `at`): all entries, or those of a field, or
+    of the run that was made at the time `run`."""
+    gone = F.lit(True) if field is None else F.col("field") == field
+    if run is not None:
+        gone = gone & (F.col("decided_at") == run)
+    gone = F.coalesce(gone, F.lit(False))
     out = auto.where(gone).select("id", "field", F.lit("auto-undo").alias("action"), "variants", "canonical", "reason", F.lit(at).alias("at"))
-    return auto.where(~F.coalesce(gone, F.lit(False))), out
+    return auto.where(~gone), out
 
 
 def export_aliases(works: DataFrame, artists: DataFrame, generated_at: str, path: str | None = None) -> tuple[DataFrame, DataFrame]:

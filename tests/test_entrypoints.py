@@ -69,12 +69,50 @@ def test_block_decide_approve_and_undo(spark):
     proposals = spark.createDataFrame([(0, rows[0].id, "Moon Saga", None, "work", rows[0].members, "high", "why")], "ord long, cluster_id string, canonical string, series string, kind string, variants array<string>, confidence string, reason string")
     run = entrypoints.approve(found.clusters, proposals, log, entry(spark).limit(0), none, "work", "t2")
     assert [(r.canonical, r.decided_at) for r in run.entries.collect()] == [("Moon Saga", "t2")] and run.audit.count() == 1
-    left, audit = entrypoints.undo(run.entries, "t2")
-    assert left.count() == 0 and [r.action for r in audit.collect()] == ["auto-undo"] and entrypoints.undo(run.entries, "t1")[0].count() == 1
+    left, audit = entrypoints.undo(run.entries, "t3", run="t2")
+    assert left.count() == 0 and [(r.action, r.at) for r in audit.collect()] == [("auto-undo", "t3")] and entrypoints.undo(run.entries, "t3", run="t1")[0].count() == 1
+    left, audit = entrypoints.undo(run.entries, "t3")
+    assert left.count() == 0 and [r.at for r in audit.collect()] == ["t3"]
+    assert entrypoints.undo(run.entries, "t3", field="artist")[0].count() == 1 and entrypoints.undo(run.entries, "t3", field="work")[0].count() == 0
     again = entrypoints.block(plays, "work", decisions=log, auto=run.entries, apart=none)
     assert again.clusters.count() == 0
 
 
+def test_decisions_are_by_field(spark):
+    kinds = "id string, field string, action string, canonical string, kind string, confidence string, variants array<string>, reason string"
+    log = spark.createDataFrame([("0", "work", "accept", ["Seen"]), ("1", "artist", "reject", ["Gone"]), ("2", "work", "defer", ["Later"])], "id string, field string, action string, variants array<string>")
+    entries = entry(spark, ("work", "Name", None, "work", ["Foo"]), ("artist", "", None, None, ["Bar"]))
+    auto = entry(spark, ("artist", "Auto", None, None, ["Made"]))
+    none = spark.createDataFrame([], "a string, b string")
+    rows = [
+        ("a", "artist", "accept", "Foo", None, None, ["Foo"], "r", None),  # the work of that spelling is another matter
+        ("b", "work", "accept", "Foo", "work", None, ["Foo"], "r", "conflict"),
+        ("c", "artist", "reject", None, None, None, ["Seen"], "r", None),
+        ("d", "work", "reject", None, None, None, ["Seen"], "r", "already-decided"),
+        ("e", "artist", "accept", "Gone", None, None, ["Gone"], "r", "already-decided"),
+        ("f", "work", "accept", "Gone", "work", None, ["Gone"], "r", None),
+        ("g", "work", "accept", "Later", "work", "low", ["Later"], "r", None),
+        ("h", "work", "accept", "X", None, None, ["X"], "r", "invalid"),  # a work needs a kind
+        ("i", "artist", "accept", "X", "odd", None, ["X"], "r", "invalid"),
+        ("j", "artist", "defer", None, None, None, None, " ", "invalid"),  # everything needs a reason
+        ("k", "artist", "reject", None, None, None, None, "r", None),
+        ("l", "artist", "accept", "Auto", None, None, ["Made", "Other"], "r", None),  # an automatic entry decides nothing
+        ("m", "artist", "accept", "Made", None, None, ["Made"], "r", "conflict"),
+        ("n", "artist", "accept", "Name", None, None, ["X"], "r", "invalid"),  # a work's name grounds no artist
+        ("n", "work", "accept", "Name", "work", None, ["Y"], "r", None),  # the same id twice
+        ("o", "work", "accept", "Seen", None, None, ["Seen"], "r", "already-decided"),
+        ("p", "artist", "accept", "Bar", None, None, ["Bar"], "r", None),
+        (None, "work", "defer", None, None, None, None, "r", "invalid"),
+    ]
+    payload = spark.createDataFrame([r[:8] for r in rows], kinds)
+    done = entrypoints.decide(payload, log, entries, none, "t", auto=auto)
+    order = lambda xs: sorted(xs, key=str)
+    assert order((r.id, r.field, r.code) for r in done.checked.collect()) == order((r[0], r[1], r[8]) for r in rows)
+    plays = spark.createDataFrame([(1, "d", "s", w, w) for w in ("Gone", "GONE", "Seen", "seen", "new", "NEW")], "event_no int, dj string, title string, source_work string, artist string")
+    both = spark.createDataFrame([("1", "artist", "reject", ["Gone", "GONE"])], "id string, field string, action string, variants array<string>")
+    assert {tuple(r.members) for r in entrypoints.block(plays, "work", decisions=both).clusters.collect()} == {("Seen", "seen"), ("NEW", "new")}
+
+
 def test_build_gives_the_log_and_its_faults(spark):
     djs = spark.createDataFrame([(1, "a", "01_a", 1), (1, "b", "02_b", 2), (1, "c", "03_c", 3)], "event_no int, dj string, dj_folder string, play_order int").withColumn("event_date", F.lit("2024-01-01").cast("date"))
     track = "title string, source_work string, artist string, is_remix boolean, url string, bpm double, year int, note string"

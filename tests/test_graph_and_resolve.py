@@ -128,10 +128,10 @@ def test_proposal_checks_and_queue(spark):
 
 
 def test_validation_codes(spark):
-    rows = [("1", "work", "accept", "A", "work", "high", ["A", "a"], ""), ("2", "work", "accept", "B", "work", "high", ["b"], ""), ("3", "work", "reject", None, None, None, ["done"], ""), ("4", "work", "accept", "p", "work", "high", ["p", "q"], ""), ("5", "work", "accept", "k", "work", "high", ["k", "kk"], ""), ("6", "work", "keep-apart", None, None, None, ["x"], ""), ("7", "x", "accept", "A", None, None, ["A"], "")]
+    rows = [("1", "work", "accept", "A", "work", "high", ["A", "a"], "r"), ("2", "work", "accept", "B", "work", "high", ["b"], "r"), ("3", "work", "reject", None, None, None, ["done"], "r"), ("4", "work", "accept", "p", "work", "high", ["p", "q"], "r"), ("5", "work", "accept", "k", "work", "high", ["k", "kk"], "r"), ("6", "work", "keep-apart", None, None, None, ["x"], "r"), ("7", "x", "accept", "A", None, None, ["A"], "r")]
     payload = spark.createDataFrame(rows, "id string, field string, action string, canonical string, kind string, confidence string, variants array<string>, reason string")
-    decided, apart = spark.createDataFrame([("done",)], "raw string"), graph.keep_apart_pairs(spark.createDataFrame([("p", "q")], "a string, b string"))
-    index = spark.createDataFrame([("kk", "other")], "raw string, canonical string")
+    decided, apart = spark.createDataFrame([("work", "done")], "field string, raw string"), graph.keep_apart_pairs(spark.createDataFrame([("p", "q")], "a string, b string"))
+    index = spark.createDataFrame([("work", "kk", "other")], "field string, raw string, canonical string")
     got = {r.id: r.code for r in resolve.validate(payload, decided, apart, index, spark.createDataFrame([], "field string, canonical string")).collect()}
     assert got == {"1": None, "2": "invalid", "3": "already-decided", "4": "keep-apart", "5": "conflict", "6": "invalid", "7": "invalid"}
 
