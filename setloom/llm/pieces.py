@@ -8,19 +8,18 @@ left: Aho-Corasick gives the longest piece at every place; it, then the pieces t
 before; where none fits, the place is marked as failed in a bitfield and the last piece is taken back. What leads to a place is
 unique too, so a failed place stays failed.
 
-No merge crosses a place where two characters follow each other as in no piece, so texts are cut there: first by a pattern that
-is checked against the model's pieces, then at every such place. Each different part is encoded once for many texts.
+No merge crosses a place where two characters follow each other as in no piece. Texts are cut there, by kinds of characters that
+are checked against the model's pieces (before blanks, between Latin letters and others), and each different part is encoded once
+for many texts.
 """
 
 from __future__ import annotations
 
 import codecs
-import re
 from array import array
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 from itertools import groupby
-from operator import add
 
 import ahocorasick
 import numpy as np
@@ -34,7 +33,8 @@ SPACE = "▁"  # what a blank is written as
 NORMAL, UNKNOWN, CONTROL, BYTE = 1, 2, 3, 6  # kinds of pieces in model files
 BPE = 2
 RAW = -1  # a character that no piece has
-PAIRS, PARTS, LONG = 300_000, 400_000, 100  # how many pairs and parts, up to which length, a process remembers; the rest is worked out again
+BLANK, LETTER = 2, 1
+PAIRS, PARTS, LONG = 400_000, 800_000, 60  # how many pairs and parts, up to which length, a process remembers (some 200 MB)
 
 
 def _fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
@@ -71,17 +71,17 @@ codecs.register_error("one_each", _one_each)
 
 
 class Remembered(dict):
-    """Results of a function of strings: of those asked for last at least `most` / 2, if they are short, and at most `most`."""
+    """Results of a function of strings, if they are short: of those asked for last at least `most` / 2, and at most `most`."""
 
-    def __init__(self, function: Callable[[str], bytes]) -> None:
-        self.function, self.before = function, {}
+    def __init__(self, function: Callable[[str], bytes], most: int) -> None:
+        self.function, self.most, self.before = function, most, {}
 
     def __missing__(self, part: str) -> bytes:
         found = self.before.get(part)
         if found is None:
             found = self.function(part)
         if len(part) <= LONG:
-            if len(self) >= PARTS // 2:
+            if len(self) >= self.most // 2:
                 self.before = dict(self)
                 self.clear()
             self[part] = found
@@ -127,11 +127,9 @@ class PieceModel:
             self.automaton.add_word(p, (len(p) - 1, [(len(b), ids[b]) for b in begins]))
         self.automaton.make_automaton()
         self.raw = [(1, RAW)]
-        self.inside = {p[i : i + 2] for p in self.score for i in range(len(p) - 1)}
-        self.cut = safe_cut(self.inside)
+        self.rule = safe_rule({p[i : i + 2] for p in self.score for i in range(len(p) - 1)})
         self.fits: dict[int, bool] = {}
-        known = Remembered(self.cut_up)
-        self.parts = Remembered(lambda part: b"".join(map(known.__getitem__, self.fragments(part))))
+        self.parts = Remembered(lambda part: self.cut_up(part.replace(" ", SPACE)), PARTS)
         unknown = trained.get(44, b" \xe2\x81\x87 ")
         self.surface = [p.replace(SPACE, " ").encode() if k == NORMAL else bytes([int(p[1:-1], 16)]) if k == BYTE else unknown if k == UNKNOWN else b"" for p, _, k in found]
         self.control = frozenset(i for i, (_, _, k) in enumerate(found) if k == CONTROL)
@@ -197,18 +195,42 @@ class PieceModel:
             out = [x for place, piece in zip(places, out, strict=True) for x in ([self.byte_ids[b] for b in part[place].encode()] if piece == RAW else (piece,))]
         return array("i", out).tobytes()
 
-    def fragments(self, part: str) -> list[str]:
-        """The part cut where no piece has two characters in this order, so that no merge can cross."""
-        inside = self.inside
-        cuts = [i for i, two in enumerate(map(add, part, part[1:]), 1) if two not in inside]
-        return [part[a:b] for a, b in zip([0, *cuts], [*cuts, len(part)], strict=True)] if cuts else [part]
-
-    def encode(self, text: str) -> np.ndarray:
-        """Ids as int32."""
-        if not text:
-            return np.zeros(0, np.int32)
-        text = (SPACE if self.prefixed else "") + text.replace(" ", SPACE)
-        return np.frombuffer(b"".join(map(self.parts.__getitem__, self.cut.findall(text))), np.int32)
+    def encode(self, text: str) -> list[int]:
+        body = np.frombuffer(text.encode("utf-8", "replace"), np.uint8)
+        return self.encode_slice(np.array([0, len(body)]), body)[0].tolist()
+
+    def encode_slice(self, offsets: np.ndarray, body: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts one after another, offsets of the texts in them) of texts in UTF-8 (offsets in body)."""
+        texts = [body[a:b].tobytes() for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
+        texts = [(b" " if self.prefixed and t else b"") + t.replace(SPACE.encode(), b" ") for t in texts]
+        size = np.array([len(t) for t in texts], np.int64)
+        flat = np.frombuffer(b"".join(texts), np.uint8)
+        if not len(flat):
+            return np.zeros(0, np.int32), np.zeros(len(texts) + 1, np.int64)
+        begins = (np.cumsum(size) - size)[size > 0]
+        cuts = self._cuts(flat, begins)
+        spans = np.append(cuts, len(flat)).astype(np.int32)
+        parts = pa.Array.from_buffers(pa.binary(), len(cuts), [None, pa.py_buffer(spans), pa.py_buffer(flat)]).dictionary_encode()
+        known = [self.parts[p.decode("utf-8", "one_each")] for p in parts.dictionary.to_pylist()]
+        of_part = np.array([len(k) // 4 for k in known], np.int64)
+        first = np.cumsum(of_part) - of_part
+        at = parts.indices.to_numpy()
+        n = of_part[at]
+        before = np.cumsum(n) - n
+        ids = np.frombuffer(b"".join(known), np.int32)[np.repeat(first[at] - before, n) + np.arange(int(n.sum()))]
+        ends = np.zeros(len(texts) + 1, np.int64)
+        ends[1:][size > 0] = np.add.reduceat(n, np.searchsorted(cuts, begins))
+        return ids, np.cumsum(ends)
+
+    def _cuts(self, flat: np.ndarray, begins: np.ndarray) -> np.ndarray:
+        """Where parts of the texts begin, in order: at texts, and where `self.rule` cuts."""
+        starts = np.flatnonzero(flat & 0xC0 != 0x80) if self.rule is not None else begins
+        begin = np.zeros(len(starts), bool)
+        begin[np.searchsorted(starts, begins)] = True
+        if self.rule is not None:
+            kind = self.rule[flat[starts]]
+            begin[1:] |= (kind[1:] != kind[:-1]) & (kind[:-1] != BLANK)
+        return starts[begin]
 
     def decode(self, ids: list[int]) -> str:
         if not self.control.isdisjoint(ids):  # control ids part the bytes around them
@@ -221,14 +243,23 @@ class PieceModel:
         return found[first and self.prefixed and bool(ids) and ids[0] in self.spaced :].decode("utf-8", "one_each")
 
 
-#: Where texts are cut first: before blanks, and between Latin letters and the rest, or before blanks alone, or not at all.
-LATIN = "A-Za-zÀ-ÖØ-öø-ɏḀ-ỿ"
-CUTS = [re.compile(f"{SPACE}*(?:[{LATIN}]+|[^{LATIN}{SPACE}]+)|{SPACE}+"), re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+"), re.compile(r"(?s).+")]
+def first_bytes(letters: bool) -> np.ndarray:
+    """A kind for each first byte of a character: a blank, or (if they are told apart) a Latin letter up to U+027F, or another one."""
+    kind = np.zeros(256, np.uint8)
+    kind[32] = BLANK
+    if letters:
+        kind[[*range(65, 91), *range(97, 123), *range(0xC3, 0xCA)]] = LETTER
+    return kind
 
 
-def safe_cut(inside: set[str]) -> re.Pattern:
-    """The first of CUTS that cuts no two characters apart which some piece has in this order."""
-    return next(cut for cut in CUTS if all(len(cut.findall(two)) == 1 for two in inside))
+def safe_rule(inside: set[str]) -> np.ndarray | None:
+    """Kinds of first bytes such that no piece has a character, not a blank, before one of another kind; None if there are none."""
+    for letters in (True, False):
+        kind = first_bytes(letters)
+        of = {c: kind[c.replace(SPACE, " ").encode()[0]] for c in set("".join(inside))}
+        if all(of[x] == BLANK or of[x] == of[y] for x, y in inside):
+            return kind
+    return None
 
 
 @lru_cache(maxsize=2)
@@ -237,15 +268,14 @@ def piece_model(path: str) -> PieceModel:
     return PieceModel(path)
 
 
-def _encode_batches(path: str, limit: int = 1 << 20):
+def _encode_batches(path: str, limit: int = 2 << 20):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = piece_model(path)
         for batch in batches:
             offsets, body = utf8(batch.column(0))
             for a, b in runs_of_rows(offsets, limit):
-                ids = [model.encode(body[begin:end].tobytes().decode("utf-8", "one_each")) for begin, end in zip(offsets[a:b].tolist(), offsets[a + 1 : b + 1].tolist(), strict=True)]
-                ends = np.cumsum([0, *map(len, ids)], dtype=np.int32)
-                lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(ids)))
+                ids, ends = model.encode_slice(offsets[a : b + 1], body)
+                lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids))
                 yield pa.RecordBatch.from_arrays([batch.column(1).slice(a, b - a), lists], names=["doc_id", "ids"])
 
     return run
