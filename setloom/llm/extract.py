@@ -1,28 +1,33 @@
 """Main text of web pages by consensus container paths of each host.
 
 First pass: each page's containers are scored by the running text in them, and the best ones vote for their generalised
-path (tags and classes, numbers masked). Spark sums the votes by host and path. Second pass: each page is read again, and its
-own best container, widened to the article that it stands in, meets the containers on its host's winning path: the wider one
-of two nested ones gives the text; of two apart, the host's, unless hardly any text is in it.
-
-Tags and roles decide what furniture is. A class or id does so only if all its words are names of furniture or of places, never
-for an article, a main element or the body, and, but for reader comments, not for what holds most of a page's running text and
-all that stands in its articles.
+path (tags and classes, numbers masked). Every path that has text blocks is voted on as well: it is counted on how many pages it
+stands, and how often its texts come again on other pages. Spark sums the votes by host. Paths whose texts mostly recur, and
+which hold little of the host's text, are furniture, whatever their names or language.
+
+Second pass: each page is read again without its host's furniture, and the containers on its host's winning path give the text,
+with what stands around them in the same article, or, without one, on the page: headings and paragraphs, but nothing that has
+as much text as a rival to the container, and nothing that is mostly links. A page without that path, or with hardly any text on
+it, falls back on its own best container.
+
+Tags and roles decide what furniture is in the first place. A class or id does so only if all its words are names of furniture
+or of places, never for an article, a main element or the body, and, but for reader comments, not for what holds most of a page's
+running text and all that stands in its articles.
 """
 
 from __future__ import annotations
 
 import html as entities
 import re
-import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from setloom.llm.common import lean, staged
+from setloom.llm.common import discard, lean, staged
 
 # Names of HTML and common names of page furniture.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -51,6 +56,10 @@ CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden")
 
 
+def onward(trail: int, step: str) -> int:
+    return xxhash.xxh64_intdigest(step.encode(), trail) >> 1
+
+
 @dataclass
 class Page:
     """Elements in page order, parents first, and text blocks."""
@@ -62,7 +71,7 @@ class Page:
     comment: list[bool] = field(default_factory=list)
     step: list[str] = field(default_factory=list)
     bonus: list[bool] = field(default_factory=list)
-    trail: list[int] = field(default_factory=list)  # checksum of the path
+    trail: list[int] = field(default_factory=list)  # hash of the path, 63 bits
     blocks: list[tuple[int, str, int]] = field(default_factory=list)  # (node, text, characters in links)
 
     def add(self, tag: str, parent: int, hard: bool, soft: bool, comment: bool, step: str, bonus: bool) -> int:
@@ -73,7 +82,7 @@ class Page:
         self.comment.append(comment)
         self.step.append(step)
         self.bonus.append(bonus)
-        self.trail.append(zlib.crc32(step.encode(), self.trail[parent]) if parent >= 0 else 0)
+        self.trail.append(onward(self.trail[parent], step) if parent >= 0 else 0)
         return len(self.tag) - 1
 
     def path(self, node: int) -> str:
@@ -86,7 +95,7 @@ class Page:
     def on_path(self, path: str) -> set[int]:
         trail = 0
         for step in path.split(">"):
-            trail = zlib.crc32(step.encode(), trail)
+            trail = onward(trail, step)
         return {n for n, t in enumerate(self.trail) if n and t == trail and self.path(n) == path}
 
     def under(self, roots: set[int]) -> list[bool]:
@@ -279,51 +288,107 @@ def best_container(page: Page, scores: dict[int, float]) -> int:
     return max(scores, key=lambda n: (scores[n], -n), default=0)
 
 
-def main_text(source: str, path: str | None) -> str:
+def without(page: Page, blocks: list[tuple[int, str, int]], furniture: frozenset[int]) -> list[tuple[int, str, int]]:
+    """The blocks that are not on the host's furniture paths; all of them, if nothing else has text."""
+    left = [x for x in blocks if page.trail[x[0]] not in furniture] if furniture else blocks
+    return left if any(_worth(words, linked) for _, words, linked in left) else blocks
+
+
+def main_text(source: str, path: str | None, furniture: frozenset[int] = frozenset()) -> str:
+    """The text of a page, given its host's winning path and furniture (hashes of paths), if it has any."""
     page = parse(source)
-    blocks = kept_blocks(page)
+    blocks = without(page, kept_blocks(page), furniture)
     scores = container_scores(page, blocks)
     core = best_container(page, scores)
     own = widened(page, core)
     # articles side by side on one path count together
     roots = page.on_path(page.path(own)) & scores.keys() if page.tag[own] in ("article", "main") else {own}
     agreed = page.on_path(path) & scores.keys() if path else set()
+    theirs = page.under(agreed)
+    worth = sum(_worth(words, linked) for node, words, linked in blocks if theirs[node])
+    if agreed and 4 * worth >= scores.get(core, 0) / (1.5 if page.bonus[core] else 1.0):
+        around = {widened(page, n) for n in agreed}
+        roots = around if all(page.tag[n] in ("article", "main") for n in around) else {min(around)}
+        blocks = without_rivals(page, blocks, roots, agreed, theirs, worth)
+        core = min(agreed)
     inside = page.under(roots or {0})
-    if agreed and not any(inside[n] for n in agreed):
-        theirs = page.under(agreed)
-        size = [sum(len(words) for node, words, _ in blocks if where[node]) for where in (theirs, inside)]
-        if any(theirs[n] for n in roots) or 4 * size[0] >= size[1]:
-            inside, core = theirs, min(agreed)
-            roots = agreed
     if page.tag[min(roots, default=0)] not in ("article", "main"):
-        # beside the best container, what is mostly links isn't article
-        near = page.under({core})
+        # beside the container, what is mostly links isn't article
+        near = theirs if core in agreed else page.under({core})
         return "\n".join(words for node, words, linked in blocks if inside[node] and (near[node] or 2 * linked <= len(words)))
     return "\n".join(words for node, words, _ in blocks if inside[node])
 
 
+def without_rivals(page: Page, blocks: list[tuple[int, str, int]], roots: set[int], agreed: set[int], theirs: list[bool], worth: int) -> list[tuple[int, str, int]]:
+    """The blocks but those in branches beside the agreed containers that have at least half as much running text as these.
+
+    A branch is what stands beside a container, or beside something that holds one.
+    """
+    holds = set()
+    for n in agreed:
+        while n >= 0 and n not in holds:
+            holds.add(n)
+            n = page.parent[n]
+    branch: list[int] = []
+    for n, up in enumerate(page.parent):
+        branch.append(n if up in holds and n not in holds and up not in agreed else branch[up] if up >= 0 else -1)
+    size: dict[int, int] = {}
+    for node, words, linked in blocks:
+        if not theirs[node] and branch[node] >= 0:
+            size[branch[node]] = size.get(branch[node], 0) + _worth(words, linked)
+    # paragraphs beside a container are text of their own, not rivals
+    return [x for x in blocks if theirs[x[0]] or branch[x[0]] < 0 or page.tag[branch[x[0]]] not in CONTAINERS | {"ul", "ol", "dl", "table"} or 2 * size[branch[x[0]]] < worth]
+
+
+VOTES = "host string, path string, place long, text long, n long, worth long, low long, high long"
+
+
+def page_votes(source: str, most: int) -> list[tuple]:
+    """Rows (path, place, text, n, worth, low, high): for the page (place 0), its best containers (path), each path with blocks (place),
+    and each different text on such a path. low and high: a hash of the page's longest block, by which pages are told apart."""
+    page = parse(source)
+    blocks = kept_blocks(page)
+    scores = container_scores(page, blocks)
+    top = sorted(scores, key=lambda n: (-scores[n], n))[:most]
+    out: list[tuple] = [(page.path(n), None, None, round((1000 if n == top[0] else 200) * scores[n] / scores[top[0]]), 0, 0, 0) for n in top if scores[n] > 0]
+    longest = max((words for _, words, _ in blocks), key=len, default="")
+    whole = xxhash.xxh64_intdigest(longest.encode("utf-8", "replace")) >> 1
+    places: dict[int, int] = {}
+    texts = set()
+    article = page.under({n for n, t in enumerate(page.tag) if t in ("article", "main")})
+    for node, words, linked in blocks:
+        if page.tag[node] == "h1" and article[node]:
+            continue  # an article's title is no furniture, though others have it too
+        place = page.trail[node]
+        places[place] = places.get(place, 0) + _worth(words, linked)
+        texts.add((place, xxhash.xxh64_intdigest(words.encode("utf-8", "replace")) >> 1))
+    out.append((None, 0, None, 1, sum(places.values()), whole, whole))
+    out += [(None, place, None, 1, worth, whole, whole) for place, worth in places.items() if place]
+    out += [(None, place, text, 1, 0, whole, whole) for place, text in texts if place]
+    return out
+
+
 def _vote_batches(most: int):
+    kinds = [pa.string(), pa.string(), *[pa.int64()] * 6]
+    names = [x.split()[0] for x in VOTES.split(", ")]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            host, path, votes = [], [], []
-            for h, source in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                page = parse(source)
-                scores = container_scores(page, kept_blocks(page))
-                top = sorted(scores, key=lambda n: (-scores[n], n))[:most]
-                for n in top:
-                    if scores[n] > 0:
-                        host.append(h)
-                        path.append(page.path(n))
-                        votes.append(round(1000 * scores[n] / scores[top[0]]) if n == top[0] else round(200 * scores[n] / scores[top[0]]))
-            yield pa.RecordBatch.from_arrays([pa.array(host, pa.string()), pa.array(path, pa.string()), pa.array(votes, pa.int64())], names=["host", "path", "votes"])
+            for a in range(0, batch.num_rows, 256):
+                part = batch.slice(a, 256)
+                rows = [(h, *v) for h, source in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True) for v in page_votes(source, most)]
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
 
     return run
 
 
 def _text_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        texts = [main_text(s, p) for s, p in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array(list(map(len, texts)), pa.int64())], names=["page_id", "url", "text", "n_chars"])
+        for a in range(0, batch.num_rows, 256):
+            part = batch.slice(a, 256)
+            columns = [part.column(k).to_pylist() for k in (2, 3, 4)]
+            texts = [main_text(s, p, frozenset(f or ())) for s, p, f in zip(*columns, strict=True)]
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(texts, pa.string()), pa.array(list(map(len, texts)), pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
 
 def host_of(url: Column) -> Column:
@@ -331,11 +396,26 @@ def host_of(url: Column) -> Column:
     return F.regexp_extract(F.lower(F.coalesce(url, F.lit(""))), r"^[a-z][a-z0-9+.\-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1)
 
 
-def host_paths(pages: DataFrame, most: int = 3) -> DataFrame:
-    """(host, path): the container path with the most votes of each host's pages."""
+def host_paths(pages: DataFrame, most: int = 3, least_pages: int = 4, support: float = 0.05, recurring: float = 0.6, small: float = 0.4) -> DataFrame:
+    """(host, path, furniture): the container path with the most votes of each host's pages, and the hashes of its furniture paths.
+
+    A path is furniture if at least `least_pages` pages, and the share `support` of the host's pages, have it, the share `recurring`
+    of its texts stands on it on other pages too (pages with the same longest block are one page here: copies don't make
+    furniture), and it holds at most the share `small` of the host's running text. By `support` a host has at most
+    1 / support times as many of them as its mean page has paths.
+    """
     own = pages.select(host_of(F.col("url")).alias("host"), F.coalesce("html", F.lit("")).alias("html"))
-    votes = own.mapInArrow(lean(_vote_batches(most)), "host string, path string, votes long").groupBy("host", "path").agg(F.sum("votes").alias("votes"))
-    return votes.groupBy("host").agg(F.max(F.struct("votes", "path")).alias("best")).select("host", "best.path")
+    votes = own.mapInArrow(lean(_vote_batches(most)), VOTES)
+    votes = votes.groupBy("host", "path", "place", "text").agg(F.sum("n").alias("n"), F.sum("worth").alias("worth"), (F.min("low") < F.max("high")).alias("again"))
+    votes = staged(votes, "extract-votes")
+    best = votes.where("path is not null").groupBy("host").agg(F.max(F.struct("n", "path")).alias("best")).select("host", "best.path")
+    whole = votes.where("place = 0").select("host", F.col("n").alias("pages"), F.col("worth").alias("all"))
+    texts = votes.where("text is not null").groupBy("host", "place").agg(F.sum("n").alias("texts"), F.sum(F.when(F.col("again"), F.col("n")).otherwise(0)).alias("again"))
+    seen = votes.where("place <> 0 and text is null").select("host", "place", "n", "worth").join(texts, ["host", "place"]).join(whole, "host")
+    bad = seen.where((F.col("n") >= least_pages) & (F.col("n") >= support * F.col("pages")) & (F.col("again") >= recurring * F.col("texts")) & (F.col("worth") <= small * F.col("all")))
+    out = staged(best.join(bad.groupBy("host").agg(F.sort_array(F.collect_list("place")).alias("furniture")), "host", "left"), "extract-paths")
+    discard(votes)
+    return out
 
 
 def extract_text(pages: DataFrame, salts: int = 16) -> DataFrame:
@@ -344,11 +424,11 @@ def extract_text(pages: DataFrame, salts: int = 16) -> DataFrame:
     Blocks are joined by one newline, white space inside a block is one space, references are decoded. Null html counts as
     empty, pages without text give an empty string, pages without a host vote together; of containers with equal scores the
     first wins, of paths with equal votes the last by code points; very long pages are read whole; repeated rows come out as
-    often as they went in; an empty table gives an empty result; further columns, whatever their names, are left out.
+    often as they went in; an empty table gives an empty result; further columns, whatever their names, are left out. A host of
+    fewer than four pages has no furniture paths of its own.
     """
     paths = host_paths(pages).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    paths = staged(paths, "extract-paths")
     own = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce("html", F.lit("")).alias("html"), host_of(F.col("url")).alias("host"))
     own = own.withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(salts)).cast("int"))
-    joined = own.join(paths, ["host", "salt"], "left").select("page_id", "url", "html", "path")
+    joined = own.join(paths, ["host", "salt"], "left").select("page_id", "url", "html", "path", "furniture")
     return joined.mapInArrow(lean(_text_batches), "page_id long, url string, text string, n_chars long")
