@@ -337,11 +337,12 @@ def signed_rows(docs: DataFrame, columns: list[str], width: int = 5, seed: int =
     return staged(src.mapInArrow(lean(_sig_batches(width, seed)), "sig binary, fp long, doc_id long, rk binary").withColumn("rid", F.monotonically_increasing_id()), "near-signed")
 
 
-def prefix_links(entries: DataFrame) -> DataFrame:
-    """Edges (a, b) that connect at least all sets that share `need` entries, from the sets' entries (id, need, h).
+def candidate_keys(entries: DataFrame) -> DataFrame:
+    """(id, h, least, many): entries such that all sets that share `need` entries share one of these, from the sets' entries (id, need, h).
 
-    `need` of such a set's entries stand in other sets too. In any order of the entries, two such sets of p entries share
-    one of their first p - need + 1. Ordered by how many sets hold them, rarest first, few sets share any of these.
+    least and many: the first of the sets that hold h here, and how many do; those that one set alone holds are left out. `need` of
+    such a set's entries stand in other sets too. In any order of the entries, two such sets of p entries share one of their first
+    p - need + 1. Ordered by how many sets hold them, rarest first, few sets share any of these.
     """
     # staged, so that the join's sides are plain shuffles, which can be split where an entry is frequent
     shared = staged(entries.groupBy("h").agg(F.count("*").alias("df")).where("df > 1"), "near-shared")
@@ -349,12 +350,38 @@ def prefix_links(entries: DataFrame) -> DataFrame:
     alive = found.groupBy("id").agg(F.count("*").alias("c"), F.first("need").alias("least")).where("c >= least").select("id", (F.col("c") - F.col("least") + 1).alias("upto"))
     rank = F.row_number().over(Window.partitionBy("id").orderBy("df", "h"))
     keys = staged(found.join(alive, "id").withColumn("r", rank).where("r <= upto").select("id", "h"), "near-keys")
-    least = staged(keys.groupBy("h").agg(F.min("id").alias("least"), F.count("*").alias("many")).where("many > 1").select("h", "least"), "near-least")
-    out = staged(keys.join(least, "h").where("id <> least").select(F.col("id").alias("a"), F.col("least").alias("b")).distinct(), "near-edges")
+    least = staged(keys.groupBy("h").agg(F.min("id").alias("least"), F.count("*").alias("many")).where("many > 1"), "near-least")
+    out = staged(keys.join(least, "h").select("id", "h", "least", "many"), "near-held")
     discard(shared, found, keys, least)
     return out
 
 
+def pairs_within(held: DataFrame, known: DataFrame, few: int) -> tuple[DataFrame, DataFrame]:
+    """What is left to compare among the sets of a key (held: id, h, least, many) by what is connected by now (known: node, root).
+
+    (pairs: a, b; groups: node, root). Keys with one connected part alone are done. Of a key of at most `few` sets come the pairs of
+    different parts, each once, but for those with the first set, which have been compared. The sets of larger keys, which are
+    mostly those of large groups of copies with many keys in common, are put together to groups to be compared as a whole.
+    """
+    parts = held.join(known.withColumnRenamed("node", "id"), "id", "left").select("h", "id", "least", "many", F.coalesce("root", "id").alias("part"))
+    open_keys = parts.groupBy("h").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low < high").select("h")
+    parts = staged(parts.join(open_keys, "h", "left_semi"), "near-open")
+    small = parts.where((F.col("many") <= few) & (F.col("id") != F.col("least")))
+    other = small.select("h", F.col("id").alias("b"), F.col("part").alias("part_b"))
+    pairs = staged(small.select("h", F.col("id").alias("a"), "part").join(other, "h").where("a < b and part <> part_b").select("a", "b").distinct(), "near-pairs")
+    large = parts.where((F.col("many") > few) & (F.col("id") != F.col("least"))).select(F.col("id").alias("a"), F.col("least").alias("b")).distinct()
+    groups_ = staged(connected_components(large), "near-large")
+    discard(parts)
+    return pairs, groups_
+
+
+def alike_pairs(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Those of the pairs (a, b) whose sets (id, shingles) have at least `similarity` of their union in common."""
+    side = lambda c: sets.select(F.col("id").alias(c), F.col("shingles").alias(f"set_{c}"))
+    both = pairs.join(side("a"), "a").join(side("b"), "b").withColumn("n", F.size(F.array_intersect("set_a", "set_b")))
+    return both.where((F.col("n") > 0) & (F.col("n") >= F.lit(similarity) * (F.size("set_a") + F.size("set_b") - F.col("n")))).select("a", "b")
+
+
 def fingerprint_links(reps: DataFrame, most: int) -> DataFrame:
     """Edges (a, b) that connect the ids of reps (id, fp) whose fingerprints differ in at most `most` bits, by the Gray-ordered index."""
     classes = staged(reps.groupBy("fp").agg(F.min("id").alias("least")), "near-codes")
@@ -367,13 +394,14 @@ def fingerprint_links(reps: DataFrame, most: int) -> DataFrame:
     return out
 
 
-def near_groups(signed: DataFrame, docs: DataFrame, columns: list[str], width: int = 5, similarity: float = 0.8, seed: int = 42, chunk: int = 512, most: int = 4) -> DataFrame:
+def near_groups(signed: DataFrame, docs: DataFrame, columns: list[str], width: int = 5, similarity: float = 0.8, seed: int = 42, chunk: int = 512, most: int = 4, few: int = 64) -> DataFrame:
     """(sig, grp) for each different sig of `signed_rows(docs, columns)`: grp is the same for all that pairs of alike sets connect.
 
     Candidates are the pairs that SimHash links at `most` bits, and all that it may miss: an exact prefix filter
-    (`prefix_sizes`, `prefix_links`) makes them complete. Within the groups that candidates connect, sets of shingles are
-    compared in full, and pairs with at least `similarity` of their union in common are links. A group of over `chunk`
-    different sets is dealt into chunks, and each pair of chunks is a task's work of its own. Texts without words are alike.
+    (`prefix_sizes`, `candidate_keys`) makes them complete. Sets of shingles are compared in full, and pairs with at least `similarity` of
+    their union in common are links: first the linked fingerprints and each set with the first one of its keys, then what shares
+    a key and isn't connected yet (`pairs_within`). Of that, groups by keys of over `few` sets are dealt into chunks of `chunk` sets,
+    and each pair of chunks is a task's work of its own. Texts without words are alike.
     """
     least = F.min(F.struct("rid", "rk", "fp")).alias("k")
     reps = staged(signed.groupBy("sig").agg(least).select("sig", F.col("k.rid").alias("id"), F.col("k.rk").alias("rk"), F.col("k.fp").alias("fp")), "near-reps")
@@ -383,22 +411,27 @@ def near_groups(signed: DataFrame, docs: DataFrame, columns: list[str], width: i
 
     entries = texts_of(reps.select("id", "rk")).mapInArrow(lean(_entry_batches(width, seed, similarity)), "id long, need int, h long")
     entries = staged(entries, "near-entries")
-    edges, prints = prefix_links(entries), fingerprint_links(reps.select("id", "fp"), most)
+    held, prints = candidate_keys(entries), fingerprint_links(reps.select("id", "fp"), most)
     discard(entries)
-    members = staged(connected_components(edges.unionByName(prints)).select(F.col("node").alias("id"), F.col("root").alias("grp")), "near-members")
-    discard(edges, prints)
-    own = texts_of(members.join(reps.select("id", "rk"), "id")).select("grp", F.col("id").alias("doc_id"), "text")
-    sets = staged(own.mapInArrow(lean(_set_batches(width, seed)), "grp long, doc_id long, shingles array<long>"), "near-shingles")
-    parts = members.groupBy("grp").agg(F.ceil(F.count("*") / chunk).cast("int").alias("c"))
-    dealt = sets.join(parts, "grp").withColumn("own", F.pmod(F.xxhash64("doc_id"), F.col("c")).cast("int"))
+    first = held.where("id <> least").select(F.col("id").alias("a"), F.col("least").alias("b")).unionByName(prints)
+    first = staged(first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "near-first")
+    ids = held.select("id").unionByName(prints.select(F.col("a").alias("id"))).unionByName(prints.select(F.col("b").alias("id"))).distinct()
+    own = texts_of(reps.select("id", "rk").join(ids, "id", "left_semi")).select(F.lit(0).cast("long").alias("grp"), F.col("id").alias("doc_id"), "text")
+    sets = staged(own.mapInArrow(lean(_set_batches(width, seed)), "grp long, doc_id long, shingles array<long>").select(F.col("doc_id").alias("id"), "shingles"), "near-shingles")
+    links = staged(alike_pairs(first, sets, similarity), "near-links")
+    known = staged(connected_components(links), "near-known")
+    rest, large = pairs_within(held, known, few)
+    pairs = rest.join(first, ["a", "b"], "left_anti")
+    parts = large.groupBy("root").agg(F.ceil(F.count("*") / chunk).cast("int").alias("c"))
+    dealt = large.join(parts, "root").select(F.col("root").alias("grp"), F.col("node").alias("id"), "c").join(sets, "id").withColumn("own", F.pmod(F.xxhash64("id"), F.col("c")).cast("int"))
     dealt = dealt.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("c") - 1)))
-    dealt = dealt.select("grp", F.least("own", "o").alias("p"), F.greatest("own", "o").alias("q"), "own", "doc_id", "shingles")
+    dealt = dealt.select("grp", F.least("own", "o").alias("p"), F.greatest("own", "o").alias("q"), "own", F.col("id").alias("doc_id"), "shingles")
     order = ["grp", "p", "q"]
-    links = dealt.repartition(*order).sortWithinPartitions(*order).mapInArrow(lean(_alike_batches(similarity)), "a long, b long")
-    links = staged(links.distinct(), "near-links")
+    within = dealt.repartition(*order).sortWithinPartitions(*order).mapInArrow(lean(_alike_batches(similarity)), "a long, b long")
+    links = staged(links.unionByName(alike_pairs(pairs, sets, similarity)).unionByName(within).distinct(), "near-all-links")
     roots = staged(connected_components(links).select(F.col("node").alias("id"), "root"), "near-roots")
     out = staged(reps.join(roots, "id", "left").select("sig", F.coalesce("root", "id").alias("grp")), "near-groups")
-    discard(reps, members, sets, links, roots)
+    discard(reps, held, prints, first, sets, known, rest, large, links, roots)
     return out
 
 

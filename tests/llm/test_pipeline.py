@@ -4,6 +4,7 @@ import random
 from collections import Counter
 
 import public_tokenizers
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline as pipeline
@@ -61,6 +62,8 @@ def test_language_mixture_and_packing_are_plain(spark):
     docs = documents(spark, rows)
     told = pipeline.language(spark, docs, "")
     assert Counter((r.doc_id, r.text) for r in told.collect()) == Counter((i, t) for i, t in rows if t and any(x.isalpha() for x in t))
+    nameless = pipeline.language(spark, docs.withColumn("lang", F.when(F.col("doc_id") != 4, F.col("lang"))), "")
+    assert {r.lang for r in nameless.where("doc_id is null").collect()} == {"en"}  # a missing language is told by the classifier
     mixed = Counter((r.doc_id, r.text) for r in pipeline.mixture(spark, told, "").collect())
     assert mixed and all(n <= 2 and k in rows for k, n in mixed.items())
     tokenizer = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))

@@ -10,7 +10,7 @@ import pytest
 import xxhash
 
 from setloom.llm import suffix_dedup
-from setloom.llm.simhash import alike_links, blocks_for, hamming_links, index_links, near_duplicates, prefix_sizes, simhash_groups
+from setloom.llm.simhash import alike_links, blocks_for, hamming_links, index_links, near_duplicates, pairs_within, prefix_sizes, simhash_groups
 from setloom.llm.suffix_dedup import blind_trie_order, common_length, deep_shallow_order, remove_repeats, repeated_windows
 
 
@@ -194,8 +194,24 @@ def test_near_duplicates_are_groups_of_alike_sets(spark):
                 x, y = sorted((root[a], root[b]))
                 root = {k: x if v == y else v for k, v in root.items()}
     docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
-    for chunk in (512, 2):
-        assert {r.doc_id: r.kept_id for r in near_duplicates(docs, chunk=chunk).collect()} == root
+    for chunk, few in ((512, 64), (2, 2), (512, 3)):
+        assert {r.doc_id: r.kept_id for r in near_duplicates(docs, chunk=chunk, few=few).collect()} == root
+
+
+def test_only_candidates_are_compared_in_a_chain_of_texts(spark):
+    """Neighbours in a long chain share keys, so that all of it is connected, but no text is compared with one far away."""
+    n = 40
+    held = spark.createDataFrame([(i, h, h, 2) for h in range(n - 1) for i in (h, h + 1)], "id long, h long, least long, many long")
+    nothing = spark.createDataFrame([], "node long, root long")
+    pairs, groups = pairs_within(held, nothing, few=64)
+    assert pairs.count() == 0 and groups.count() == 0  # neighbours have met as the first of a key
+    more = spark.createDataFrame([(i, 100, 0, 4) for i in (0, 7, 8, 9)] + [(i, 101, 0, 3) for i in (0, 8, 9)] + [(i, 102, 1, 5) for i in (1, 2, 3, 4, 5)], "id long, h long, least long, many long")
+    known = spark.createDataFrame([(7, 7), (8, 7), (1, 1), (2, 1), (3, 1), (4, 1), (5, 1)], "node long, root long")
+    pairs, groups = pairs_within(more, known, few=64)
+    assert sorted(map(tuple, pairs.collect())) == [(7, 9), (8, 9)]
+    pairs, groups = pairs_within(more, known, few=3)
+    assert sorted(map(tuple, pairs.collect())) == [(8, 9)]
+    assert {r.node for r in groups.collect()} == {0, 7, 8, 9}
 
 
 def test_near_duplicates_just_over_the_threshold_are_all_found(spark):
