@@ -23,8 +23,12 @@ CARRY = ("text", "lang", "source", "n_chars")
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a letter: the classifier rejects only the others, whatever language it tells; null and empty texts go."""
-    return identify_language(docs, carry=CARRY).where("lang_pred <> 'und'").select(*COLUMNS)
+    """Documents with a letter, those without a language under the one that the classifier tells; null and empty texts go.
+
+    The classifier rejects no text for being told as another language than it says: it errs on short texts, and those are clean.
+    """
+    told = identify_language(docs, carry=CARRY).where("lang_pred <> 'und'")
+    return told.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*COLUMNS)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
