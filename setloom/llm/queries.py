@@ -147,14 +147,14 @@ FROM f
 """,
     "op8_top_k": """
 WITH v AS (
-    SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)::BIGINT) AS e
+    SELECT row_number() OVER () AS rid, vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)::BIGINT) AS e
     FROM embeddings
     WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
-), q AS (SELECT DISTINCT vec_id AS query_id, e AS qe FROM v WHERE vec_id % 100 = 0),
+), q AS (SELECT rid AS qrid, vec_id AS query_id, e AS qe FROM v WHERE vec_id % 100 = 0),
 s AS (
-    SELECT query_id, vec_id, list_sum(list_transform(list_zip(qe, e), lambda z: z[1] * z[2]))::BIGINT AS score
-    FROM q JOIN v ON v.vec_id <> q.query_id AND len(e) = len(qe)
-), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
+    SELECT qrid, query_id, vec_id, list_sum(list_transform(list_zip(qe, e), lambda z: z[1] * z[2]))::BIGINT AS score
+    FROM q JOIN v ON v.rid <> q.qrid AND len(e) = len(qe)
+), r AS (SELECT *, row_number() OVER (PARTITION BY qrid ORDER BY score DESC, vec_id) AS rank FROM s)
 SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM r WHERE rank <= 10
 """,
 }

@@ -64,7 +64,7 @@ def _search(k: int, step: int):
         rows: list[tuple[np.ndarray, ...]] = []
         if queries.num_rows and candidates.num_rows:
             x, q = matrix(candidates.column("v"), np.int64), matrix(queries.column("v"), np.int64)
-            ids, own = np.asarray(candidates.column("vec_id")), np.asarray(queries.column("vec_id"))
+            ids, row, own, asked = (np.asarray(c) for c in (candidates.column("vec_id"), candidates.column("rid"), queries.column("rid"), queries.column("vec_id")))
             bounded = lambda m: ((m <= NARROW) & (m >= -NARROW)).all(axis=1) & (m.shape[1] <= 8192)
             slim, wide = np.flatnonzero(bounded(x)), np.flatnonzero(~bounded(x))
             slim_q = bounded(q)
@@ -75,17 +75,17 @@ def _search(k: int, step: int):
             for i in range(len(q)):
                 at, score = np.zeros(0, np.int64), []
                 if slim_q[i]:
-                    at, score = best_of(turned[i], columns, rest, ids[slim] == own[i], k, step)
+                    at, score = best_of(turned[i], columns, rest, row[slim] == own[i], k, step)
                     at, score = slim[at], score.tolist()
                 # the few products that may leave 64 bits are added up as Python's integers
-                exact = [j for j in (wide if slim_q[i] else range(len(x))) if ids[j] != own[i]]
+                exact = [j for j in (wide if slim_q[i] else range(len(x))) if row[j] != own[i]]
                 score += [sum(a * b for a, b in zip(q[i].tolist(), x[j].tolist(), strict=True)) for j in exact]
                 at = np.concatenate([at, np.array(exact, np.int64)])
                 top = sorted(range(len(at)), key=lambda r: (-score[r], ids[at[r]]))[:k]
                 held = [min(max(score[r], -(1 << 63)), (1 << 63) - 1) for r in top]
-                rows.append((np.full(len(top), own[i]), ids[at[top]] if top else np.zeros(0, np.int64), np.array(held, np.int64)))
-        cols = [np.concatenate([r[i] for r in rows]) if rows else np.zeros(0, np.int64) for i in range(3)]
-        return pa.table({"query_id": cols[0], "vec_id": cols[1], "score": cols[2]})
+                rows.append((np.full(len(top), asked[i]), np.full(len(top), own[i]), ids[at[top]] if top else np.zeros(0, np.int64), np.array(held, np.int64)))
+        cols = [np.concatenate([r[i] for r in rows]) if rows else np.zeros(0, np.int64) for i in range(4)]
+        return pa.table({"query_id": cols[0], "rid": cols[1], "vec_id": cols[2], "score": cols[3]})
 
     return run
 
@@ -95,26 +95,25 @@ def top_k(vectors: DataFrame, k: int = 10, every: int = 100, scale: int = 1024,
 
     vectors: vec_id, embedding. Components become floor(scale * x), held to 64 bits, as the scores are. Ties go to the smaller
     vec_id. Rows without a vec_id, with a null vector, or with null or non-finite components take no part; vectors are compared
-    with those of equal length only, so those without components score 0 with each other; a candidate with the query's own
-    vec_id is left out; repeated rows are candidates each, and of rows that share a query's id the least vector is the query; an
-    empty table gives an empty result; further columns, whatever their names, are left out.
+    with those of equal length only, so those without components score 0 with each other; of the rows only the query itself is
+    no candidate, so repeated rows, and rows that share an id, are candidates and queries each; an empty table gives an empty
+    result; further columns, whatever their names, are left out.
     """
     scaled = F.transform("embedding", lambda x: F.floor(x.cast("double") * scale))
     usable = vectors.where(F.col("vec_id").isNotNull() & whole(F.col("embedding"))).select(F.col("vec_id").cast("long").alias("vec_id"), scaled.alias("v"))
-    usable = staged(usable, "topk-vectors")
-    asked = staged(usable.where(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min("v").alias("v")), "topk-queries")
+    usable = staged(usable.withColumn("rid", F.monotonically_increasing_id()), "topk-vectors")
+    asked = usable.where(F.col("vec_id") % every == 0)
     across = max(1, math.ceil(usable.count() / candidate_block))
     down = max(1, math.ceil(asked.count() / query_block))
-    block = lambda n: F.pmod(F.xxhash64("vec_id"), F.lit(n)).cast("int")
+    block = lambda n: F.pmod(F.xxhash64("rid"), F.lit(n)).cast("int")
     q = asked.withColumns({"dim": F.size("v"), "qb": block(down)}).withColumn("cb", F.explode(F.sequence(F.lit(0), F.lit(across - 1))))
-    row = F.pmod(F.xxhash64("vec_id", "v"), F.lit(across)).cast("int")
-    c = usable.withColumns({"dim": F.size("v"), "cb": row}).withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(down - 1))))
+    c = usable.withColumns({"dim": F.size("v"), "cb": block(across)}).withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(down - 1))))
     keys = ["dim", "qb", "cb"]
-    found = q.groupBy(*keys).cogroup(c.groupBy(*keys)).applyInArrow(_search(k, step), "query_id long, vec_id long, score long")
+    found = q.groupBy(*keys).cogroup(c.groupBy(*keys)).applyInArrow(_search(k, step), "query_id long, rid long, vec_id long, score long")
     found = staged(found, "topk-found")
-    discard(usable, asked)
+    discard(usable)
     best = F.slice(F.array_sort(F.collect_list(F.struct(F.expr("~score").alias("less"), "vec_id", "score"))), 1, k)
-    ranked = found.groupBy("query_id").agg(best.alias("best")).select("query_id", F.posexplode("best").alias("at", "hit"))
+    ranked = found.groupBy("query_id", "rid").agg(best.alias("best")).select("query_id", F.posexplode("best").alias("at", "hit"))
     return ranked.select("query_id", (F.col("at") + 1).cast("int").alias("rank"), "hit.vec_id", "hit.score")
 
 
@@ -333,7 +332,10 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.98, node: int = 1024, mos
     spark, reach = vectors.sparkSession, math.sqrt(2 - 2 * cosine)
     some = F.exists("embedding", lambda x: x != 0)
     able = F.coalesce(F.col("label").isNotNull() & whole(F.col("embedding")) & some, F.lit(False))
-    own = staged(vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label").cast("long").alias("lab"), F.when(able, F.transform("embedding", lambda x: x.cast("double"))).alias("embedding")), "near-vectors")
+    # by a power of two each, so that squares neither overflow nor vanish; cosines stay what they are, to the last bit
+    size = F.pow(F.lit(2.0), F.floor(F.log2(F.array_max(F.transform("embedding", lambda x: F.abs(x.cast("double")))))))
+    own = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label").cast("long").alias("lab"), F.when(able, F.col("embedding")).alias("embedding"), F.when(able, size).alias("size"))
+    own = staged(own.select("vec_id", "lab", F.transform("embedding", lambda x: x.cast("double") / F.col("size")).alias("embedding")), "near-vectors")
     classes = own.where("embedding is not null").groupBy("lab", "embedding").agg(F.min("vec_id").alias("named"), F.count("*").alias("n"))
     # a class of equal vectors goes by a number of its own, since ids may be null or shared
     classes = staged(classes.select("lab", F.size("embedding").alias("dim"), F.monotonically_increasing_id().alias("cid"), "n", "embedding", "named"), "near-classes")

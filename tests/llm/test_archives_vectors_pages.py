@@ -175,3 +175,17 @@ def test_broken_markup_is_read_to_its_end():
     assert main_text('<article><p title="a>b">x <b>y</p><p>z', None) == "x y\nz"
     assert main_text("a < b & c <p", None) == "a < b & c"
     assert main_text("<div>" * 300 + "deep" + "</div>" * 300, None) == "deep"
+
+
+def test_rows_that_share_an_id_find_each_other(spark):
+    frame = spark.createDataFrame([(0, [1.0, 0.0]), (0, [0.5, 0.0]), (3, [1.0, 1.0])], "vec_id long, embedding array<double>")
+    got = sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in vectors.top_k(frame, every=100).collect())
+    a, b, c = 1024 * 512, 1024 * 1024, 512 * 1024
+    assert got == sorted([(0, 1, 3, b), (0, 2, 0, a), (0, 1, 0, c), (0, 2, 3, c)])
+
+
+def test_very_large_and_very_small_vectors_link(spark):
+    rows = [(1, [1e200, 0.0]), (2, [2e200, 0.0]), (3, [1e-200, 0.0]), (4, [2e-200, 3e-250]), (5, [0.0, 1e308]), (6, [5e-324, 5e-324]), (7, [3.0, 3.0]), (8, [-1e-310, -1e-310])]
+    frame = spark.createDataFrame([(i, v, 1) for i, v in rows], "vec_id long, embedding array<double>, label int")
+    got = {r.vec_id: (r.n_links, r.component_id) for r in vectors.near_vectors(frame).collect()}
+    assert got == {1: (3, 1), 2: (3, 1), 3: (3, 1), 4: (3, 1), 5: (0, 5), 6: (1, 6), 7: (1, 6), 8: (0, 8)}
