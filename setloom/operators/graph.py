@@ -6,6 +6,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from setloom.functions.keys import agg_key, bigrams, content_id, edit_ratio, flat_key, jaccard, narrow_script, series_marks, strip_notes
 from setloom.operators.staging import connected_components, staged
@@ -21,17 +22,29 @@ def trimmed(column: Column) -> Column:
 
 
 def value_profiles(plays: DataFrame, field: str) -> DataFrame:
-    """(raw, rows, events, djs, co_titles, co_other, cross_field) of each trimmed value of `field`."""
+    """(raw, rows, events, djs, titles, others, first_event, last_event, dj_sample, title_sample, other_sample, cross_field) of each
+    trimmed value of `field`: counts of what is different, and the least `SAMPLE` of each.
+
+    In two steps that merge before each shuffle: first a row for each different thing beside a value, then counts of these. A
+    value's things never come together in one row; only the samples do.
+    """
     own = plays.withColumn("raw", trimmed(F.col(field))).where("raw <> ''")
-    other = F.col(OTHER[field])
-    sets = own.groupBy("raw").agg(
-        F.count("*").alias("rows"),
-        F.array_sort(F.collect_set("event_no")).alias("events"),
-        F.array_sort(F.collect_set("dj")).alias("djs"),
-        F.array_sort(F.collect_set("title")).alias("co_titles"),
-        F.array_sort(F.collect_set(F.when(other != "", other))).alias("co_other"),
-    )
-    return sets.join(cross_field(plays).withColumn("cross_field", F.lit(True)), "raw", "left").withColumn("cross_field", F.coalesce("cross_field", F.lit(False)))
+    none = F.lit(None)
+    thing = lambda kind, item, event: F.struct(F.lit(kind).alias("kind"), item.cast("string").alias("item"), event.cast("int").alias("event"))
+    things = F.array(thing("event", none, F.col("event_no")), *[thing(kind, item, none) for kind, item in (("dj", F.col("dj")), ("title", F.col("title")), ("other", F.nullif(OTHER[field], F.lit(""))))])
+    cells = own.select("raw", F.explode(things).alias("x")).select("raw", "x.*").where("kind = 'event' or item is not null")
+    cells = staged(cells.groupBy("raw", "kind", "item", "event").agg(F.count("*").alias("n")), "profile-cells")
+    of = lambda kind: F.count_if((F.col("kind") == kind) & (F.col("item").isNotNull() | F.col("event").isNotNull()))
+    counts = cells.groupBy("raw").agg(F.sum(F.when(F.col("kind") == "event", F.col("n"))).alias("rows"), *[of(kind).alias(name) for kind, name in (("event", "events"), ("dj", "djs"), ("title", "titles"), ("other", "others"))], F.min("event").alias("first_event"), F.max("event").alias("last_event"))
+    least = cells.where("kind <> 'event'").withColumn("k", F.row_number().over(Window.partitionBy("raw", "kind").orderBy("item"))).where(F.col("k") <= SAMPLE)
+    samples = least.groupBy("raw").agg(*[F.array_sort(F.collect_list(F.when(F.col("kind") == kind, F.col("item")))).alias(f"{kind}_sample") for kind in ("dj", "title", "other")])
+    both = counts.join(samples, "raw", "left").withColumns({f"{kind}_sample": F.coalesce(f"{kind}_sample", F.array().cast("array<string>")) for kind in ("dj", "title", "other")})
+    return both.join(cross_field(plays).withColumn("cross_field", F.lit(True)), "raw", "left").withColumn("cross_field", F.coalesce("cross_field", F.lit(False)))
+
+
+def value_events(plays: DataFrame, field: str) -> DataFrame:
+    """(raw, event_no): the different events of each value."""
+    return plays.select(trimmed(F.col(field)).alias("raw"), "event_no").where("raw <> '' and event_no is not null").distinct()
 
 
 def cross_field(plays: DataFrame) -> DataFrame:
@@ -195,11 +208,16 @@ def clusters(field: str, profiles: DataFrame, edges: DataFrame, components: Data
     return out.select(content_id(field, F.col("members")).alias("id"), F.lit(field).alias("field"), F.coalesce("rows", F.lit(0)).alias("rows"), hints.alias("hints"), F.coalesce("edge_kinds", F.array().cast("array<string>")).alias("edge_kinds"), "members", "pairs")
 
 
-def cluster_values(clusters_: DataFrame, profiles: DataFrame, field: str) -> DataFrame:
-    """(id, raw, rows, events, djs, samples, base): the profile of each member; base only for works, where notes come off."""
+def cluster_values(clusters_: DataFrame, profiles: DataFrame, field: str, events: DataFrame | None = None) -> DataFrame:
+    """(id, raw, rows, djs, co_titles, co_other, cross_field, base, first_event, last_event): the profile of each member, with samples;
+    base only for works, where notes come off. With events (`value_events`), also the list of a member's events."""
     out = clusters_.select("id", F.explode("members").alias("raw")).join(profiles, "raw")
     base = F.nullif(strip_notes(F.col("raw")), F.col("raw")) if field == "work" else F.lit(None).cast("string")
-    return out.select("id", "raw", "rows", "events", "djs", F.slice("co_titles", 1, SAMPLE).alias("co_titles"), F.slice("co_other", 1, SAMPLE).alias("co_other"), "cross_field", base.alias("base"))
+    out = out.select("id", "raw", "rows", F.col("dj_sample").alias("djs"), F.col("title_sample").alias("co_titles"), F.col("other_sample").alias("co_other"), "cross_field", base.alias("base"), "first_event", "last_event")
+    if events is None:
+        return out
+    lists = events.join(out.select("raw").distinct(), "raw", "left_semi").groupBy("raw").agg(F.array_sort(F.collect_list("event_no")).alias("events"))
+    return out.join(lists, "raw", "left")
 
 
 def cluster_totals(profiles: DataFrame, clusters_: DataFrame) -> DataFrame:

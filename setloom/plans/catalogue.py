@@ -197,7 +197,7 @@ def haystack_build(spark: SparkSession, d: str) -> DataFrame:
 @registered(f"WITH {PLAYS_SQL} SELECT source_work AS raw, count(*) AS rows, count(DISTINCT event_no) AS events, count(DISTINCT dj) AS djs, count(DISTINCT title) AS titles, count(DISTINCT artist) AS artists, array_to_string(list_slice(list_sort(list(DISTINCT title)), 1, 4), ';') AS samples FROM plays GROUP BY 1")
 def value_profile(spark: SparkSession, d: str) -> DataFrame:
     v = graph.value_profiles(playlog.plays(spark, d), "source_work")
-    return v.select("raw", "rows", F.size("events").alias("events"), F.size("djs").alias("djs"), F.size("co_titles").alias("titles"), F.size("co_other").alias("artists"), F.array_join(F.slice("co_titles", 1, 4), ";").alias("samples"))
+    return v.select("raw", "rows", "events", "djs", "titles", F.col("others").alias("artists"), F.array_join("title_sample", ";").alias("samples"))
 
 
 @registered("WITH x AS (SELECT trim(unnest(string_split(text, ' ')), chr(9) || chr(10) || chr(13) || ' ') AS raw FROM documents), y AS (SELECT trim(unnest(string_split(text, ' ')), chr(9) || chr(10) || chr(13) || ' ') AS raw FROM benchmark) SELECT raw FROM x WHERE raw <> '' INTERSECT SELECT raw FROM y")
@@ -315,7 +315,7 @@ def cluster_hints(spark: SparkSession, d: str) -> DataFrame:
 @registered(f"WITH {PLAYS_SQL} SELECT source_work AS raw, '第' || min(event_no) || '回〜第' || max(event_no) || '回 ' || min(dj) || ' ほか' AS hint FROM plays GROUP BY 1")
 def where_hints(spark: SparkSession, d: str) -> DataFrame:
     v = graph.value_profiles(playlog.plays(spark, d), "source_work")
-    return v.select("raw", keys.where_hint(F.col("events"), F.col("djs")).alias("hint"))
+    return v.select("raw", keys.where_hint(F.array("first_event", "last_event"), F.col("dj_sample")).alias("hint"))
 
 
 # merging and reporting --------------------------------------------------------------------------------------------------

@@ -63,7 +63,7 @@ def block(plays: DataFrame, field: str, decisions: DataFrame | None = None, auto
     # a spelling that was decided in either field is no candidate in the other
     done = resolve.decided_values(decisions, auto) if decisions is not None else None
     found = staged(graph.clusters(field, profiles, edges, graph.capped_components(edges), done), "block-clusters")
-    return Blocked(found, graph.cluster_values(found, profiles, field), edges, graph.cluster_totals(profiles, found))
+    return Blocked(found, graph.cluster_values(found, profiles, field, graph.value_events(plays, column)), edges, graph.cluster_totals(profiles, found))
 
 
 def decide(payload: DataFrame, decisions: DataFrame, entries: DataFrame, apart: DataFrame, at: str, auto: DataFrame | None = None, unicode: bool = True) -> Decided:

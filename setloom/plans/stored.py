@@ -6,8 +6,9 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from setloom.operators import lookup
+from setloom.operators import lookup, requests
 from setloom.operators.staging import shared_dir, staged
 from setloom.plans import folders
 from setloom.plans.catalogue import ORDERED_SQL, _ordered, named, registered
@@ -118,3 +119,51 @@ def lookups_by_name(spark: SparkSession, d: str) -> DataFrame:
     for h in hits[1:]:
         found = found.unionByName(h)
     return found.groupBy("asked", "event_no", "dj", "title", "artist").agg(F.count("*").alias("plays"))
+
+
+# requests and runs -----------------------------------------------------------------------------------------------------------------
+
+
+@registered("""WITH m AS (SELECT CASE WHEN p_size <= 25 THEN p_brand ELSE p_brand || '/' || p_size END AS id, p_partkey AS k, p_name, p_type, p_brand, p_size, 'p' || p_partkey AS raw FROM part),
+l AS (SELECT *, lag(raw) OVER (PARTITION BY id ORDER BY k) AS prev FROM m),
+j AS (
+    SELECT id, k, raw, prev, '{"raw":"' || raw || '","rows":' || k % 7 || CASE WHEN k % 5 > 0 THEN ',"djs":[' || array_to_string(list_transform(range(1, 1 + least(3, k % 5)), lambda i: '"d' || i || '"'), ',') || ']' ELSE '' END
+        || ',"coTitles":["' || p_name || '"]' || CASE WHEN k % 2 = 0 THEN ',"coArtists":["' || p_brand || '","' || p_type || '","x"]' ELSE '' END || CASE WHEN k % 4 = 0 THEN ',"alsoAnArtistName":true' ELSE '' END || '}' AS card,
+        CASE k % 3 WHEN 1 THEN '"' || raw || '":[]' WHEN 0 THEN '"' || raw || '":[{"source":"wikidata","title":"T' || p_size || '","kind":"search","note":"' || substr(repeat(p_name || ' ', 30), 1, 100) || '"},{"source":"wikidata","title":"' || p_name || '","kind":"redirect"},{"source":"","title":"","kind":""}]' END AS res,
+        CASE WHEN prev IS NOT NULL THEN '["' || prev || '","' || raw || '","' || CASE WHEN k % 3 = 0 THEN 'agg,bigram' ELSE 'agg' END || '"]' END AS edge
+    FROM l
+), r AS (
+    SELECT id, '{"cluster_id":"' || id || '","hints":[' || CASE WHEN contains(id, '/') THEN '"series-risk"' ELSE '' END || '],"candidates":[' || string_agg(card, ',' ORDER BY k) || ']'
+        || CASE WHEN count(edge) <= 12 THEN ',"edges":[' || coalesce(string_agg(edge, ',' ORDER BY k), '') || ']' ELSE ',"edgeKinds":["agg","bigram"]' END
+        || CASE WHEN count(res) > 0 THEN ',"api_results":{' || string_agg(res, ',' ORDER BY k) || '}' ELSE '' END || '}' AS request
+    FROM j GROUP BY id
+) SELECT id, request, ceil(length(request) / 4)::BIGINT AS tokens FROM r""")
+def cluster_requests(spark: SparkSession, d: str) -> DataFrame:
+    """Clusters of parts as the documents that a model is shown: some with many edges, some values without answers."""
+    k, raw = F.col("p_partkey"), F.concat(F.lit("p"), "p_partkey")
+    m = read(spark, d, "part").select(F.when(F.col("p_size") <= 25, F.col("p_brand")).otherwise(F.concat_ws("/", "p_brand", "p_size")).alias("id"), raw.alias("raw"), "p_partkey", "p_name", "p_type", "p_brand", "p_size")
+    none = F.array().cast("array<string>")
+    djs = F.transform(F.slice(F.array(*[F.lit(f"d{i}") for i in range(1, 5)]), F.lit(1), (k % 5).cast("int")), lambda x: x)
+    values = m.select("id", k.alias("pos"), "raw", (k % 7).alias("rows"), djs.alias("djs"), F.array("p_name").alias("co_titles"), F.when(k % 2 == 0, F.array("p_brand", "p_type", F.lit("x"), F.lit("y"))).otherwise(none).alias("co_artists"), none.alias("co_works"), (k % 4 == 0).alias("cross_field"))
+    edge = F.struct(F.lag("raw").over(Window.partitionBy("id").orderBy("p_partkey")).alias("a"), F.col("raw").alias("b"), F.when(k % 3 == 0, F.array(F.lit("agg"), F.lit("bigram"))).otherwise(F.array(F.lit("agg"))).alias("kinds"))
+    pairs = m.select("id", "p_partkey", edge.alias("e")).where("e.a is not null").groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.struct("p_partkey", "e"))), lambda x: x["e"]).alias("pairs"))
+    clusters = m.select("id").distinct().join(pairs, "id", "left").select("id", F.when(F.col("id").contains("/"), F.array(F.lit("series-risk"))).otherwise(none).alias("hints"), F.array(F.lit("agg"), F.lit("bigram")).alias("edge_kinds"), "pairs")
+    text = lambda c: F.lit(None).cast("string") if c is None else c
+    hit = lambda s, t, kind, note: F.struct(text(s).alias("source"), text(t).alias("title"), text(kind).alias("kind"), text(note).alias("note"))
+    w, title = F.lit("wikidata"), F.concat(F.lit("T"), "p_size")
+    hits = F.array(hit(w, title, F.lit("search"), F.concat(F.lit("Wikidata 検索: "), F.repeat(F.concat("p_name", F.lit(" ")), F.lit(30)))), hit(w, title, F.lit("search"), F.lit("again")), hit(w, F.col("p_name"), F.lit("redirect"), F.lit("to it")), hit(None, None, None, None), hit(w, F.lit("one too many"), F.lit("search"), None))
+    evidence = m.where(k % 3 != 2).select("raw", F.when(k % 3 == 0, hits).otherwise(F.slice(hits, 1, 0)).alias("hits"))
+    return requests.packed_clusters(clusters, values, evidence)
+
+
+@registered("""WITH n AS (SELECT user_id AS run, event_id AS ord, event_type <> 'click' AS failed, value > 10 AS hit, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n FROM events),
+k AS (SELECT *, sum(failed::INTEGER) OVER (PARTITION BY run ORDER BY n ROWS BETWEEN 9 PRECEDING AND CURRENT ROW) AS bad FROM n),
+s AS (SELECT run, min(n) AS stop FROM k WHERE bad = 10 GROUP BY run)
+SELECT run, count(*) FILTER (stop IS NULL OR n <= stop) AS fetched, count(*) FILTER ((stop IS NULL OR n <= stop) AND NOT failed AND hit) AS hits, count(*) FILTER ((stop IS NULL OR n <= stop) AND (failed OR NOT hit)) AS misses,
+    count(*) FILTER ((stop IS NULL OR n <= stop) AND failed) AS failed, count(*) FILTER (n > stop) AS "left", string_agg(CASE WHEN n > stop THEN ord END, ',' ORDER BY ord) AS open FROM n LEFT JOIN s USING (run) GROUP BY run""")
+def asking_runs(spark: SparkSession, d: str) -> DataFrame:
+    """Each user's events as a run of questions: clicks are answered, the rest fails; where runs stop, and what they leave."""
+    log = read(spark, d, "events").select(F.col("user_id").alias("run"), F.col("event_id").alias("ord"), F.col("event_id").cast("string").alias("raw"), F.when(F.col("value") > 10, 2).otherwise(0).alias("hits"), (F.col("event_type") != "click").alias("failed"))
+    rows, totals = requests.asking_run(log)
+    left = rows.where("outcome = 'left'").groupBy("run").agg(F.array_join(F.transform(F.array_sort(F.collect_list("ord")), lambda x: x.cast("string")), ",").alias("open"))
+    return totals.join(left, "run", "left")

@@ -123,8 +123,11 @@ def wikidata_hits(answers: DataFrame, most: int = 3) -> DataFrame:
 
 
 def musicbrainz_hits(answers: DataFrame) -> DataFrame:
-    """(raw, hits) from artist answers (raw, body): the best hit, as `search`, or `alias` if it lists the spelling as one."""
+    """(raw, hits) from artist answers (raw, body): the best hit, as `search`, or `alias` if it lists the spelling as one; none if
+    it has no id or no name."""
     a = F.from_json("body", "artists array<struct<id:string,name:string,disambiguation:string,aliases:array<struct<name:string>>>>")["artists"][0]
-    kind = F.when(a["name"] == F.col("raw"), "search").when(F.exists(F.coalesce(a["aliases"], F.array().cast("array<struct<name:string>>")), lambda x: x["name"] == F.col("raw")), "alias").otherwise("search")
-    hit = F.struct(F.lit("musicbrainz").alias("source"), a["id"].alias("id"), a["name"].alias("title"), kind.alias("kind"), F.coalesce(a["disambiguation"], F.lit("")).alias("note"), F.concat(F.lit("https://musicbrainz.org/artist/"), a["id"]).alias("url"))
-    return answers.select("raw", F.when(a.isNotNull(), F.array(hit)).otherwise(F.array().cast("array<struct<source:string,id:string,title:string,kind:string,note:string,url:string>>")).alias("hits"))
+    given = lambda c: F.trim(F.coalesce(c, F.lit("")))
+    mbid, name = given(a["id"]), given(a["name"])
+    kind = F.when(name == F.col("raw"), "search").when(F.exists(F.coalesce(a["aliases"], F.array().cast("array<struct<name:string>>")), lambda x: F.coalesce(F.trim(x["name"]) == F.col("raw"), F.lit(False))), "alias").otherwise("search")
+    hit = F.struct(F.lit("musicbrainz").alias("source"), mbid.alias("id"), name.alias("title"), kind.alias("kind"), F.coalesce(a["disambiguation"], F.lit("")).alias("note"), F.concat(F.lit("https://musicbrainz.org/artist/"), mbid).alias("url"))
+    return answers.select("raw", F.when((mbid != "") & (name != ""), F.array(hit)).otherwise(F.array().cast("array<struct<source:string,id:string,title:string,kind:string,note:string,url:string>>")).alias("hits"))

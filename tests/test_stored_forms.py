@@ -11,7 +11,7 @@ import threading
 import pytest
 from pyspark.sql import functions as F
 
-from setloom.operators import lookup, query
+from setloom.operators import graph, lookup, query, requests
 from setloom.plans.folders import workbook
 from setloom.sources import answers, routing, setlists
 from setloom.sources.answers import AnswerStore
@@ -239,3 +239,57 @@ def test_large_events_lie_over_many_files(spark, tmp_path):
     more = [c for c in lookup.PLAY_COLUMNS if c not in rows.columns]
     lookup.write_log(rows.withColumns({c: F.lit(None).cast("string") for c in more}), str(tmp_path / "l"), files=8)
     assert len([f for f in os.listdir(tmp_path / "l" / "plays" / "event_no=1") if f.endswith(".parquet")]) >= 6
+
+
+# requests and runs ---------------------------------------------------------------------------------------------------------------------
+
+
+def test_requests_are_capped(spark):
+    hit = "struct<source:string,title:string,kind:string,note:string>"
+    clusters = spark.createDataFrame([("c", ["h"], ["agg"], [("a", "b", ["agg", "x"])]), ("d", [], ["agg", "edit"], [(f"v{i}", f"v{i + 1}", ["agg"]) for i in range(13)]), ("e", None, None, None)], "id string, hints array<string>, edge_kinds array<string>, pairs array<struct<a:string,b:string,kinds:array<string>>>")
+    values = spark.createDataFrame(
+        [("c", 1, "b", 2, ["x", "y", "z", "w"], [], None, ["k"], False), ("c", 0, "a", 1, [], ["t"], ["u"], [], True), ("d", 0, "v", 1, [], [], [], [], False)],
+        "id string, pos int, raw string, rows long, djs array<string>, co_titles array<string>, co_artists array<string>, co_works array<string>, cross_field boolean",
+    )
+    long = "é" * 150
+    hits = [("w", "T", "search", requests.SEARCH_PREFIX + long), ("w", "T", "search", "again"), ("w", "U", "redirect", "n"), ("w", None, None, None), ("w", "", "search", "n"), ("w", "V", "search", "late")]
+    evidence = spark.createDataFrame([("a", []), ("b", hits), ("z", hits), ("v", None)], f"raw string, hits array<{hit}>")
+    got = {r.id: json.loads(r.request) for r in requests.packed_clusters(clusters, values, evidence).collect()}
+    assert got["c"] == {
+        "cluster_id": "c", "hints": ["h"], "edges": [["a", "b", "agg,x"]],
+        "candidates": [{"raw": "a", "rows": 1, "coTitles": ["t"], "coArtists": ["u"], "alsoAnArtistName": True}, {"raw": "b", "rows": 2, "djs": ["x", "y", "z"], "coWorks": ["k"]}],
+        "api_results": {"a": [], "b": [{"source": "w", "title": "T", "kind": "search", "note": "é" * 100}, {"source": "w", "title": "U", "kind": "redirect"}, {"source": "w", "title": "", "kind": ""}]},
+    }
+    assert got["d"] == {"cluster_id": "d", "hints": [], "candidates": [{"raw": "v", "rows": 1}], "edgeKinds": ["agg", "edit"]}
+    assert got["e"] == {"cluster_id": "e", "hints": [], "candidates": [], "edges": []}
+
+
+def test_runs_stop_after_failures_in_a_row(spark):
+    rng = random.Random(3)
+    rows = [(run, i, f"{run}{i}", rng.randrange(2), rng.random() < p) for run, n, p in (("a", 120, 0.7), ("b", 3, 1.0), ("c", 60, 0.2), ("d", 9, 1.0), ("e", 41, 0.9)) for i in range(n)]
+    log = spark.createDataFrame(rng.sample(rows, len(rows)), "run string, ord int, raw string, hits int, failed boolean")
+    for most, chunk in ((4, 5), (4, 1), (1, 7), (5, 4096)):
+        want = {}
+        for run in "abcde":
+            bad, over = 0, False
+            for _, i, raw, hits, failed in (r for r in rows if r[0] == run):
+                want[raw] = "left" if over else "failed" if failed else "hit" if hits else "miss"
+                bad = bad + 1 if failed else 0
+                over |= bad >= most
+        got, totals = requests.asking_run(log, most=most, chunk=chunk)
+        assert {r.raw: r.outcome for r in got.collect()} == want
+        assert sum(r.fetched + r.left for r in totals.collect()) == len(rows)
+    assert requests.asking_run(log.limit(0))[1].count() == 0
+
+
+def test_profiles_count_without_sets(spark):
+    rows = [(e, f"d{i % 7}", f"t{i % 11}", w, f"a{i % 5}" if i % 3 else None) for i, (e, w) in enumerate([(1, " W "), (2, "W"), (None, "W"), (2, "V"), (3, ""), (3, None)] * 9)]
+    plays = spark.createDataFrame(rows, "event_no int, dj string, title string, source_work string, artist string")
+    got = {r.raw: r.asDict() for r in graph.value_profiles(plays, "source_work").collect()}
+    assert set(got) == {"W", "V"}
+    for raw, r in got.items():
+        own = [x for x in rows if (x[3] or "").strip() == raw]
+        events, djs, titles, others = ({x[k] for x in own if x[k] is not None} for k in (0, 1, 2, 4))
+        assert (r["rows"], r["events"], r["djs"], r["titles"], r["others"]) == (len(own), len(events), len(djs), len(titles), len(others))
+        assert (r["first_event"], r["last_event"]) == (min(events), max(events))
+        assert (r["dj_sample"], r["title_sample"], r["other_sample"]) == tuple(sorted(x)[:4] for x in (djs, titles, others))
