@@ -13,7 +13,7 @@ from setloom.operators.staging import shared_dir, staged
 from setloom.plans import folders
 from setloom.plans.catalogue import ORDERED_SQL, _ordered, named, registered
 from setloom.plans.playlog import PLAYS_SQL, named_sql, plays, read
-from setloom.sources import routing
+from setloom.sources import loose_toml, routing
 from setloom.sources.answers import AnswerStore
 
 
@@ -167,3 +167,21 @@ def asking_runs(spark: SparkSession, d: str) -> DataFrame:
     rows, totals = requests.asking_run(log)
     left = rows.where("outcome = 'left'").groupBy("run").agg(F.array_join(F.transform(F.array_sort(F.collect_list("ord")), lambda x: x.cast("string")), ",").alias("open"))
     return totals.join(left, "run", "left")
+
+
+@registered("""WITH e AS (SELECT p_brand AS path, (row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) - 1)::INTEGER AS ord, * FROM part)
+SELECT path, ord, 'p' || p_partkey AS id, CASE WHEN p_size % 5 = 0 THEN NULL ELSE 'say "' || p_name || '"' END AS canonical,
+    CASE p_size % 3 WHEN 0 THEN 'size ' || p_size || chr(10) || '[[entry]]' || chr(10) || 'id = "no"' || chr(10) WHEN 1 THEN p_type END AS series, CASE WHEN p_size % 7 = 0 THEN 'cut off' || chr(10) || '[[entry]]' ELSE p_name || '|' || p_type || '|]' END AS variants FROM e""")
+def loose_dictionaries(spark: SparkSession, d: str) -> DataFrame:
+    """Dictionary files by brand with values over several lines, broken lines, and values that look like headers."""
+    size, q = F.col("p_size"), F.lit('"')
+    line = lambda *parts: F.concat(*[F.lit(x) if isinstance(x, str) else x for x in parts])
+    series = F.when(size % 3 == 0, line('series = """size ', size.cast("string"), '\n[[entry]]\nid = "no"\n"""')).when(size % 3 == 1, line('  series = """', F.col("p_type"), '"""  ')).otherwise("series = 5")
+    several = line("variants = [\n  ", q, F.col("p_name"), q, ",\n# ", q, F.col("p_type"), q, "\n", q, "]", q, ",\n ]")
+    canonical = F.when(size % 5 == 0, line("canonical = ", F.col("p_name"))).otherwise(line('canonical = "say \\"', F.col("p_name"), '\\""'))
+    lists = F.when(size % 7 == 0, line("variants = [\n", q, "cut off\n[[entry]]", q, "\n]")).otherwise(several)
+    entry = F.array_join(F.array(F.lit("[[entry]]"), line("id = ", q, "p", F.col("p_partkey").cast("string"), q), F.lit("# a note"), canonical, F.lit("approved = true"), series, F.lit("= broken ["), lists), "\n")
+    texts = read(spark, d, "part").groupBy(F.col("p_brand").alias("path")).agg(F.array_join(F.concat(F.array(F.lit('id = "too early"\nx = [')), F.transform(F.array_sort(F.collect_list(F.struct("p_partkey", entry.alias("e")))), lambda x: x["e"])), "\n").alias("text"))
+    got = loose_toml.loose_tables(texts).groupBy("path", F.col("table").alias("ord"))
+    value = lambda c: F.max(F.when(F.col("key") == c, F.col("text"))).alias(c)
+    return got.agg(value("id"), value("canonical"), value("series"), F.max(F.when(F.col("key") == "variants", F.array_join("items", "|"))).alias("variants"))
