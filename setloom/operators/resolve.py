@@ -286,6 +286,27 @@ def review_queue(clusters: DataFrame, decided: DataFrame, assigned: DataFrame, p
     return out.select("id", "rows", "raw", "is_open", F.when(~F.col("is_open"), F.coalesce("as", F.lit("判断済み"))).alias("decided_as"), F.coalesce("proposed", F.lit(False)).alias("proposed"), "canonical")
 
 
+def assigned_names(human: DataFrame, auto: DataFrame) -> DataFrame:
+    """(field, raw, canonical): the name that each spelling goes to; what a person wrote beats the automatic dictionary, and of
+    entries of one kind the first counts."""
+    both = human.select("field", F.lit(0).alias("kind"), "ord", "canonical", "variants").unionByName(auto.select("field", F.lit(1).alias("kind"), "ord", "canonical", "variants"))
+    rows = both.withColumn("name", trimmed(F.col("canonical"))).where("name <> ''").select("field", "kind", "ord", "name", F.explode(class_values(both)).alias("raw"))
+    return rows.groupBy("field", "raw").agg(F.min_by("name", F.struct("kind", "ord")).alias("canonical"))
+
+
+def queue_counters(clusters: DataFrame, decided: DataFrame, auto: DataFrame) -> DataFrame:
+    """(field, total, decided, auto_approved, open_values): a field's clusters, those without an undecided member, the clusters whose
+    entries the automatic dictionary has (among the decided ones), and the members that still wait.
+
+    clusters (id, field, members); decided (field, raw); auto (field, id): the automatic dictionary.
+    """
+    member = clusters.select("field", "id", F.explode("members").alias("raw")).join(decided.select("field", "raw", F.lit(1).alias("d")).distinct(), ["field", "raw"], "left")
+    each = member.groupBy("field", "id").agg(F.count_if(F.col("d").isNull()).alias("open"))
+    by_rule = auto.groupBy("field").agg(F.countDistinct("id").alias("auto_approved"))
+    out = each.groupBy("field").agg(F.count("*").alias("total"), F.count_if(F.col("open") == 0).alias("decided"), F.sum("open").alias("open_values"))
+    return out.join(by_rule, "field", "left").select("field", "total", "decided", F.coalesce("auto_approved", F.lit(0)).alias("auto_approved"), "open_values")
+
+
 def guess_canonical(values: DataFrame, proposals: DataFrame) -> DataFrame:
     """(id, canonical): the most plausible name of each cluster from its checked values.
 

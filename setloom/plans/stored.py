@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from setloom.operators import lookup, requests
+from setloom.operators import lookup, requests, resolve
 from setloom.operators.staging import shared_dir, staged
 from setloom.plans import folders
 from setloom.plans.catalogue import ORDERED_SQL, _ordered, named, registered
@@ -185,3 +185,33 @@ def loose_dictionaries(spark: SparkSession, d: str) -> DataFrame:
     got = loose_toml.loose_tables(texts).groupBy("path", F.col("table").alias("ord"))
     value = lambda c: F.max(F.when(F.col("key") == c, F.col("text"))).alias(c)
     return got.agg(value("id"), value("canonical"), value("series"), F.max(F.when(F.col("key") == "variants", F.array_join("items", "|"))).alias("variants"))
+
+
+# the review queue ----------------------------------------------------------------------------------------------------------------
+
+QUEUE_SQL = """m AS (SELECT CASE WHEN p_size % 2 = 0 THEN 'work' ELSE 'artist' END AS field, p_brand || '/' || p_size AS id, 'p' || p_partkey AS raw, p_partkey AS k FROM part),
+l AS (SELECT 'work' AS field, 'p' || ps AS raw FROM (SELECT l_partkey AS ps FROM lineitem WHERE l_returnflag = 'R' AND l_linenumber = 1) UNION SELECT 'artist', 'p' || l_partkey FROM lineitem WHERE l_returnflag = 'A' AND l_linenumber = 1)"""
+
+
+def _queue(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Clusters of parts in both fields, and a log that settles what was returned."""
+    part = read(spark, d, "part").select(F.when(F.col("p_size") % 2 == 0, "work").otherwise("artist").alias("field"), F.concat_ws("/", "p_brand", "p_size").alias("id"), F.concat(F.lit("p"), "p_partkey").alias("raw"))
+    clusters = part.groupBy("field", "id").agg(F.array_sort(F.collect_list("raw")).alias("members"))
+    line = read(spark, d, "lineitem").where("l_linenumber = 1")
+    log = line.select(F.when(F.col("l_returnflag") == "R", "work").otherwise("artist").alias("field"), F.when(F.col("l_returnflag") == "R", "accept").when(F.col("l_returnflag") == "A", "reject").otherwise("defer").alias("action"), F.array(F.concat(F.lit("p"), "l_partkey")).alias("variants"))
+    return clusters, log
+
+
+@registered(f"WITH {QUEUE_SQL}, c AS (SELECT m.field, id, count(*) FILTER (l.raw IS NULL) AS open FROM m LEFT JOIN l ON l.field = m.field AND l.raw = m.raw GROUP BY ALL), a AS (SELECT field, count(DISTINCT id) AS auto_approved FROM m WHERE k % 3 = 0 GROUP BY 1) SELECT field, count(*) AS total, count(*) FILTER (open = 0) AS decided, any_value(auto_approved) AS auto_approved, sum(open)::BIGINT AS open_values FROM c JOIN a USING (field) GROUP BY field")
+def queue_counters(spark: SparkSession, d: str) -> DataFrame:
+    clusters, log = _queue(spark, d)
+    auto = clusters.select("field", "id", F.explode("members").alias("raw")).where(F.substring("raw", 2, 20).cast("long") % 3 == 0)
+    return resolve.queue_counters(clusters, resolve.decided_by_field(log), auto)
+
+
+@registered("""WITH h AS (SELECT p_partkey AS k, p_brand AS name, 'n' || p_size AS a, 'p' || p_partkey AS b, p_size % 2 = 0 AS human FROM part), v AS (SELECT k, name, human, unnest([a, b, name]) AS raw FROM h)
+SELECT 'work' AS field, raw, arg_min(name, (CASE WHEN human THEN 0 ELSE 1 END, k)) AS canonical FROM v GROUP BY raw""")
+def assigned_names(spark: SparkSession, d: str) -> DataFrame:
+    """Dictionaries of parts, one kept by hand and one automatic, that share spellings."""
+    p = read(spark, d, "part").select(F.lit("work").alias("field"), F.col("p_partkey").alias("ord"), F.col("p_brand").alias("canonical"), F.array(F.concat(F.lit("n"), "p_size"), F.concat(F.lit("p"), "p_partkey")).alias("variants"), "p_size")
+    return resolve.assigned_names(p.where("p_size % 2 = 0"), p.where("p_size % 2 <> 0"))

@@ -37,3 +37,44 @@ def tracks_per_window(plays: DataFrame, time: str, length: str = "1 day", delay:
 def append_to(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
     """Write what is there as Parquet and stop; run again to go on where it stopped."""
     return stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).outputMode("append").start()
+
+
+class QueueState:
+    """What a review queue shows, kept up from the decision log as it grows, a micro-batch at a time.
+
+    For each batch two small folders are written: the spellings that it decided first, and how many members of which cluster that
+    settled. A batch that is run again, after a failure, replaces its own folders, so nothing counts twice. The clusters
+    are read for the spellings of a batch only.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, clusters: DataFrame) -> None:
+        self.spark, self.path = spark, path.rstrip("/")
+        self.members = clusters.select("field", "id", F.explode("members").alias("raw"))
+        self.sizes = clusters.select("field", "id", F.size("members").alias("size"))
+
+    def _read(self, name: str, schema: str) -> DataFrame:
+        return self.spark.read.schema(f"{schema}, batch long").option("basePath", f"{self.path}/{name}").parquet(f"{self.path}/{name}") if self._has(name) else self.spark.createDataFrame([], f"{schema}, batch long")
+
+    def _has(self, name: str) -> bool:
+        where = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
+        return where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(where)
+
+    def apply(self, decisions: DataFrame, batch: int) -> None:
+        """Take in a micro-batch of the log; for foreachBatch."""
+        given = decisions.where(F.col("action").isin("accept", "reject")).select("field", F.explode("variants").alias("raw")).distinct()
+        before = self._read("decided", "field string, raw string").where(F.col("batch") != batch)
+        given.join(before.select("field", "raw"), ["field", "raw"], "left_anti").write.mode("overwrite").parquet(f"{self.path}/decided/batch={batch}")
+        fresh = self.spark.read.schema("field string, raw string").parquet(f"{self.path}/decided/batch={batch}")
+        settled = self.members.join(fresh, ["field", "raw"]).groupBy("field", "id").agg(F.count("*").alias("n"))
+        settled.write.mode("overwrite").parquet(f"{self.path}/settled/batch={batch}")
+
+    def counters(self) -> DataFrame:
+        """(field, total, decided, open_values), as `resolve.queue_counters` counts them over the whole log."""
+        settled = self._read("settled", "field string, id string, n long").groupBy("field", "id").agg(F.sum("n").alias("n"))
+        each = self.sizes.join(settled, ["field", "id"], "left").withColumn("open", F.col("size") - F.coalesce("n", F.lit(0)))
+        return each.groupBy("field").agg(F.count("*").alias("total"), F.count_if(F.col("open") == 0).alias("decided"), F.sum("open").alias("open_values"))
+
+
+def follow_queue(decisions: DataFrame, state: QueueState, checkpoint: str) -> StreamingQuery:
+    """Bring the state up to the end of the log and stop; run again to go on where it stopped."""
+    return decisions.writeStream.foreachBatch(state.apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
