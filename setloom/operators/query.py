@@ -106,22 +106,34 @@ def rank(plays: DataFrame, key: Column, label: Column, order: Column, limit: int
     return out.select("label", "n", detail.alias("detail")).orderBy(*place)
 
 
-def top_titles(plays: DataFrame, order: Column, limit: int | None = 20) -> DataFrame:
-    return rank(plays, F.col("base"), F.col("title"), order, limit)
+def of_event(plays: DataFrame, event_no: int | None) -> DataFrame:
+    """The plays of one event, or all of them: what rankings and DJs' figures are limited to."""
+    return plays if event_no is None else plays.where(F.col("event_no") == event_no)
 
 
-def top_works(plays: DataFrame, order: Column, limit: int | None = 20, unicode: bool = True) -> DataFrame:
+def share_of_largest(ranked: DataFrame, column: str = "n") -> DataFrame:
+    """ranked with `share`: a row's part of the largest one, for bars."""
+    largest = ranked.agg(F.max(column).alias("_most"))
+    return ranked.join(F.broadcast(largest)).withColumn("share", F.col(column) / F.nullif("_most", F.lit(0))).drop("_most")  # one row
+
+
+def top_titles(plays: DataFrame, order: Column, limit: int | None = 20, event_no: int | None = None) -> DataFrame:
+    return rank(of_event(plays, event_no), F.col("base"), F.col("title"), order, limit)
+
+
+def top_works(plays: DataFrame, order: Column, limit: int | None = 20, unicode: bool = True, event_no: int | None = None) -> DataFrame:
     """Works by canonical name; known kinds other than a work are left out, unknown kinds are not."""
-    kept = plays.where("source_work_canon <> '' and (source_work_kind is null or source_work_kind = '' or source_work_kind = 'work')")
+    kept = of_event(plays, event_no).where("source_work_canon <> '' and (source_work_kind is null or source_work_kind = '' or source_work_kind = 'work')")
     return rank(kept, norm_key(F.col("source_work_canon"), unicode), F.col("source_work_canon"), order, limit, F.col("source_work"))
 
 
-def top_artists(plays: DataFrame, order: Column, limit: int | None = 20, unicode: bool = True) -> DataFrame:
-    return rank(plays.where("artist_canon <> ''"), norm_key(F.col("artist_canon"), unicode), F.col("artist_canon"), order, limit, F.col("artist"))
+def top_artists(plays: DataFrame, order: Column, limit: int | None = 20, unicode: bool = True, event_no: int | None = None) -> DataFrame:
+    return rank(of_event(plays, event_no).where("artist_canon <> ''"), norm_key(F.col("artist_canon"), unicode), F.col("artist_canon"), order, limit, F.col("artist"))
 
 
-def per_dj(plays: DataFrame) -> DataFrame:
+def per_dj(plays: DataFrame, event_no: int | None = None) -> DataFrame:
     """(dj, tracks, events, remix_rate): the rate is over plays where it is known."""
+    plays = of_event(plays, event_no)
     rate = F.count_if("is_remix") / F.nullif(F.count("is_remix"), F.lit(0))
     return plays.groupBy("dj").agg(F.count("*").alias("tracks"), F.countDistinct("event_no").alias("events"), rate.alias("remix_rate"))
 

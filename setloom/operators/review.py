@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from setloom.functions.keys import agg_key, strip_notes
 from setloom.operators.enrich import first_by
 from setloom.operators.graph import trimmed
+from setloom.operators.resolve import shared_cooccurrence
 
 #: Own wording for codes; an installation may pass its own.
 EDGE_LABELS = {"caseonly": "case or blanks only", "redirect": "an outside source's redirect", "agg": "equal without marks", "cooccur": "same song and work", "edit": "similar spelling", "bigram": "shared letter pairs", "substr": "one within the other"}
@@ -43,10 +44,15 @@ def canonical_options(values: DataFrame, proposals: DataFrame) -> DataFrame:
     return lists.select("id", F.posexplode("o").alias("place", "x")).select("id", "place", "x.value", "x.derived", "x.registered")
 
 
+#: What is said of things that all spellings of a cluster have.
+SHARED = {"djs": "the same DJs use all of them: %s", "co_titles": "the same titles: %s", "co_artists": "the same artists: %s"}
+
+
 def draft_reasons(clusters: DataFrame, values: DataFrame, edge_labels: dict[str, str] | None = None, hint_labels: dict[str, str] | None = None) -> DataFrame:
-    """(id, reason) from facts: rows of each spelling, kinds of evidence, hints.
+    """(id, reason) from facts: rows of each spelling, kinds of evidence, what all spellings share, hints.
 
-    clusters: id, hints, edge_kinds; values: id, pos, raw, rows. Clusters are capped, so their lists are short.
+    clusters: id, hints, edge_kinds; values: id, pos, raw, rows, and any of the arrays in `SHARED`, of which up to three things that all
+    of a cluster's spellings have are named. Clusters are capped, so their lists are short.
     """
     v = values.groupBy("id").agg(F.array_sort(F.collect_list(F.struct((-F.col("rows")).alias("less"), "pos", "raw", "rows"))).alias("vs"))
     counts = F.concat(F.array_join(F.transform("vs", lambda x: F.concat(F.lit("「"), x["raw"], F.lit("」"), x["rows"].cast("string"))), " / "), F.lit("。"))
@@ -54,7 +60,13 @@ def draft_reasons(clusters: DataFrame, values: DataFrame, edge_labels: dict[str,
     kinds, hints = named(F.col("edge_kinds"), edge_labels or EDGE_LABELS), named(F.col("hints"), hint_labels or HINT_LABELS)
     why = F.when(F.size(kinds) > 0, F.array_join(kinds, "、"))
     notes = F.when(F.size(hints) > 0, F.concat(F.lit("※ "), F.array_join(hints, "\n※ ")))
-    return clusters.join(v, "id").select("id", F.concat_ws("\n", counts, why, notes).alias("reason"))
+    out, shared = clusters.join(v, "id"), []
+    for column, text in SHARED.items():
+        if column in values.columns:
+            common = shared_cooccurrence(values, column).select("id", F.col("shared").alias(f"shared_{column}"))
+            out = out.join(common, "id", "left")
+            shared.append(F.when((F.size("vs") > 1) & (F.size(f"shared_{column}") > 0), F.format_string(text, F.array_join(f"shared_{column}", "、"))))
+    return out.select("id", F.concat_ws("\n", counts, why, *shared, notes).alias("reason"))
 
 
 def keep_apart_lines(pairs: DataFrame, members: DataFrame, unicode: bool = True) -> DataFrame:

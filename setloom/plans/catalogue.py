@@ -130,6 +130,17 @@ def top_artists(spark: SparkSession, d: str) -> DataFrame:
     return query.top_artists(canonical(spark, d), first(), unicode=False)
 
 
+@registered(f"SELECT *, n / max(n) OVER () AS share FROM ({_rank_sql(PLAYS_SQL, 'base', 'title', None, 'event_no = 1995')})")
+def top_titles_of_event(spark: SparkSession, d: str) -> DataFrame:
+    """One event's titles, with their parts of the first one."""
+    return query.share_of_largest(query.top_titles(log(spark, d), first(), event_no=1995))
+
+
+@registered(f"WITH {PLAYS_SQL} SELECT dj, count(*) AS tracks, count(DISTINCT event_no) AS events, count(*) FILTER (is_remix) / nullif(count(is_remix), 0) AS remix_rate FROM plays WHERE event_no = 1996 GROUP BY dj")
+def per_dj_of_event(spark: SparkSession, d: str) -> DataFrame:
+    return query.per_dj(playlog.plays(spark, d), event_no=1996)
+
+
 @registered(f"WITH {PLAYS_SQL} SELECT dj, count(*) AS tracks, count(DISTINCT event_no) AS events, count(*) FILTER (is_remix) / nullif(count(is_remix), 0) AS remix_rate FROM plays GROUP BY dj")
 def per_dj(spark: SparkSession, d: str) -> DataFrame:
     return query.per_dj(playlog.plays(spark, d))

@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-import json
 import tomllib
 from typing import Any
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from setloom.schema import CLUSTER_VALUE, DECISION, ENTRY, EVIDENCE, MANIFEST, PROPOSAL
+from setloom.sources.keyed_json import members
 
 
 def _toml(spark: SparkSession, path: str) -> dict[str, Any]:
@@ -75,11 +76,17 @@ def expand_plays(compact: DataFrame) -> DataFrame:
 
 
 def aliases(spark: SparkSession, path: str, field: str) -> DataFrame:
-    """(raw, canonical, series, kind, variants, ord) of a published dictionary; ord: the order of its keys."""
-    text = spark.read.text(path, wholetext=True).collect()
-    table = (json.loads(text[0][0]) if text and text[0][0].strip() else {}).get(field) or {}
-    rows = [(k, v.get("c"), v.get("s"), v.get("k"), v.get("v") or [], i) for i, (k, v) in enumerate(table.items())]
-    return spark.createDataFrame(rows, "raw string, canonical string, series string, kind string, variants array<string>, ord long")
+    """(raw, canonical, series, kind, variants, ord) of a published dictionary; ord: the order of its keys. Read in parallel, whatever
+    its size; no file, or an empty one, gives no rows."""
+    try:
+        found = members(spark, path)
+    except AnalysisException as error:
+        if "PATH_NOT_FOUND" not in str(error):
+            raise
+        return spark.createDataFrame([], "raw string, canonical string, series string, kind string, variants array<string>, ord long")
+    value = F.from_json("json", "c string, s string, k string, v array<string>")
+    rows = found.where(F.col("section") == field).select(F.col("key").alias("raw"), value.alias("v"), "ord")
+    return rows.select("raw", F.col("v.c").alias("canonical"), F.col("v.s").alias("series"), F.col("v.k").alias("kind"), F.coalesce("v.v", F.array().cast("array<string>")).alias("variants"), "ord")
 
 
 def clusters(spark: SparkSession, path: str) -> DataFrame:

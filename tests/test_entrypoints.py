@@ -142,6 +142,14 @@ def test_review_choices(spark):
     assert [r.id for r in review.payloads(cards, "keep-apart").orderBy("id").collect()] == ["c", "d"] and review.payloads(cards, "defer").count() == 3
 
 
+def test_drafted_reasons_name_what_is_shared(spark):
+    clusters = spark.createDataFrame([("c", [], ["agg"]), ("d", [], [])], "id string, hints array<string>, edge_kinds array<string>")
+    rows = [("c", 0, "A", 5, ["x", "y", "z", "w", "v"], ["t"], []), ("c", 1, "a", 9, ["w", "v", "z", "y", "q"], ["u"], []), ("d", 0, "B", 1, ["x"], ["t"], ["k"])]
+    values = spark.createDataFrame(rows, "id string, pos int, raw string, rows long, djs array<string>, co_titles array<string>, co_artists array<string>")
+    got = {r.id: r.reason for r in review.draft_reasons(clusters, values).collect()}
+    assert got == {"c": "「a」9 / 「A」5。\nequal without marks\nthe same DJs use all of them: v、w、y", "d": "「B」1。"}
+
+
 def test_batches_are_those_of_one_pass(spark):
     rnd = random.Random(5)
     rows = [(f, i, f"{f}{i:03}", rnd.choice([1, 5, 20, 45, 90])) for f, n in (("a", 130), ("b", 7), ("c", 16)) for i in range(n)]
