@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from setloom.schema import DECISION
 
@@ -29,6 +33,39 @@ def first_seen(plays: DataFrame, time: str, delay: str = "1 day") -> DataFrame:
     return plays.withWatermark(time, delay).dropDuplicatesWithinWatermark(["base"])
 
 
+def new_title_changes(plays: DataFrame) -> DataFrame:
+    """(event_no, change) as a stream of plays (base, event_no) goes on: 1 for the event that a base is first seen in, and, when plays of an
+    earlier event come late, 1 for that and -1 for the one before. Their sums are each event's new titles, over all time.
+
+    The first event of each base is kept as state, without a limit in time; plays without a base or an event don't count.
+    """
+
+    def first(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        was = state.get[0] if state.exists else None
+        now = min(int(part["event_no"].min()) for part in parts)
+        if was is None or now < was:
+            state.update((now,))
+            yield pd.DataFrame({"event_no": [now] if was is None else [now, was], "change": [1] if was is None else [1, -1]})
+
+    own = plays.select("base", "event_no").where("base <> '' and event_no is not null")
+    return own.groupBy("base").applyInPandasWithState(first, "event_no int, change int", "event_no int", "update", GroupStateTimeout.NoTimeout)
+
+
+def keep_changes(changes: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+    """Write what is there of a stream of changes, a folder for each micro-batch, and stop; a batch that is run again replaces its folder."""
+
+    def write(rows: DataFrame, batch: int) -> None:
+        rows.write.mode("overwrite").parquet(f"{path}/batch={batch}")
+
+    return changes.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def new_titles(spark: SparkSession, path: str) -> DataFrame:
+    """(event_no, new_titles) from the changes kept so far."""
+    found = spark.read.schema("event_no int, change int").parquet(path).groupBy("event_no").agg(F.sum("change").alias("new_titles"))
+    return found.where("new_titles > 0")
+
+
 def tracks_per_window(plays: DataFrame, time: str, length: str = "1 day", delay: str = "1 hour") -> DataFrame:
     """(window, tracks) of event time, with late rows up to `delay`."""
     return plays.withWatermark(time, delay).groupBy(F.window(time, length)).agg(F.count("*").alias("tracks"))

@@ -43,6 +43,23 @@ def test_the_state_equals_the_batch_result_after_each_micro_batch(spark, tmp_pat
     assert {tuple(r) for r in state.counters().collect()} == whole()
 
 
+def test_new_titles_over_all_time_after_late_events(spark, tmp_path):
+    rng, seen = random.Random(2), []
+    (tmp_path / "plays").mkdir()
+    stream = spark.readStream.schema("base string, event_no int, event_date date, dj string").json(str(tmp_path / "plays"))
+    for n, events in enumerate(([5, 6], [6, 7], [1, 2, 7], [3, 5], [0])):  # some come late
+        rows = [{"base": rng.choice(["a", "b", "c", "d", "e", "", None]), "event_no": rng.choice([*events, None]), "dj": "x"} for _ in range(8)]
+        seen += rows
+        (tmp_path / "plays" / f"{n}.json").write_text("\n".join(map(json.dumps, rows)))
+        log.keep_changes(log.new_title_changes(stream), str(tmp_path / "changes"), str(tmp_path / "titles")).awaitTermination()
+        first = {}
+        for r in seen:
+            if r["base"] and r["event_no"] is not None:
+                first[r["base"]] = min(first.get(r["base"], 99), r["event_no"])
+        want = {e: list(first.values()).count(e) for e in first.values()}
+        assert {r.event_no: r.new_titles for r in log.new_titles(spark, str(tmp_path / "changes")).collect()} == want
+
+
 def test_counters(spark):
     clusters = spark.createDataFrame(CLUSTERS, "field string, id string, members array<string>")
     decided = spark.createDataFrame([("work", "a"), ("work", "b"), ("work", "a"), ("artist", "c")], "field string, raw string")
