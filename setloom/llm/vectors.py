@@ -334,8 +334,9 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.98, node: int = 1024, mos
     able = F.coalesce(F.col("label").isNotNull() & whole(F.col("embedding")) & some, F.lit(False))
     # by a power of two each, so that squares neither overflow nor vanish; cosines stay what they are, to the last bit
     size = F.pow(F.lit(2.0), F.floor(F.log2(F.array_max(F.transform("embedding", lambda x: F.abs(x.cast("double")))))))
-    own = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label").cast("long").alias("lab"), F.when(able, F.col("embedding")).alias("embedding"), F.when(able, size).alias("size"))
-    own = staged(own.select("vec_id", "lab", F.transform("embedding", lambda x: x.cast("double") / F.col("size")).alias("embedding")), "near-vectors")
+    # the size is a variable of a function, so that it is found once a vector, not for each component
+    scaled = F.get(F.transform(F.array(size), lambda one: F.transform("embedding", lambda x: x.cast("double") / one)), 0)
+    own = staged(vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label").cast("long").alias("lab"), F.when(able, scaled).alias("embedding")), "near-vectors")
     classes = own.where("embedding is not null").groupBy("lab", "embedding").agg(F.min("vec_id").alias("named"), F.count("*").alias("n"))
     # a class of equal vectors goes by a number of its own, since ids may be null or shared
     classes = staged(classes.select("lab", F.size("embedding").alias("dim"), F.monotonically_increasing_id().alias("cid"), "n", "embedding", "named"), "near-classes")
