@@ -42,6 +42,13 @@ def nfkc(text: pd.Series) -> pd.Series:
     return text.map(lambda s: None if s is None else s if s.isascii() else unicodedata.normalize("NFKC", s))
 
 
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def nfkc_each(texts: pd.Series) -> pd.Series:
+    """All texts of an array in one call: a row crosses to Python once, however many cells it has."""
+    one = lambda s: s if s is None or s.isascii() else unicodedata.normalize("NFKC", s)
+    return texts.map(lambda row: None if row is None else [one(s) for s in row])
+
+
 def normalised(text: Column, unicode: bool) -> Column:
     return nfkc(text) if unicode else text
 

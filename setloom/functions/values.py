@@ -11,12 +11,22 @@ from setloom.functions.keys import normalised
 NULLISH = ["", "-", "‐", "―", "ー", "#ref!", "#n/a", "n/a", "なし", "未定"]
 REMIX_TRUE = ["○", "◯", "〇", "o", "◎", "●", "yes", "y", "有", "あり", "remix", "true", "1"]
 REMIX_FALSE = ["原曲", "×", "✕", "x", "no", "n", "無", "なし", "false", "0"]
+#: White space by Unicode, what \\s is under (?U).
+WHITE = "\t\n\x0b\x0c\r \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
 
 
 def clean(value: Column, unicode: bool = True) -> Column:
     """Normalised and trimmed; spellings of a missing value become null."""
-    s = F.regexp_replace(normalised(value, unicode), r"(?U)^\s+|\s+$", "")
-    return F.when(~F.lower(s).isin(NULLISH), s)
+    return but_nullish(clean_ends(normalised(value, unicode)))
+
+
+def clean_ends(text: Column) -> Column:
+    """Without white space at its ends, by characters: a pattern would walk through each text."""
+    return F.btrim(text, F.lit(WHITE))
+
+
+def but_nullish(text: Column) -> Column:
+    return F.when(~F.lower(text).isin(NULLISH), text)
 
 
 def to_int(value: Column, unicode: bool = True) -> Column:

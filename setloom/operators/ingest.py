@@ -8,8 +8,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from setloom.functions.keys import normalised
-from setloom.functions.values import clean, confidence, is_url, repaired, to_float, to_int, to_remix
+from setloom.functions.keys import nfkc_each, normalised
+from setloom.functions.values import but_nullish, clean, clean_ends, confidence, is_url, repaired, to_float, to_int, to_remix
+from setloom.operators.staging import staged
 
 # Headers of set lists and the columns of the master table.
 HEADERS = {
@@ -34,15 +35,24 @@ ENRICHED = ["source_work", "artist", "url", "is_remix", "play_order"]
 FILLED = ["source_work", "artist", "is_remix", "url", "play_order", "year"]
 
 
-def header_field(cell: Column, unicode: bool = True) -> Column:
-    """The field a header cell names, or null."""
-    key = F.regexp_replace(F.lower(normalised(F.coalesce(cell, F.lit("")), unicode)), r"(?U)\s+", "")
-    pairs = [F.lit(x) for field, names in HEADERS.items() for name in names for x in (name, field)]
-    found = F.create_map(*pairs)[key]
+def header_key(cell: Column) -> Column:
+    """What a normalised header cell is looked up by."""
+    return F.regexp_replace(F.lower(F.coalesce(cell, F.lit(""))), r"(?U)\s+", "")
+
+
+def field_of(key: Column) -> Column:
+    """The field that a header's key names, or null."""
+    names = {name: field for field, names in HEADERS.items() for name in names}
+    found = F.when(key.isin(*names), F.create_map(*[F.lit(x) for pair in names.items() for x in pair])[key])
     partly = reduce(lambda rest, p: F.when(key.contains(p[0]), p[1]).otherwise(rest), reversed(PARTIAL_HEADERS), F.lit(None).cast("string"))
     return F.when(key != "", F.coalesce(found, F.when(key.rlike(r"^第\d+回$"), "track_no"), partly))
 
 
+def header_field(cell: Column, unicode: bool = True) -> Column:
+    """The field a header cell names, or null."""
+    return field_of(header_key(normalised(cell, unicode)))
+
+
 def table_cells(rows: DataFrame) -> DataFrame:
     """rows (path, sheet, sheet_no, row_idx, cells) as one row a cell (…, col, cell)."""
     return rows.select("path", "sheet", "sheet_no", "row_idx", F.posexplode("cells").alias("col", "cell"))
@@ -53,7 +63,9 @@ def header_rows(rows: DataFrame, unicode: bool = True) -> DataFrame:
 
     columns: map of column to field; a field goes to the first column that names it, ties to the first row.
     """
-    head = table_cells(rows.where(F.col("row_idx") < SCAN)).withColumn("field", header_field(F.col("cell"), unicode)).where("field is not null")
+    cells = nfkc_each("cells") if unicode else F.col("cells")
+    head = rows.where(F.col("row_idx") < SCAN).withColumn("cells", F.transform(cells, header_key))  # a key once a cell, not once a name
+    head = table_cells(head).withColumn("field", field_of(F.col("cell"))).where("field is not null")
     first = head.groupBy("path", "sheet_no", "row_idx", "field").agg(F.min("col").alias("col"))
     named = first.groupBy("path", "sheet_no", "row_idx").agg(F.count("*").alias("n"), F.map_from_entries(F.collect_list(F.struct("col", "field"))).alias("columns"), F.bool_or(F.col("field") == "title").alias("titled")).where("titled")
     return named.groupBy("path", "sheet_no").agg(F.min_by(F.struct("row_idx", "columns"), F.struct((-F.col("n")).alias("n"), "row_idx")).alias("h")).select("path", "sheet_no", F.col("h.row_idx").alias("header_idx"), F.col("h.columns").alias("columns"))
@@ -62,7 +74,7 @@ def header_rows(rows: DataFrame, unicode: bool = True) -> DataFrame:
 def number_columns(cells: DataFrame, headers: DataFrame, unicode: bool = True) -> DataFrame:
     """(path, sheet_no, number_col): for sheets without a number header, the first column that counts 1, 2, 3 and so on."""
     bare = headers.where(~F.array_contains(F.map_values("columns"), "track_no"))
-    body = cells.join(bare, ["path", "sheet_no"]).where((F.col("row_idx") > F.col("header_idx")) & (F.col("col") < NUMBER_COLUMNS) & ~F.map_contains_key("columns", F.col("col")))
+    body = cells.join(bare.hint("merge"), ["path", "sheet_no"]).where((F.col("row_idx") > F.col("header_idx")) & (F.col("col") < NUMBER_COLUMNS) & ~F.map_contains_key("columns", F.col("col")))
     body = body.where(clean(F.col("cell"), unicode).isNotNull())
     at = F.row_number().over(Window.partitionBy("path", "sheet_no", "col").orderBy("row_idx"))
     counted = body.withColumn("hit", to_int(F.col("cell"), unicode).eqNullSafe(at)).groupBy("path", "sheet_no", "col").agg(F.count("*").alias("n"), F.bool_and("hit").alias("all"))
@@ -70,15 +82,22 @@ def number_columns(cells: DataFrame, headers: DataFrame, unicode: bool = True) -
 
 
 def sheet_records(rows: DataFrame, unicode: bool = True) -> DataFrame:
-    """(path, sheet, sheet_no, pos, then the fields of a track) of all sheets with a header, trimmed and renumbered."""
+    """(path, sheet, sheet_no, pos, then the fields of a track) of all sheets with a header, trimmed and renumbered.
+
+    Cells are normalised and cleaned once, before anything looks at them, and stored, as three steps read them. There are as many
+    headers as sheets, and a stored table tells Spark its compressed size only: these joins never broadcast.
+    """
+    trimmed = F.transform(nfkc_each("cells") if unicode else F.col("cells"), clean_ends)
+    rows = rows.select("path", "sheet", "sheet_no", "row_idx", F.transform(trimmed, but_nullish).alias("cells"))
+    rows, unicode = staged(rows, "sheet-rows"), False
     headers = header_rows(rows, unicode)
-    headers = headers.join(number_columns(table_cells(rows), headers, unicode), ["path", "sheet_no"], "left")
-    body = rows.join(headers, ["path", "sheet_no"]).where("row_idx > header_idx")
+    headers = headers.join(number_columns(table_cells(rows), headers, unicode).hint("merge"), ["path", "sheet_no"], "left")
+    body = rows.join(headers.hint("merge"), ["path", "sheet_no"]).where("row_idx > header_idx")
     columns = F.coalesce(F.map_concat("columns", F.map_from_arrays(F.array("number_col"), F.array(F.lit("track_no")))), F.col("columns"))
     body = body.withColumn("columns", F.when(F.col("number_col").isNotNull(), columns).otherwise(F.col("columns")))
     places = F.map_from_entries(F.transform(F.map_entries("columns"), lambda e: F.struct(e["value"].alias("key"), e["key"].alias("value"))))
     body = body.withColumn("places", places)
-    cell = {f: clean(F.get("cells", F.try_element_at("places", F.lit(f))), unicode) for f in FIELDS}
+    cell = {f: F.get("cells", F.try_element_at("places", F.lit(f))) for f in FIELDS}
     raw = body.select("path", "sheet", "sheet_no", F.col("row_idx").alias("pos"), *[c.alias(f) for f, c in cell.items()]).where("title is not null")
     fixed = repaired(*[F.col(c) for c in ("url", "is_remix", "note", "artist", "source_work")], unicode)
     return trim_and_renumber(typed(raw.select("path", "sheet", "sheet_no", "pos", *[fixed.get(f, F.col(f)).alias(f) for f in FIELDS]), unicode), ["path", "sheet_no"])
@@ -132,7 +151,7 @@ def best_list(scores: DataFrame, group: list[str], order: str) -> DataFrame:
 def best_sheet(records: DataFrame) -> DataFrame:
     """The records of each file's best sheet."""
     best = best_list(list_scores(records, ["path", "sheet_no"]), ["path"], "sheet_no").select("path", "sheet_no")
-    return records.join(best, ["path", "sheet_no"], "left_semi")
+    return records.join(best.hint("merge"), ["path", "sheet_no"], "left_semi")
 
 
 def master_rows(rows: DataFrame, fixes: DataFrame | None = None, unicode: bool = True) -> DataFrame:
@@ -154,7 +173,7 @@ def without_skipped(files: DataFrame, skips: DataFrame) -> DataFrame:
 
 def without_dropped(records: DataFrame, drops: DataFrame) -> DataFrame:
     """Records (file_id, title, …) but those that a correction drops by exact title."""
-    return records.join(drops, ["file_id", "title"], "left_anti")
+    return records.join(drops.hint("merge"), ["file_id", "title"], "left_anti")
 
 
 def names_as_tracks(djs: DataFrame, least: int = 3) -> DataFrame:

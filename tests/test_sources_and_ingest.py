@@ -129,3 +129,21 @@ def test_sinks(spark, tmp_path):
     assert spark.read.csv(str(tmp_path / "c"), header=True).count() == 50 == spark.read.parquet(str(tmp_path / "p")).count()
     none = spark.createDataFrame([], "event_no int, dj string, file_rows long, master_rows long, rows long")
     assert "## Events" in sinks.report(plays, none, none, none)
+
+
+def test_cells_lose_white_space_at_their_ends_alone(spark):
+    from setloom.functions import values
+
+    spaces = [chr(c) for c in range(0x3001) if chr(c) in values.WHITE]
+    rows = [(f"{a}x{b}y{a}{b}",) for a in spaces for b in spaces[:4]] + [("",), (None,), (" ",), ("\u200bx",)]
+    df = spark.createDataFrame(rows, "t string").select(values.clean_ends(F.col("t")).alias("a"), F.regexp_replace("t", r"(?U)^\s+|\s+$", "").alias("b"))
+    assert len(spaces) == 25 and df.where("not (a <=> b)").count() == 0
+
+
+def test_a_header_is_named_by_one_key_a_cell(spark):
+    rows = [("p", "s", 0, 0, ["ｎｏ．", "曲　名", "", None, "-", "ＲＥＭＩＸ？"]), ("p", "s", 0, 1, ["1", " ｘ　", "", None, "-", "○"])]
+    sheets = spark.createDataFrame(rows, "path string, sheet string, sheet_no int, row_idx int, cells array<string>")
+    got = ingest.sheet_records(sheets).select("track_no", "title", "is_remix", "source_work").collect()
+    assert [tuple(r) for r in got] == [(1, "x", True, None)]
+    plan = ingest.header_rows(sheets)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_replace") < 5  # it was made for each name that it is compared with
