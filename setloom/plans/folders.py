@@ -4,12 +4,12 @@ from __future__ import annotations
 
 import io
 import zipfile
-from collections.abc import Iterator
 from xml.sax.saxutils import escape
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from setloom.plans.playlog import read
 
@@ -42,6 +42,12 @@ def _content(kind: int, lines: list) -> bytes:
     return "\n".join(",".join(row) for row in table).encode()  # a transcription, where there is one
 
 
+@F.pandas_udf(T.BinaryType())
+def _contents(kinds: pd.Series, lines: pd.Series) -> pd.Series:
+    """A column, so that files are not made where only their names are read."""
+    return pd.Series([_content(int(k), [] if x is None else list(x)) for k, x in zip(kinds, lines, strict=True)], dtype=object)
+
+
 def set_list_files(spark: SparkSession, sf_dir: str, lines: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     """(files, manual, skips, drops) as `routing.read_set_lists` takes them: a file for each order in the folder of its year and customer.
 
@@ -49,14 +55,9 @@ def set_list_files(spark: SparkSession, sf_dir: str, lines: DataFrame) -> tuple[
     out, and of some the first title is to be dropped.
     """
 
-    def made(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in parts:
-            part["content"] = [_content(int(k), [] if x is None else list(x)) for k, x in zip(part["kind"], part["lines"], strict=True)]
-            yield part[["key", "event_no", "dj", "kind", "content"]]
-
     each = lines.groupBy(F.col("path").alias("key")).agg(F.array_sort(F.collect_list(F.struct(F.col("pos").cast("int").alias("pos"), "title", "work", "artist", "flag"))).cast(LINE).alias("lines"))
     orders = read(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("long").alias("key"), F.year("o_orderdate").alias("event_no"), F.col("o_custkey").cast("string").alias("dj"), (F.col("o_orderkey") % 6).cast("int").alias("kind"))
-    whole = orders.join(each, "key", "left").mapInPandas(made, "key long, event_no int, dj string, kind int, content binary")
+    whole = orders.join(each.hint("merge"), "key", "left").withColumn("content", _contents("kind", "lines"))
     key = F.col("key").cast("string")
     suffix = F.element_at(F.array(*map(F.lit, KINDS)), F.col("kind") + 1)
     files = whole.select("event_no", "dj", F.col("key").alias("pos"), key.alias("id"), F.concat(key, F.lit("."), suffix).alias("name"), "content")

@@ -89,32 +89,34 @@ def read_set_lists(files: DataFrame, manual: DataFrame, skips: DataFrame, drops:
     files (event_no, dj, pos, id, name, content); manual (id, content): transcriptions as CSV, which count instead of the file;
     skips (file_id, reason): files that are left out; drops (file_id, title): rows that are. Of a workbook the best sheet counts,
     of a DJ's files the best one, by `list_scores`, the first by pos among equals; lists without a row are never chosen. A file is
-    opened once, whatever reads it.
+    opened once, whatever reads it. All tables here have a row a file, or one for a share of the files, and Spark knows only the
+    compressed size of stored ones: they are merged by key and never broadcast, so the driver holds none of them.
     """
+    merged = lambda df: df.hint("merge")
     skip = skips.groupBy(F.col("file_id").alias("id")).agg(F.min("reason").alias("skip_reason"), F.lit(True).alias("skip"))
     hand = manual.groupBy("id").agg(F.first("content").alias("content"))
     suffix = setlists.suffix_of(F.col("name"))
-    own = files.where(suffix.isin(*READABLE)).join(skip, "id", "left_anti").join(hand, "id", "left_anti")
-    transcribed = hand.join(files, "id", "left_semi").join(skip, "id", "left_anti")
+    own = files.where(suffix.isin(*READABLE)).join(merged(skip), "id", "left_anti").join(merged(hand.select("id")), "id", "left_anti")
+    transcribed = hand.join(merged(files.select("id")), "id", "left_semi").join(merged(skip), "id", "left_anti")
     rows = staged(opened(own.select("id", suffix.alias("reader"), "content").unionByName(transcribed.select("id", F.lit("manual").alias("reader"), "content"))), "routed-rows")
     fine = rows.where("problem is null")
     sheets = fine.where("reader <> 'txt'").select(F.col("id").alias("path"), "sheet", "sheet_no", "row_idx", "cells")
     from_sheets = ingest.best_sheet(ingest.sheet_records(sheets, unicode)).withColumn("detail", F.when(F.col("sheet") != "", F.concat(F.lit("sheet="), "sheet")))
     texts = fine.where("reader = 'txt'").select(F.col("id").alias("path"), F.element_at("cells", 1).alias("text"))
     shape = texts.select("path", F.when(_is_blocks(F.col("text")), "numbered-blocks").otherwise("bare-title-list").alias("detail"))
-    from_texts = setlists.text_tracks(texts, unicode).where("title is not null").join(shape, "path")
+    from_texts = setlists.text_tracks(texts, unicode).where("title is not null").join(merged(shape), "path")
     tracks = from_sheets.drop("sheet", "sheet_no").unionByName(from_texts, allowMissingColumns=True).withColumnRenamed("path", "file_id")
     tracks = staged(ingest.without_dropped(tracks, drops), "routed-tracks")
-    names = setlists.dispatch(files.drop("content"), manual).join(skip, "id", "left").join(rows.where("problem is not null").select("id", "problem"), "id", "left")
-    scores = ingest.list_scores(tracks, ["file_id"]).join(tracks.groupBy("file_id").agg(F.first("detail").alias("detail")), "file_id").withColumnRenamed("file_id", "id")
-    judged = staged(names.join(scores, "id", "left"), "routed-files")
+    names = setlists.dispatch(files.drop("content"), manual).join(merged(skip), "id", "left").join(merged(rows.where("problem is not null").select("id", "problem")), "id", "left")
+    scores = ingest.list_scores(tracks, ["file_id"]).join(merged(tracks.groupBy("file_id").agg(F.first("detail").alias("detail"))), "file_id").withColumnRenamed("file_id", "id")
+    judged = staged(names.join(merged(scores), "id", "left"), "routed-files")
     best = ingest.best_list(judged.where("score is not null").select("event_no", "dj", "pos", "id", "score"), ["event_no", "dj"], "pos").select("id", F.lit(True).alias("best"))
     reason = F.when(F.col("skip"), F.coalesce("skip_reason", F.lit("left out"))).otherwise(F.coalesce("skipped_reason", "problem"))
-    seen = judged.join(best, "id", "left")
+    seen = judged.join(merged(best), "id", "left")
     tried = ~F.coalesce("skip", F.lit(False)) & F.col("skipped_reason").isNull() & F.col("problem").isNull()
     outcome = F.when(~tried, "skipped").when(F.col("best"), "chosen").otherwise("tried")
     count = F.when(tried, F.coalesce("score.rows", F.lit(0).cast("long")))
     audit = seen.select("event_no", "dj", "pos", "id", "name", F.col("reader").alias("source_kind"), F.coalesce("detail", F.when(tried & (F.col("reader") == "manual"), F.col("name"))).alias("detail"), count.alias("rows"), outcome.alias("outcome"), F.when(~tried, reason).alias("reason"))
     chosen = audit.where("outcome = 'chosen'").select("event_no", "dj", F.col("id").alias("file_id"), F.col("name").alias("source_file_name"), "source_kind")
-    records = tracks.drop("detail").join(chosen, "file_id").withColumnRenamed("file_id", "source_file_id")
+    records = tracks.drop("detail").join(merged(chosen), "file_id").withColumnRenamed("file_id", "source_file_id")
     return Routed(records, audit.select(*AUDIT))

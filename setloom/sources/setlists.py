@@ -158,7 +158,7 @@ def text_tracks(texts: DataFrame, unicode: bool = True) -> DataFrame:
 def dispatch(files: DataFrame, manual: DataFrame) -> DataFrame:
     """files (id, name) with `reader` and `skipped_reason`: a hand-made transcription beats the file's own format."""
     s = suffix_of(F.col("name"))
-    out = files.join(manual.select("id", F.lit(True).alias("manual")).distinct(), "id", "left")
+    out = files.join(manual.select("id", F.lit(True).alias("manual")).distinct().hint("merge"), "id", "left")
     reader = F.when(F.col("manual"), "manual").when(s.isin("xlsx", "txt"), s)
     reason = F.when(reader.isNotNull(), None).when(s == "pdf", "no text in PDF; give a transcription").otherwise(F.concat(F.lit("unsupported: "), F.coalesce(s, F.lit(""))))
     return out.select(*[files[c] for c in files.columns], reader.alias("reader"), reason.alias("skipped_reason"))

@@ -140,6 +140,15 @@ def test_cells_lose_white_space_at_their_ends_alone(spark):
     assert len(spaces) == 25 and df.where("not (a <=> b)").count() == 0
 
 
+def test_joins_by_file_are_never_broadcast(spark):
+    """Stored tables show their compressed size only, so Spark took a row a file for small and gathered them on the driver."""
+    from setloom.plans import stored
+
+    routed = stored._routed(spark, "/root/testdata/sf0.001")
+    for df in routed:
+        assert "BroadcastHashJoin" not in df._jdf.queryExecution().sparkPlan().toString()
+
+
 def test_a_header_is_named_by_one_key_a_cell(spark):
     rows = [("p", "s", 0, 0, ["ｎｏ．", "曲　名", "", None, "-", "ＲＥＭＩＸ？"]), ("p", "s", 0, 1, ["1", " ｘ　", "", None, "-", "○"])]
     sheets = spark.createDataFrame(rows, "path string, sheet string, sheet_no int, row_idx int, cells array<string>")
