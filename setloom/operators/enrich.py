@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from setloom.functions.keys import base_key, norm_key
+from setloom.operators.staging import staged
 
 
 def first_by(df: DataFrame, keys: list[str], order: str) -> DataFrame:
@@ -42,11 +44,32 @@ def haystack(title: Column, work: Column, artist: Column, work_variants: Column,
     return norm_key(F.array_join(parts, " "), unicode)
 
 
+def looked_up(plays: DataFrame, columns: list[str], lookup: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """plays with what `lookup` adds to their different values of `columns`.
+
+    The log is read for its different values, then joined once with their stored lookup, whose size Spark knows before it plans:
+    a short one is broadcast and the plays stay where they are. Joined by shuffles, plays of few different values met in few tasks.
+    """
+    different = staged(plays.select(*columns).distinct(), "names-different")
+    found = lookup(different)
+    added = [c for c in found.columns if c not in columns]
+    found = staged(found.select(*[F.col(c).alias(f"_{c}") for c in columns], *added), "names-found")
+    condition = reduce(lambda x, y: x & y, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in columns])
+    return plays.join(found, condition, "left").drop(*[f"_{c}" for c in columns])
+
+
+def canonical_names(plays: DataFrame, works: DataFrame, artists: DataFrame, unicode: bool = True) -> DataFrame:
+    """Plays with the names of their works and artists, see `resolve_names`."""
+    return looked_up(plays, ["source_work", "artist"], lambda x: resolve_names(resolve_names(x, "source_work", works, unicode), "artist", artists, unicode))
+
+
 def enrich(plays: DataFrame, works: DataFrame, artists: DataFrame, unicode: bool = True) -> DataFrame:
-    """Plays with canonical names, title keys and haystack; the keys of a title are made once for each different title."""
-    titles = plays.select("title").distinct().select("title", norm_key(F.col("title"), unicode).alias("key"), base_key(F.col("title"), unicode).alias("base"))
-    named = resolve_names(resolve_names(plays, "source_work", works, unicode), "artist", artists, unicode).join(titles, "title", "left")
-    parts = ["title", "source_work", "artist", "source_work_variants", "source_work_series", "artist_variants"]
-    stacks = named.select(*parts).distinct().withColumn("haystack", haystack(*map(F.col, parts), unicode)).select(*[F.col(c).alias(f"_{c}") for c in parts], "haystack")
-    condition = reduce(lambda x, y: x & y, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in parts])
-    return named.join(stacks, condition, "left").drop(*[f"_{c}" for c in parts])
+    """Plays with canonical names, title keys and haystack, all made once for each different title, work and artist."""
+    parts = [F.col(c) for c in ("title", "source_work", "artist", "source_work_variants", "source_work_series", "artist_variants")]
+
+    def lookup(different: DataFrame) -> DataFrame:
+        titles = different.select("title").distinct().select("title", norm_key(F.col("title"), unicode).alias("key"), base_key(F.col("title"), unicode).alias("base"))
+        named = resolve_names(resolve_names(different, "source_work", works, unicode), "artist", artists, unicode).join(titles, "title", "left")
+        return named.withColumn("haystack", haystack(*parts, unicode))
+
+    return looked_up(plays, ["title", "source_work", "artist"], lookup)

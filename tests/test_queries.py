@@ -57,3 +57,10 @@ def test_decisions_as_a_stream(spark, tmp_path):
         (src / f"{i}.json").write_text(line)
         log.append_to(log.decided_stream(log.decision_stream(spark, str(src))), str(out), str(tmp_path / "cp")).awaitTermination()
     assert {r.raw for r in spark.read.parquet(str(out)).collect()} == {"a", "b"}
+
+
+def test_names_are_joined_without_moving_the_plays(spark):
+    """Dealt by a column of few different values, most plays met in a few tasks."""
+    for df in (catalogue.canonical(spark, D), catalogue.named(spark, D)):
+        plan = df._jdf.queryExecution().sparkPlan().toString()
+        assert "SortMergeJoin" not in plan
