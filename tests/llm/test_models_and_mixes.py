@@ -184,3 +184,16 @@ def test_packing_is_gapless_and_exact(spark):
     assert [p[2] for p in sorted(texts[3])] == [16, 16, 16, 16, 16, 16, 3, 3] or sum(p[2] for p in texts[3]) == 102
     assert sorted(texts[2]) == [(0, 0, 1, (0,))] and len(bins) == -(-sum(r.length for r in got) // 16)
     assert packing.pack_sequences(docs.limit(0), PATH).count() == 0
+
+
+def test_packing_encodes_few_bytes_at_once(monkeypatch):
+    import public_tokenizers
+    import pyarrow as pa
+
+    from setloom.llm import packing
+
+    seen, whole = [], packing.WordIds.of_texts
+    monkeypatch.setattr(packing.WordIds, "of_texts", lambda self, texts, end: seen.append(texts.nbytes) or whole(self, texts, end))
+    batch = pa.RecordBatch.from_arrays([pa.array(range(60)), pa.array(["word " * 20_000] * 60)], names=["doc_id", "text"])
+    out = list(packing._piece_batches(public_tokenizers.path("word_bpe_49k.json"), 2048, 0, False)(iter([batch])))
+    assert sum(sum(x.column(3).to_pylist()) for x in out) > 60 * 20_000 and max(seen) < 5 << 20
