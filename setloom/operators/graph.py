@@ -28,18 +28,30 @@ def value_profiles(plays: DataFrame, field: str) -> DataFrame:
     In two steps that merge before each shuffle: first a row for each different thing beside a value, then counts of these. A
     value's things never come together in one row; only the samples do.
     """
-    own = plays.withColumn("raw", trimmed(F.col(field))).where("raw <> ''")
+    own = plays.withColumn("raw", F.coalesce(trimmed(F.col(field)), F.lit("")))
     none = F.lit(None)
     thing = lambda kind, item, event: F.struct(F.lit(kind).alias("kind"), item.cast("string").alias("item"), event.cast("int").alias("event"))
     things = F.array(thing("event", none, F.col("event_no")), *[thing(kind, item, none) for kind, item in (("dj", F.col("dj")), ("title", F.col("title")), ("other", F.nullif(OTHER[field], F.lit(""))))])
-    cells = own.select("raw", F.explode(things).alias("x")).select("raw", "x.*").where("kind = 'event' or item is not null")
-    cells = staged(cells.groupBy("raw", "kind", "item", "event").agg(F.count("*").alias("n")), "profile-cells")
+    each = own.select("raw", F.explode(things).alias("x")).select("raw", "x.*")
+    # plays without a value keep what stands beside it, for values that stand in both fields: the log is read once
+    each = each.where("if(raw <> '', kind = 'event' or item is not null, kind = 'other' and item is not null)")
+    all_cells = staged(each.groupBy("raw", "kind", "item", "event").agg(F.count("*").alias("n")), "profile-cells")
+    cells = all_cells.where("raw <> ''")
     of = lambda kind: F.count_if((F.col("kind") == kind) & (F.col("item").isNotNull() | F.col("event").isNotNull()))
     counts = cells.groupBy("raw").agg(F.sum(F.when(F.col("kind") == "event", F.col("n"))).alias("rows"), *[of(kind).alias(name) for kind, name in (("event", "events"), ("dj", "djs"), ("title", "titles"), ("other", "others"))], F.min("event").alias("first_event"), F.max("event").alias("last_event"))
     least = cells.where("kind <> 'event'").withColumn("k", F.row_number().over(Window.partitionBy("raw", "kind").orderBy("item"))).where(F.col("k") <= SAMPLE)
     samples = least.groupBy("raw").agg(*[F.array_sort(F.collect_list(F.when(F.col("kind") == kind, F.col("item")))).alias(f"{kind}_sample") for kind in ("dj", "title", "other")])
     both = counts.join(samples, "raw", "left").withColumns({f"{kind}_sample": F.coalesce(f"{kind}_sample", F.array().cast("array<string>")) for kind in ("dj", "title", "other")})
-    return both.join(cross_field(plays).withColumn("cross_field", F.lit(True)), "raw", "left").withColumn("cross_field", F.coalesce("cross_field", F.lit(False)))
+    crossed = counts.select("raw").intersect(all_cells.where("kind = 'other'").select(trimmed(F.col("item")).alias("raw")))
+    return both.join(crossed.withColumn("cross_field", F.lit(True)), "raw", "left").withColumn("cross_field", F.coalesce("cross_field", F.lit(False)))
+
+
+def value_rows(plays: DataFrame, field: str) -> DataFrame:
+    """(raw, rows, cross_field): what clusters need of `value_profiles`, without the things beside a value. One pass over the log."""
+    pairs = staged(plays.groupBy(F.col(field).alias("own"), F.col(OTHER[field]).alias("other")).agg(F.count("*").alias("n")), "value-rows")
+    rows = pairs.select(trimmed(F.col("own")).alias("raw"), "n").where("raw <> ''").groupBy("raw").agg(F.sum("n").alias("rows"))
+    crossed = rows.select("raw").intersect(pairs.select(trimmed(F.col("other")).alias("raw")))
+    return rows.join(crossed.withColumn("cross_field", F.lit(True)), "raw", "left").withColumn("cross_field", F.coalesce("cross_field", F.lit(False)))
 
 
 def value_events(plays: DataFrame, field: str) -> DataFrame:

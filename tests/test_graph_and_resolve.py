@@ -147,3 +147,22 @@ def test_batches(spark):
     rows = [("work", i, str(i), t) for i, t in enumerate([10, 10, 50, 10, 10])]
     got = [r.batch for r in resolve.pack_batches(spark.createDataFrame(rows, "field string, ord long, id string, tokens long"), 20, 60, 2).orderBy("id").collect()]
     assert got == [0, 0, 1, 2, 2]
+
+
+def test_profiles_and_rows_of_values_read_the_log_once(spark):
+    """Values that stand in both fields are found among the stored cells, those beside a blank value too."""
+    rows = [(1, "d1", "t1", " A ", "x"), (2, "d2", "t2", "A", None), (3, "d1", "t3", " ", "A "), (3, "d1", "t3", "x", ""), (4, "d3", "t4", None, "y"), (4, "d3", "t5", "z", "z")]
+    met = spark.sparkContext.accumulator(0)
+
+    def counted(parts):
+        for part in parts:
+            met.add(len(part))
+            yield part
+
+    schema = "event_no int, dj string, title string, source_work string, artist string"
+    plays = spark.createDataFrame(rows, schema).mapInPandas(counted, schema)
+    full = {r.raw: (r.rows, r.cross_field) for r in graph.value_profiles(plays, "source_work").collect()}
+    assert met.value == len(rows)
+    lean = {r.raw: (r.rows, r.cross_field) for r in graph.value_rows(plays, "source_work").collect()}
+    assert full == lean == {"A": (2, True), "x": (1, True), "z": (1, True)}
+    assert met.value == 2 * len(rows)
