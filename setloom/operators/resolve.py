@@ -10,7 +10,7 @@ from pyspark.sql.window import Window
 from setloom.functions.keys import agg_key, strip_notes
 from setloom.operators.enrich import first_by
 from setloom.operators.graph import pairs_of, trimmed
-from setloom.operators.staging import staged
+from setloom.operators.staging import spread, staged
 
 # Codes and limits.
 KNOWN_KINDS = ["caseonly", "agg", "bigram", "redirect", "edit", "substr"]
@@ -210,18 +210,14 @@ def auto_plan(clusters: DataFrame, proposals: DataFrame, decided: DataFrame, aut
     a spelling, all together.
     """
     none = F.array().cast("array<string>")
-    c = clusters.select("id", "rows", "hints", "edge_kinds", names_of(F.col("members")).alias("raws"))
+    # few clusters may hold very many spellings: they are dealt out by row and stored, so that all tasks trim and clean
+    c = staged(spread(clusters.select("id", "rows", "hints", "edge_kinds", "members")).select("id", "rows", "hints", "edge_kinds", names_of(F.col("members")).alias("raws")), "auto-clusters")
     given = proposals.groupBy(F.col("cluster_id").alias("id")).agg(F.count("*").alias("n"), F.min_by(F.struct("canonical", "variants", "confidence"), "ord").alias("p"))
     flags = c.select("id", F.explode("raws").alias("raw")).join(decided.select("raw", F.lit(True).alias("d")).distinct(), "raw", "left").join(auto_values.select("raw", F.lit(True).alias("u")).distinct(), "raw", "left")
     flags = flags.groupBy("id").agg(F.coalesce(F.bool_or("d"), F.lit(False)).alias("d"), F.coalesce(F.bool_or("u"), F.lit(False)).alias("u"))
-    j = c.join(given, "id", "left").join(flags, "id", "left")
+    j = spread(c.join(given, "id", "left").join(flags, "id", "left"))
     j = j.withColumn("variants", names_of(F.col("p.variants"))).withColumn("canonical", trimmed(F.coalesce("p.canonical", F.lit(""))))
     values = F.array_distinct(F.concat("variants", F.when(F.col("canonical") != "", F.array("canonical")).otherwise(none)))
-    j = j.withColumn("vals", values)
-    each = j.select("id", "canonical", F.explode("vals").alias("raw"))
-    parted = within_apart(each.select("id", "raw"), apart, unicode).withColumn("parted", F.lit(True))
-    clash = each.join(index.withColumnRenamed("canonical", "now"), "raw").where("now <> canonical").select("id").distinct().withColumn("clash", F.lit(True))
-    j = j.join(parted, "id", "left").join(clash, "id", "left")
     grounded = F.array_contains("variants", F.col("canonical"))
     if field == "work":
         grounded = grounded | F.array_contains(F.transform("variants", strip_notes), F.col("canonical"))
@@ -230,8 +226,14 @@ def auto_plan(clusters: DataFrame, proposals: DataFrame, decided: DataFrame, aut
         F.when(F.col("u"), "auto-done").when(F.col("d"), "already-decided").when(F.col("n").isNull(), "no-proposal").when(F.col("n") > 1, "many-proposals")
         .when(~equal, "partial").when(~F.coalesce(F.col("p.confidence") == "high", F.lit(False)), "confidence").when((F.col("canonical") == "") | ~grounded, "canonical")
         .when(F.arrays_overlap("hints", F.array(*map(F.lit, RISKY_HINTS))), "hint").when(F.size(F.array_except("edge_kinds", F.array(*map(F.lit, KNOWN_KINDS)))) > 0, "edge-kind")
-        .when(F.coalesce("parted", F.lit(False)), "keep-apart").when(F.coalesce("clash", F.lit(False)), "conflict")
     )
+    j = staged(j.select("id", "rows", code.alias("code"), "canonical", "variants", "raws", values.alias("vals")), "auto-given")
+    # the last two rules look beyond the cluster: only those that no rule stopped so far are asked
+    each = j.where("code is null").select("id", "canonical", F.explode("vals").alias("raw"))
+    parted = within_apart(each.select("id", "raw"), apart, unicode).withColumn("parted", F.lit(True))
+    clash = each.join(index.withColumnRenamed("canonical", "now"), "raw").where("now <> canonical").select("id").distinct().withColumn("clash", F.lit(True))
+    j = j.join(parted, "id", "left").join(clash, "id", "left")
+    code = F.coalesce("code", F.when(F.coalesce("parted", F.lit(False)), "keep-apart").when(F.coalesce("clash", F.lit(False)), "conflict"))
     plan = staged(j.select("id", "rows", code.alias("code"), "canonical", "variants", "raws", "vals"), "auto-plan")
     return _claims(plan).select("id", "rows", "code", "canonical", "variants")
 

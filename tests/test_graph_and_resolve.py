@@ -166,3 +166,17 @@ def test_profiles_and_rows_of_values_read_the_log_once(spark):
     lean = {r.raw: (r.rows, r.cross_field) for r in graph.value_rows(plays, "source_work").collect()}
     assert full == lean == {"A": (2, True), "x": (1, True), "z": (1, True)}
     assert met.value == 2 * len(rows)
+
+
+def test_large_clusters_are_dealt_out_and_settled_ones_are_not_cleaned(spark, monkeypatch):
+    """Clusters that no rule stopped, alone, meet the pairs kept apart; their rows come from as many tasks as shuffles have."""
+    clusters = spark.createDataFrame([(f"c{i}", 9 - i, [], ["agg"], [f"{x}{i}" for x in "abc"]) for i in range(8)], "id string, rows long, hints array<string>, edge_kinds array<string>, members array<string>")
+    proposals = spark.createDataFrame([(i, f"c{i}", f"a{i}", [f"{x}{i}" for x in "abc"], "high" if i < 4 else "low") for i in range(8)], "ord long, cluster_id string, canonical string, variants array<string>, confidence string")
+    met, inner = [], resolve.within_apart
+    monkeypatch.setattr(resolve, "within_apart", lambda members, *a, **k: met.append(members) or inner(members, *a, **k))
+    none = spark.createDataFrame([], "raw string")
+    apart = spark.createDataFrame([("a2", "b2"), ("a5", "b5")], "a string, b string")
+    plan = resolve.auto_plan(clusters, proposals, none, none, spark.createDataFrame([("b1", "other")], "raw string, canonical string"), apart)
+    want = {"c0": None, "c1": "conflict", "c2": "keep-apart", "c3": None} | {f"c{i}": "confidence" for i in range(4, 8)}
+    assert {r.id: r.code for r in plan.collect()} == want
+    assert {r.id for r in met[0].select("id").distinct().collect()} == {f"c{i}" for i in range(4)}
