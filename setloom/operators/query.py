@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from functools import reduce
+from itertools import takewhile
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ByteType, IntegerType, ShortType, StructField
 
 from setloom.functions.keys import base_key, may_match_partly, norm_key
-from setloom.operators.staging import staged
+from setloom.operators.staging import discard, staged
 
 
 def matches(haystack: Column, query: str) -> Column:
@@ -76,32 +78,62 @@ def verdicts(tiers: DataFrame, asked: DataFrame) -> DataFrame:
     return out.select("query", *[v.alias(n) for n, v in hits.items()], (reduce(lambda a, b: a + b, hits.values()) == 0).alias("is_new"))
 
 
+def lead(order: Column, fields: list[StructField]) -> tuple[Column, list[str]]:
+    """A number that sorts as the first fields of `order` do, nulls first, and their names: up to three of at most 32 bits."""
+    small = list(takewhile(lambda f: isinstance(f.dataType, (ByteType, ShortType, IntegerType)), fields))[:3]
+    number = F.lit(0).cast("decimal(38,0)")
+    for f in small:
+        number = number * F.lit(1 << 33) + F.coalesce(order[f.name].cast("long") + F.lit((1 << 31) + 1), F.lit(0))
+    return number.cast("decimal(38,0)"), [f.name for f in small]
+
+
 def rank(plays: DataFrame, key: Column, label: Column, order: Column, limit: int | None = 20, raw: Column | None = None, who: str = "dj") -> DataFrame:
     """(label, n, detail) of the largest groups by key, most first, then by label.
 
-    A group's label is that of its first row by `order`; detail names its DJs as they first appear, after the raw spellings
-    that differ from the label. Groups are ranked first: with a limit, lists are made of that many groups alone. First
-    appearances are aggregated before the shuffle, so a task gets a row for each different DJ or spelling, not for each play.
+    A group's label is that of its first row by `order`, a struct; detail names its DJs as they first appear, after the raw
+    spellings that differ from the label. Groups are counted first: with a limit, labels and lists are made of the largest alone.
+
+    Spark finds the least of a struct by sorting all rows of a task. So the least `lead` of the order is found first, a number
+    that takes a hash table only, and the first row is looked for among those that have it. DJs need no more than the lead
+    where column `who` itself follows it in the order.
     """
     place = [F.desc("n"), F.collate("label", "ja"), F.col("label")]
-    base = plays.select(key.alias("k"), label.alias("l"), order.alias("o"), F.col(who).alias("who"), (raw if raw is not None else F.lit(None).cast("string")).alias("raw")).where("k is not null and k <> ''")
-    # one pass over the log; ranks and lists are made from what is left of it
-    base = staged(base.groupBy("k", "l", "who", "raw").agg(F.count("*").alias("n"), F.min("o").alias("o")), "rank-cells")
-    total = base.groupBy("k").agg(F.sum("n").alias("n"), F.min_by("l", "o").alias("label"))
+    rows = plays.select(key.alias("k"), label.alias("l"), order.alias("o"), F.col(who).alias("who"), (raw if raw is not None else F.lit(None).cast("string")).alias("raw")).where("k is not null and k <> ''")
+    log = staged(rows, "rank-rows")  # one pass over the log; counts, labels and lists are made from what it leaves
+    fields = log.schema["o"].dataType.fields
+    number, names = lead(F.col("o"), fields)
+    rows = log.withColumn("lead", number)
+    counts = staged(rows.groupBy("k", "raw").agg(F.count("*").alias("n"), F.min("lead").alias("lead")), "rank-counts")
+    total = counts.groupBy("k").agg(F.sum("n").alias("n"))
     if limit is not None:
-        total = F.broadcast(staged(total.orderBy(*place).limit(limit), "rank-top"))  # `limit` rows
-        base = base.join(total.select("k"), "k", "left_semi")
+        least = total.orderBy(F.desc("n")).limit(limit).agg(F.min("n").alias("least"))  # one row; labels decide between equal counts
+        total = total.join(F.broadcast(least), F.col("n") >= F.col("least")).drop("least")
+    total = staged(total, "rank-open")
 
-    def listed(column: str, sep: str, keep: Column) -> DataFrame:
-        first = base.where(F.col(column).isNotNull()).groupBy("k", column).agg(F.min("o").alias("o"))
-        first = first.join(total.select("k", "label"), "k").where(keep)
+    def firsts(at: DataFrame, column: str) -> DataFrame:
+        """(k, column, o, l): the first row of each, at: k, column, lead."""
+        at = at.select(F.col("k").alias("_k"), F.col(column).alias("_v"), F.col("lead").alias("_lead"))
+        found = rows.join(at, (F.col("k") == F.col("_k")) & F.col(column).eqNullSafe(F.col("_v")) & (F.col("lead") == F.col("_lead")))
+        return found.groupBy("k", column).agg(F.min("o").alias("o"), F.min_by("l", "o").alias("l"))
+
+    def listed(first: DataFrame, column: str, sep: str) -> DataFrame:
         pairs = F.array_sort(F.collect_list(F.struct("o", F.col(column).alias("v"))))
         return first.groupBy("k").agg(F.array_join(F.transform(pairs, lambda x: x["v"]), sep).alias(f"{column}s"))
 
-    out = total.join(listed("who", "・", F.lit(True)), "k", "left")
+    spelt = staged(firsts(counts.join(total.select("k"), "k", "left_semi"), "raw"), "rank-first")
+    total = total.join(spelt.groupBy("k").agg(F.min_by("l", "o").alias("label")), "k")
+    if limit is not None:
+        total = F.broadcast(staged(total.orderBy(*place).limit(limit), "rank-top"))  # `limit` rows
+        rows = rows.join(total.select("k"), "k", "left_semi")
+    djs = rows.where("who is not null").groupBy("k", "who").agg(F.min("lead").alias("lead"))
+    next_is_who = [f.name for f in fields[: len(names) + 1]] == [*names, who]
+    djs = staged(djs.withColumnRenamed("lead", "o") if next_is_who else firsts(djs, "who"), "rank-djs")
+    discard(log, counts)
+    out = total.join(listed(djs, "who", "・"), "k", "left")
     detail = F.coalesce("whos", F.lit(""))
     if raw is not None:
-        out = out.join(listed("raw", "、", (F.col("raw") != "") & (F.col("raw") != F.col("label"))), "k", "left")
+        other = spelt.where("raw <> ''").join(total.select("k", "label"), "k").where(F.col("raw") != F.col("label"))
+        out = out.join(listed(other, "raw", "、"), "k", "left")
         detail = F.when(F.col("raws").isNotNull(), F.concat("label", F.lit(" ← "), "raws", F.lit(" / "), detail)).otherwise(detail)
     return out.select("label", "n", detail.alias("detail")).orderBy(*place)
 

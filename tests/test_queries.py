@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as driver
 from setloom.operators import query
@@ -89,3 +90,42 @@ def test_texts_are_made_before_their_lines_are_read(spark):
     df = catalogue.text_set_lists(spark, D)
     assert df.count() > 0
     assert "l_linenumber" not in df._jdf.queryExecution().optimizedPlan().toString()
+
+
+@pytest.mark.parametrize("name", ["top_titles", "top_works_kind_filtered", "top_artists", "top_titles_of_event"])
+def test_rankings_do_not_sort_the_plays_of_a_task(spark, monkeypatch, name):
+    """The least of a struct, taken over the log, held all plays of a task in a sort."""
+    plans, stage = {}, query.staged
+    monkeypatch.setattr(query, "staged", lambda df, label: plans.update({label: df._jdf.queryExecution().sparkPlan().toString()}) or stage(df, label))
+    assert catalogue.QUERIES[name](spark, D).count() > 0
+    whole = [p for label, p in plans.items() if "l_orderkey" in p or label in ("rank-counts", "rank-djs")]
+    assert len(whole) >= 3 and not [p for p in whole if "SortAggregate" in p]
+    assert "lead" in plans["rank-first"].split("SortAggregate")[-1]  # what is sorted has been joined to its least lead
+
+
+@pytest.mark.parametrize("limit", [None, 2])
+@pytest.mark.parametrize("fields", [("event_no", "play_order", "dj", "track_no"), ("event_no", "track_no", "dj"), ("dj", "event_no", "play_order", "track_no"), ("event_no", "track_no", "play_order", "raw", "dj")])
+def test_rank_equals_plain_version(spark, fields, limit):
+    """Missing numbers, DJs and spellings, equal leads, orders that begin otherwise."""
+    ends = (None, -(2**31), 2**31 - 1, 0, 1)
+    names = ["event_no", "play_order", "dj", "track_no", "k", "l", "raw"]
+    rows = [(ends[i % 5], ends[i * i % 5], ("b", "a", None, "c")[i * 7 % 11 % 4], i % 3, ("x", "y", "z", "", None)[i % 7 % 5], "lmn"[i % 4 % 3], ("r", None, "s", "xl", "")[i * 3 % 13 % 5]) for i in range(200)]
+    rows = [dict(zip(names, (*r[:5], f"{r[4]}{r[5]}", r[6]), strict=True)) for r in rows]
+
+    def order(r):
+        return [(r[f] is not None, r[f] if r[f] is not None else 0) for f in (*fields, "l", "raw")]
+
+    groups = {}
+    for r in sorted(rows, key=order):
+        if r["k"]:
+            groups.setdefault(r["k"], []).append(r)
+    want = []
+    for of in groups.values():
+        label = of[0]["l"]
+        djs, raws = (list(dict.fromkeys(r[c] for r in of if r[c] is not None)) for c in ("dj", "raw"))
+        raws = [x for x in raws if x not in ("", label)]
+        want.append((label, len(of), (f"{label} ← {'、'.join(raws)} / " if raws else "") + "・".join(djs)))
+    want.sort(key=lambda w: (-w[1], w[0]))
+    plays = spark.createDataFrame([tuple(r.values()) for r in rows], "event_no int, play_order int, dj string, track_no int, k string, l string, raw string")
+    got = query.rank(plays, F.col("k"), F.col("l"), F.struct(*fields, "l", *[c for c in ("raw",) if c not in fields]), limit, F.col("raw"))
+    assert [tuple(r) for r in got.collect()] == want[:limit]
