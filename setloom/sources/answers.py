@@ -3,8 +3,9 @@
 A request's key is the SHA-256 of the canonical JSON of all its fields. Answers are kept in generations: a writer writes a
 folder that no reader looks at, then renames it to the next free number. A rename onto a number that is taken fails, so of two
 writers one starts over, leaves out what the other has stored meanwhile, and takes the next number. So a key is stored once,
-and a reader sees whole generations only. The file system must rename folders in one step, as HDFS and local disks do; on
-object stores, put a committer in front.
+and a reader sees whole generations only. On local disks Hadoop looks first and renames then: a number that is taken in between
+gets the draft inside it, hidden from readers, and its writer, who finds it there, starts over as well. The file system must
+rename folders in one step, as HDFS and local disks do; on object stores, put a committer in front.
 """
 
 from __future__ import annotations
@@ -97,15 +98,18 @@ class AnswerStore:
         """Rename the draft to a generation; false, and no draft, if the number is taken."""
         fs = self._jvm.org.apache.hadoop.fs
         source, target = fs.Path(draft), fs.Path(self._root, name)
+        inside = fs.Path(target, source.getName())  # where the draft ends up if the number is taken after rename has looked
         none = self._gateway.new_array(fs.Options.Rename, 0)
         try:
             fs.FileContext.getFileContext(self._files.getUri(), self._conf).rename(source, target, none)
+            if not self._files.exists(inside):
+                return True
         except Exception:
             if not self._files.exists(target):
                 raise
-            self._files.delete(source, True)
-            return False
-        return True
+        for lost in (source, inside):
+            self._files.delete(lost, True)
+        return False
 
     def compact(self) -> DataFrame:
         """All answers as one table sorted by key, to be written elsewhere as the first generation of a new store."""

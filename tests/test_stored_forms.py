@@ -7,6 +7,7 @@ import json
 import os
 import random
 import threading
+from types import SimpleNamespace
 
 import pytest
 from pyspark.sql import functions as F
@@ -134,6 +135,26 @@ def test_a_taken_number_and_an_unfinished_draft_do_no_harm(spark, tmp_path, monk
     assert {(r.key, r.response) for r in AnswerStore(spark, path).read().collect()} == {("a", "0"), ("c", "2")}
 
 
+def test_a_number_taken_after_the_look_loses_no_answer(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "s")
+    store, real = AnswerStore(spark, path), spark._jvm.org.apache.hadoop.fs
+    one, two = (spark.createDataFrame([("a", "r", w), (k, "r", w)], answers.SCHEMA) for k, w in (("b", "1"), ("c", "2")))
+
+    def rename(source, target, none):  # as FileContext does on local disks, with the other writer after its look
+        assert not store._files.exists(target)
+        assert AnswerStore(spark, path).store(two) == 2
+        monkeypatch.undo()
+        store._files.rename(source, target)
+
+    context = SimpleNamespace(getFileContext=lambda *_: SimpleNamespace(rename=rename))
+    fs = SimpleNamespace(Path=real.Path, Options=real.Options, FileContext=context)
+    monkeypatch.setattr(store, "_jvm", SimpleNamespace(org=SimpleNamespace(apache=SimpleNamespace(hadoop=SimpleNamespace(fs=fs)))))
+    assert store.store(one) == 1
+    assert {(r.key, r.response) for r in store.read().collect()} == {("a", "2"), ("b", "1"), ("c", "2")}
+    assert store.generations() == ["gen-000000", "gen-000001"]
+    assert not [f for _, folders, _ in os.walk(path) for f in folders if f.startswith("_draft")]
+
+
 # the index of grams --------------------------------------------------------------------------------------------------------------
 
 
