@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+from pyspark.sql.window import Window, WindowSpec
 
 from setloom.functions.keys import nfkc_each, normalised
 from setloom.functions.values import but_nullish, clean, clean_ends, confidence, is_url, repaired, to_float, to_int, to_remix
-from setloom.operators.staging import staged
 
 # Headers of set lists and the columns of the master table.
 HEADERS = {
@@ -58,52 +58,60 @@ def table_cells(rows: DataFrame) -> DataFrame:
     return rows.select("path", "sheet", "sheet_no", "row_idx", F.posexplode("cells").alias("col", "cell"))
 
 
+def with_heads(rows: DataFrame, unicode: bool = True) -> DataFrame:
+    """rows (…, row_idx, cells) with `head` where one of a sheet's first rows names a title: (minus the number of fields that it names,
+    row_idx, `at`: the first column of each field, `taken`: these columns). The least head of a sheet is its header."""
+    cells = nfkc_each("cells") if unicode else F.col("cells")
+    keys = F.transform(cells, header_key)  # a key once a cell, not once a name
+    rows = rows.withColumn("_named", F.when(F.col("row_idx") < SCAN, F.transform(keys, field_of)))
+    fields = F.array_distinct(F.array_compact("_named"))
+    at = F.struct(*[(F.nullif(F.array_position("_named", F.lit(f)), F.lit(0)) - 1).cast("int").alias(f) for f in HEADERS])
+    taken = F.transform(fields, lambda f: (F.array_position("_named", f) - 1).cast("int"))
+    head = F.struct((-F.size(fields)).alias("n"), "row_idx", at.alias("at"), taken.alias("taken"))
+    return rows.withColumn("head", F.when(F.array_contains("_named", "title"), head)).drop("_named")
+
+
 def header_rows(rows: DataFrame, unicode: bool = True) -> DataFrame:
     """(path, sheet_no, header_idx, columns): of the first rows of a sheet, that which names most fields, title among them.
 
     columns: map of column to field; a field goes to the first column that names it, ties to the first row.
     """
-    cells = nfkc_each("cells") if unicode else F.col("cells")
-    head = rows.where(F.col("row_idx") < SCAN).withColumn("cells", F.transform(cells, header_key))  # a key once a cell, not once a name
-    head = table_cells(head).withColumn("field", field_of(F.col("cell"))).where("field is not null")
-    first = head.groupBy("path", "sheet_no", "row_idx", "field").agg(F.min("col").alias("col"))
-    named = first.groupBy("path", "sheet_no", "row_idx").agg(F.count("*").alias("n"), F.map_from_entries(F.collect_list(F.struct("col", "field"))).alias("columns"), F.bool_or(F.col("field") == "title").alias("titled")).where("titled")
-    return named.groupBy("path", "sheet_no").agg(F.min_by(F.struct("row_idx", "columns"), F.struct((-F.col("n")).alias("n"), "row_idx")).alias("h")).select("path", "sheet_no", F.col("h.row_idx").alias("header_idx"), F.col("h.columns").alias("columns"))
+    found = with_heads(rows, unicode).where("head is not null").groupBy("path", "sheet_no").agg(F.min("head").alias("h"))
+    named = F.filter(F.array(*[F.struct(F.col(f"h.at.{f}").alias("col"), F.lit(f).alias("field")) for f in HEADERS]), lambda e: e["col"].isNotNull())
+    return found.select("path", "sheet_no", F.col("h.row_idx").alias("header_idx"), F.map_from_entries(named).alias("columns"))
 
 
-def number_columns(cells: DataFrame, headers: DataFrame, unicode: bool = True) -> DataFrame:
-    """(path, sheet_no, number_col): for sheets without a number header, the first column that counts 1, 2, 3 and so on."""
-    bare = headers.where(~F.array_contains(F.map_values("columns"), "track_no"))
-    body = cells.join(bare.hint("merge"), ["path", "sheet_no"]).where((F.col("row_idx") > F.col("header_idx")) & (F.col("col") < NUMBER_COLUMNS) & ~F.map_contains_key("columns", F.col("col")))
-    body = body.where(clean(F.col("cell"), unicode).isNotNull())
-    at = F.row_number().over(Window.partitionBy("path", "sheet_no", "col").orderBy("row_idx"))
-    counted = body.withColumn("hit", to_int(F.col("cell"), unicode).eqNullSafe(at)).groupBy("path", "sheet_no", "col").agg(F.count("*").alias("n"), F.bool_and("hit").alias("all"))
-    return counted.where((F.col("n") >= NUMBERS_LEAST) & F.col("all")).groupBy("path", "sheet_no").agg(F.min("col").alias("number_col"))
+def _number_column(body: DataFrame, ordered: WindowSpec, whole: WindowSpec) -> DataFrame:
+    """body with `number_col`: for sheets without a number header, the first column that counts 1, 2, 3 and so on."""
+    places = range(NUMBER_COLUMNS)
+    body = body.withColumns({f"_c{i}": F.when(F.col("head.at.track_no").isNull() & ~F.array_contains("head.taken", i), F.get("cells", F.lit(i))) for i in places})
+    body = body.withColumns({f"_n{i}": F.count(f"_c{i}").over(ordered) for i in places})
+    body = body.withColumns({f"_c{i}": F.when(F.col(f"_c{i}").isNotNull(), to_int(F.col(f"_c{i}"), None).eqNullSafe(F.col(f"_n{i}"))) for i in places})
+    body = body.withColumns({f"_hit{i}": F.bool_and(f"_c{i}").over(whole) for i in places} | {f"_n{i}": F.max(f"_n{i}").over(whole) for i in places})
+    first = F.coalesce(*[F.when((F.col(f"_n{i}") >= NUMBERS_LEAST) & F.col(f"_hit{i}"), i) for i in places])
+    return body.withColumn("number_col", first).drop(*[f"{c}{i}" for c in ("_c", "_n", "_hit") for i in places])
 
 
 def sheet_records(rows: DataFrame, unicode: bool = True) -> DataFrame:
     """(path, sheet, sheet_no, pos, then the fields of a track) of all sheets with a header, trimmed and renumbered.
 
-    Cells are normalised and cleaned once, before anything looks at them, and stored, as three steps read them. There are as many
-    headers as sheets, and a stored table tells Spark its compressed size only: these joins never broadcast.
+    Cells are normalised and cleaned once, before anything looks at them. Rows are dealt by file and sorted once: header, number
+    column, and the ends of a list are windows over that order, so no row meets its header by a join.
     """
     trimmed = F.transform(nfkc_each("cells") if unicode else F.col("cells"), clean_ends)
-    rows = rows.select("path", "sheet", "sheet_no", "row_idx", F.transform(trimmed, but_nullish).alias("cells"))
-    rows, unicode = staged(rows, "sheet-rows"), False
-    headers = header_rows(rows, unicode)
-    headers = headers.join(number_columns(table_cells(rows), headers, unicode).hint("merge"), ["path", "sheet_no"], "left")
-    body = rows.join(headers.hint("merge"), ["path", "sheet_no"]).where("row_idx > header_idx")
-    columns = F.coalesce(F.map_concat("columns", F.map_from_arrays(F.array("number_col"), F.array(F.lit("track_no")))), F.col("columns"))
-    body = body.withColumn("columns", F.when(F.col("number_col").isNotNull(), columns).otherwise(F.col("columns")))
-    places = F.map_from_entries(F.transform(F.map_entries("columns"), lambda e: F.struct(e["value"].alias("key"), e["key"].alias("value"))))
-    body = body.withColumn("places", places)
-    cell = {f: F.get("cells", F.try_element_at("places", F.lit(f))) for f in FIELDS}
-    raw = body.select("path", "sheet", "sheet_no", F.col("row_idx").alias("pos"), *[c.alias(f) for f, c in cell.items()]).where("title is not null")
-    fixed = repaired(*[F.col(c) for c in ("url", "is_remix", "note", "artist", "source_work")], unicode)
-    return trim_and_renumber(typed(raw.select("path", "sheet", "sheet_no", "pos", *[fixed.get(f, F.col(f)).alias(f) for f in FIELDS]), unicode), ["path", "sheet_no"])
-
-
-def typed(raw: DataFrame, unicode: bool = True) -> DataFrame:
+    rows = rows.select("path", "sheet", "sheet_no", "row_idx", F.transform(trimmed, but_nullish).alias("cells")).repartition("path")
+    ordered = Window.partitionBy("path", "sheet_no").orderBy("row_idx").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    whole = ordered.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    body = with_heads(rows, unicode=False).withColumn("head", F.min("head").over(whole)).where("row_idx > head.row_idx")
+    at = {f: F.col(f"head.at.{f}") for f in FIELDS}
+    body = _number_column(body, ordered, whole)
+    at["track_no"] = F.coalesce(at["track_no"], "number_col")
+    raw = body.select("path", "sheet", "sheet_no", F.col("row_idx").alias("pos"), *[F.get("cells", i).alias(f) for f, i in at.items()]).where("title is not null")
+    fixed = repaired(*[F.col(c) for c in ("url", "is_remix", "note", "artist", "source_work")], None)
+    return trim_and_renumber(typed(raw.select("path", "sheet", "sheet_no", "pos", *[fixed.get(f, F.col(f)).alias(f) for f in FIELDS]), None), ["path", "sheet_no"])
+
+
+def typed(raw: DataFrame, unicode: bool | None = True) -> DataFrame:
     kinds = {"track_no": to_int, "play_order": to_int, "year": to_int, "bpm": to_float, "is_remix": to_remix}
     return raw.withColumns({f: fn(F.col(f), unicode) for f, fn in kinds.items()})
 
@@ -120,16 +128,25 @@ def trim_and_renumber(records: DataFrame, keys: list[str], pos: str = "pos") ->
     return out.withColumn("track_no", F.when(F.col("_last").isNull() | F.col("_fine"), F.col("track_no")).otherwise(F.col("_at"))).drop("_at", "_last", "_fine")
 
 
-def list_scores(records: DataFrame, keys: list[str], pos: str = "pos") -> DataFrame:
-    """keys with `score`: (fields in use, tenths of rows numbered by their place, filled cells, rows), compared in that order."""
-    at = F.row_number().over(Window.partitionBy(*keys).orderBy(pos))
-    r = records.withColumn("_hit", F.coalesce((F.col("track_no") == at).cast("int"), F.lit(0)))
-    used = [F.max(F.col(f).isNotNull().cast("int")) for f in ("track_no", "source_work", "artist", "url", "is_remix", "bpm")]
-    filled = [F.count(F.when(F.col(f).cast("string") != "", 1)) for f in ("source_work", "artist", "url", "is_remix")]
-    n = F.count("*")
-    tenths = F.when(n < 3, 0).otherwise(F.bround(10 * F.sum("_hit") / n, 0).cast("int"))
+def _score(over: Callable[[Column], Column] = lambda total: total) -> Column:
+    """The score of a list's records, whose `_hit` is 1 where a row is numbered by its place; `over` makes window functions of the totals."""
+    used = [over(F.max(F.col(f).isNotNull().cast("int"))) for f in ("track_no", "source_work", "artist", "url", "is_remix", "bpm")]
+    filled = [over(F.count(F.when(F.col(f).cast("string") != "", 1))) for f in ("source_work", "artist", "url", "is_remix")]
+    n = over(F.count("*"))
+    tenths = F.when(n < 3, 0).otherwise(F.bround(10 * over(F.sum("_hit")) / n, 0).cast("int"))
     add = lambda xs: reduce(lambda a, b: a + b, xs)
-    return r.groupBy(*keys).agg(F.struct(add(used).alias("fields"), tenths.alias("tenths"), add(filled).alias("filled"), n.alias("rows")).alias("score"))
+    return F.struct(add(used).alias("fields"), tenths.alias("tenths"), add(filled).alias("filled"), n.alias("rows"))
+
+
+def _with_hits(records: DataFrame, keys: list[str], pos: str) -> DataFrame:
+    at = F.row_number().over(Window.partitionBy(*keys).orderBy(pos))
+    return records.withColumn("_hit", F.coalesce((F.col("track_no") == at).cast("int"), F.lit(0)))
+
+
+def list_scores(records: DataFrame, keys: list[str], pos: str = "pos", more: list[Column] | None = None) -> DataFrame:
+    """keys with `score`: (fields in use, tenths of rows numbered by their place, filled cells, rows), compared in that order; more
+    totals of a list may follow."""
+    return _with_hits(records, keys, pos).groupBy(*keys).agg(_score().alias("score"), *(more or []))
 
 
 def sequence_quality(records: DataFrame, keys: list[str], pos: str = "pos") -> DataFrame:
@@ -139,19 +156,28 @@ def sequence_quality(records: DataFrame, keys: list[str], pos: str = "pos") -> D
     return hit.groupBy(*keys).agg(F.when(F.count("*") < 3, 0.0).otherwise(F.avg("_hit")).alias("quality"))
 
 
+def _some() -> Column:
+    return (F.col("score.fields") > 0) | (F.col("score.tenths") > 0) | (F.col("score.filled") > 0) | (F.col("score.rows") > 0)
+
+
+def _backwards(order: str) -> Column:
+    """The best score is the least of these."""
+    return F.struct(*[(-F.col(f"score.{f}")).alias(f) for f in ("fields", "tenths", "filled", "rows")], F.col(order).alias("o"))
+
+
 def best_list(scores: DataFrame, group: list[str], order: str) -> DataFrame:
     """The row with the best score of each group, the first in `order` among equals; a score of nothing never wins."""
-    some = (F.col("score.fields") > 0) | (F.col("score.tenths") > 0) | (F.col("score.filled") > 0) | (F.col("score.rows") > 0)
     rest = [c for c in scores.columns if c not in group]
-    backwards = F.struct(*[(-F.col(f"score.{f}")).alias(f) for f in ("fields", "tenths", "filled", "rows")], F.col(order).alias("o"))
-    out = scores.where(some).groupBy(*group).agg(F.min_by(F.struct(*rest), backwards).alias("_r"))
+    out = scores.where(_some()).groupBy(*group).agg(F.min_by(F.struct(*rest), _backwards(order)).alias("_r"))
     return out.select(*group, "_r.*")
 
 
 def best_sheet(records: DataFrame) -> DataFrame:
-    """The records of each file's best sheet."""
-    best = best_list(list_scores(records, ["path", "sheet_no"]), ["path"], "sheet_no").select("path", "sheet_no")
-    return records.join(best.hint("merge"), ["path", "sheet_no"], "left_semi")
+    """The records of each file's best sheet. Scores are windows in the order that `sheet_records` leaves: nothing is dealt anew."""
+    whole = Window.partitionBy("path", "sheet_no").orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    scored = _with_hits(records, ["path", "sheet_no"], "pos").withColumn("score", _score(lambda total: total.over(whole)))
+    best = F.min(F.when(_some(), _backwards("sheet_no"))).over(Window.partitionBy("path"))
+    return scored.withColumn("_best", best).where("_best.o = sheet_no").drop("_hit", "score", "_best")
 
 
 def master_rows(rows: DataFrame, fixes: DataFrame | None = None, unicode: bool = True) -> DataFrame:

@@ -6,7 +6,7 @@ import io
 import zipfile
 from xml.sax.saxutils import escape
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -15,37 +15,48 @@ from setloom.plans.playlog import read
 
 HEADER = ["曲順", "タイトル", "アニメ/元ネタ", "アーティスト", "REMIX"]
 KINDS = ["xlsx", "xlsx", "txt", "pdf", "docx", "xlsx"]  # by order key, the last one broken
+MARKS = {"R": "○", "A": "×"}
 LINE = "array<struct<pos:int,title:string,work:string,artist:string,flag:string>>"
 
 
+def _sheet(rows: list[list[str]]) -> str:
+    text = "".join(c for row in rows for c in row)
+    if any(mark in text for mark in "&<>"):
+        rows = [[escape(c) for c in row] for row in rows]
+    first, between, last = '<c t="inlineStr"><is><t>', '</t></is></c><c t="inlineStr"><is><t>', "</t></is></c>"
+    return "".join([f"<row>{first}{between.join(row)}{last}</row>" if row else "<row></row>" for row in rows])
+
+
 def workbook(sheets: list[tuple[str, list[list[str]]]]) -> bytes:
     """A workbook of inline strings."""
     main = "http://schemas.openxmlformats.org/spreadsheetml/2006/main"
     out = io.BytesIO()
     with zipfile.ZipFile(out, "w") as book:
         names = "".join(f'<sheet name="{escape(name)}" sheetId="{i}"/>' for i, (name, _) in enumerate(sheets, 1))
-        book.writestr("xl/workbook.xml", f'<workbook xmlns="{main}"><sheets>{names}</sheets></workbook>')
+        book.writestr(zipfile.ZipInfo("xl/workbook.xml"), f'<workbook xmlns="{main}"><sheets>{names}</sheets></workbook>')
         for i, (_, rows) in enumerate(sheets, 1):
-            body = "".join("<row>" + "".join(f'<c t="inlineStr"><is><t>{escape(c)}</t></is></c>' for c in row) + "</row>" for row in rows)
-            book.writestr(f"xl/worksheets/sheet{i}.xml", f'<worksheet xmlns="{main}"><sheetData>{body}</sheetData></worksheet>')
+            book.writestr(zipfile.ZipInfo(f"xl/worksheets/sheet{i}.xml"), f'<worksheet xmlns="{main}"><sheetData>{_sheet(rows)}</sheetData></worksheet>')
     return out.getvalue()
 
 
-def _content(kind: int, lines: list) -> bytes:
-    table = [HEADER, *[[str(x["pos"]), x["title"], x["work"], x["artist"], {"R": "○", "A": "×"}.get(x["flag"], "－")] for x in lines]]
-    if KINDS[kind] == "txt":
-        return "\n".join(["【set】", *[x["title"] for x in lines]]).encode()
+def _content(kind: int, lines: list[tuple]) -> bytes:
     if kind == 5:
         return b"PK not a workbook"
+    if KINDS[kind] == "txt":
+        return "\n".join(["【set】", *[title for _, title, *_ in lines]]).encode()
+    table = [HEADER, *[[str(pos), title, work, artist, MARKS.get(flag, "－")] for pos, title, work, artist, flag in lines]]
     if KINDS[kind] == "xlsx":
-        return workbook([("draft", [["タイトル"], *[[x["title"]] for x in lines]]), ("set", table)])
+        return workbook([("draft", [["タイトル"], *[[title] for _, title, *_ in lines]]), ("set", table)])
     return "\n".join(",".join(row) for row in table).encode()  # a transcription, where there is one
 
 
-@F.pandas_udf(T.BinaryType())
-def _contents(kinds: pd.Series, lines: pd.Series) -> pd.Series:
-    """A column, so that files are not made where only their names are read."""
-    return pd.Series([_content(int(k), [] if x is None else list(x)) for k, x in zip(kinds, lines, strict=True)], dtype=object)
+@F.arrow_udf(T.BinaryType())
+def _contents(kinds: pa.Array, lines: pa.Array) -> pa.Array:
+    """A column, so that files are not made where only their names are read. Lines cross as plain columns, not as objects."""
+    each = list(zip(*[x.to_pylist() for x in lines.values.flatten()], strict=True))
+    ends = lines.offsets.to_pylist()
+    spans = zip(kinds.to_pylist(), lines.is_valid().to_pylist(), ends, ends[1:])
+    return pa.array([_content(kind, each[a:b] if some else []) for kind, some, a, b in spans], pa.binary())
 
 
 def set_list_files(spark: SparkSession, sf_dir: str, lines: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:

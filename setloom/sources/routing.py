@@ -5,9 +5,11 @@ from __future__ import annotations
 import csv
 import io
 from collections.abc import Iterator
+from itertools import accumulate, chain
 from typing import NamedTuple
+from unicodedata import normalize
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -58,25 +60,41 @@ def _read(reader: str, content: bytes) -> Iterator[tuple[str, int, int, list[str
         yield "", 0, 0, [content.decode("utf-8-sig", errors="replace")]
 
 
-def opened(files: DataFrame, at_once: int = 50_000) -> DataFrame:
+def opened(files: DataFrame, unicode: bool = True, at_once: int = 50_000) -> DataFrame:
     """Rows of files (id, reader, content), each file read once: sheet rows, or a text as one cell. A file that can't be read
-    gives one row with the problem."""
+    gives one row with the problem. unicode: cells of sheets are normalised on the way, texts stay as they are."""
+
+    def rows(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = [pa.string(), pa.string(), pa.string(), pa.int32(), pa.int32(), None, pa.string()]
+        names = [c.split()[0] for c in OPENED.split(", ")]
+
+        def batch(held: list[tuple]) -> pa.RecordBatch:
+            columns = list(zip(*held, strict=True))
+            cells = columns[names.index("cells")]
+            starts = [*accumulate((len(x or ()) for x in cells), initial=0)]
+            flat = pa.array(list(chain.from_iterable(x for x in cells if x)), pa.string())
+            lists = pa.ListArray.from_arrays(pa.array(starts, pa.int32()), flat, mask=pa.array([x is None for x in cells]))
+            return pa.RecordBatch.from_arrays([lists if kind is None else pa.array(c, kind) for c, kind in zip(columns, kinds, strict=True)], names=names)
 
-    def rows(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        columns = [c.split()[0] for c in OPENED.split(", ")]
         held: list[tuple] = []
         for part in parts:
-            for name, reader, content in zip(part["id"], part["reader"], part["content"], strict=True):
+            for name, reader, content in zip(*[c.to_pylist() for c in part.columns], strict=True):
                 try:
-                    held += [(name, reader, *row, None) for row in _read(reader, content or b"")]
+                    got = list(_read(reader, content or b""))
                 except Exception as error:  # whatever a broken file raises, the others go on
                     held.append((name, reader, None, None, None, None, f"unreadable: {type(error).__name__}"))
+                    continue
+                for sheet, sheet_no, at, cells in got:
+                    if unicode and reader != "txt":
+                        cells = [x if x.isascii() else normalize("NFKC", x) for x in cells]
+                    held.append((name, reader, sheet, sheet_no, at, cells, None))
                 if len(held) >= at_once:
-                    yield pd.DataFrame(held, columns=columns)
+                    yield batch(held)
                     held = []
-        yield pd.DataFrame(held, columns=columns)
+        if held:
+            yield batch(held)
 
-    return files.select("id", "reader", "content").mapInPandas(rows, OPENED)
+    return files.select("id", "reader", "content").mapInArrow(rows, OPENED)
 
 
 def _is_blocks(text: Column) -> Column:
@@ -98,17 +116,17 @@ def read_set_lists(files: DataFrame, manual: DataFrame, skips: DataFrame, drops:
     suffix = setlists.suffix_of(F.col("name"))
     own = files.where(suffix.isin(*READABLE)).join(merged(skip), "id", "left_anti").join(merged(hand.select("id")), "id", "left_anti")
     transcribed = hand.join(merged(files.select("id")), "id", "left_semi").join(merged(skip), "id", "left_anti")
-    rows = staged(opened(own.select("id", suffix.alias("reader"), "content").unionByName(transcribed.select("id", F.lit("manual").alias("reader"), "content"))), "routed-rows")
+    rows = staged(opened(own.select("id", suffix.alias("reader"), "content").unionByName(transcribed.select("id", F.lit("manual").alias("reader"), "content")), unicode), "routed-rows")
     fine = rows.where("problem is null")
     sheets = fine.where("reader <> 'txt'").select(F.col("id").alias("path"), "sheet", "sheet_no", "row_idx", "cells")
-    from_sheets = ingest.best_sheet(ingest.sheet_records(sheets, unicode)).withColumn("detail", F.when(F.col("sheet") != "", F.concat(F.lit("sheet="), "sheet")))
+    from_sheets = ingest.best_sheet(ingest.sheet_records(sheets, unicode=False)).withColumn("detail", F.when(F.col("sheet") != "", F.concat(F.lit("sheet="), "sheet")))
     texts = fine.where("reader = 'txt'").select(F.col("id").alias("path"), F.element_at("cells", 1).alias("text"))
     shape = texts.select("path", F.when(_is_blocks(F.col("text")), "numbered-blocks").otherwise("bare-title-list").alias("detail"))
     from_texts = setlists.text_tracks(texts, unicode).where("title is not null").join(merged(shape), "path")
     tracks = from_sheets.drop("sheet", "sheet_no").unionByName(from_texts, allowMissingColumns=True).withColumnRenamed("path", "file_id")
     tracks = staged(ingest.without_dropped(tracks, drops), "routed-tracks")
     names = setlists.dispatch(files.drop("content"), manual).join(merged(skip), "id", "left").join(merged(rows.where("problem is not null").select("id", "problem")), "id", "left")
-    scores = ingest.list_scores(tracks, ["file_id"]).join(merged(tracks.groupBy("file_id").agg(F.first("detail").alias("detail"))), "file_id").withColumnRenamed("file_id", "id")
+    scores = ingest.list_scores(tracks, ["file_id"], more=[F.first("detail").alias("detail")]).withColumnRenamed("file_id", "id")
     judged = staged(names.join(merged(scores), "id", "left"), "routed-files")
     best = ingest.best_list(judged.where("score is not null").select("event_no", "dj", "pos", "id", "score"), ["event_no", "dj"], "pos").select("id", F.lit(True).alias("best"))
     reason = F.when(F.col("skip"), F.coalesce("skip_reason", F.lit("left out"))).otherwise(F.coalesce("skipped_reason", "problem"))
