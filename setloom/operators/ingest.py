@@ -62,8 +62,10 @@ def with_heads(rows: DataFrame, unicode: bool = True) -> DataFrame:
     """rows (…, row_idx, cells) with `head` where one of a sheet's first rows names a title: (minus the number of fields that it names,
     row_idx, `at`: the first column of each field, `taken`: these columns). The least head of a sheet is its header."""
     cells = nfkc_each("cells") if unicode else F.col("cells")
-    keys = F.transform(cells, header_key)  # a key once a cell, not once a name
-    rows = rows.withColumn("_named", F.when(F.col("row_idx") < SCAN, F.transform(keys, field_of)))
+    keys = F.when(F.col("row_idx") < SCAN, F.transform(cells, header_key))  # a key once a cell, not once a name
+    titles = [*HEADERS["title"], *[part for part, field in PARTIAL_HEADERS if field == "title"]]
+    maybe = F.exists("_keys", lambda key: reduce(lambda a, b: a | b, [key.contains(t) for t in titles]))
+    rows = rows.withColumn("_keys", keys).withColumn("_named", F.when(maybe, F.transform("_keys", field_of))).drop("_keys")
     fields = F.array_distinct(F.array_compact("_named"))
     at = F.struct(*[(F.nullif(F.array_position("_named", F.lit(f)), F.lit(0)) - 1).cast("int").alias(f) for f in HEADERS])
     taken = F.transform(fields, lambda f: (F.array_position("_named", f) - 1).cast("int"))
@@ -139,14 +141,19 @@ def _score(over: Callable[[Column], Column] = lambda total: total) -> Column:
 
 
 def _with_hits(records: DataFrame, keys: list[str], pos: str) -> DataFrame:
-    at = F.row_number().over(Window.partitionBy(*keys).orderBy(pos))
-    return records.withColumn("_hit", F.coalesce((F.col("track_no") == at).cast("int"), F.lit(0)))
+    placed = records.withColumn("place", F.row_number().over(Window.partitionBy(*keys).orderBy(pos)))
+    return placed.withColumn("_hit", F.coalesce((F.col("track_no") == F.col("place")).cast("int"), F.lit(0)))
+
+
+def list_scores(records: DataFrame, keys: list[str], pos: str = "pos") -> DataFrame:
+    """keys with `score`: (fields in use, tenths of rows numbered by their place, filled cells, rows), compared in that order."""
+    return _with_hits(records, keys, pos).groupBy(*keys).agg(_score().alias("score"))
 
 
-def list_scores(records: DataFrame, keys: list[str], pos: str = "pos", more: list[Column] | None = None) -> DataFrame:
-    """keys with `score`: (fields in use, tenths of rows numbered by their place, filled cells, rows), compared in that order; more
-    totals of a list may follow."""
-    return _with_hits(records, keys, pos).groupBy(*keys).agg(_score().alias("score"), *(more or []))
+def with_scores(records: DataFrame, keys: list[str], pos: str = "pos") -> DataFrame:
+    """records with their `place` in their list and the list's `score`, as `list_scores` has it, by windows over one order."""
+    whole = Window.partitionBy(*keys).orderBy(pos).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    return _with_hits(records, keys, pos).withColumn("score", _score(lambda total: total.over(whole))).drop("_hit")
 
 
 def sequence_quality(records: DataFrame, keys: list[str], pos: str = "pos") -> DataFrame:
@@ -174,10 +181,8 @@ def best_list(scores: DataFrame, group: list[str], order: str) -> DataFrame:
 
 def best_sheet(records: DataFrame) -> DataFrame:
     """The records of each file's best sheet. Scores are windows in the order that `sheet_records` leaves: nothing is dealt anew."""
-    whole = Window.partitionBy("path", "sheet_no").orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    scored = _with_hits(records, ["path", "sheet_no"], "pos").withColumn("score", _score(lambda total: total.over(whole)))
     best = F.min(F.when(_some(), _backwards("sheet_no"))).over(Window.partitionBy("path"))
-    return scored.withColumn("_best", best).where("_best.o = sheet_no").drop("_hit", "score", "_best")
+    return with_scores(records, ["path", "sheet_no"]).withColumn("_best", best).where("_best.o = sheet_no").drop("place", "score", "_best")
 
 
 def master_rows(rows: DataFrame, fixes: DataFrame | None = None, unicode: bool = True) -> DataFrame:
@@ -198,8 +203,9 @@ def without_skipped(files: DataFrame, skips: DataFrame) -> DataFrame:
 
 
 def without_dropped(records: DataFrame, drops: DataFrame) -> DataFrame:
-    """Records (file_id, title, …) but those that a correction drops by exact title."""
-    return records.join(drops.hint("merge"), ["file_id", "title"], "left_anti")
+    """Records (file_id, title, …) but those that a correction drops by exact title. They are dealt by file, as their lists are."""
+    dropped = drops.groupBy("file_id").agg(F.collect_set("title").alias("_dropped")).hint("merge")
+    return records.join(dropped, "file_id", "left").where(~F.coalesce(F.array_contains("_dropped", F.col("title")), F.lit(False))).drop("_dropped")
 
 
 def names_as_tracks(djs: DataFrame, least: int = 3) -> DataFrame:

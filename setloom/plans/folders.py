@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-import io
-import zipfile
+import struct
+import zlib
 from xml.sax.saxutils import escape
 
 import pyarrow as pa
@@ -27,16 +27,25 @@ def _sheet(rows: list[list[str]]) -> str:
     return "".join([f"<row>{first}{between.join(row)}{last}</row>" if row else "<row></row>" for row in rows])
 
 
+def _archive(members: list[tuple[bytes, bytes]]) -> bytes:
+    """A ZIP file of small stored members (name, content). zipfile takes ten times as long, most of what a small workbook takes."""
+    parts, directory, at = [], [], 0
+    for name, content in members:
+        common = struct.pack("<5H3I2H", 20, 0, 0, 0, 0x21, zlib.crc32(content), len(content), len(content), len(name), 0)
+        parts += [b"PK\3\4", common, name, content]
+        directory += [b"PK\1\2\x14\0", common, struct.pack("<3H2I", 0, 0, 0, 0, at), name]
+        at += 30 + len(name) + len(content)
+    listed = b"".join(directory)
+    return b"".join([*parts, listed, struct.pack("<4s4H2IH", b"PK\5\6", 0, 0, len(members), len(members), len(listed), at, 0)])
+
+
 def workbook(sheets: list[tuple[str, list[list[str]]]]) -> bytes:
     """A workbook of inline strings."""
     main = "http://schemas.openxmlformats.org/spreadsheetml/2006/main"
-    out = io.BytesIO()
-    with zipfile.ZipFile(out, "w") as book:
-        names = "".join(f'<sheet name="{escape(name)}" sheetId="{i}"/>' for i, (name, _) in enumerate(sheets, 1))
-        book.writestr(zipfile.ZipInfo("xl/workbook.xml"), f'<workbook xmlns="{main}"><sheets>{names}</sheets></workbook>')
-        for i, (_, rows) in enumerate(sheets, 1):
-            book.writestr(zipfile.ZipInfo(f"xl/worksheets/sheet{i}.xml"), f'<worksheet xmlns="{main}"><sheetData>{_sheet(rows)}</sheetData></worksheet>')
-    return out.getvalue()
+    names = "".join(f'<sheet name="{escape(name)}" sheetId="{i}"/>' for i, (name, _) in enumerate(sheets, 1))
+    members = [("xl/workbook.xml", f'<workbook xmlns="{main}"><sheets>{names}</sheets></workbook>')]
+    members += [(f"xl/worksheets/sheet{i}.xml", f'<worksheet xmlns="{main}"><sheetData>{_sheet(rows)}</sheetData></worksheet>') for i, (_, rows) in enumerate(sheets, 1)]
+    return _archive([(name.encode(), text.encode()) for name, text in members])
 
 
 def _content(kind: int, lines: list[tuple]) -> bytes:

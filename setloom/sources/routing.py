@@ -5,7 +5,6 @@ from __future__ import annotations
 import csv
 import io
 from collections.abc import Iterator
-from itertools import accumulate, chain
 from typing import NamedTuple
 from unicodedata import normalize
 
@@ -64,17 +63,13 @@ def opened(files: DataFrame, unicode: bool = True, at_once: int = 50_000) -> Dat
     """Rows of files (id, reader, content), each file read once: sheet rows, or a text as one cell. A file that can't be read
     gives one row with the problem. unicode: cells of sheets are normalised on the way, texts stay as they are."""
 
+    names = [c.split()[0] for c in OPENED.split(", ")]
+
     def rows(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = [pa.string(), pa.string(), pa.string(), pa.int32(), pa.int32(), None, pa.string()]
-        names = [c.split()[0] for c in OPENED.split(", ")]
+        schema = pa.schema(zip(names, [pa.string(), pa.string(), pa.string(), pa.int32(), pa.int32(), pa.list_(pa.string()), pa.string()], strict=True))
 
         def batch(held: list[tuple]) -> pa.RecordBatch:
-            columns = list(zip(*held, strict=True))
-            cells = columns[names.index("cells")]
-            starts = [*accumulate((len(x or ()) for x in cells), initial=0)]
-            flat = pa.array(list(chain.from_iterable(x for x in cells if x)), pa.string())
-            lists = pa.ListArray.from_arrays(pa.array(starts, pa.int32()), flat, mask=pa.array([x is None for x in cells]))
-            return pa.RecordBatch.from_arrays([lists if kind is None else pa.array(c, kind) for c, kind in zip(columns, kinds, strict=True)], names=names)
+            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held, strict=True), schema, strict=True)], schema=schema)
 
         held: list[tuple] = []
         for part in parts:
@@ -124,9 +119,9 @@ def read_set_lists(files: DataFrame, manual: DataFrame, skips: DataFrame, drops:
     shape = texts.select("path", F.when(_is_blocks(F.col("text")), "numbered-blocks").otherwise("bare-title-list").alias("detail"))
     from_texts = setlists.text_tracks(texts, unicode).where("title is not null").join(merged(shape), "path")
     tracks = from_sheets.drop("sheet", "sheet_no").unionByName(from_texts, allowMissingColumns=True).withColumnRenamed("path", "file_id")
-    tracks = staged(ingest.without_dropped(tracks, drops), "routed-tracks")
+    tracks = staged(ingest.with_scores(ingest.without_dropped(tracks, drops), ["file_id"]), "routed-tracks")
     names = setlists.dispatch(files.drop("content"), manual).join(merged(skip), "id", "left").join(merged(rows.where("problem is not null").select("id", "problem")), "id", "left")
-    scores = ingest.list_scores(tracks, ["file_id"], more=[F.first("detail").alias("detail")]).withColumnRenamed("file_id", "id")
+    scores = tracks.where("place = 1").select(F.col("file_id").alias("id"), "score", "detail")
     judged = staged(names.join(merged(scores), "id", "left"), "routed-files")
     best = ingest.best_list(judged.where("score is not null").select("event_no", "dj", "pos", "id", "score"), ["event_no", "dj"], "pos").select("id", F.lit(True).alias("best"))
     reason = F.when(F.col("skip"), F.coalesce("skip_reason", F.lit("left out"))).otherwise(F.coalesce("skipped_reason", "problem"))
@@ -136,5 +131,5 @@ def read_set_lists(files: DataFrame, manual: DataFrame, skips: DataFrame, drops:
     count = F.when(tried, F.coalesce("score.rows", F.lit(0).cast("long")))
     audit = seen.select("event_no", "dj", "pos", "id", "name", F.col("reader").alias("source_kind"), F.coalesce("detail", F.when(tried & (F.col("reader") == "manual"), F.col("name"))).alias("detail"), count.alias("rows"), outcome.alias("outcome"), F.when(~tried, reason).alias("reason"))
     chosen = audit.where("outcome = 'chosen'").select("event_no", "dj", F.col("id").alias("file_id"), F.col("name").alias("source_file_name"), "source_kind")
-    records = tracks.drop("detail").join(merged(chosen), "file_id").withColumnRenamed("file_id", "source_file_id")
+    records = tracks.drop("detail", "place", "score").join(merged(chosen), "file_id").withColumnRenamed("file_id", "source_file_id")
     return Routed(records, audit.select(*AUDIT))

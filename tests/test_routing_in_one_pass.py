@@ -91,3 +91,19 @@ def test_files_are_made_of_plain_columns(spark):
     assert list(xlsx.sheet_rows(made[0])) == [("draft", 0, 0, ["タイトル"]), ("draft", 0, 1, ["a<"]), ("draft", 0, 2, ["b"]), ("set", 1, 0, folders.HEADER), ("set", 1, 1, ["1", "a<", "w", "r", "○"]), ("set", 1, 2, ["2", "b", "w", "r", "－"])]
     assert [bytes(x).decode() for x in made[1:]] == ["【set】\na", ",".join(folders.HEADER), "PK not a workbook", "【set】"]
     assert lines.where(F.col("lines").isNull()).count() == 2
+
+
+def test_tracks_are_judged_where_they_are_put_together(spark, monkeypatch):
+    """Scores are made before the tracks are stored, in the order they have then: a row a file is all that the audit reads again."""
+    rows = [(1, "x", 1, "f1", "1.txt", b"A\nB\nC"), (1, "x", 2, "f2", "2.txt", b"A\nB"), (2, "x", 3, "f3", "3.txt", b"A\nA\nD")]
+    files = spark.createDataFrame(rows, "event_no int, dj string, pos long, id string, name string, content binary")
+    drops = spark.createDataFrame([("f1", "A"), ("f1", "B"), ("f3", "A"), ("f3", None), ("f9", "B")], "file_id string, title string")
+    none = spark.createDataFrame([], "file_id string, reason string")
+    stored = {}
+    monkeypatch.setattr(routing, "staged", lambda df, label, real=routing.staged: stored.setdefault(label, real(df, label)))
+    records, audit = routing.read_set_lists(files, spark.createDataFrame([], "id string, content binary"), none, drops)
+    assert {(r.file_id, r.place, r.title, r.score.rows) for r in stored["routed-tracks"].collect()} == {("f1", 1, "C", 1), ("f2", 1, "A", 2), ("f2", 2, "B", 2), ("f3", 1, "D", 1)}
+    assert {r.id: (r.outcome, r.rows, r.detail) for r in audit.collect()} == {"f1": ("tried", 1, "bare-title-list"), "f2": ("chosen", 2, "bare-title-list"), "f3": ("chosen", 1, "bare-title-list")}
+    assert sorted((r.source_file_id, r.track_no, r.title) for r in records.collect()) == [("f2", 1, "A"), ("f2", 2, "B"), ("f3", 3, "D")]
+    assert not {"place", "score", "detail"} & set(records.columns)
+    assert "Window" not in audit._jdf.queryExecution().optimizedPlan().toString()
